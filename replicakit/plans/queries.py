@@ -10,17 +10,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from replicakit import fixtures as fx
-from replicakit.functions.text import checked_table_name, first_token, is_true
-from replicakit.operators.counts import compare_counts, row_count, row_counts
+from replicakit.functions.text import (
+    canon_side_col,
+    checked_table_name,
+    first_token,
+    is_true,
+    map_namespace_col,
+)
+from replicakit.operators.counts import (
+    compare_counts,
+    count_rows,
+    count_with_fallback,
+    count_with_guard,
+    row_count,
+    row_counts,
+)
 from replicakit.operators.diff import apply_diff, resync_diff
 from replicakit.operators.fold import apply_changes, control_state
 from replicakit.operators.integrity import check_not_null, check_unique
 from replicakit.operators.inventory import is_in_mode, namespaces_in_mode, state_of
 from replicakit.operators.upsert import fill_defaults, upsert
+from replicakit.plans.replica import ChangeSpec, initial_copy, read_batches, readonly_view
+from replicakit.plans.replication import Replication, load, restart_replication
+from replicakit.plans.scenario import create_sides, run_scenario, smoke
+from replicakit.plans.status import health_report, ready_gate, replication_status
 from replicakit.session import scratch_path
-from replicakit.sources.registry import Registry, pointer_table
+from replicakit.sources.registry import (
+    Registry,
+    create_if_absent,
+    pointer_table,
+    pointers,
+    read_side,
+    run_sql,
+    swap_default,
+    table_inventory,
+)
+from replicakit.streaming.replicate import drain, replicate_stream
+from replicakit.streaming.watch import watch_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -263,3 +292,297 @@ def q_fill_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.orders_a(spark, sf_dir).schema
     return fill_defaults(fx.seed_rows(spark, sf_dir),
                          {"o_orderpriority": "3-MEDIUM", "o_totalprice": 0.0}, schema)
+
+
+# ------------------------------------------------- registry
+@register("read_side", "SELECT * FROM orders")
+def q_read_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side spelled ``primary``, namespace by its old alias ``CRLA``."""
+    return read_side(spark, given_registry(spark, sf_dir), "primary", "CRLA", "orders")
+
+
+# The swaps the reference tool makes, in order: create A, create B, failover
+# A->B, start B->A, failover B->A, restart A->B.
+SWAP_SEQUENCE = (("A", "va"), ("B", "vb-readonly"), ("B", "vb"), ("B", "vb"),
+                 ("A", "va-readonly"), ("A", "va"), ("B", "vb"), ("A", "va"),
+                 ("B", "vb-readonly"))
+
+SWAP_DEFAULT_SQL = fx.with_fixtures("""
+SELECT substr(key, 9) AS side, max_by(value, version) AS target_namespace
+FROM log WHERE key LIKE 'default/%' GROUP BY key
+""", pl=fx.POINTER_LOG_SQL, log="""
+SELECT version, 'default/' || side AS key, target_namespace AS value FROM (
+  SELECT CASE WHEN lower(side) IN ('ca', 'a', '1', 'primary', 'p') THEN 'CA'
+              WHEN lower(side) IN ('cb', 'b', '2', 'standby', 's') THEN 'CB' END AS side,
+         CASE WHEN lower(target_namespace) = 'crla' THEN 'va'
+              WHEN lower(target_namespace) = 'crlb' THEN 'vb'
+              WHEN lower(target_namespace) = 'crla-readonly' THEN 'va-readonly'
+              WHEN lower(target_namespace) = 'crlb-readonly' THEN 'vb-readonly'
+              WHEN lower(target_namespace) IN ('va', 'vb', 'va-readonly', 'vb-readonly', 'system')
+                THEN lower(target_namespace)
+              ELSE target_namespace END AS target_namespace, version
+  FROM pl) WHERE side IS NOT NULL
+UNION ALL
+SELECT 1000000000000 + n AS version, 'default/' || s AS key, ns AS value FROM (VALUES """
+    + ", ".join(f"({i}, 'C{s}', '{ns}')" for i, (s, ns) in enumerate(SWAP_SEQUENCE))
+    + ") AS t(n, s, ns)")
+
+
+@register("swap_default", SWAP_DEFAULT_SQL)
+def q_swap_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pointer history imported from the events, then the tool's swaps."""
+    reg = given_registry(spark, sf_dir)
+    hist = fx.pointer_log(spark, sf_dir).select(
+        F.col("version"),
+        F.concat(F.lit("default/"), canon_side_col("side")).alias("key"),
+        F.lit("set").alias("op"),
+        map_namespace_col("target_namespace").alias("value"),
+    ).filter(F.col("key").isNotNull())
+    reg.import_control(hist)
+    for side, ns in SWAP_SEQUENCE:
+        swap_default(reg, side, ns)
+    return pointers(reg)
+
+
+RUN_SQL_TEXT = """
+SELECT c.c_mktsegment, o.o_orderstatus, count(*) AS n_orders, max(o.o_totalprice) AS max_price
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+GROUP BY c.c_mktsegment, o.o_orderstatus
+"""
+
+
+@register("run_sql", RUN_SQL_TEXT)
+def q_run_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, given_registry(spark, sf_dir), RUN_SQL_TEXT, side="a")
+
+
+@register("table_inventory", "\nUNION ALL ".join(
+    f"SELECT 'va' AS namespace, '{t}' AS table_name, count(*) AS n_rows FROM {t}"
+    for t in sorted(fx.TABLES)))
+def q_table_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_inventory(spark, given_registry(spark, sf_dir), "A", "va")
+
+
+@register("create_if_absent", "SELECT * FROM orders")
+def q_create_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create, fill, create again (a no-op), read back."""
+    reg = given_registry(spark, sf_dir)
+    orders = fx.orders_a(spark, sf_dir)
+    create_if_absent(spark, reg, "B", "vb", "orders_copy", orders.schema)
+    reg.write_version("B", "vb", "orders_copy", orders)
+    create_if_absent(spark, reg, "B", "vb", "orders_copy", orders.schema)
+    return reg.read("B", "vb", "orders_copy")
+
+
+@register("smoke", "SELECT 'CA' AS side, true AS ok UNION ALL SELECT 'CB' AS side, true AS ok")
+def q_smoke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return smoke(spark, given_registry(spark, sf_dir))
+
+
+# ----------------------------------------------------- fallbacks
+@register("count_with_fallback", fx.with_fixtures("""
+SELECT 'orders' AS table_name, 'vb' AS served_by, count(*) AS n_rows FROM orders_b
+UNION ALL SELECT 'lineitem', 'vb', count(*) FROM lineitem
+UNION ALL SELECT 'customer', NULL, NULL
+""", orders_b=fx.ORDERS_B_SQL))
+def q_count_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferred ``vb-readonly`` does not exist on B; ``customer`` nowhere."""
+    return count_with_fallback(spark, given_registry(spark, sf_dir), "B",
+                               ["orders", "lineitem", "customer"], "vb-readonly", "vb")
+
+
+@register("count_with_guard", fx.with_fixtures("""
+SELECT 'orders' AS table_name, 'vb' AS served_by, count(*) AS n_rows FROM orders_b
+UNION ALL SELECT 'lineitem', 'vb', count(*) FROM lineitem
+""", orders_b=fx.ORDERS_B_SQL))
+def q_count_with_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vb-readonly`` has its service stopped; ``vb`` is shared: fall back."""
+    reg = given_registry(spark, sf_dir)
+    reg.set_mode("B", "vb-readonly", "none")
+    reg.set_mode("B", "vb", "shared")
+    return count_with_guard(spark, reg, "B", ["orders", "lineitem"], "vb-readonly", "vb")
+
+
+# --------------------------------------------------- replica core
+@register("initial_copy",
+          "SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '1998-12-31 00:00:00'")
+def q_initial_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return initial_copy(fx.orders_a(spark, sf_dir), "o_orderdate", "1998-12-31 00:00:00",
+                        scratch_path(spark, "initial-copy"))
+
+
+CHANGE_SPEC = ChangeSpec(keys=tuple(fx.CHANGE_KEYS), order=tuple(fx.CHANGE_ORDER), op_col="op")
+VIEW_AS_OF = fx.PART_BOUNDARIES[2]
+
+
+@register("readonly_view", fx.with_fixtures(f"""
+SELECT user_id, ts, event_id, op, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM (SELECT * FROM b0 UNION ALL
+        SELECT * FROM cl WHERE ts <= TIMESTAMP '{VIEW_AS_OF}'))
+WHERE rn = 1 AND op <> 'delete'
+""", cl=fx.CHANGE_LOG_SQL, b0=fx.BASE_0_SQL))
+def q_readonly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readonly_view(fx.base_0(spark, sf_dir), fx.change_log(spark, sf_dir), CHANGE_SPEC,
+                         VIEW_AS_OF)
+
+
+# ------------------------------------------------------ streaming
+@register("replicate_stream", APPLY_CHANGES_SQL)
+def q_replicate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four staged change files, one micro-batch each; the drained batches
+    folded equal the fold of the whole log."""
+    stage, _ = fx.stage_change_parts(spark, sf_dir)
+    out = scratch_path(spark, "applied")
+    schema = fx.change_log(spark, sf_dir).schema
+    q = replicate_stream(spark, stage, schema, out, scratch_path(spark, "ckpt"),
+                         max_files_per_trigger=1)
+    drain(q)
+    applied = read_batches(spark, out, schema)
+    return apply_changes(applied, fx.CHANGE_KEYS, fx.CHANGE_ORDER)
+
+
+@register("watch_counts", f"""
+WITH per AS (SELECT {fx.CHANGE_PART_SQL} AS tick, count(*) AS n FROM events GROUP BY 1),
+cum AS (SELECT tick, CAST(sum(n) OVER (ORDER BY tick) AS BIGINT) AS n_b FROM per),
+a AS (SELECT count(*) AS n_a FROM events)
+SELECT CAST(tick AS BIGINT) AS tick, a.n_a, n_b,
+       CASE WHEN n_b = a.n_a THEN 'match' ELSE 'mismatch' END AS verdict
+FROM cum JOIN a ON true
+""")
+def q_watch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side A: the whole change log; side B: its four parts arriving."""
+    stage, _ = fx.stage_change_parts(spark, sf_dir)
+    n_a = count_rows(fx.change_log(spark, sf_dir)).first()["n_rows"]
+    return watch_counts(spark, stage, fx.change_log(spark, sf_dir).schema, n_a,
+                        out=scratch_path(spark, "ticks"), ckpt=scratch_path(spark, "ckpt"),
+                        available_now=True, max_files_per_trigger=1)
+
+
+# ------------------------------------------------------ status
+@register("replication_status", fx.with_fixtures(f"""
+SELECT 'vb' AS replica, 'A->B' AS direction, 'replicating' AS status, 'ready' AS data_state,
+       max(ts) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}') AS frontier_ts,
+       count(*) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}') AS applied_rows,
+       (epoch_us(max(ts)) - epoch_us(max(ts) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}')))
+         / 1000000.0 AS lag_s
+FROM cl
+""", cl=fx.CHANGE_LOG_SQL))
+def q_replication_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of four parts applied; the source has all four."""
+    log = fx.change_log(spark, sf_dir)
+    applied = log.filter(F.col("ts") < fx.ts_ntz(VIEW_AS_OF))
+    return replication_status(applied, log, "ts", "vb", "A->B", data_state="ready")
+
+
+READY_GATE_MAX_TRIES = 20
+
+
+@register("ready_gate", fx.with_fixtures(f"""
+SELECT replica, CASE WHEN f IS NOT NULL THEN 'ready' ELSE 'timeout' END AS verdict,
+       CAST(coalesce(f, s) AS BIGINT) AS tries
+FROM (
+  SELECT replica,
+         min(CASE WHEN try_no <= {READY_GATE_MAX_TRIES}
+                   AND regexp_extract(lower(status_text),
+                         '(initializing|replicating|offline|stopped|paused|error)', 1) = 'replicating'
+                   AND regexp_extract(lower(data_state_text),
+                         '(initializing|replicating|offline|error|ready|add)', 1) = 'ready'
+                  THEN try_no END) AS f,
+         max(CASE WHEN try_no <= {READY_GATE_MAX_TRIES} THEN try_no END) AS s
+  FROM polls GROUP BY replica)
+""", polls=fx.POLLS_SQL))
+def q_ready_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ready_gate(fx.polls(spark, sf_dir), max_tries=READY_GATE_MAX_TRIES)
+
+
+# ------------------------------------------------ flows
+@register("restart_replication", "SELECT * FROM orders")
+def q_restart_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B holds the stale ``orders_b``; restart A->B makes B's read-only view
+    equal to A's orders through diff + apply + stream."""
+    reg = given_registry(spark, sf_dir)
+    restart_replication(reg, "A", "B", "orders", ORDER_KEYS)
+    return read_side(spark, reg, "B", None, "orders")
+
+
+CUTOVER_SQL = """
+SELECT o_orderkey, o_custkey,
+       CASE WHEN o_orderkey % 200 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+       o_totalprice, o_orderdate, o_orderpriority
+FROM orders
+"""
+
+
+@register("cutover", CUTOVER_SQL)
+def q_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicate A->B, keep loading A (new orders, then status updates) while
+    the stream runs, then cut over: B's ``vb`` equals A."""
+    reg = Registry(spark, scratch_path(spark, "registry"))
+    create_sides(reg)
+    orders = fx.orders_a(spark, sf_dir)
+    early = orders.filter(F.col("o_orderdate") < fx.ts_ntz("1999-01-01 00:00:00"))
+    late = orders.filter(F.col("o_orderdate") >= fx.ts_ntz("1999-01-01 00:00:00"))
+    load(reg, "A", "orders", early, ORDER_KEYS)
+    rep = Replication(reg, "A", "B", "orders", ORDER_KEYS)
+    rep.start()
+    load(reg, "A", "orders", late, ORDER_KEYS)
+    rep.run_stream(rep.info())
+    updates = orders.filter(F.col("o_orderkey") % 200 == 0).select(
+        "o_orderkey", F.lit("X").alias("o_orderstatus"))
+    load(reg, "A", "orders", updates, ORDER_KEYS)
+    rep.cutover()
+    return read_side(spark, reg, "B", None, "orders")
+
+
+@register("health_report", fx.with_fixtures("""
+SELECT 'orders' AS table_name, 'A->B' AS direction, 'va' AS served_by_a,
+       (SELECT count(*) FROM orders) AS n_a, 'vb' AS served_by_b,
+       (SELECT count(*) FROM orders_b) AS n_b, 'mismatch' AS verdict
+UNION ALL
+SELECT 'lineitem', 'A->B', 'va', (SELECT count(*) FROM lineitem), 'vb',
+       (SELECT count(*) FROM lineitem), 'match'
+""", orders_b=fx.ORDERS_B_SQL))
+def q_health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A->B recorded: A counted at ``va``; B at ``vb-readonly`` (absent) then ``vb``."""
+    reg = given_registry(spark, sf_dir)
+    reg.set_state("REPL_ATOB_ACTIVE", "1")
+    return health_report(spark, reg, ["orders", "lineitem"])
+
+
+SCENARIO_SLICES = ("1997-01-01 00:00:00", "1999-01-01 00:00:00")
+
+
+def scenario_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three load slices of ``orders`` by order date (together: all orders)."""
+    o = fx.orders_a(spark, sf_dir)
+    d, (b1, b2) = F.col("o_orderdate"), SCENARIO_SLICES
+    return [o.filter(d < fx.ts_ntz(b1)),
+            o.filter((d >= fx.ts_ntz(b1)) & (d < fx.ts_ntz(b2))),
+            o.filter(d >= fx.ts_ntz(b2))]
+
+
+RUN_SCENARIO_SQL = f"""
+WITH c AS (
+  SELECT count(*) FILTER (WHERE o_orderdate < TIMESTAMP '{SCENARIO_SLICES[0]}') AS s1,
+         count(*) FILTER (WHERE o_orderdate < TIMESTAMP '{SCENARIO_SLICES[1]}') AS s12,
+         count(*) AS s123
+  FROM orders)
+SELECT step_no, step, true AS ok, n_a, n_b, detail FROM (
+  SELECT 1 AS step_no, 'load A' AS step, s1 AS n_a, NULL AS n_b, 'ok' AS detail FROM c
+  UNION ALL SELECT 2, 'start A->B', s1, s1, 'ok' FROM c
+  UNION ALL SELECT 3, 'cutover to B', s1, s1, 'ok' FROM c
+  UNION ALL SELECT 4, 'load B', s1, s12, 'ok' FROM c
+  UNION ALL SELECT 5, 'start B->A', s12, s12, 'ok' FROM c
+  UNION ALL SELECT 6, 'cutover to A', s12, s12, 'ok' FROM c
+  UNION ALL SELECT 7, 'load A again', s123, s12, 'ok' FROM c
+  UNION ALL SELECT 8, 'status', s123, s12, 'mismatch (none)' FROM c
+  UNION ALL SELECT 9, 'restart A->B', s123, s123, 'ok' FROM c
+  UNION ALL SELECT 10, 'status', s123, s123, 'match (A->B)' FROM c)
+"""
+
+
+@register("run_scenario", RUN_SCENARIO_SQL)
+def q_run_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reg = Registry(spark, scratch_path(spark, "scenario"))
+    return run_scenario(spark, reg, "orders", ORDER_KEYS, scenario_loads(spark, sf_dir))

@@ -18,7 +18,7 @@ Parquet table) bound to a name, read-only until a version is written over it.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +69,7 @@ class Registry:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._mounts: dict[tuple[str, str, str], DataFrame | str] = {}
+        self._mounts: dict[tuple[str, str, str], DataFrame | str | Callable[[], DataFrame]] = {}
         self._state: dict[str, str] | None = None
         self._last_version = 0
 
@@ -78,13 +78,13 @@ class Registry:
     def control_path(self) -> str:
         return f"{self.root}/control"
 
-    def _next_version(self) -> int:
+    def next_version(self) -> int:
         self._last_version = max(time.time_ns(), self._last_version + 1)
         return self._last_version
 
     def append_control(self, entries: Iterable[tuple[str, str, str | None]]) -> None:
         """Append ``(key, op, value)`` rows, newest version last, in one file."""
-        rows = [(self._next_version(), k, op, v) for k, op, v in entries]
+        rows = [(self.next_version(), k, op, v) for k, op, v in entries]
         if not rows:
             return
         self.spark.createDataFrame(rows, CONTROL_SCHEMA).coalesce(1).write.mode(
@@ -96,6 +96,11 @@ class Registry:
             else:
                 state[k] = v
 
+    def import_control(self, log: DataFrame) -> None:
+        """Append a whole ``(version, key, op, value)`` history (a Spark write)."""
+        log.select(*CONTROL_SCHEMA.fieldNames()).write.mode("append").parquet(self.control_path)
+        self._state = None
+
     def set_state(self, key: str, value: str) -> None:
         self.append_control([(key, CONTROL_SET, value)])
 
@@ -120,9 +125,14 @@ class Registry:
         return self._state
 
     # ------------------------------------------------------------------ tables
-    def mount(self, side: str, ns: str, table: str, source: DataFrame | str) -> None:
+    def mount(self, side: str, ns: str, table: str,
+              source: DataFrame | str | Callable[[], DataFrame]) -> None:
+        """Bind a path, a DataFrame or a view builder (called on every read)."""
         self._mounts[(canon_side(side), map_namespace(ns), table)] = source
 
+    def unmount(self, side: str, ns: str, table: str) -> None:
+        self._mounts.pop((canon_side(side), map_namespace(ns), table), None)
+
     def table_dir(self, side: str, ns: str, table: str) -> str:
         return f"{self.root}/data/{side}/{ns}/{table}"
 
@@ -139,6 +149,8 @@ class Registry:
         src = self._mounts.get((side, ns, table))
         if isinstance(src, DataFrame):
             return src
+        if callable(src):
+            return src()
         return self.spark.read.parquet(src or self.table_dir(side, ns, table))
 
     def exists(self, side: str, ns: str, table: str) -> bool:
