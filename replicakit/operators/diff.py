@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replicakit.constants import DELETE, INSERT, UPDATE
+from replicakit.session import shared_dir
 
 # The changed-bucket list is broadcast; this bound keeps it under ~1 MB.
 MAX_BUCKETS = 1 << 16
@@ -98,7 +99,10 @@ def resync_diff(
     if not exact:
         if not 1 <= buckets <= MAX_BUCKETS:
             raise ValueError(f"buckets must be in 1..{MAX_BUCKETS}")
-        changed = changed_buckets(source, replica, keys, buckets)
+        # Materialised once (at most ``buckets`` rows) in the shared checkpoint
+        # folder, so both sides prune against one small, lineage-free table.
+        shared_dir(source.sparkSession)
+        changed = changed_buckets(source, replica, keys, buckets).checkpoint(eager=True)
         source = _prune(source, keys, buckets, changed)
         replica = _prune(replica, keys, buckets, changed)
 

@@ -118,7 +118,14 @@ class Registry:
     def state(self) -> dict[str, str]:
         """Folded control state (small: one row per key)."""
         if self._state is None:
-            rows = control_state(self.control_log()).collect()
+            try:
+                log = self.spark.read.schema(CONTROL_SCHEMA).parquet(self.control_path)
+            except AnalysisException as err:
+                if not is_path_not_found(err):
+                    raise
+                self._state = {}  # nothing written yet: no job to run
+                return self._state
+            rows = control_state(log).collect()
             self._state = {r["key"]: r["value"] for r in rows}
             if rows:
                 self._last_version = max(self._last_version, max(r["version"] for r in rows))
