@@ -73,7 +73,7 @@ def given_registry(spark: SparkSession, sf_dir: str) -> Registry:
     reg = Registry(spark, scratch_path(spark, "registry"))
     for t in fx.TABLES:
         reg.mount("A", "va", t, f"{sf_dir.rstrip('/')}/{t}.parquet")
-    reg.mount("B", "vb", "orders", fx.orders_b(spark, sf_dir))
+    reg.mount("B", "vb", "orders", lambda: fx.orders_b(spark, sf_dir))
     reg.mount("B", "vb", "lineitem", f"{sf_dir.rstrip('/')}/lineitem.parquet")
     return reg
 
