@@ -3,7 +3,8 @@
 ``initial_copy`` writes the first full copy at a start time; changes arrive
 as batches (see :mod:`replicakit.streaming.replicate`); ``readonly_view`` is
 the consistent replica at a frontier ``T``: base ∪ changes with ``ts <= T``,
-folded by :func:`replicakit.operators.fold.apply_changes`. ``compact`` folds
+merged by :func:`merge_changes` (the base is not shuffled when the folded
+changes are small). ``compact`` folds
 the batches into the next base so the read cost stays bounded.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 from replicakit.constants import DELETE
 from replicakit.operators.fold import apply_changes
+from replicakit.operators.sizing import DEFAULT_BROADCAST_ROWS, has_at_most
+from replicakit.session import shared_dir
 
 
 @dataclass(frozen=True)
@@ -68,17 +72,62 @@ def initial_copy(source: DataFrame, ts_col: str | None, as_of, path: str) -> Dat
     return source.sparkSession.read.parquet(path)
 
 
-def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None) -> DataFrame:
+def merge_changes(
+    base: DataFrame,
+    log: DataFrame,
+    spec: ChangeSpec,
+    keep_deletes: bool = False,
+    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+) -> DataFrame:
+    """Newest row per key of ``base`` ∪ ``log``, without shuffling ``base``
+    when the folded changes are small.
+
+    The log is folded first (one shuffle of the log only) and materialised in
+    the shared checkpoint folder. If it has at most ``max_broadcast_rows`` keys
+    (checked), it is broadcast: ``base`` left join the newest changes takes the
+    newer row per key, and changed keys absent from ``base`` are added; ``base``
+    is scanned, never shuffled. Otherwise both are folded together (one shuffle).
+    """
+    keys, cols = list(spec.keys), base.columns
+    log = log.select(*cols)
+    newest = apply_changes(log, keys, spec.order, spec.op_col, spec.delete_value,
+                           keep_deletes=True)
+    shared_dir(base.sparkSession)
+    newest = newest.checkpoint(eager=True)
+    if not has_at_most(newest, max_broadcast_rows):
+        return apply_changes(base.unionByName(log), keys, spec.order, spec.op_col,
+                             spec.delete_value, keep_deletes=keep_deletes)
+    n = F.broadcast(newest.select(*[F.col(c).alias(f"_n_{c}") for c in cols],
+                                  F.lit(True).alias("_hit")))
+    on = reduce(lambda a, b: a & b, [base[k].eqNullSafe(F.col(f"_n_{k}")) for k in keys])
+    joined = base.join(n, on, "left")
+    take_new = F.col("_hit").isNotNull() & (
+        F.struct(*[F.col(f"_n_{c}") for c in spec.order])
+        > F.struct(*[base[c] for c in spec.order]))
+    updated = joined.select(*[F.when(take_new, F.col(f"_n_{c}")).otherwise(base[c]).alias(c)
+                              for c in cols])
+    matched = base.select(*keys).join(n, on, "left_semi").select(
+        *[F.col(k).alias(f"_m_{k}") for k in keys])
+    on_m = reduce(lambda a, b: a & b, [newest[k].eqNullSafe(F.col(f"_m_{k}")) for k in keys])
+    added = newest.join(F.broadcast(matched), on_m, "left_anti")
+    out = updated.unionByName(added)
+    if not keep_deletes:
+        out = out.filter(~F.col(spec.op_col).eqNullSafe(F.lit(spec.delete_value)))
+    return out
+
+
+def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None,
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Consistent replica at frontier ``as_of`` (``None`` = everything).
 
     ``base`` must carry the order and op columns (tombstones kept). The
-    frontier filter is applied to the log before the union so it is pushed
-    to the Parquet scan of the change batches.
+    frontier filter is applied to the log first, so it reaches the Parquet scan
+    of the change batches; the merge is :func:`merge_changes`.
     """
     if as_of is not None:
         log = log.filter(F.col(spec.ts_col) <= _ts_lit(as_of))
-    merged = base.unionByName(log.select(*base.columns))
-    view = apply_changes(merged, spec.keys, spec.order, spec.op_col, spec.delete_value)
+    view = merge_changes(base, log, spec, keep_deletes=False,
+                         max_broadcast_rows=max_broadcast_rows)
     return view.select(*spec.data_columns(view)) if spec.meta else view
 
 
@@ -86,10 +135,7 @@ def compact(base: DataFrame, log: DataFrame, spec: ChangeSpec, path: str, as_of=
     """Fold ``log`` into ``base`` keeping tombstones; write it as the next base."""
     if as_of is not None:
         log = log.filter(F.col(spec.ts_col) <= _ts_lit(as_of))
-    merged = base.unionByName(log.select(*base.columns))
-    folded = apply_changes(merged, spec.keys, spec.order, spec.op_col, spec.delete_value,
-                           keep_deletes=True)
-    folded.write.mode("overwrite").parquet(path)
+    merge_changes(base, log, spec, keep_deletes=True).write.mode("overwrite").parquet(path)
     return base.sparkSession.read.parquet(path)
 
 

@@ -85,3 +85,16 @@ def test_replayed_batch_changes_nothing(spark):
     drain(replicate_stream(spark, stage, schema, out, ckpt, max_files_per_trigger=1))
     after = rows(read_batches(spark, out, schema))
     assert before == after
+
+
+def test_merge_broadcast_path_equals_full_fold(spark):
+    from replicakit.plans.replica import ChangeSpec, merge_changes
+
+    spec = ChangeSpec(keys=tuple(fx.CHANGE_KEYS), order=tuple(fx.CHANGE_ORDER), op_col="op")
+    base, log = fx.base_0(spark, SF_SMALL), fx.change_log(spark, SF_SMALL)
+    for keep in (False, True):
+        fast = merge_changes(base, log, spec, keep_deletes=keep)
+        full = merge_changes(base, log, spec, keep_deletes=keep, max_broadcast_rows=0)
+        plain = apply_changes(base.unionByName(log), fx.CHANGE_KEYS, fx.CHANGE_ORDER,
+                              keep_deletes=keep)
+        assert rows(fast) == rows(full) == rows(plain)

@@ -9,6 +9,8 @@ from replicakit import fixtures as fx
 from replicakit.operators.fold import apply_changes
 from replicakit.operators.inventory import is_in_mode
 from replicakit.plans.replica import ChangeSpec, readonly_view
+from replicakit.session import scratch_path
+from pyspark.sql import functions as F
 
 
 def plan(df) -> str:
@@ -21,8 +23,21 @@ def plan(df) -> str:
 def test_view_pushes_frontier_to_scan(spark):
     spec = ChangeSpec(keys=("user_id",), order=("ts", "event_id"), op_col="op")
     log = fx.change_log(spark, SF_SMALL)
-    p = plan(readonly_view(fx.base_0(spark, SF_SMALL), log, spec, "2024-01-22 00:00:00"))
-    assert "PushedFilters: [IsNotNull(ts), LessThanOrEqual(ts," in p
+    view = readonly_view(fx.base_0(spark, SF_SMALL), log, spec, "2024-01-22 00:00:00",
+                         max_broadcast_rows=0)
+    assert "PushedFilters: [IsNotNull(ts), LessThanOrEqual(ts," in plan(view)
+
+
+def test_view_does_not_shuffle_base_when_changes_are_small(spark):
+    spec = ChangeSpec(keys=("user_id",), order=("ts", "event_id"), op_col="op")
+    base = spark.read.parquet(f"{SF_SMALL}/events.parquet").select(
+        "user_id", "ts", "event_id", F.lit("upsert").alias("op"), "event_type", "value")
+    base = apply_changes(base, ["user_id"], ["ts", "event_id"], keep_deletes=True)
+    path = scratch_path(spark, "base")
+    base.write.parquet(path)
+    view = readonly_view(spark.read.parquet(path), fx.change_log(spark, SF_SMALL), spec)
+    p = plan(view)
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p
 
 
 def test_count_reads_no_columns(spark):
