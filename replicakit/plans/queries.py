@@ -430,13 +430,14 @@ def q_readonly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------ streaming
 @register("replicate_stream", APPLY_CHANGES_SQL)
 def q_replicate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four staged change files, one micro-batch each; the drained batches
-    folded equal the fold of the whole log."""
+    """Four staged change files, one micro-batch each, each batch folded per
+    key before it is stored; the drained batches folded equal the fold of the
+    whole log."""
     stage, _ = fx.stage_change_parts(spark, sf_dir)
     out = scratch_path(spark, "applied")
     schema = fx.change_log(spark, sf_dir).schema
     q = replicate_stream(spark, stage, schema, out, scratch_path(spark, "ckpt"),
-                         max_files_per_trigger=1)
+                         max_files_per_trigger=1, fold_spec=CHANGE_SPEC)
     drain(q)
     applied = read_batches(spark, out, schema)
     return apply_changes(applied, fx.CHANGE_KEYS, fx.CHANGE_ORDER)
@@ -517,7 +518,8 @@ FROM orders
 @register("cutover", CUTOVER_SQL)
 def q_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicate A->B, keep loading A (new orders, then status updates) while
-    the stream runs, then cut over: B's ``vb`` equals A."""
+    the stream runs, compact the replica once, then cut over: B's ``vb``
+    equals A."""
     reg = Registry(spark, scratch_path(spark, "registry"))
     create_sides(reg)
     orders = fx.orders_a(spark, sf_dir)
@@ -528,6 +530,7 @@ def q_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep.start()
     load(reg, "A", "orders", late, ORDER_KEYS)
     rep.run_stream(rep.info())
+    rep.compact()  # fold the applied batches into the next base mid-stream
     updates = orders.filter(F.col("o_orderkey") % 200 == 0).select(
         "o_orderkey", F.lit("X").alias("o_orderstatus"))
     load(reg, "A", "orders", updates, ORDER_KEYS)

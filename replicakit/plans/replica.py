@@ -139,10 +139,11 @@ def compact(base: DataFrame, log: DataFrame, spec: ChangeSpec, path: str, as_of=
     return base.sparkSession.read.parquet(path)
 
 
-def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema, after_batch: int | None = None) -> DataFrame:
     """All applied change batches under ``path`` (``batch=<id>`` folders).
 
-    An absent folder (no batch yet) reads as no rows.
+    ``after_batch`` keeps only later batches (partition pruning: earlier
+    folders are not listed into the scan). An absent folder reads as no rows.
     """
     try:
         df = spark.read.parquet(path)
@@ -150,4 +151,19 @@ def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
         if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return spark.createDataFrame([], schema)
         raise
-    return df.drop("batch") if "batch" in df.columns else df
+    if "batch" not in df.columns:
+        return df
+    if after_batch is not None:
+        df = df.filter(F.col("batch") > F.lit(after_batch))
+    return df.drop("batch")
+
+
+def last_batch(spark: SparkSession, path: str) -> int | None:
+    """Highest ``batch=<id>`` under ``path`` (a partition-column aggregate)."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    if "batch" not in df.columns:
+        return None
+    return df.agg(F.max("batch").alias("b")).first()["b"]

@@ -36,7 +36,15 @@ from replicakit.constants import (
 from replicakit.functions.text import canon_side
 from replicakit.operators.diff import apply_diff, diff_summary, resync_diff
 from replicakit.operators.upsert import upsert
-from replicakit.plans.replica import TABLE_META, ChangeSpec, read_batches, readonly_view, registry_spec
+from replicakit.plans.replica import (
+    TABLE_META,
+    ChangeSpec,
+    last_batch,
+    merge_changes,
+    read_batches,
+    readonly_view,
+    registry_spec,
+)
 from replicakit.plans.status import ready_gate, replication_status
 from replicakit.sources.registry import Registry, swap_default
 from replicakit.streaming.replicate import drain, replicate_stream
@@ -107,15 +115,16 @@ class ReplicaInfo:
     base_version: int
     run: int
     as_of: str
+    through_batch: int = -1  # applied batches up to this id are in the base
 
     def encode(self) -> str:
         return "|".join([self.source_side, self.source_ns, str(self.base_version),
-                         str(self.run), self.as_of])
+                         str(self.run), self.as_of, str(self.through_batch)])
 
     @classmethod
     def decode(cls, s: str) -> ReplicaInfo:
-        a, b, c, d, e = s.split("|")
-        return cls(a, b, int(c), int(d), e)
+        a, b, c, d, e, *f = s.split("|")
+        return cls(a, b, int(c), int(d), e, int(f[0]) if f else -1)
 
 
 def _info_key(side: str, ns: str, table: str) -> str:
@@ -171,9 +180,36 @@ class Replication:
     def base(self, info: ReplicaInfo) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/base/v={info.base_version}")
 
+    def applied_dir(self, info: ReplicaInfo) -> str:
+        return f"{self.root}/applied/run={info.run}"
+
     def applied(self, info: ReplicaInfo) -> DataFrame:
-        return read_batches(self.spark, f"{self.root}/applied/run={info.run}",
-                            change_schema(self._schema()))
+        """Applied batches not yet compacted into the base."""
+        return read_batches(self.spark, self.applied_dir(info), change_schema(self._schema()),
+                            after_batch=info.through_batch)
+
+    def compact(self) -> ReplicaInfo:
+        """Fold the applied batches into the next base (tombstones kept) and
+        move the batch watermark, so reads of the view stay bounded.
+
+        Safe while the stream runs: it only adds batches above the watermark.
+        """
+        info = self.info()
+        last = last_batch(self.spark, self.applied_dir(info))
+        if last is None or last <= info.through_batch:
+            return info
+        nv = self.reg.next_version()
+        merged = merge_changes(self.base(info), self._batches_upto(info, last), self.spec,
+                               keep_deletes=True)
+        merged.write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
+        new = ReplicaInfo(info.source_side, info.source_ns, nv, info.run, info.as_of, last)
+        self.reg.set_state(_info_key(self.target, self.target_ns, self.table), new.encode())
+        return new
+
+    def _batches_upto(self, info: ReplicaInfo, last: int) -> DataFrame:
+        df = self.spark.read.parquet(self.applied_dir(info))
+        return df.filter((F.col("batch") > info.through_batch) & (F.col("batch") <= last)).drop(
+            "batch")
 
     def view(self, as_of=None) -> DataFrame:
         """The read-only replica (O26) as of now or ``as_of``."""
@@ -197,7 +233,7 @@ class Replication:
             self.spark, src, change_schema(self._schema()),
             out=f"{self.root}/applied/run={info.run}",
             ckpt=f"{self.root}/ckpt/run={info.run}",
-            after=info.as_of, ts_col="_ts")
+            after=info.as_of, ts_col="_ts", fold_spec=self.spec)
         return drain(q, timeout_s)
 
     # --------------------------------------------------------------- gate

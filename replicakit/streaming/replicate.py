@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from replicakit.operators.fold import apply_changes
+
 
 def batch_path(out: str, batch_id: int) -> str:
     return f"{out.rstrip('/')}/batch={batch_id}"
@@ -29,12 +31,17 @@ def replicate_stream(
     after=None,
     ts_col: str | None = None,
     query_name: str | None = None,
+    fold_spec=None,
 ) -> StreamingQuery:
     """Start replicating change files from ``src_dir`` into ``out``.
 
     ``trigger`` is passed to ``DataStreamWriter.trigger`` (default
     ``availableNow``: drain what is there, then stop). ``after`` skips changes
-    at or before a time already covered by the initial copy.
+    at or before a time already covered by the initial copy. With
+    ``fold_spec`` (a :class:`replicakit.plans.replica.ChangeSpec`) each batch
+    is folded to its newest row per key, tombstones kept, before it is written:
+    a key changed many times in one batch is stored once. Folding is
+    deterministic, so a replayed batch still overwrites itself identically.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -44,6 +51,9 @@ def replicate_stream(
         changes = changes.filter(F.col(ts_col) > F.lit(after).cast("timestamp_ntz"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        if fold_spec is not None:
+            batch = apply_changes(batch, fold_spec.keys, fold_spec.order, fold_spec.op_col,
+                                  fold_spec.delete_value, keep_deletes=True)
         batch.write.mode("overwrite").parquet(batch_path(out, batch_id))
 
     writer = (changes.writeStream.foreachBatch(write_batch)

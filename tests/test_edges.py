@@ -187,3 +187,50 @@ def test_health_sources_directions():
     assert health_sources({"REPL_ATOB_ACTIVE": "1"})[1]["CB"] == ("vb-readonly", "vb")
     assert health_sources({"REPL_ATOB_ACTIVE": "0", "REPL_BTOA_ACTIVE": "yes"})[0] == "B->A"
     assert health_sources({"REPL_ATOB_ACTIVE": " 1"})[0] == "none"
+
+
+def test_scenario_dry_run_writes_nothing(spark):
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.operators.diff import diff_summary
+    from replicakit.plans.scenario import STEPS, run_scenario
+
+    reg = Registry(spark, scratch_path(spark, "dry"))
+    reg.mount("A", "va", "orders", fx.orders_a(spark, SF_SMALL))
+    reg.mount("B", "vb", "orders", fx.orders_b(spark, SF_SMALL))
+    out = run_scenario(spark, reg, "orders", ["o_orderkey"], [], dry_run=True).collect()
+    assert [r["step"] for r in out] == list(STEPS)
+    want = {r["action"]: r["n_rows"] for r in diff_summary(
+        resync_diff(fx.orders_a(spark, SF_SMALL), fx.orders_b(spark, SF_SMALL),
+                    ["o_orderkey"])).collect()}
+    assert out[8]["detail"] == (f"insert={want['insert']}, update={want['update']}, "
+                                f"delete={want['delete']}")
+    assert reg.state() == {}  # nothing was written
+
+
+def test_watch_counts_live_trigger_stops_at_match(spark):
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.streaming.watch import watch_counts
+
+    stage, _ = fx.stage_change_parts(spark, SF_SMALL)
+    n_a = fx.change_log(spark, SF_SMALL).count()
+    ticks = watch_counts(spark, stage, fx.change_log(spark, SF_SMALL).schema, n_a,
+                         out=scratch_path(spark, "ticks"), ckpt=scratch_path(spark, "ckpt"),
+                         every="1 second").collect()
+    assert [(r["tick"], r["n_b"], r["verdict"]) for r in ticks] == [(1, n_a, "match")]
+
+
+def test_guard_raises_on_other_failures(spark):
+    reg = Registry(spark, scratch_path(spark, "guard"))
+    bad = scratch_path(spark, "not-parquet")
+    spark.createDataFrame([("x",)], "value string").write.text(bad)
+    reg.mount("B", "vb-readonly", "t", bad)
+    reg.mount("B", "vb", "t", spark.createDataFrame([(1,)], "k int"))
+    reg.set_mode("B", "vb", "shared")
+    with pytest.raises(Exception) as err:
+        count_with_guard(spark, reg, "B", ["t"], "vb-readonly", "vb")
+    assert not isinstance(err.value, GuardRefused)
+    # The plain fallback takes any failure.
+    got = count_with_fallback(spark, reg, "B", ["t"], "vb-readonly", "vb").first()
+    assert (got["served_by"], got["n_rows"]) == ("vb", 1)

@@ -98,3 +98,27 @@ def test_merge_broadcast_path_equals_full_fold(spark):
         plain = apply_changes(base.unionByName(log), fx.CHANGE_KEYS, fx.CHANGE_ORDER,
                               keep_deletes=keep)
         assert rows(fast) == rows(full) == rows(plain)
+
+
+def test_compaction_keeps_the_view(spark):
+    from replicakit.plans.replication import Replication, load
+    from replicakit.plans.scenario import create_sides
+    from replicakit.sources.registry import Registry
+
+    reg = Registry(spark, scratch_path(spark, "reg"))
+    create_sides(reg)
+    orders = fx.orders_a(spark, SF_SMALL)
+    early = orders.filter(F.col("o_orderdate") < fx.ts_ntz("1998-01-01 00:00:00"))
+    load(reg, "A", "orders", early, KEYS)
+    rep = Replication(reg, "A", "B", "orders", KEYS)
+    rep.start()
+    load(reg, "A", "orders", orders.filter(F.col("o_orderdate") >= fx.ts_ntz("1998-01-01 00:00:00")),
+         KEYS)
+    load(reg, "A", "orders", early.select("o_orderkey", F.lit("Z").alias("o_orderstatus")), KEYS)
+    rep.run_stream(rep.info())
+    before = rows(rep.view())
+    info = rep.compact()
+    assert info.through_batch >= 0
+    assert rep.applied(info).count() == 0
+    assert rows(rep.view()) == before == rows(reg.read("A", "va", "orders").select(
+        *rep.view().columns))
