@@ -52,8 +52,8 @@ def replication_status(
         F.count_if(F.col("_applied")).alias("applied_rows"),
         F.max(F.when(~F.col("_applied"), F.col("_ts"))).alias("_src_max"),
     )
-    micros = (F.unix_micros(F.col("_src_max").cast("timestamp"))
-              - F.unix_micros(F.col("frontier_ts").cast("timestamp")))
+    # Zone-free difference of two timestamp_ntz values.
+    micros = F.timestamp_diff("MICROSECOND", F.col("frontier_ts"), F.col("_src_max"))
     if cut_over:
         status = F.lit(STATUS_READY)
     else:
