@@ -1,8 +1,9 @@
 """Key-level difference between a source and a replica, and applying it
 (O22, O23).
 
-``resync_diff`` joins both sides on the keys (one shuffle of each side, no
-skew because keys are unique per side). With ``exact=False`` it first compares
+``resync_diff`` groups both sides by key in one aggregation (one shuffle of
+each side; a key duplicated many times is combined map-side and never paired
+with itself). With ``exact=False`` it first compares
 a digest per key bucket on both sides — one scan each, aggregated partially so
 only ``buckets`` rows per side are shuffled — and runs the key join only on
 the rows of buckets whose digests differ. A digest collision could hide a
@@ -89,7 +90,11 @@ def resync_diff(
     """Per key the action that makes ``replica`` equal to ``source``.
 
     Output: the key columns, ``action`` (``insert``/``update``/``delete``) and
-    the source's value columns (null for deletes). Values compare null-safely.
+    the source's value columns (null for deletes). Values compare null-safely;
+    null keys form one key. A key duplicated in the replica is an ``update``,
+    so :func:`apply_diff` rewrites it as one row. The source is the authority
+    and should be unique by key (``check_unique``); of duplicated source rows
+    one is taken.
     """
     keys = list(keys)
     vals = _value_cols(source, keys)
@@ -106,25 +111,28 @@ def resync_diff(
         source = _prune(source, keys, buckets, changed)
         replica = _prune(replica, keys, buckets, changed)
 
-    s = source.select(*[F.col(c).alias(f"_s_{c}") for c in source.columns],
-                      F.lit(True).alias("_in_s"))
-    r = replica.select(*[F.col(c).alias(f"_r_{c}") for c in source.columns],
-                       F.lit(True).alias("_in_r"))
-    on = [F.col(f"_s_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    j = s.join(r, on, "full_outer")
-    same = _all_equal([(F.col(f"_s_{c}"), F.col(f"_r_{c}")) for c in vals])
+    # One shuffle of both sides, grouped by key: at most one output row per
+    # key whatever the duplicates, no pairs, and a hot key combines map-side.
+    side = F.col("_side")
+    tagged = (source.select(*keys, F.struct(*vals).alias("_v"), F.lit(1).alias("_side"))
+              .unionByName(replica.select(*keys, F.struct(*vals).alias("_v"),
+                                          F.lit(0).alias("_side"))))
+    g = tagged.groupBy(*keys).agg(
+        F.max_by("_v", F.when(side == 1, F.lit(1))).alias("_s"),
+        F.max_by("_v", F.when(side == 0, F.lit(1))).alias("_r"),
+        F.count_if(side == 1).alias("_n_s"),
+        F.count_if(side == 0).alias("_n_r"),
+    )
+    same = _all_equal([(F.col("_s")[c], F.col("_r")[c]) for c in vals])
     action = (
-        F.when(F.col("_in_r").isNull(), F.lit(INSERT))
-        .when(F.col("_in_s").isNull(), F.lit(DELETE))
-        .when(~same, F.lit(UPDATE))
+        F.when(F.col("_n_r") == 0, F.lit(INSERT))
+        .when(F.col("_n_s") == 0, F.lit(DELETE))
+        # Duplicated replica keys are rewritten whole.
+        .when((F.col("_n_r") > 1) | ~same, F.lit(UPDATE))
     )
     return (
-        j.select(
-            *[F.when(F.col("_in_s"), F.col(f"_s_{k}")).otherwise(F.col(f"_r_{k}")).alias(k)
-              for k in keys],
-            action.alias("action"),
-            *[F.col(f"_s_{c}").alias(c) for c in vals],
-        )
+        g.select(*keys, action.alias("action"),
+                 *[F.when(F.col("_n_s") > 0, F.col("_s")[c]).alias(c) for c in vals])
         .filter(F.col("action").isNotNull())
     )
 

@@ -234,3 +234,16 @@ def test_guard_raises_on_other_failures(spark):
     # The plain fallback takes any failure.
     got = count_with_fallback(spark, reg, "B", ["t"], "vb-readonly", "vb").first()
     assert (got["served_by"], got["n_rows"]) == ("vb", 1)
+
+
+def test_diff_repairs_duplicated_replica_keys(spark):
+    schema = "k bigint, v string"
+    src = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], schema)
+    rep = spark.createDataFrame([(1, "a"), (1, "a"), (2, "x"), (2, "b"), (4, "d"), (4, "d")],
+                                schema)
+    diff = resync_diff(src, rep, ["k"])
+    got = sorted((r["k"], r["action"]) for r in diff.collect())
+    assert got == [(1, "update"), (2, "update"), (3, "insert"), (4, "delete")]
+    fixed = apply_diff(rep, diff, ["k"])
+    assert sorted(map(tuple, fixed.collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert resync_diff(src, fixed, ["k"]).count() == 0
