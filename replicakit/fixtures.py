@@ -8,11 +8,10 @@ oracle uses for the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replicakit.operators.fold import apply_changes
-from replicakit.session import scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -95,21 +94,17 @@ CHANGE_PART_SQL = ("CASE WHEN ts < TIMESTAMP '2024-01-08 00:00:00' THEN 1 "
                    "WHEN ts < TIMESTAMP '2024-01-22 00:00:00' THEN 3 ELSE 4 END")
 
 
-def stage_change_parts(spark: SparkSession, sf_dir: str, stage_dir: str | None = None,
-                       files_per_part: int = 1) -> tuple[str, list[DataFrame]]:
-    """Write ``change_log_k`` one part after another into a fresh folder.
-
-    Returns the folder and the parts. File streams order files by
-    modification time, so parts are written strictly in order.
-    """
-    stage_dir = stage_dir or scratch_path(spark, "stage")
+def change_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """``change_log_k``: the change log cut at the part boundaries, in order."""
     log = change_log(spark, sf_dir).withColumn("_part", change_part(F.col("ts")))
-    parts = []
-    for i in range(1, len(PART_BOUNDARIES) + 2):
-        p = log.filter(F.col("_part") == i).drop("_part")
-        p.repartition(files_per_part).write.mode("append").parquet(stage_dir)
-        parts.append(p)
-    return stage_dir, parts
+    return [log.filter(F.col("_part") == i).drop("_part")
+            for i in range(1, len(PART_BOUNDARIES) + 2)]
+
+
+def stage(part: DataFrame, stage_dir: str) -> None:
+    """Append one part's change files to the staging folder (written by as
+    many tasks as the part has partitions)."""
+    part.write.mode("append").parquet(stage_dir)
 
 
 def base_0(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,17 +122,19 @@ SELECT user_id, ts, event_id, op, event_type, value FROM (
 
 # ------------------------------------------------------------------- polls
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events").withColumn("replica", F.col("user_id") % 5)
-    w = Window.partitionBy("replica").orderBy("ts", "event_id")
+    """Poll rows per replica, in ``(ts, event_id)`` order (the try order)."""
+    e = load(spark, sf_dir, "events")
     return e.select(
-        "replica",
-        F.rank().over(w).cast("bigint").alias("try_no"),
+        (F.col("user_id") % 5).alias("replica"),
+        "ts", "event_id",
         F.when(F.col("event_type") == "view", F.lit("state replicating"))
         .otherwise(F.lit("state initializing")).alias("status_text"),
         F.when(F.col("value") > 50, F.lit("ready")).otherwise(F.lit("add")).alias("data_state_text"),
     )
 
 
+POLL_ORDER = ("ts", "event_id")
+
 POLLS_SQL = """
 SELECT user_id % 5 AS replica,
        CAST(rank() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS BIGINT) AS try_no,

@@ -430,15 +430,15 @@ def q_readonly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------ streaming
 @register("replicate_stream", APPLY_CHANGES_SQL)
 def q_replicate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four staged change files, one micro-batch each, each batch folded per
-    key before it is stored; the drained batches folded equal the fold of the
-    whole log."""
-    stage, _ = fx.stage_change_parts(spark, sf_dir)
-    out = scratch_path(spark, "applied")
+    """The change log arrives in four parts; after each part lands, the stream
+    drains it as a micro-batch (each batch folded per key before it is stored).
+    The drained batches folded equal the fold of the whole log."""
+    stage, out = scratch_path(spark, "stage"), scratch_path(spark, "applied")
+    ckpt = scratch_path(spark, "ckpt")
     schema = fx.change_log(spark, sf_dir).schema
-    q = replicate_stream(spark, stage, schema, out, scratch_path(spark, "ckpt"),
-                         max_files_per_trigger=1, fold_spec=CHANGE_SPEC)
-    drain(q)
+    for part in fx.change_parts(spark, sf_dir):
+        fx.stage(part, stage)
+        drain(replicate_stream(spark, stage, schema, out, ckpt, fold_spec=CHANGE_SPEC))
     applied = read_batches(spark, out, schema)
     return apply_changes(applied, fx.CHANGE_KEYS, fx.CHANGE_ORDER)
 
@@ -452,12 +452,17 @@ SELECT CAST(tick AS BIGINT) AS tick, a.n_a, n_b,
 FROM cum JOIN a ON true
 """)
 def q_watch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side A: the whole change log; side B: its four parts arriving."""
-    stage, _ = fx.stage_change_parts(spark, sf_dir)
+    """Side A: the whole change log; side B: its four parts arriving, one tick
+    per arrival."""
+    stage, out, ckpt = (scratch_path(spark, "stage"), scratch_path(spark, "ticks"),
+                        scratch_path(spark, "ckpt"))
+    schema = fx.change_log(spark, sf_dir).schema
     n_a = count_rows(fx.change_log(spark, sf_dir)).first()["n_rows"]
-    return watch_counts(spark, stage, fx.change_log(spark, sf_dir).schema, n_a,
-                        out=scratch_path(spark, "ticks"), ckpt=scratch_path(spark, "ckpt"),
-                        available_now=True, max_files_per_trigger=1)
+    ticks = None
+    for part in fx.change_parts(spark, sf_dir):
+        fx.stage(part, stage)
+        ticks = watch_counts(spark, stage, schema, n_a, out=out, ckpt=ckpt, available_now=True)
+    return ticks
 
 
 # ------------------------------------------------------ status
@@ -494,7 +499,9 @@ FROM (
   FROM polls GROUP BY replica)
 """, polls=fx.POLLS_SQL))
 def q_ready_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ready_gate(fx.polls(spark, sf_dir), max_tries=READY_GATE_MAX_TRIES)
+    """Polls in ``(ts, event_id)`` order per replica; try numbers by position."""
+    return ready_gate(fx.polls(spark, sf_dir), max_tries=READY_GATE_MAX_TRIES,
+                      order=fx.POLL_ORDER)
 
 
 # ------------------------------------------------ flows

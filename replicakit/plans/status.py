@@ -20,6 +20,7 @@ from replicakit.constants import (
 )
 from replicakit.functions.text import first_token, is_true_value
 from replicakit.operators.counts import compare_counts, count_with_fallback
+from replicakit.operators.sizing import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 from replicakit.sources.registry import Registry, resolve_default
 
 STATUS_INITIALIZING, STATUS_REPLICATING, STATUS_READY = "initializing", "replicating", "ready"
@@ -79,25 +80,57 @@ def ready_gate(
     state_vocab: Sequence[str] = START_STATE_VOCAB,
     status_word: str | None = "replicating",
     state_word: str | None = "ready",
+    order: Sequence[str] | None = None,
+    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``(replica, verdict, tries)`` over poll rows
-    ``(replica, try_no, status_text, data_state_text)`` (O33).
-
-    A try passes when the first status word is ``status_word`` AND the first
-    data-state word is ``state_word`` (either may be ``None`` to ignore it —
-    the failover gate waits for ``ready`` alone). ``verdict`` is ``ready`` at
-    the first passing try within ``max_tries``, else ``timeout``; ``tries`` is
-    that try, or the tries made. One grouped aggregate, partial per task.
+    """``(replica, verdict, tries)`` over poll rows.
+
+    Polls are ``(replica, try_no, status_text, data_state_text)``, or, with
+    ``order``, poll rows ordered by those columns within each replica (the try
+    number is the position in that order). A try passes when the first status
+    word is ``status_word`` AND the first data-state word is ``state_word``
+    (either may be ``None`` to ignore it: the failover gate waits for
+    ``ready`` alone). ``verdict`` is ``ready`` at the first passing try within
+    ``max_tries``, else ``timeout``; ``tries`` is that try, or the tries made.
+
+    Only grouped aggregates, each combined map-side: a replica with a third of
+    all polls never lands in one task.
     """
-    ok = F.col("try_no") <= F.lit(max_tries)
+    ok = F.lit(True)
     if status_word is not None:
         ok = ok & (first_token("status_text", status_vocab) == F.lit(status_word))
     if state_word is not None:
         ok = ok & (first_token("data_state_text", state_vocab) == F.lit(state_word))
-    g = polls.groupBy("replica").agg(
-        F.min(F.when(ok, F.col("try_no"))).alias("_first"),
-        F.max(F.when(F.col("try_no") <= F.lit(max_tries), F.col("try_no"))).alias("_seen"),
+    if order is None:
+        within = F.col("try_no") <= F.lit(max_tries)
+        g = polls.groupBy("replica").agg(
+            F.min(F.when(ok & within, F.col("try_no"))).alias("_first"),
+            F.max(F.when(within, F.col("try_no"))).alias("_seen"),
+        )
+        return _gate_verdict(g)
+
+    # Position of the first passing poll = 1 + polls before it (two aggregates).
+    pos = F.struct(*[F.col(c) for c in order])
+    firsts = polls.groupBy("replica").agg(
+        F.min(F.when(ok, pos)).alias("_first_pos"),
+        F.count(F.lit(1)).alias("_n"),
     )
+    firsts = broadcast_if_small(firsts, max_broadcast_rows)
+    before = polls.join(firsts, "replica").groupBy("replica").agg(
+        F.count_if(pos < F.col("_first_pos")).alias("_before"),
+        F.max(F.col("_first_pos").isNotNull()).alias("_any"),
+        F.max("_n").alias("_n"),
+    )
+    first_try = F.col("_before") + 1
+    g = before.select(
+        "replica",
+        F.when(F.col("_any") & (first_try <= max_tries), first_try).alias("_first"),
+        F.least(F.col("_n"), F.lit(max_tries)).alias("_seen"),
+    )
+    return _gate_verdict(g)
+
+
+def _gate_verdict(g: DataFrame) -> DataFrame:
     return g.select(
         "replica",
         F.when(F.col("_first").isNotNull(), F.lit("ready")).otherwise(F.lit("timeout"))

@@ -35,8 +35,9 @@ def watch_counts(
     match or ``max_ticks``.
 
     ``n_a`` is side A's count at one ``as_of`` (see O15/O26). Live use
-    triggers every ``every``; ``available_now=True`` (tests, replays) drains
-    the files present, ``max_files_per_trigger`` files per tick.
+    triggers every ``every``; ``available_now=True`` drains the files present
+    as one tick (``max_files_per_trigger`` splits them into several) and can be
+    called again as files arrive: state and ticks live in ``ckpt`` and ``out``.
     """
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -44,9 +45,14 @@ def watch_counts(
     counts = reader.parquet(src_dir).groupBy().agg(F.count(F.lit(1)).alias("n_b"))
     matched: list[int] = []
 
+    def matched_before() -> bool:
+        earlier = read_batches(spark, out, TICK_SCHEMA)
+        return "verdict" in earlier.columns and earlier.filter(
+            F.col("verdict") == MATCH).limit(1).count() > 0
+
     def on_tick(batch: DataFrame, batch_id: int) -> None:
         tick = batch_id + 1
-        if tick > max_ticks or matched:
+        if tick > max_ticks or matched or matched_before():
             return
         # The tick number is the folder's partition value, not a data column.
         row = batch.select(

@@ -181,6 +181,13 @@ def test_ready_gate_both_verdicts_and_failover_form(spark):
     ready_only = ready_gate(polls, 3, status_word=None)
     got = {r["replica"]: r["verdict"] for r in ready_only.collect()}
     assert got == {0: "ready", 1: "ready"}
+    # The same polls given by order instead of try numbers.
+    by_order = polls.withColumnRenamed("try_no", "at")
+    for n in (1, 2, 3):
+        want = {r["replica"]: (r["verdict"], r["tries"]) for r in ready_gate(polls, n).collect()}
+        got = {r["replica"]: (r["verdict"], r["tries"])
+               for r in ready_gate(by_order, n, order=["at"]).collect()}
+        assert got == want, n
 
 
 def test_health_sources_directions():
@@ -213,7 +220,9 @@ def test_watch_counts_live_trigger_stops_at_match(spark):
     from replicakit import fixtures as fx
     from replicakit.streaming.watch import watch_counts
 
-    stage, _ = fx.stage_change_parts(spark, SF_SMALL)
+    stage = scratch_path(spark, "stage")
+    for part in fx.change_parts(spark, SF_SMALL):
+        fx.stage(part, stage)
     n_a = fx.change_log(spark, SF_SMALL).count()
     ticks = watch_counts(spark, stage, fx.change_log(spark, SF_SMALL).schema, n_a,
                          out=scratch_path(spark, "ticks"), ckpt=scratch_path(spark, "ckpt"),

@@ -59,11 +59,18 @@ def test_upsert_large_path_equals_broadcast_path(spark):
     assert rows(small) == rows(large.select(*small.columns))
 
 
-def test_stream_drained_equals_batch(spark):
-    stage, _ = fx.stage_change_parts(spark, SF_SMALL)
+def staged_stream(spark, out, ckpt, **kw):
+    stage = scratch_path(spark, "stage")
     schema = fx.change_log(spark, SF_SMALL).schema
+    for part in fx.change_parts(spark, SF_SMALL):
+        fx.stage(part, stage)
+        drain(replicate_stream(spark, stage, schema, out, ckpt, **kw))
+    return stage, schema
+
+
+def test_stream_drained_equals_batch(spark):
     out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
-    drain(replicate_stream(spark, stage, schema, out, ckpt, max_files_per_trigger=1))
+    stage, schema = staged_stream(spark, out, ckpt)
     applied = read_batches(spark, out, schema)
     assert applied.count() == fx.change_log(spark, SF_SMALL).count()
     got = apply_changes(applied, fx.CHANGE_KEYS, fx.CHANGE_ORDER)
@@ -72,17 +79,15 @@ def test_stream_drained_equals_batch(spark):
 
 
 def test_replayed_batch_changes_nothing(spark):
-    stage, _ = fx.stage_change_parts(spark, SF_SMALL)
-    schema = fx.change_log(spark, SF_SMALL).schema
     out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
-    drain(replicate_stream(spark, stage, schema, out, ckpt, max_files_per_trigger=1))
+    stage, schema = staged_stream(spark, out, ckpt)
     before = rows(read_batches(spark, out, schema))
     # Replay: batch 2 written again under the same id (as after a lost executor).
     tmp = scratch_path(spark, "replay")
     spark.read.parquet(batch_path(out, 2)).write.parquet(tmp)
     spark.read.parquet(tmp).write.mode("overwrite").parquet(batch_path(out, 2))
     # A restart from the same checkpoint finds nothing new.
-    drain(replicate_stream(spark, stage, schema, out, ckpt, max_files_per_trigger=1))
+    drain(replicate_stream(spark, stage, schema, out, ckpt))
     after = rows(read_batches(spark, out, schema))
     assert before == after
 
