@@ -142,13 +142,19 @@ def diff_summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy("action").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def apply_diff(replica: DataFrame, diff: DataFrame, keys: Sequence[str]) -> DataFrame:
+def apply_diff(replica: DataFrame, diff: DataFrame, keys: Sequence[str],
+               materialize: bool = True) -> DataFrame:
     """Replica with every touched key removed, plus inserted and updated rows.
 
-    Afterwards ``resync_diff(source, result)`` is empty. The anti join is
-    planned by AQE: a small diff is broadcast at run time, a large one shuffles.
+    Afterwards ``resync_diff(source, result)`` is empty. The diff is read
+    twice (touched keys, new rows), so unless it is already materialised it is
+    checkpointed once in the shared folder. The anti join is planned by AQE:
+    a small diff is broadcast at run time, a large one shuffles.
     """
     keys = list(keys)
+    if materialize:
+        shared_dir(diff.sparkSession)
+        diff = diff.checkpoint(eager=True)
     touched = diff.select(*[F.col(k).alias(f"_t_{k}") for k in keys])
     on = [replica[k].eqNullSafe(F.col(f"_t_{k}")) for k in keys]
     kept = replica.join(touched, on, "left_anti")

@@ -48,7 +48,7 @@ from replicakit.sources.registry import (
     swap_default,
     table_inventory,
 )
-from replicakit.streaming.replicate import drain, replicate_stream
+from replicakit.streaming.replicate import replicate_stream
 from replicakit.streaming.watch import watch_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,15 +430,24 @@ def q_readonly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------ streaming
 @register("replicate_stream", APPLY_CHANGES_SQL)
 def q_replicate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log arrives in four parts; after each part lands, the stream
-    drains it as a micro-batch (each batch folded per key before it is stored).
+    """The change log arrives in four parts; a running stream applies each
+    arrival as micro-batches (each batch folded per key before it is stored).
     The drained batches folded equal the fold of the whole log."""
     stage, out = scratch_path(spark, "stage"), scratch_path(spark, "applied")
     ckpt = scratch_path(spark, "ckpt")
     schema = fx.change_log(spark, sf_dir).schema
-    for part in fx.change_parts(spark, sf_dir):
-        fx.stage(part, stage)
-        drain(replicate_stream(spark, stage, schema, out, ckpt, fold_spec=CHANGE_SPEC))
+    query = None
+    try:
+        for part in fx.change_parts(spark, sf_dir):
+            fx.stage(part, stage)
+            if query is None:  # a running stream that picks up each arrival
+                query = replicate_stream(spark, stage, schema, out, ckpt,
+                                         trigger={"processingTime": "100 milliseconds"},
+                                         fold_spec=CHANGE_SPEC)
+            query.processAllAvailable()
+    finally:
+        if query is not None:
+            query.stop()
     applied = read_batches(spark, out, schema)
     return apply_changes(applied, fx.CHANGE_KEYS, fx.CHANGE_ORDER)
 

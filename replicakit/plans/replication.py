@@ -352,7 +352,7 @@ class Replication:
         diff_path = f"{self.root}/diff/v={nv}"
         diff.write.mode("overwrite").parquet(diff_path)
         diff = self.spark.read.parquet(diff_path)
-        with_meta(apply_diff(current, diff, self.keys), as_of, 0).write.mode("overwrite").parquet(
+        with_meta(apply_diff(current, diff, self.keys, materialize=False), as_of, 0).write.mode("overwrite").parquet(
             f"{self.root}/base/v={nv}")
         return self._activate(info, max_tries, "restart", set_pointers=True)
 
