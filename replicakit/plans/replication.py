@@ -31,6 +31,7 @@ from replicakit.constants import (
     REPL_BTOA_ACTIVE,
     SIDE_A,
     SIDE_B,
+    DELETE,
     UPSERT,
 )
 from replicakit.functions.text import canon_side
@@ -108,6 +109,24 @@ def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[s
     return v
 
 
+def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequence[str],
+           ns: str | None = None) -> int:
+    """Delete the keys in ``key_rows`` from the side's default-routed namespace
+    (or ``ns``) and record delete changes for replication. Returns the new
+    version. The anti join is planned by AQE (small key sets are broadcast)."""
+    from replicakit.sources.registry import resolve_default
+
+    side = canon_side(side)
+    ns = ns or resolve_default(reg, side)
+    current = reg.read(side, ns, table)
+    gone = key_rows.select(*keys).distinct()
+    ts, seq = _now(), reg.next_version()
+    # Delete changes carry the old row (whole columns), marked as deletes.
+    old = current.join(gone, list(keys), "left_semi")
+    with_meta(old, ts, seq, DELETE).write.mode("append").parquet(changes_dir(reg, side, ns, table))
+    return reg.write_version(side, ns, table, current.join(gone, list(keys), "left_anti"))
+
+
 @dataclass
 class ReplicaInfo:
     source_side: str

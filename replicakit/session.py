@@ -51,17 +51,24 @@ def build_session(
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a private one only if unset."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
+        sc = None
+    base = sc.getCheckpointDir() if sc is not None else None
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if base:
+        if base and sc is not None:
             sc.setCheckpointDir(base)
             base = sc.getCheckpointDir()
     if not base:
         # No shared folder configured: this is a local run (tests, bench).
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="replicakit-ckpt-"))
-        base = sc.getCheckpointDir()
+        base = tempfile.mkdtemp(prefix="replicakit-ckpt-")
+        if sc is not None:
+            sc.setCheckpointDir(base)
+            base = sc.getCheckpointDir()
+        else:
+            spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
