@@ -15,11 +15,20 @@ def con():
     return duck(SF_ORACLE)
 
 
+# Spark type -> DuckDB type of the same column.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_ORACLE)
     got = digest([tuple(r) for r in df.collect()], df.columns)
     sql = entry.oracle_sql()[name]
+    rel = con.sql(sql)
+    types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields} == types
     res = con.execute(sql)
     want = digest(res.fetchall(), [d[0] for d in res.description])
     assert got == want
