@@ -48,6 +48,7 @@ from replicakit.plans.replica import (
 )
 from replicakit.plans.status import ready_gate, replication_status
 from replicakit.sources.registry import Registry, swap_default
+from replicakit.sources.tables import read_table
 from replicakit.streaming.replicate import drain, replicate_stream
 
 META_FIELDS = [
@@ -197,7 +198,7 @@ class Replication:
         return self.reg.read(self.source, self.source_ns, self.table).schema
 
     def base(self, info: ReplicaInfo) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/base/v={info.base_version}")
+        return read_table(self.spark, f"{self.root}/base/v={info.base_version}")
 
     def applied_dir(self, info: ReplicaInfo) -> str:
         return f"{self.root}/applied/run={info.run}"

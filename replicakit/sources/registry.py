@@ -28,6 +28,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from replicakit.constants import MAIN_NAMESPACE
 from replicakit.functions.text import canon_side, map_namespace
 from replicakit.operators.fold import CONTROL_DEL, CONTROL_SET, control_state
+from replicakit.sources.tables import read_table
 
 CONTROL_SCHEMA = StructType([
     StructField("version", LongType(), False),
@@ -151,14 +152,16 @@ class Registry:
         """Current data of a table; ``PATH_NOT_FOUND`` if it does not exist."""
         side, ns = canon_side(side), map_namespace(ns)
         v = self.current_version(side, ns, table)
-        if v is not None:
-            return self.spark.read.parquet(f"{self.table_dir(side, ns, table)}/v={v}")
+        if v is not None:  # a written version never changes
+            return read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
         src = self._mounts.get((side, ns, table))
         if isinstance(src, DataFrame):
             return src
         if callable(src):
             return src()
-        return self.spark.read.parquet(src or self.table_dir(side, ns, table))
+        if src:
+            return read_table(self.spark, src)
+        return self.spark.read.parquet(self.table_dir(side, ns, table))
 
     def exists(self, side: str, ns: str, table: str) -> bool:
         side, ns = canon_side(side), map_namespace(ns)
