@@ -256,3 +256,39 @@ def test_diff_repairs_duplicated_replica_keys(spark):
     fixed = apply_diff(rep, diff, ["k"])
     assert sorted(map(tuple, fixed.collect())) == [(1, "a"), (2, "b"), (3, "c")]
     assert resync_diff(src, fixed, ["k"]).count() == 0
+
+
+def test_cutover_timeout_both_ways(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.plans.replication import Replication, ReplicationTimeout, load
+    from replicakit.plans.scenario import create_sides
+
+    reg = Registry(spark, scratch_path(spark, "cut"))
+    create_sides(reg)
+    orders = fx.orders_a(spark, SF_SMALL)
+    load(reg, "A", "orders", orders.filter(F.col("o_orderstatus") != "P"), ["o_orderkey"])
+    rep = Replication(reg, "A", "B", "orders", ["o_orderkey"])
+    rep.start()
+    load(reg, "A", "orders", orders, ["o_orderkey"])
+    with pytest.raises(ReplicationTimeout):
+        rep.cutover(timeout_s=0.001)
+    assert resolve_default(reg, "B") == "vb-readonly"  # nothing switched
+    rep.cutover(timeout_s=0.001, on_timeout="continue")  # the reference tool's way
+    assert resolve_default(reg, "B") == "vb"
+    assert reg.read("B", "vb", "orders").count() <= orders.count()
+
+
+def test_scenario_stops_at_failing_step(spark):
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.plans.scenario import run_scenario
+
+    orders = fx.orders_a(spark, SF_SMALL)
+    bad = orders.withColumnRenamed("o_custkey", "no_such_column")
+    reg = Registry(spark, scratch_path(spark, "fail"))
+    out = run_scenario(spark, reg, "orders", ["o_orderkey"], [orders, bad, orders]).collect()
+    assert [r["ok"] for r in out] == [True, True, True, False]
+    assert out[-1]["step"] == "load B" and out[-1]["detail"].startswith("failed at step: load B")
