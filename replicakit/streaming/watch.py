@@ -9,6 +9,8 @@ at the first match or after ``max_ticks``.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +21,13 @@ from replicakit.plans.replica import read_batches
 TICK_SCHEMA = "tick bigint, n_a bigint, n_b bigint, verdict string"
 
 
+def _seconds(interval: str) -> float:
+    """``'5 seconds'`` / ``'1 second'`` / ``'500 milliseconds'`` in seconds."""
+    n, unit = interval.split()
+    return float(n) / 1000.0 if unit.startswith("milli") else float(n) * (
+        60.0 if unit.startswith("minute") else 1.0)
+
+
 def watch_counts(
     spark: SparkSession,
     src_dir: str,
@@ -32,7 +41,8 @@ def watch_counts(
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Run the watch and return ``(tick, n_a, n_b, verdict)`` up to the first
-    match or ``max_ticks``.
+    match or ``max_ticks`` (live: also at most ``max_ticks`` intervals of
+    wall time, since a tick is a micro-batch and none runs without new files).
 
     ``n_a`` is side A's count at one ``as_of`` (see O15/O26). Live use
     triggers every ``every``; ``available_now=True`` drains the files present
@@ -73,8 +83,12 @@ def watch_counts(
         if available_now:
             q.awaitTermination()
         else:
-            while q.isActive and not matched and (q.lastProgress or {}).get("batchId", -1) + 1 < max_ticks:
-                q.awaitTermination(1)
+            # A tick is a micro-batch; with no new files none runs, so the
+            # watch is also bounded by max_ticks intervals of wall time.
+            deadline = time.monotonic() + max_ticks * _seconds(every)
+            while (q.isActive and not matched and time.monotonic() < deadline
+                   and (q.lastProgress or {}).get("batchId", -1) + 1 < max_ticks):
+                q.awaitTermination(0.5)
     finally:
         if q.isActive:
             q.stop()

@@ -292,3 +292,21 @@ def test_scenario_stops_at_failing_step(spark):
     out = run_scenario(spark, reg, "orders", ["o_orderkey"], [orders, bad, orders]).collect()
     assert [r["ok"] for r in out] == [True, True, True, False]
     assert out[-1]["step"] == "load B" and out[-1]["detail"].startswith("failed at step: load B")
+
+
+def test_watch_counts_live_ends_without_new_data(spark):
+    import time
+
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.streaming.watch import watch_counts
+
+    stage = scratch_path(spark, "stage")
+    parts = fx.change_parts(spark, SF_SMALL)
+    fx.stage(parts[0], stage)
+    t0 = time.monotonic()
+    ticks = watch_counts(spark, stage, fx.change_log(spark, SF_SMALL).schema, 10**9,
+                         out=scratch_path(spark, "ticks"), ckpt=scratch_path(spark, "ckpt"),
+                         max_ticks=3, every="1 second").collect()
+    assert time.monotonic() - t0 < 30
+    assert [r["verdict"] for r in ticks] == ["mismatch"]
