@@ -73,6 +73,23 @@ def replication_status(
     )
 
 
+STREAM_STATUS_SCHEMA = ("replica string, direction string, status string, batch_id bigint, "
+                        "input_rows bigint, progress_ts string")
+
+
+def stream_status(spark: SparkSession, query, replica: str, direction: str) -> DataFrame:
+    """O28's live form, from a running query's last progress (driver metrics,
+    one row): ``initializing`` before its first batch, ``replicating`` while it
+    runs, ``stopped`` after it ends."""
+    p = query.lastProgress or {}
+    if query.isActive:
+        status = STATUS_REPLICATING if p else STATUS_INITIALIZING
+    else:
+        status = "stopped"
+    row = (replica, direction, status, p.get("batchId"), p.get("numInputRows"), p.get("timestamp"))
+    return spark.createDataFrame([row], STREAM_STATUS_SCHEMA)
+
+
 def ready_gate(
     polls: DataFrame,
     max_tries: int = MAX_ITERS,

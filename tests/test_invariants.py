@@ -150,3 +150,20 @@ def test_deletes_replicate_through_the_stream(spark):
     assert rows(rep.view().select(*orders.columns)) == want
     rep.cutover()
     assert rows(reg.read("B", "vb", "orders").select(*orders.columns)) == want
+
+
+def test_stream_status_from_progress(spark):
+    from replicakit.plans.status import stream_status
+
+    stage, out, ckpt = (scratch_path(spark, "stage"), scratch_path(spark, "out"),
+                        scratch_path(spark, "ckpt"))
+    schema = fx.change_log(spark, SF_SMALL).schema
+    fx.stage(fx.change_parts(spark, SF_SMALL)[0], stage)
+    q = replicate_stream(spark, stage, schema, out, ckpt, trigger={"processingTime": "200 milliseconds"})
+    try:
+        q.processAllAvailable()
+        row = stream_status(spark, q, "vb", "CA->CB").first()
+        assert row["status"] == "replicating" and row["batch_id"] >= 0
+    finally:
+        q.stop()
+    assert stream_status(spark, q, "vb", "CA->CB").first()["status"] == "stopped"
