@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from replicakit.operators.sizing import DEFAULT_BROADCAST_ROWS, has_at_most
+from replicakit.operators.sizing import (
+    DEFAULT_BROADCAST_BYTES,
+    DEFAULT_BROADCAST_ROWS,
+    has_at_most,
+)
 
 
 def _as_col(v: Any) -> Column:
@@ -66,6 +70,7 @@ def upsert(
     keys: Sequence[str],
     defaults: Mapping[str, Any] | None = None,
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
 ) -> DataFrame:
     """Insert or replace ``rows`` into ``base`` by ``keys`` (keys unique in rows).
 
@@ -73,7 +78,7 @@ def upsert(
     given keep their value on update and take the default on insert. Applying
     the same rows twice gives the same table.
 
-    Small ``rows`` (checked): ``base`` left join ``broadcast(rows)`` with a
+    Small ``rows`` (rows and bytes checked): ``base`` left join ``broadcast(rows)`` with a
     match flag, so ``base`` is never shuffled; inserts are ``rows`` minus the
     matched keys, which are at most ``len(rows)`` and broadcast as well.
     Large ``rows``: one full outer join.
@@ -88,7 +93,7 @@ def upsert(
     on = _key_match(base, "_n_", keys)
     schema = base.schema
 
-    if has_at_most(rows, max_broadcast_rows):
+    if has_at_most(rows, max_broadcast_rows, max_broadcast_bytes):
         joined = base.join(F.broadcast(new), on, "left")
         updated = joined.select(*[
             (F.when(F.col("_m").isNotNull(), F.col(f"_n_{c}")).otherwise(base[c]) if c in given

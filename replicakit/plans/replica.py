@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from replicakit.constants import DELETE
 from replicakit.operators.fold import apply_changes
-from replicakit.operators.sizing import DEFAULT_BROADCAST_ROWS, has_at_most
+from replicakit.operators.sizing import (
+    DEFAULT_BROADCAST_BYTES,
+    DEFAULT_BROADCAST_ROWS,
+    has_at_most,
+)
 from replicakit.session import shared_dir
 
 
@@ -78,13 +82,14 @@ def merge_changes(
     spec: ChangeSpec,
     keep_deletes: bool = False,
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
 ) -> DataFrame:
     """Newest row per key of ``base`` ∪ ``log``, without shuffling ``base``
     when the folded changes are small.
 
     The log is folded first (one shuffle of the log only) and materialised in
     the shared checkpoint folder. If it has at most ``max_broadcast_rows`` keys
-    (checked), it is broadcast: ``base`` left join the newest changes takes the
+    and ``max_broadcast_bytes`` (both checked), it is broadcast: ``base`` left join the newest changes takes the
     newer row per key, and changed keys absent from ``base`` are added; ``base``
     is scanned, never shuffled. Otherwise both are folded together (one shuffle).
     """
@@ -94,7 +99,7 @@ def merge_changes(
                            keep_deletes=True)
     shared_dir(base.sparkSession)
     newest = newest.checkpoint(eager=True)
-    if not has_at_most(newest, max_broadcast_rows):
+    if not has_at_most(newest, max_broadcast_rows, max_broadcast_bytes):
         return apply_changes(base.unionByName(log), keys, spec.order, spec.op_col,
                              spec.delete_value, keep_deletes=keep_deletes)
     n = F.broadcast(newest.select(*[F.col(c).alias(f"_n_{c}") for c in cols],

@@ -310,3 +310,12 @@ def test_watch_counts_live_ends_without_new_data(spark):
                          max_ticks=3, every="1 second").collect()
     assert time.monotonic() - t0 < 30
     assert [r["verdict"] for r in ticks] == ["mismatch"]
+
+
+def test_broadcast_check_bounds_rows_and_bytes(spark):
+    from replicakit.operators.sizing import has_at_most
+
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k bigint, s string")
+    assert has_at_most(df, 50) and not has_at_most(df, 49)
+    assert has_at_most(df, 50, max_bytes=50 * 108)
+    assert not has_at_most(df, 50, max_bytes=50 * 108 - 1)
