@@ -327,7 +327,8 @@ class Replication:
 
         Drains every change present (``availableNow``) within ``timeout_s``;
         on timeout ``on_timeout='fail'`` raises, ``'continue'`` goes on as the
-        reference tool does. ``to`` is ``'latest'`` or a point in time. The
+        reference tool does. ``to`` is ``'latest'`` or a point in time no
+        earlier than the replica base (its start, or its last compaction). The
         view at that point is written as the target namespace's new version.
         """
         info = self.info()
@@ -337,6 +338,13 @@ class Replication:
         if not done and on_timeout == "fail":
             raise ReplicationTimeout("replication did not complete in time")
         as_of = None if to == "latest" else to
+        if as_of is not None:
+            # The base already holds everything up to its newest change (the
+            # initial copy, and any compaction): an earlier point cannot be served.
+            frontier = self.base(info).agg(F.max("_ts").alias("m")).first()["m"]
+            wanted = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of)
+            if frontier is not None and wanted < frontier:
+                raise ValueError(f"cannot cut over to {wanted}: the replica base is at {frontier}")
         v = self.reg.write_version(self.target, self.target_ns, self.table, self.view(as_of), extra=[
             (f"mode/{self.target}/{self.target_ns}", "set", "shared"),
             (f"data_state/{self.target}/{self.target_ns}", "set", "ready"),
@@ -368,12 +376,12 @@ class Replication:
         nv = self.reg.next_version()
         info = ReplicaInfo(self.source, self.source_ns, nv, self.reg.next_version(),
                            as_of.strftime("%Y-%m-%d %H:%M:%S.%f"))
-        # The diff is materialised once (checkpoint-free: written, then read).
+        # The diff is written once and read back (used twice by apply_diff).
         diff_path = f"{self.root}/diff/v={nv}"
         diff.write.mode("overwrite").parquet(diff_path)
         diff = self.spark.read.parquet(diff_path)
-        with_meta(apply_diff(current, diff, self.keys, materialize=False), as_of, 0).write.mode("overwrite").parquet(
-            f"{self.root}/base/v={nv}")
+        repaired = apply_diff(current, diff, self.keys, materialize=False)
+        with_meta(repaired, as_of, 0).write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
         return self._activate(info, max_tries, "restart", set_pointers=True)
 
 

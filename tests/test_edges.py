@@ -319,3 +319,26 @@ def test_broadcast_check_bounds_rows_and_bytes(spark):
     assert has_at_most(df, 50) and not has_at_most(df, 49)
     assert has_at_most(df, 50, max_bytes=50 * 108)
     assert not has_at_most(df, 50, max_bytes=50 * 108 - 1)
+
+
+def test_cutover_to_a_point_in_time(spark):
+    import datetime
+
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.plans.replication import Replication, load
+    from replicakit.plans.scenario import create_sides
+
+    reg = Registry(spark, scratch_path(spark, "pit"))
+    create_sides(reg)
+    orders = fx.orders_a(spark, SF_SMALL)
+    first = orders.filter("o_orderstatus = 'F'")
+    load(reg, "A", "orders", first, ["o_orderkey"])
+    rep = Replication(reg, "A", "B", "orders", ["o_orderkey"])
+    rep.start()
+    with pytest.raises(ValueError):
+        rep.cutover(to=datetime.datetime(2000, 1, 1))
+    mid = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    load(reg, "A", "orders", orders, ["o_orderkey"])
+    rep.cutover(to=mid)  # changes after ``mid`` are not part of the cutover
+    assert reg.read("B", "vb", "orders").count() == first.count()
