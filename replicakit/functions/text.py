@@ -13,12 +13,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from replicakit.constants import (
+    DEFAULT_TABLE,
     KNOWN_NAMESPACES,
     NAMESPACE_ALIASES,
     SIDE_A,
     SIDE_A_SPELLINGS,
     SIDE_B,
     SIDE_B_SPELLINGS,
+    TABLE_NAME_PATTERN,
     TRUE_WORDS,
 )
 
@@ -96,13 +98,16 @@ def first_token(c: Column | str, vocab: Iterable[str]) -> Column:
 
 
 # --------------------------------------------------- checked_table_name
-def checked_table_name(c: Column | str, fallback: str) -> Column:
-    """Keep names made only of letters, digits, ``_`` and ``.``; else fallback.
+def checked_table_name(c: Column | str, fallback: str = DEFAULT_TABLE) -> Column:
+    """Keep names that match the table-name pattern; else the fallback.
 
-    ``\\A``/``\\z`` anchor the whole string (a trailing newline does not pass).
+    The pattern's ``^``/``$`` become ``\\A``/``\\z`` so it anchors the whole
+    string as the shell test does (in Java regex ``$`` also matches before a
+    trailing newline).
     """
     col = _col(c)
-    return F.when(col.rlike(r"\A[A-Za-z0-9_.]+\z"), col).otherwise(F.lit(fallback))
+    whole = r"\A" + TABLE_NAME_PATTERN.removeprefix("^").removesuffix("$") + r"\z"
+    return F.when(col.rlike(whole), col).otherwise(F.lit(fallback))
 
 
 # --------------------------------------------------------------- is_true

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replicakit import fixtures as fx
+from replicakit.constants import DEFAULT_TABLE
 from replicakit.functions.text import (
     canon_side_col,
     checked_table_name,
@@ -156,7 +157,7 @@ FROM req
 """, req=fx.TABLE_REQUESTS_SQL))
 def q_checked_table_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = fx.table_requests(spark, sf_dir)
-    return req.select("c_custkey", checked_table_name("requested", "movr.users").alias("table_name"))
+    return req.select("c_custkey", checked_table_name("requested", DEFAULT_TABLE).alias("table_name"))
 
 
 # --------------------------------------------------------- integrity (O19-20)

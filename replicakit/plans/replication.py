@@ -15,6 +15,7 @@ control log, so a new driver can pick a replication up where it was.
 from __future__ import annotations
 
 import datetime as dt
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,15 +24,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
 from replicakit.constants import (
+    DELETE,
     FAILOVER_ATOB_DONE,
     FAILOVER_BTOA_DONE,
     MAIN_NAMESPACE,
+    MAX_ITERS,
+    POLL_INTERVAL_S,
     READONLY_SUFFIX,
+    READY_MAX_ITERS,
+    READY_POLL_INTERVAL_S,
     REPL_ATOB_ACTIVE,
     REPL_BTOA_ACTIVE,
+    RESTART_STATE_VOCAB,
+    RESTART_STATUS_VOCAB,
     SIDE_A,
     SIDE_B,
-    DELETE,
+    START_STATE_VOCAB,
+    START_STATUS_VOCAB,
     UPSERT,
 )
 from replicakit.functions.text import canon_side
@@ -276,19 +285,27 @@ class Replication:
             F.concat(F.lit("status "), F.col("status")).alias("status_text"),
             F.coalesce(F.col("data_state"), F.lit("")).alias("data_state_text"))
 
-    def _gate(self, info: ReplicaInfo, max_tries: int) -> None:
+    def _gate(self, info: ReplicaInfo, max_tries: int, restart: bool = False,
+              interval_s: float = POLL_INTERVAL_S) -> None:
+        """Poll until ``replicating`` AND ``ready`` (O33), at most ``max_tries``
+        times, ``interval_s`` apart; a timeout is an error."""
+        vocab = ({"status_vocab": RESTART_STATUS_VOCAB, "state_vocab": RESTART_STATE_VOCAB}
+                 if restart else {"status_vocab": START_STATUS_VOCAB,
+                                  "state_vocab": START_STATE_VOCAB})
         polls = None
         for i in range(1, max_tries + 1):
             row = self.poll(info, i)
             polls = row if polls is None else polls.unionByName(row)
-            verdict = ready_gate(polls, max_tries=max_tries).first()
+            verdict = ready_gate(polls, max_tries=max_tries, **vocab).first()
             if verdict["verdict"] == "ready":
                 return
+            if i < max_tries:
+                time.sleep(interval_s)
         raise ReplicationTimeout(
             f"{self.target_ns} did not reach 'replicating' and 'ready' in {max_tries} tries")
 
     # ------------------------------------------------------------- flows
-    def start(self, max_tries: int = 3, set_pointers: bool = False) -> ReplicaInfo:
+    def start(self, max_tries: int = MAX_ITERS, set_pointers: bool = False) -> ReplicaInfo:
         """Initial copy (O24) into the replica base, stream changes after it,
         mount the read-only view, wait for the gate, set the flags."""
         as_of = _now()
@@ -312,7 +329,7 @@ class Replication:
         self._mount_view()
         self.run_stream(info)
         self.reg.set_data_state(self.target, self.readonly_ns, "ready")
-        self._gate(info, max_tries)
+        self._gate(info, max_tries, restart=event == "restart")
         entries = _flags(self.source, self.target, event)
         if set_pointers:
             entries += [(f"default/{self.source}", "set", self.source_ns),
@@ -321,7 +338,7 @@ class Replication:
         return info
 
     def cutover(self, to: str | dt.datetime = "latest", on_timeout: str = "fail",
-                timeout_s: float | None = None) -> int:
+                timeout_s: float | None = READY_MAX_ITERS * READY_POLL_INTERVAL_S) -> int:
         """Complete replication, stop, open the replica for service and point
         the target side at it (O30).
 
@@ -358,7 +375,8 @@ class Replication:
             swap_default(self.reg, SIDE_B, MAIN_NAMESPACE[SIDE_B])
         return v
 
-    def restart(self, dry_run: bool = False, max_tries: int = 3) -> DataFrame | ReplicaInfo:
+    def restart(self, dry_run: bool = False,
+                max_tries: int = MAX_ITERS) -> DataFrame | ReplicaInfo:
         """The failed-back side becomes a replica again, keeping its data.
 
         Stop its service, diff it against the new source (O22), apply the
@@ -404,7 +422,8 @@ def restart_replication(reg: Registry, source_side: str, replica_side: str, tabl
 
 
 def cutover(reg: Registry, source_side: str, replica_side: str, table: str, keys: Sequence[str],
-            to="latest", on_timeout: str = "fail", timeout_s: float | None = None) -> int:
+            to="latest", on_timeout: str = "fail",
+            timeout_s: float | None = READY_MAX_ITERS * READY_POLL_INTERVAL_S) -> int:
     """O30 as a function: see :meth:`Replication.cutover`."""
     return Replication(reg, source_side, replica_side, table, keys).cutover(
         to=to, on_timeout=on_timeout, timeout_s=timeout_s)

@@ -6,7 +6,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from replicakit.constants import MAIN_NAMESPACE, READONLY_SUFFIX, SIDE_A, SIDE_B
+from replicakit.constants import (
+    LOAD_MOVR_OK,
+    LOAD_MOVR_VB_OK,
+    MAIN_NAMESPACE,
+    READONLY_SUFFIX,
+    SIDE_A,
+    SIDE_B,
+)
 from replicakit.operators.counts import count_with_fallback
 from replicakit.operators.diff import diff_summary, resync_diff
 from replicakit.plans.replication import Replication, load, start_replication
@@ -86,14 +93,19 @@ def run_scenario(
     def start_btoa() -> None:
         holder["btoa"] = start_replication(reg, SIDE_B, SIDE_A, table, keys)
 
+    def load_step(side: str, rows: DataFrame) -> None:
+        load(reg, side, table, rows, keys)
+        # A load records its flag only when it succeeded.
+        reg.set_state(LOAD_MOVR_OK if side == SIDE_A else LOAD_MOVR_VB_OK, "1")
+
     actions: list[Callable[[], object]] = [
-        lambda: load(reg, SIDE_A, table, loads[0], keys),
+        lambda: load_step(SIDE_A, loads[0]),
         lambda: atob.start(),
         lambda: atob.cutover(),
-        lambda: load(reg, SIDE_B, table, loads[1], keys),
+        lambda: load_step(SIDE_B, loads[1]),
         start_btoa,
         lambda: holder["btoa"].cutover(),
-        lambda: load(reg, SIDE_A, table, loads[2], keys),
+        lambda: load_step(SIDE_A, loads[2]),
         status_step,
         lambda: atob.restart(),
         status_step,
