@@ -75,8 +75,19 @@ def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
+TS_FORMAT = "%Y-%m-%d %H:%M:%S.%f"
+
+
 def _ts(t: dt.datetime):
-    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    return F.lit(t.strftime(TS_FORMAT)).cast("timestamp_ntz")
+
+
+def _ts_col_lit(s: str):
+    return F.lit(s).cast("timestamp_ntz")
+
+
+def _parse_ts(s: str) -> dt.datetime:
+    return dt.datetime.strptime(s, TS_FORMAT)
 
 
 def changes_dir(reg: Registry, side: str, ns: str, table: str) -> str:
@@ -145,15 +156,18 @@ class ReplicaInfo:
     run: int
     as_of: str
     through_batch: int = -1  # applied batches up to this id are in the base
+    base_frontier: str = ""  # newest change in the base ("" = as_of)
 
     def encode(self) -> str:
         return "|".join([self.source_side, self.source_ns, str(self.base_version),
-                         str(self.run), self.as_of, str(self.through_batch)])
+                         str(self.run), self.as_of, str(self.through_batch),
+                         self.base_frontier])
 
     @classmethod
     def decode(cls, s: str) -> ReplicaInfo:
         a, b, c, d, e, *f = s.split("|")
-        return cls(a, b, int(c), int(d), e, int(f[0]) if f else -1)
+        return cls(a, b, int(c), int(d), e, int(f[0]) if f else -1,
+                   f[1] if len(f) > 1 else "")
 
 
 def _info_key(side: str, ns: str, table: str) -> str:
@@ -228,10 +242,13 @@ class Replication:
         if last is None or last <= info.through_batch:
             return info
         nv = self.reg.next_version()
-        merged = merge_changes(self.base(info), self._batches_upto(info, last), self.spec,
-                               keep_deletes=True)
+        batches = self._batches_upto(info, last)
+        newest = batches.agg(F.max("_ts").alias("m")).first()["m"]
+        merged = merge_changes(self.base(info), batches, self.spec, keep_deletes=True)
         merged.write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
-        new = ReplicaInfo(info.source_side, info.source_ns, nv, info.run, info.as_of, last)
+        frontier = max(filter(None, [newest, _parse_ts(info.base_frontier or info.as_of)]))
+        new = ReplicaInfo(info.source_side, info.source_ns, nv, info.run, info.as_of, last,
+                          frontier.strftime(TS_FORMAT))
         self.reg.set_state(_info_key(self.target, self.target_ns, self.table), new.encode())
         return new
 
@@ -267,15 +284,20 @@ class Replication:
 
     # --------------------------------------------------------------- gate
     def status(self, info: ReplicaInfo, cut_over: bool = False) -> DataFrame:
-        """Live replication status (O28): the initial copy counts as applied
-        at its start time; lag is measured against the source's change log."""
-        applied = self.base(info).select("_ts").unionByName(self.applied(info).select("_ts"))
-        source = self.spark.read.schema(change_schema(self._schema())).parquet(
-            changes_dir(self.reg, self.source, self.source_ns, self.table)).select("_ts")
+        """Live replication status (O28). The base's frontier is known from the
+        bookkeeping (start time or last compaction), so the base is not read;
+        ``applied_rows`` counts change rows applied since the base. Lag is
+        measured against the source's changes after the start (pushed-down
+        filter)."""
+        after = _ts_col_lit(info.as_of)
+        applied = self.applied(info).select("_ts")
+        source = (self.spark.read.schema(change_schema(self._schema()))
+                  .parquet(changes_dir(self.reg, self.source, self.source_ns, self.table))
+                  .filter(F.col("_ts") > after).select("_ts"))
         state = self.reg.state().get(f"data_state/{self.target}/{self.readonly_ns}")
         return replication_status(applied, source, "_ts", self.target_ns,
                                   f"{self.source}->{self.target}", cut_over=cut_over,
-                                  data_state=state)
+                                  data_state=state, base_frontier=info.base_frontier or info.as_of)
 
     def poll(self, info: ReplicaInfo, try_no: int) -> DataFrame:
         """One poll row from the live status in the gate's shape."""
@@ -312,7 +334,7 @@ class Replication:
         src = self.reg.read(self.source, self.source_ns, self.table)
         # Base and run ids are never reused, so an old checkpoint never resumes.
         info = ReplicaInfo(self.source, self.source_ns, self.reg.next_version(),
-                           self.reg.next_version(), as_of.strftime("%Y-%m-%d %H:%M:%S.%f"))
+                           self.reg.next_version(), as_of.strftime(TS_FORMAT))
         with_meta(src, as_of, 0).write.mode("overwrite").parquet(
             f"{self.root}/base/v={info.base_version}")
         return self._activate(info, max_tries, "start", set_pointers)
@@ -358,7 +380,7 @@ class Replication:
         if as_of is not None:
             # The base already holds everything up to its newest change (the
             # initial copy, and any compaction): an earlier point cannot be served.
-            frontier = self.base(info).agg(F.max("_ts").alias("m")).first()["m"]
+            frontier = _parse_ts(info.base_frontier or info.as_of)
             wanted = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of)
             if frontier is not None and wanted < frontier:
                 raise ValueError(f"cannot cut over to {wanted}: the replica base is at {frontier}")
@@ -393,7 +415,7 @@ class Replication:
         self.reg.set_mode(self.target, self.target_ns, "none")
         nv = self.reg.next_version()
         info = ReplicaInfo(self.source, self.source_ns, nv, self.reg.next_version(),
-                           as_of.strftime("%Y-%m-%d %H:%M:%S.%f"))
+                           as_of.strftime(TS_FORMAT))
         # The diff is written once and read back (used twice by apply_diff).
         diff_path = f"{self.root}/diff/v={nv}"
         diff.write.mode("overwrite").parquet(diff_path)

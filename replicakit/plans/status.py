@@ -35,6 +35,7 @@ def replication_status(
     running: bool = True,
     cut_over: bool = False,
     data_state: str | None = None,
+    base_frontier=None,
 ) -> DataFrame:
     """One row ``(replica, direction, status, data_state, frontier_ts,
     applied_rows, lag_s)`` (O28).
@@ -43,13 +44,18 @@ def replication_status(
     behind the newest source change. Both sides are tagged and aggregated in
     one pass (partial per task, one row shuffled per task); no join.
     ``status`` is ``initializing`` before the first applied change,
-    ``replicating`` while running, ``ready`` after cutover.
+    ``replicating`` while running, ``ready`` after cutover. ``base_frontier``
+    (a timestamp) is the frontier already held by a replica's base (its initial
+    copy or last compaction), known without reading the base.
     """
     tagged = (applied.select(F.col(ts_col).alias("_ts"), F.lit(True).alias("_applied"))
               .unionByName(source.select(F.col(ts_col).alias("_ts"),
                                          F.lit(False).alias("_applied"))))
+    newest = F.max(F.when(F.col("_applied"), F.col("_ts")))
+    if base_frontier is not None:
+        newest = F.greatest(newest, F.lit(base_frontier).cast("timestamp_ntz"))
     agg = tagged.agg(
-        F.max(F.when(F.col("_applied"), F.col("_ts"))).alias("frontier_ts"),
+        newest.alias("frontier_ts"),
         F.count_if(F.col("_applied")).alias("applied_rows"),
         F.max(F.when(~F.col("_applied"), F.col("_ts"))).alias("_src_max"),
     )

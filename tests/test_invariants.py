@@ -167,3 +167,26 @@ def test_stream_status_from_progress(spark):
     finally:
         q.stop()
     assert stream_status(spark, q, "vb", "CA->CB").first()["status"] == "stopped"
+
+
+def test_replication_status_tracks_frontier_and_lag(spark):
+    from replicakit.plans.replication import Replication, load
+    from replicakit.plans.scenario import create_sides
+    from replicakit.sources.registry import Registry
+
+    reg = Registry(spark, scratch_path(spark, "reg"))
+    create_sides(reg)
+    orders = fx.orders_a(spark, SF_SMALL)
+    load(reg, "A", "orders", orders.filter("o_orderstatus = 'F'"), KEYS)
+    rep = Replication(reg, "A", "B", "orders", KEYS)
+    info = rep.start()
+    st = rep.status(info).first()
+    assert (st["status"], st["applied_rows"]) == ("replicating", 0)
+    assert st["frontier_ts"].strftime("%Y-%m-%d %H:%M:%S.%f") == info.as_of
+    late = orders.filter("o_orderstatus <> 'F'")
+    load(reg, "A", "orders", late, KEYS)
+    st = rep.status(info).first()
+    assert st["lag_s"] > 0  # the source moved, the replica not yet
+    rep.run_stream(info)
+    st = rep.status(info).first()
+    assert st["applied_rows"] == late.count() and st["lag_s"] == 0
