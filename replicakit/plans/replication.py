@@ -110,24 +110,23 @@ def change_schema(table_schema: StructType) -> StructType:
 # ------------------------------------------------------------------ writes
 def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[str],
          ns: str | None = None) -> int:
-    """Upsert ``rows`` into the side's default-routed namespace (or ``ns``) and
-    record the touched rows, as they now are, as change rows for replication.
-    Returns the new version."""
+    """Upsert ``rows`` into the side's default-routed namespace (or ``ns``).
+
+    Write-ahead order: the touched rows as they will be (whole columns; a load
+    may give only some) are appended to the change log first, then the new
+    version is written and the pointer swapped. A crash in between leaves a
+    change the table does not show yet; retrying the load (idempotent) makes
+    both agree, and the fold keeps one row per key. Returns the new version.
+    """
     from replicakit.sources.registry import resolve_default
 
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
-    if reg.exists(side, ns, table):
-        new = upsert(reg.read(side, ns, table), rows, keys)
-    else:
-        new = rows
-    ts, seq = _now(), reg.next_version()
-    v = reg.write_version(side, ns, table, new)
-    # Whole rows of the touched keys (a load may give only some columns).
-    touched = reg.read(side, ns, table).join(rows.select(*keys).distinct(), list(keys),
-                                              "left_semi")
-    with_meta(touched, ts, seq).write.mode("append").parquet(changes_dir(reg, side, ns, table))
-    return v
+    new = upsert(reg.read(side, ns, table), rows, keys) if reg.exists(side, ns, table) else rows
+    touched = new.join(rows.select(*keys).distinct(), list(keys), "left_semi")
+    with_meta(touched, _now(), reg.next_version()).write.mode("append").parquet(
+        changes_dir(reg, side, ns, table))
+    return reg.write_version(side, ns, table, new)
 
 
 def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequence[str],
@@ -141,10 +140,10 @@ def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequ
     ns = ns or resolve_default(reg, side)
     current = reg.read(side, ns, table)
     gone = key_rows.select(*keys).distinct()
-    ts, seq = _now(), reg.next_version()
-    # Delete changes carry the old row (whole columns), marked as deletes.
+    # Write-ahead, as in load: delete changes (the old rows, marked) first.
     old = current.join(gone, list(keys), "left_semi")
-    with_meta(old, ts, seq, DELETE).write.mode("append").parquet(changes_dir(reg, side, ns, table))
+    with_meta(old, _now(), reg.next_version(), DELETE).write.mode("append").parquet(
+        changes_dir(reg, side, ns, table))
     return reg.write_version(side, ns, table, current.join(gone, list(keys), "left_anti"))
 
 

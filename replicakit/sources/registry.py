@@ -13,6 +13,9 @@ folded state — a few rows per table and namespace — reaches the driver.
 
 Tables can also be *mounted*: a path or a DataFrame (for example a given
 Parquet table) bound to a name, read-only until a version is written over it.
+
+One driver writes a registry at a time (the tool being replaced is also run
+from one place); other drivers may read it and call :meth:`Registry.refresh`.
 """
 
 from __future__ import annotations
@@ -116,6 +119,10 @@ class Registry:
                 return self.spark.createDataFrame([], CONTROL_SCHEMA)
             raise
 
+    def refresh(self) -> None:
+        """Forget the cached state; the next lookup folds the control log again."""
+        self._state = None
+
     def state(self) -> dict[str, str]:
         """Folded control state (small: one row per key)."""
         if self._state is None:
