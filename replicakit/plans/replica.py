@@ -27,6 +27,7 @@ from replicakit.operators.sizing import (
     has_at_most,
 )
 from replicakit.session import shared_dir
+from replicakit.sources.changes import TABLE_META as CHANGE_META
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ class ChangeSpec:
 
 
 #: The change metadata the registry's own tables carry.
-TABLE_META = ("_ts", "_seq", "_op")
+TABLE_META = CHANGE_META
 
 
 def registry_spec(keys: Sequence[str]) -> ChangeSpec:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import StructType
 
 from replicakit.constants import (
     DELETE,
@@ -47,7 +47,6 @@ from replicakit.functions.text import canon_side
 from replicakit.operators.diff import apply_diff, diff_summary, resync_diff
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replica import (
-    TABLE_META,
     ChangeSpec,
     last_batch,
     merge_changes,
@@ -56,95 +55,103 @@ from replicakit.plans.replica import (
     registry_spec,
 )
 from replicakit.plans.status import ready_gate, replication_status
-from replicakit.sources.registry import Registry, swap_default
+from replicakit.sources.changes import (
+    TS_FORMAT,
+    change_schema,
+    now,
+    parse_ts,
+    ts_lit,
+    with_meta,
+)
+from replicakit.sources.registry import (
+    CONTROL_SET,
+    Registry,
+    keys_key,
+    pending_key,
+    resolve_default,
+    swap_default,
+)
 from replicakit.sources.tables import read_table
 from replicakit.streaming.replicate import drain, replicate_stream
 
-META_FIELDS = [
-    StructField("_ts", TimestampNTZType(), True),
-    StructField("_seq", LongType(), True),
-    StructField("_op", StringType(), True),
-]
+#: Loads between two compactions of a table (merge on read in between).
+COMPACT_EVERY = 16
 
 
 class ReplicationTimeout(RuntimeError):
     """A gate or a drain did not finish in its budget."""
 
 
-def _now() -> dt.datetime:
-    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-
-
-TS_FORMAT = "%Y-%m-%d %H:%M:%S.%f"
-
-
-def _ts(t: dt.datetime):
-    return F.lit(t.strftime(TS_FORMAT)).cast("timestamp_ntz")
-
-
-def _ts_col_lit(s: str):
-    return F.lit(s).cast("timestamp_ntz")
-
-
-def _parse_ts(s: str) -> dt.datetime:
-    return dt.datetime.strptime(s, TS_FORMAT)
-
-
 def changes_dir(reg: Registry, side: str, ns: str, table: str) -> str:
-    return f"{reg.root}/changes/{side}/{ns}/{table}"
+    return reg.changes_path(side, ns, table)
 
 
 def replica_dir(reg: Registry, side: str, ns: str, table: str) -> str:
     return f"{reg.root}/replica/{side}/{ns}/{table}"
 
 
-def with_meta(df: DataFrame, ts: dt.datetime, seq: int, op: str = UPSERT) -> DataFrame:
-    return df.select(*df.columns, _ts(ts).alias("_ts"), F.lit(seq).cast("bigint").alias("_seq"),
-                     F.lit(op).alias("_op"))
+# ------------------------------------------------------------------ writes
+def _append_changes(reg: Registry, side: str, ns: str, table: str, rows: DataFrame,
+                    op: str = UPSERT) -> None:
+    with_meta(rows, now(), reg.next_version(), op).write.mode("append").parquet(
+        reg.changes_path(side, ns, table))
 
 
-def change_schema(table_schema: StructType) -> StructType:
-    return StructType([f for f in table_schema.fields if f.name not in TABLE_META] + META_FIELDS)
+def _record_pending(reg: Registry, side: str, ns: str, table: str, keys: Sequence[str],
+                    compact_every: int) -> int | None:
+    entries = [(pending_key(side, ns, table), CONTROL_SET, str(reg.pending(side, ns, table) + 1))]
+    if reg.table_keys(side, ns, table) is None:
+        entries.append((keys_key(side, ns, table), CONTROL_SET, ",".join(keys)))
+    reg.append_control(entries)
+    if reg.pending(side, ns, table) >= compact_every:
+        return reg.compact_table(side, ns, table)
+    return reg.current_version(side, ns, table)
 
 
-# ------------------------------------------------------------------ writes
 def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[str],
-         ns: str | None = None) -> int:
+         ns: str | None = None, compact_every: int = COMPACT_EVERY) -> int | None:
     """Upsert ``rows`` into the side's default-routed namespace (or ``ns``).
 
-    Write-ahead order: the touched rows as they will be (whole columns; a load
-    may give only some) are appended to the change log first, then the new
-    version is written and the pointer swapped. A crash in between leaves a
-    change the table does not show yet; retrying the load (idempotent) makes
-    both agree, and the fold keeps one row per key. Returns the new version.
-    """
-    from replicakit.sources.registry import resolve_default
+    Merge on read: the touched rows as they now are (whole columns; a load may
+    give only some) are appended to the table's change log, and nothing is
+    rewritten. Finding them reads only the touched keys' current rows (a
+    semi join against the rows' keys). Every ``compact_every`` loads the
+    pending changes are folded into a new version. A table without a version
+    yet (new, or mounted) gets its first version written instead.
 
+    Write-ahead: the change rows are written before the control state counts
+    them, so a crash leaves at most a change the table does not show yet, and
+    retrying the (idempotent) load makes both agree. Returns the version.
+    """
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
-    new = upsert(reg.read(side, ns, table), rows, keys) if reg.exists(side, ns, table) else rows
-    touched = new.join(rows.select(*keys).distinct(), list(keys), "left_semi")
-    with_meta(touched, _now(), reg.next_version()).write.mode("append").parquet(
-        changes_dir(reg, side, ns, table))
-    return reg.write_version(side, ns, table, new)
+    keys = list(keys)
+    touched_keys = rows.select(*keys).distinct()
+    if reg.current_version(side, ns, table) is None:
+        new = upsert(reg.read(side, ns, table), rows, keys) if reg.exists(side, ns, table) else rows
+        _append_changes(reg, side, ns, table, new.join(touched_keys, keys, "left_semi"))
+        return reg.write_version(side, ns, table, new,
+                                 extra=[(keys_key(side, ns, table), CONTROL_SET, ",".join(keys))])
+    current = reg.read(side, ns, table).join(touched_keys, keys, "left_semi")
+    _append_changes(reg, side, ns, table, upsert(current, rows, keys))
+    return _record_pending(reg, side, ns, table, keys, compact_every)
 
 
 def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequence[str],
-           ns: str | None = None) -> int:
+           ns: str | None = None, compact_every: int = COMPACT_EVERY) -> int | None:
     """Delete the keys in ``key_rows`` from the side's default-routed namespace
-    (or ``ns``) and record delete changes for replication. Returns the new
-    version. The anti join is planned by AQE (small key sets are broadcast)."""
-    from replicakit.sources.registry import resolve_default
-
+    (or ``ns``): delete change rows (the old rows, marked) are appended ahead,
+    as in :func:`load`; nothing is rewritten. Returns the version."""
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
-    current = reg.read(side, ns, table)
+    keys = list(keys)
     gone = key_rows.select(*keys).distinct()
-    # Write-ahead, as in load: delete changes (the old rows, marked) first.
-    old = current.join(gone, list(keys), "left_semi")
-    with_meta(old, _now(), reg.next_version(), DELETE).write.mode("append").parquet(
-        changes_dir(reg, side, ns, table))
-    return reg.write_version(side, ns, table, current.join(gone, list(keys), "left_anti"))
+    current = reg.read(side, ns, table)
+    _append_changes(reg, side, ns, table, current.join(gone, keys, "left_semi"), DELETE)
+    if reg.current_version(side, ns, table) is None:
+        return reg.write_version(side, ns, table, current.join(gone, keys, "left_anti"),
+                                 extra=[(keys_key(side, ns, table), CONTROL_SET, ",".join(keys))])
+    return _record_pending(reg, side, ns, table, keys, compact_every)
 
 
 @dataclass
@@ -245,7 +252,7 @@ class Replication:
         newest = batches.agg(F.max("_ts").alias("m")).first()["m"]
         merged = merge_changes(self.base(info), batches, self.spec, keep_deletes=True)
         merged.write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
-        frontier = max(filter(None, [newest, _parse_ts(info.base_frontier or info.as_of)]))
+        frontier = max(filter(None, [newest, parse_ts(info.base_frontier or info.as_of)]))
         new = ReplicaInfo(info.source_side, info.source_ns, nv, info.run, info.as_of, last,
                           frontier.strftime(TS_FORMAT))
         self.reg.set_state(_info_key(self.target, self.target_ns, self.table), new.encode())
@@ -288,7 +295,7 @@ class Replication:
         ``applied_rows`` counts change rows applied since the base. Lag is
         measured against the source's changes after the start (pushed-down
         filter)."""
-        after = _ts_col_lit(info.as_of)
+        after = ts_lit(info.as_of)
         applied = self.applied(info).select("_ts")
         source = (self.spark.read.schema(change_schema(self._schema()))
                   .parquet(changes_dir(self.reg, self.source, self.source_ns, self.table))
@@ -329,7 +336,7 @@ class Replication:
     def start(self, max_tries: int = MAX_ITERS, set_pointers: bool = False) -> ReplicaInfo:
         """Initial copy (O24) into the replica base, stream changes after it,
         mount the read-only view, wait for the gate, set the flags."""
-        as_of = _now()
+        as_of = now()
         src = self.reg.read(self.source, self.source_ns, self.table)
         # Base and run ids are never reused, so an old checkpoint never resumes.
         info = ReplicaInfo(self.source, self.source_ns, self.reg.next_version(),
@@ -379,7 +386,7 @@ class Replication:
         if as_of is not None:
             # The base already holds everything up to its newest change (the
             # initial copy, and any compaction): an earlier point cannot be served.
-            frontier = _parse_ts(info.base_frontier or info.as_of)
+            frontier = parse_ts(info.base_frontier or info.as_of)
             wanted = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of)
             if frontier is not None and wanted < frontier:
                 raise ValueError(f"cannot cut over to {wanted}: the replica base is at {frontier}")
@@ -387,6 +394,7 @@ class Replication:
             (f"mode/{self.target}/{self.target_ns}", "set", "shared"),
             (f"data_state/{self.target}/{self.target_ns}", "set", "ready"),
             (_info_key(self.target, self.target_ns, self.table), "del", None),
+            (keys_key(self.target, self.target_ns, self.table), CONTROL_SET, ",".join(self.keys)),
             *_flags(self.source, self.target, "failover"),
         ])
         self.reg.unmount(self.target, self.readonly_ns, self.table)
@@ -405,7 +413,7 @@ class Replication:
         point, reset the pointers. ``dry_run`` writes nothing and returns the
         planned ``(action, n_rows)``.
         """
-        as_of = _now()
+        as_of = now()
         source = self.reg.read(self.source, self.source_ns, self.table)
         current = self.reg.read(self.target, self.target_ns, self.table)
         diff = resync_diff(source, current, self.keys)

@@ -4,6 +4,7 @@ A :class:`Registry` is a small driver-side map from ``(side, namespace,
 table)`` to data plus one append-only control log on the shared file system:
 
 ``{root}/data/{side}/{namespace}/{table}/v={n}/``  table versions (Parquet)
+``{root}/changes/{side}/{namespace}/{table}/``      change rows (merge on read)
 ``{root}/control/``                                 control log (Parquet)
 
 Writers never overwrite a version that may be read: they write ``v=n+1`` and
@@ -63,6 +64,18 @@ def data_state_key(side: str, ns: str) -> str:
     return f"data_state/{side}/{ns}"
 
 
+def keys_key(side: str, ns: str, table: str) -> str:
+    return f"keys/{side}/{ns}/{table}"
+
+
+def watermark_key(side: str, ns: str, table: str) -> str:
+    return f"watermark/{side}/{ns}/{table}"
+
+
+def pending_key(side: str, ns: str, table: str) -> str:
+    return f"pending/{side}/{ns}/{table}"
+
+
 def is_path_not_found(err: BaseException) -> bool:
     return isinstance(err, AnalysisException) and err.getCondition() == "PATH_NOT_FOUND"
 
@@ -155,12 +168,43 @@ class Registry:
         v = self.state().get(table_key(canon_side(side), map_namespace(ns), table))
         return None if v is None else int(v)
 
+    def changes_path(self, side: str, ns: str, table: str) -> str:
+        """The table's change log (written ahead by loads; read by replication)."""
+        return f"{self.root}/changes/{side}/{ns}/{table}"
+
+    def table_keys(self, side: str, ns: str, table: str) -> list[str] | None:
+        v = self.state().get(keys_key(canon_side(side), map_namespace(ns), table))
+        return v.split(",") if v else None
+
+    def pending(self, side: str, ns: str, table: str) -> int:
+        """Loads appended since the table's current version."""
+        return int(self.state().get(pending_key(canon_side(side), map_namespace(ns), table), "0"))
+
+    def pending_changes(self, side: str, ns: str, table: str, schema: StructType) -> DataFrame:
+        """Change rows newer than the current version's watermark (the filter
+        reaches the Parquet scan)."""
+        from replicakit.sources.changes import change_schema, ts_lit
+
+        wm = self.state()[watermark_key(side, ns, table)]
+        return (self.spark.read.schema(change_schema(schema))
+                .parquet(self.changes_path(side, ns, table))
+                .filter(F.col("_ts") > ts_lit(wm)))
+
     def read(self, side: str, ns: str, table: str) -> DataFrame:
-        """Current data of a table; ``PATH_NOT_FOUND`` if it does not exist."""
+        """Current data of a table; ``PATH_NOT_FOUND`` if it does not exist.
+
+        A table is its current version plus the changes appended after it
+        (merge on read). With no pending change it is the version itself;
+        otherwise the changes are folded and merged by a size-checked
+        broadcast, so the version is scanned, not shuffled.
+        """
         side, ns = canon_side(side), map_namespace(ns)
         v = self.current_version(side, ns, table)
         if v is not None:  # a written version never changes
-            return read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
+            base = read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
+            if self.pending(side, ns, table) == 0:
+                return base
+            return self._merged(side, ns, table, base)
         src = self._mounts.get((side, ns, table))
         if isinstance(src, DataFrame):
             return src
@@ -175,20 +219,63 @@ class Registry:
         return (self.current_version(side, ns, table) is not None
                 or (side, ns, table) in self._mounts)
 
+    def _merged(self, side: str, ns: str, table: str, base: DataFrame,
+                changes: DataFrame | None = None) -> DataFrame:
+        from replicakit.plans.replica import merge_changes, registry_spec
+        from replicakit.sources.changes import TABLE_META, with_meta
+
+        keys = self.table_keys(side, ns, table)
+        if changes is None:
+            changes = self.pending_changes(side, ns, table, base.schema)
+        # Every pending change is newer than the version (it is past the watermark).
+        wm = self.state()[watermark_key(side, ns, table)]
+        merged = merge_changes(with_meta(base, wm, -1), changes, registry_spec(keys))
+        return merged.select(*[c for c in merged.columns if c not in TABLE_META])
+
     def write_version(self, side: str, ns: str, table: str, df: DataFrame,
-                      extra: Iterable[tuple[str, str, str | None]] = ()) -> int:
+                      extra: Iterable[tuple[str, str, str | None]] = (),
+                      watermark: str | None = None) -> int:
         """Write ``df`` as the next version, then swap the pointer to it.
 
         The new version goes to a folder nobody reads yet; a failed or retried
-        write never touches the current one. ``extra`` control rows are
-        appended together with the pointer.
+        write never touches the current one. The version holds every change up
+        to ``watermark`` (default: now), so the pending count restarts at zero.
+        ``extra`` control rows are appended together with the pointer.
         """
+        from replicakit.sources.changes import TS_FORMAT, now
+
         side, ns = canon_side(side), map_namespace(ns)
         v = (self.current_version(side, ns, table) or 0) + 1
         df.write.mode("overwrite").parquet(f"{self.table_dir(side, ns, table)}/v={v}")
-        self.append_control([(table_key(side, ns, table), CONTROL_SET, str(v)), *extra])
+        self.append_control([
+            (table_key(side, ns, table), CONTROL_SET, str(v)),
+            (watermark_key(side, ns, table), CONTROL_SET, watermark or now().strftime(TS_FORMAT)),
+            (pending_key(side, ns, table), CONTROL_SET, "0"),
+            *extra,
+        ])
         return v
 
+    def compact_table(self, side: str, ns: str, table: str) -> int | None:
+        """Fold the pending changes into the next version (merge on read →
+        copy once). The new watermark is the newest change actually folded, so
+        a change appended meanwhile stays pending. Returns the version, or
+        ``None`` when nothing was pending."""
+        from replicakit.sources.changes import TS_FORMAT
+
+        side, ns = canon_side(side), map_namespace(ns)
+        v = self.current_version(side, ns, table)
+        if v is None or self.pending(side, ns, table) == 0:
+            return None
+        base = read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
+        changes = self.pending_changes(side, ns, table, base.schema)
+        newest = changes.agg(F.max("_ts").alias("m")).first()["m"]
+        if newest is None:
+            return None
+        merged = self._merged(side, ns, table, base, changes.filter(
+            F.col("_ts") <= F.lit(newest.strftime(TS_FORMAT)).cast("timestamp_ntz")))
+        return self.write_version(side, ns, table, merged,
+                                  watermark=newest.strftime(TS_FORMAT))
+
     def tables(self, side: str, ns: str) -> list[str]:
         side, ns = canon_side(side), map_namespace(ns)
         prefix = f"table/{side}/{ns}/"

@@ -190,3 +190,30 @@ def test_replication_status_tracks_frontier_and_lag(spark):
     rep.run_stream(info)
     st = rep.status(info).first()
     assert st["applied_rows"] == late.count() and st["lag_s"] == 0
+
+
+def test_loads_merge_on_read_and_compact(spark):
+    from replicakit.plans.replication import load, remove
+    from replicakit.sources.registry import Registry
+
+    reg = Registry(spark, scratch_path(spark, "reg"))
+    orders = fx.orders_a(spark, SF_SMALL)
+    f = orders.filter("o_orderstatus = 'F'")
+    o = orders.filter("o_orderstatus = 'O'")
+    p = orders.filter("o_orderstatus = 'P'")
+    assert load(reg, "A", "orders", f, KEYS, compact_every=3) == 1  # first version
+    assert load(reg, "A", "orders", o, KEYS, compact_every=3) == 1  # appended, not rewritten
+    assert reg.pending("A", "va", "orders") == 1
+    status = o.select("o_orderkey", F.lit("Z").alias("o_orderstatus"))
+    load(reg, "A", "orders", status, KEYS, compact_every=3)  # partial columns
+    want = rows(f.unionByName(o.withColumn("o_orderstatus", F.lit("Z"))))
+    assert rows(reg.read("A", "va", "orders")) == want
+    assert reg.pending("A", "va", "orders") == 2 and reg.current_version("A", "va", "orders") == 1
+    remove(reg, "A", "orders", f.select("o_orderkey"), KEYS, compact_every=3)  # third: compacts
+    assert reg.current_version("A", "va", "orders") == 2 and reg.pending("A", "va", "orders") == 0
+    assert rows(reg.read("A", "va", "orders")) == rows(o.withColumn("o_orderstatus", F.lit("Z")))
+    load(reg, "A", "orders", p, KEYS, compact_every=3)
+    assert reg.read("A", "va", "orders").count() == o.count() + p.count()
+    # The change log holds every change, for replicas.
+    assert spark.read.parquet(reg.changes_path("CA", "va", "orders")).count() == (
+        f.count() + o.count() + o.count() + f.count() + p.count())
