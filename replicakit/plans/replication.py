@@ -91,6 +91,13 @@ def replica_dir(reg: Registry, side: str, ns: str, table: str) -> str:
 
 
 # ------------------------------------------------------------------ writes
+def _checked_keys(reg: Registry, side: str, ns: str, table: str, keys: Sequence[str]) -> list[str]:
+    recorded = reg.table_keys(side, ns, table)
+    if recorded is not None and recorded != list(keys):
+        raise ValueError(f"{side}/{ns}/{table} is keyed by {recorded}, not {list(keys)}")
+    return list(keys)
+
+
 def _append_changes(reg: Registry, side: str, ns: str, table: str, rows: DataFrame,
                     op: str = UPSERT) -> None:
     with_meta(rows, now(), reg.next_version(), op).write.mode("append").parquet(
@@ -125,7 +132,7 @@ def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[s
     """
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
-    keys = list(keys)
+    keys = _checked_keys(reg, side, ns, table, keys)
     touched_keys = rows.select(*keys).distinct()
     if reg.current_version(side, ns, table) is None:
         new = upsert(reg.read(side, ns, table), rows, keys) if reg.exists(side, ns, table) else rows
@@ -144,7 +151,7 @@ def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequ
     as in :func:`load`; nothing is rewritten. Returns the version."""
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
-    keys = list(keys)
+    keys = _checked_keys(reg, side, ns, table, keys)
     gone = key_rows.select(*keys).distinct()
     current = reg.read(side, ns, table)
     _append_changes(reg, side, ns, table, current.join(gone, keys, "left_semi"), DELETE)

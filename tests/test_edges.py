@@ -342,3 +342,15 @@ def test_cutover_to_a_point_in_time(spark):
     load(reg, "A", "orders", orders, ["o_orderkey"])
     rep.cutover(to=mid)  # changes after ``mid`` are not part of the cutover
     assert reg.read("B", "vb", "orders").count() == first.count()
+
+
+def test_load_refuses_other_keys(spark):
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.plans.replication import load
+
+    reg = Registry(spark, scratch_path(spark, "keys"))
+    orders = fx.orders_a(spark, SF_SMALL)
+    load(reg, "A", "orders", orders, ["o_orderkey"])
+    with pytest.raises(ValueError):
+        load(reg, "A", "orders", orders, ["o_custkey"])
