@@ -47,6 +47,11 @@ def smoke(spark: SparkSession, reg: Registry) -> DataFrame:
     return spark.createDataFrame(rows, SMOKE_SCHEMA)
 
 
+def smoke_passed(spark: SparkSession, reg: Registry) -> bool:
+    """The smoke check's overall verdict: every side passed."""
+    return all(r["ok"] for r in smoke(spark, reg).collect())
+
+
 def create_sides(reg: Registry) -> None:
     """Namespaces and pointers as the two sides are created: A serves ``va``,
     B points at its read-only mirror."""

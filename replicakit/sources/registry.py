@@ -366,13 +366,14 @@ def pointers(reg: Registry) -> DataFrame:
 
 def run_sql(spark: SparkSession, reg: Registry, sql: str, side: str = "A",
             ns: str | None = None) -> DataFrame:
-    """Ad-hoc SQL over one side's namespace.
+    """Ad-hoc SQL over one side's namespace (O4); by default side A and the
+    side's main namespace (``va`` / ``vb``), aliases accepted.
 
     The namespace's tables are registered as temp views under their names
     (the last dotted part), then the SQL runs through Catalyst as usual.
     """
     side = canon_side(side)
-    ns = resolve_default(reg, side) if ns is None else map_namespace(ns)
+    ns = MAIN_NAMESPACE[side] if ns is None else map_namespace(ns)
     for t in reg.tables(side, ns):
         reg.read(side, ns, t).createOrReplaceTempView(t.split(".")[-1])
     return spark.sql(sql)

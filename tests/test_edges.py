@@ -354,3 +354,18 @@ def test_load_refuses_other_keys(spark):
     load(reg, "A", "orders", orders, ["o_orderkey"])
     with pytest.raises(ValueError):
         load(reg, "A", "orders", orders, ["o_custkey"])
+
+
+def test_run_sql_defaults_and_smoke_verdict(spark):
+    from replicakit.plans.scenario import smoke_passed
+    from replicakit.sources.registry import run_sql
+
+    reg = Registry(spark, scratch_path(spark, "sql"))
+    reg.mount("A", "va", "t", spark.createDataFrame([(1,), (2,)], "k int"))
+    reg.mount("A", "va-readonly", "t", spark.createDataFrame([(1,)], "k int"))
+    swap_default(reg, "A", "va-readonly")
+    assert run_sql(spark, reg, "SELECT count(*) AS n FROM t").first()["n"] == 2  # main ns
+    assert run_sql(spark, reg, "SELECT count(*) AS n FROM t", "p", "crla-readonly").first()["n"] == 1
+    assert smoke_passed(spark, reg) is True  # B has no tables: nothing fails
+    reg.mount("B", "vb", "broken", "/nonexistent/path")
+    assert smoke_passed(spark, reg) is False
