@@ -209,7 +209,8 @@ def status_report(spark: SparkSession, reg: Registry,
 def status_rows(spark: SparkSession, reg: Registry) -> DataFrame:
     """The status report's other parts as ``(section, side, name, value)`` rows:
     default pointers, namespaces with state and mode, tables per default
-    namespace, and the ingesting-side flags."""
+    namespace, replications in progress, whether each side is ingesting, and
+    the direction flags."""
     rows = []
     st = reg.state()
     for side in (SIDE_A, SIDE_B):
@@ -220,6 +221,16 @@ def status_rows(spark: SparkSession, reg: Registry) -> DataFrame:
         ns = resolve_default(reg, side)
         for t in reg.tables(side, ns):
             rows.append(("table", side, t, ns))
-    rows.append(("ingesting", SIDE_A, "from_b", str(is_true_value(st.get(REPL_BTOA_ACTIVE)))))
-    rows.append(("ingesting", SIDE_B, "from_a", str(is_true_value(st.get(REPL_ATOB_ACTIVE)))))
+    # Replications in progress, and whether each side is ingesting (a replica
+    # of its main namespace is being fed), as the status report shows them.
+    for side in (SIDE_A, SIDE_B):
+        main = MAIN_NAMESPACE[side]
+        running = sorted(k for k in st if k.startswith(f"replica/{side}/{main}/"))
+        for k in running:
+            src_side, src_ns = st[k].split("|")[:2]
+            rows.append(("replication", side, k.split("/", 3)[3],
+                         f"from {src_side}/{src_ns} since {st[k].split('|')[4]}"))
+        rows.append(("ingesting", side, main, str(bool(running))))
+    rows.append(("flag", SIDE_A, REPL_BTOA_ACTIVE, str(is_true_value(st.get(REPL_BTOA_ACTIVE)))))
+    rows.append(("flag", SIDE_B, REPL_ATOB_ACTIVE, str(is_true_value(st.get(REPL_ATOB_ACTIVE)))))
     return spark.createDataFrame(rows, "section string, side string, name string, value string")

@@ -369,3 +369,21 @@ def test_run_sql_defaults_and_smoke_verdict(spark):
     assert smoke_passed(spark, reg) is True  # B has no tables: nothing fails
     reg.mount("B", "vb", "broken", "/nonexistent/path")
     assert smoke_passed(spark, reg) is False
+
+
+def test_status_report_shows_ingesting_side(spark):
+    from conftest import SF_SMALL
+    from replicakit import fixtures as fx
+    from replicakit.plans.replication import Replication, load
+    from replicakit.plans.scenario import create_sides
+    from replicakit.plans.status import status_report
+
+    reg = Registry(spark, scratch_path(spark, "status"))
+    create_sides(reg)
+    load(reg, "A", "orders", fx.orders_a(spark, SF_SMALL), ["o_orderkey"])
+    Replication(reg, "A", "B", "orders", ["o_orderkey"]).start()
+    report, extra = status_report(spark, reg, ["orders"])
+    got = {(r["section"], r["side"], r["name"]): r["value"] for r in extra.collect()}
+    assert got[("ingesting", "CB", "vb")] == "True" and got[("ingesting", "CA", "va")] == "False"
+    assert got[("pointer", "CB", "default")] == "vb-readonly"
+    assert report.first()["verdict"] == "match"
