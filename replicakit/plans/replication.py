@@ -101,7 +101,7 @@ def _checked_keys(reg: Registry, side: str, ns: str, table: str, keys: Sequence[
 def _append_changes(reg: Registry, side: str, ns: str, table: str, rows: DataFrame,
                     op: str = UPSERT) -> None:
     with_meta(rows, now(), reg.next_version(), op).write.mode("append").parquet(
-        reg.changes_path(side, ns, table))
+        reg.epoch_path(side, ns, table))
 
 
 def _record_pending(reg: Registry, side: str, ns: str, table: str, keys: Sequence[str],
@@ -280,10 +280,11 @@ class Replication:
 
     # ---------------------------------------------------------- streaming
     def _ensure_changes(self) -> str:
-        path = changes_dir(self.reg, self.source, self.source_ns, self.table)
+        """The source's change log, made to exist (a file stream needs a folder)."""
         empty = self.spark.createDataFrame([], change_schema(self._schema()))
-        empty.write.mode("append").parquet(path)
-        return path
+        empty.write.mode("append").parquet(self.reg.epoch_path(self.source, self.source_ns,
+                                                                self.table))
+        return changes_dir(self.reg, self.source, self.source_ns, self.table)
 
     def run_stream(self, info: ReplicaInfo, timeout_s: float | None = None) -> bool:
         """Apply every change file present now (``availableNow``)."""

@@ -169,9 +169,19 @@ class Registry:
         return None if v is None else int(v)
 
     def changes_path(self, side: str, ns: str, table: str) -> str:
-        """The table's change log (written ahead by loads; read by replication)."""
+        """The table's change log (written ahead by loads; read by replication).
+
+        Rows are filed under ``epoch=<v>``, the table version they follow, so a
+        read lists only the current epoch's folder however long the history.
+        """
         return f"{self.root}/changes/{side}/{ns}/{table}"
 
+    def epoch_path(self, side: str, ns: str, table: str) -> str:
+        """Folder for change rows written now (they follow the current version)."""
+        side, ns = canon_side(side), map_namespace(ns)
+        v = self.current_version(side, ns, table) or 0
+        return f"{self.changes_path(side, ns, table)}/epoch={v}"
+
     def table_keys(self, side: str, ns: str, table: str) -> list[str] | None:
         v = self.state().get(keys_key(canon_side(side), map_namespace(ns), table))
         return v.split(",") if v else None
@@ -186,9 +196,15 @@ class Registry:
         from replicakit.sources.changes import change_schema, ts_lit
 
         wm = self.state()[watermark_key(side, ns, table)]
-        return (self.spark.read.schema(change_schema(schema))
-                .parquet(self.changes_path(side, ns, table))
-                .filter(F.col("_ts") > ts_lit(wm)))
+        cs = change_schema(schema)
+        try:
+            rows = (self.spark.read.schema(cs).option("basePath", self.changes_path(side, ns, table))
+                    .parquet(self.epoch_path(side, ns, table)))
+        except AnalysisException as err:
+            if not is_path_not_found(err):
+                raise
+            return self.spark.createDataFrame([], cs)
+        return rows.select(*cs.fieldNames()).filter(F.col("_ts") > ts_lit(wm))
 
     def read(self, side: str, ns: str, table: str) -> DataFrame:
         """Current data of a table; ``PATH_NOT_FOUND`` if it does not exist.

@@ -46,7 +46,8 @@ def replicate_stream(
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    changes: DataFrame = reader.parquet(src_dir)
+    # Only the declared columns: folders like ``epoch=<v>`` add partition columns.
+    changes: DataFrame = reader.parquet(src_dir).select(*schema.fieldNames())
     if after is not None:
         changes = changes.filter(F.col(ts_col) > F.lit(after).cast("timestamp_ntz"))
 

@@ -61,3 +61,19 @@ def test_no_python_in_any_query(spark):
                  "is_true", "ready_gate", "check_not_null", "readonly_view"):
         p = plan(entry.queries()[name](spark, SF_SMALL))
         assert "Python" not in p and "ArrowEval" not in p, name
+
+
+def test_pending_read_lists_only_the_current_epoch(spark):
+    from replicakit.plans.replication import load
+    from replicakit.sources.registry import Registry
+
+    reg = Registry(spark, scratch_path(spark, "epochs"))
+    orders = fx.orders_a(spark, SF_SMALL)
+    load(reg, "A", "orders", orders.filter("o_orderstatus = 'F'"), ["o_orderkey"])
+    load(reg, "A", "orders", orders.filter("o_orderstatus = 'O'"), ["o_orderkey"])
+    reg.compact_table("A", "va", "orders")  # version 2
+    load(reg, "A", "orders", orders.filter("o_orderstatus = 'P'"), ["o_orderkey"])
+    pending = reg.pending_changes("CA", "va", "orders", orders.schema)
+    p = plan(pending)
+    assert "epoch=2" in p and "epoch=1" not in p and "epoch=0" not in p
+    assert pending.count() == orders.filter("o_orderstatus = 'P'").count()
