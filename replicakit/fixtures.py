@@ -69,7 +69,8 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     return e.select(
         "user_id", "ts", "event_id",
-        F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"),
+        F.when(F.col("event_type") == "error", F.lit("delete"))
+        .otherwise(F.lit("upsert")).alias("op"),
         "event_type", "value",
     )
 
@@ -130,7 +131,8 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts", "event_id",
         F.when(F.col("event_type") == "view", F.lit("state replicating"))
         .otherwise(F.lit("state initializing")).alias("status_text"),
-        F.when(F.col("value") > 50, F.lit("ready")).otherwise(F.lit("add")).alias("data_state_text"),
+        F.when(F.col("value") > 50, F.lit("ready"))
+        .otherwise(F.lit("add")).alias("data_state_text"),
     )
 
 

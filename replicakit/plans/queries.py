@@ -157,7 +157,8 @@ FROM req
 """, req=fx.TABLE_REQUESTS_SQL))
 def q_checked_table_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = fx.table_requests(spark, sf_dir)
-    return req.select("c_custkey", checked_table_name("requested", DEFAULT_TABLE).alias("table_name"))
+    return req.select("c_custkey",
+                      checked_table_name("requested", DEFAULT_TABLE).alias("table_name"))
 
 
 # --------------------------------------------------------- integrity (O19-20)

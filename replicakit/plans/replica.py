@@ -90,9 +90,11 @@ def merge_changes(
 
     The log is folded first (one shuffle of the log only) and materialised in
     the shared checkpoint folder. If it has at most ``max_broadcast_rows`` keys
-    and ``max_broadcast_bytes`` (both checked), it is broadcast: ``base`` left join the newest changes takes the
-    newer row per key, and changed keys absent from ``base`` are added; ``base``
-    is scanned, never shuffled. Otherwise both are folded together (one shuffle).
+    and ``max_broadcast_bytes`` (both checked), it is broadcast: ``base`` left
+    join the newest changes takes the newer row per key, and changed keys
+    absent from ``base`` are added; ``base`` is scanned, never shuffled.
+    Otherwise both are folded together (one shuffle). ``base`` must be unique
+    by key (a snapshot or a fold).
     """
     keys, cols = list(spec.keys), base.columns
     log = log.select(*cols)
@@ -145,7 +147,8 @@ def compact(base: DataFrame, log: DataFrame, spec: ChangeSpec, path: str, as_of=
     return base.sparkSession.read.parquet(path)
 
 
-def read_batches(spark: SparkSession, path: str, schema, after_batch: int | None = None) -> DataFrame:
+def read_batches(spark: SparkSession, path: str, schema,
+                 after_batch: int | None = None) -> DataFrame:
     """All applied change batches under ``path`` (``batch=<id>`` folders).
 
     ``after_batch`` keeps only later batches (partition pruning: earlier

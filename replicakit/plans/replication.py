@@ -398,7 +398,8 @@ class Replication:
             wanted = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of)
             if frontier is not None and wanted < frontier:
                 raise ValueError(f"cannot cut over to {wanted}: the replica base is at {frontier}")
-        v = self.reg.write_version(self.target, self.target_ns, self.table, self.view(as_of), extra=[
+        view = self.view(as_of)
+        v = self.reg.write_version(self.target, self.target_ns, self.table, view, extra=[
             (f"mode/{self.target}/{self.target_ns}", "set", "shared"),
             (f"data_state/{self.target}/{self.target_ns}", "set", "ready"),
             (_info_key(self.target, self.target_ns, self.table), "del", None),

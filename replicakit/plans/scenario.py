@@ -124,7 +124,8 @@ def run_scenario(
                 diff = resync_diff(reg.read(SIDE_A, "va", table), reg.read(SIDE_B, "vb", table),
                                    keys)
                 counts = {r["action"]: r["n_rows"] for r in diff_summary(diff).collect()}
-                detail = ", ".join(f"{a}={counts.get(a, 0)}" for a in ("insert", "update", "delete"))
+                detail = ", ".join(f"{a}={counts.get(a, 0)}"
+                                   for a in ("insert", "update", "delete"))
             rows.append((i, name, None, None, None, detail))
         return spark.createDataFrame(rows, STEP_SCHEMA)
 

@@ -198,7 +198,8 @@ class Registry:
         wm = self.state()[watermark_key(side, ns, table)]
         cs = change_schema(schema)
         try:
-            rows = (self.spark.read.schema(cs).option("basePath", self.changes_path(side, ns, table))
+            rows = (self.spark.read.schema(cs)
+                    .option("basePath", self.changes_path(side, ns, table))
                     .parquet(self.epoch_path(side, ns, table)))
         except AnalysisException as err:
             if not is_path_not_found(err):
