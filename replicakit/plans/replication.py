@@ -170,17 +170,18 @@ class ReplicaInfo:
     as_of: str
     through_batch: int = -1  # applied batches up to this id are in the base
     base_frontier: str = ""  # newest change in the base ("" = as_of)
+    keys: str = ""  # the table's key columns, comma-separated
 
     def encode(self) -> str:
         return "|".join([self.source_side, self.source_ns, str(self.base_version),
                          str(self.run), self.as_of, str(self.through_batch),
-                         self.base_frontier])
+                         self.base_frontier, self.keys])
 
     @classmethod
     def decode(cls, s: str) -> ReplicaInfo:
         a, b, c, d, e, *f = s.split("|")
         return cls(a, b, int(c), int(d), e, int(f[0]) if f else -1,
-                   f[1] if len(f) > 1 else "")
+                   f[1] if len(f) > 1 else "", f[2] if len(f) > 2 else "")
 
 
 def _info_key(side: str, ns: str, table: str) -> str:
@@ -261,7 +262,7 @@ class Replication:
         merged.write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
         frontier = max(filter(None, [newest, parse_ts(info.base_frontier or info.as_of)]))
         new = ReplicaInfo(info.source_side, info.source_ns, nv, info.run, info.as_of, last,
-                          frontier.strftime(TS_FORMAT))
+                          frontier.strftime(TS_FORMAT), info.keys)
         self.reg.set_state(_info_key(self.target, self.target_ns, self.table), new.encode())
         return new
 
@@ -348,7 +349,8 @@ class Replication:
         src = self.reg.read(self.source, self.source_ns, self.table)
         # Base and run ids are never reused, so an old checkpoint never resumes.
         info = ReplicaInfo(self.source, self.source_ns, self.reg.next_version(),
-                           self.reg.next_version(), as_of.strftime(TS_FORMAT))
+                           self.reg.next_version(), as_of.strftime(TS_FORMAT),
+                           keys=",".join(self.keys))
         with_meta(src, as_of, 0).write.mode("overwrite").parquet(
             f"{self.root}/base/v={info.base_version}")
         return self._activate(info, max_tries, "start", set_pointers)
@@ -431,7 +433,7 @@ class Replication:
         self.reg.set_mode(self.target, self.target_ns, "none")
         nv = self.reg.next_version()
         info = ReplicaInfo(self.source, self.source_ns, nv, self.reg.next_version(),
-                           as_of.strftime(TS_FORMAT))
+                           as_of.strftime(TS_FORMAT), keys=",".join(self.keys))
         # The diff is written once and read back (used twice by apply_diff).
         diff_path = f"{self.root}/diff/v={nv}"
         diff.write.mode("overwrite").parquet(diff_path)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from replicakit.constants import MAIN_NAMESPACE
+from replicakit.constants import MAIN_NAMESPACE, READONLY_SUFFIX
 from replicakit.functions.text import canon_side, map_namespace
 from replicakit.operators.fold import CONTROL_DEL, CONTROL_SET, control_state
 from replicakit.sources.tables import read_table
@@ -223,6 +223,8 @@ class Registry:
                 return base
             return self._merged(side, ns, table, base)
         src = self._mounts.get((side, ns, table))
+        if src is None and self._replica_of(side, ns, table) is not None:
+            src = self._replica_view(side, ns, table)
         if isinstance(src, DataFrame):
             return src
         if callable(src):
@@ -231,10 +233,29 @@ class Registry:
             return read_table(self.spark, src)
         return self.spark.read.parquet(self.table_dir(side, ns, table))
 
+    def _replica_of(self, side: str, ns: str, table: str) -> str | None:
+        """Bookkeeping of a replication into ``ns`` (a ``-readonly`` namespace)."""
+        if not ns.endswith(READONLY_SUFFIX):
+            return None
+        return self.state().get(f"replica/{side}/{ns[:-len(READONLY_SUFFIX)]}/{table}")
+
+    def _replica_view(self, side: str, ns: str, table: str):
+        """A read-only replica, rebuilt from the control state (so any driver
+        reading this registry sees it, not only the one that started it)."""
+        from replicakit.plans.replication import Replication
+
+        fields = self._replica_of(side, ns, table).split("|")
+        src_side, src_ns = fields[:2]
+        keys = (fields[7].split(",") if len(fields) > 7 and fields[7]
+                else self.table_keys(src_side, src_ns, table))
+        rep = Replication(self, src_side, side, table, keys)
+        return lambda: rep.view()
+
     def exists(self, side: str, ns: str, table: str) -> bool:
         side, ns = canon_side(side), map_namespace(ns)
         return (self.current_version(side, ns, table) is not None
-                or (side, ns, table) in self._mounts)
+                or (side, ns, table) in self._mounts
+                or self._replica_of(side, ns, table) is not None)
 
     def _merged(self, side: str, ns: str, table: str, base: DataFrame,
                 changes: DataFrame | None = None) -> DataFrame:
@@ -298,6 +319,9 @@ class Registry:
         prefix = f"table/{side}/{ns}/"
         names = {k[len(prefix):] for k in self.state() if k.startswith(prefix)}
         names |= {t for (s, n, t) in self._mounts if s == side and n == ns}
+        if ns.endswith(READONLY_SUFFIX):
+            rprefix = f"replica/{side}/{ns[:-len(READONLY_SUFFIX)]}/"
+            names |= {k[len(rprefix):] for k in self.state() if k.startswith(rprefix)}
         return sorted(names)
 
     def namespaces(self, side: str) -> list[str]:
