@@ -45,6 +45,7 @@ from replicakit.constants import (
 )
 from replicakit.functions.text import canon_side
 from replicakit.operators.diff import apply_diff, diff_summary, resync_diff
+from replicakit.operators.sizing import broadcast_if_small
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replica import (
     ChangeSpec,
@@ -133,7 +134,8 @@ def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[s
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
     keys = _checked_keys(reg, side, ns, table, keys)
-    touched_keys = rows.select(*keys).distinct()
+    # Small loads (checked) are broadcast, so the table is scanned, not shuffled.
+    touched_keys = broadcast_if_small(rows.select(*keys).distinct())
     if reg.current_version(side, ns, table) is None:
         new = upsert(reg.read(side, ns, table), rows, keys) if reg.exists(side, ns, table) else rows
         _append_changes(reg, side, ns, table, new.join(touched_keys, keys, "left_semi"))
@@ -152,7 +154,7 @@ def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequ
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
     keys = _checked_keys(reg, side, ns, table, keys)
-    gone = key_rows.select(*keys).distinct()
+    gone = broadcast_if_small(key_rows.select(*keys).distinct())
     current = reg.read(side, ns, table)
     _append_changes(reg, side, ns, table, current.join(gone, keys, "left_semi"), DELETE)
     if reg.current_version(side, ns, table) is None:
