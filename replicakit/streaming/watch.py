@@ -95,9 +95,8 @@ def watch_counts(
     ticks = read_batches(spark, out, TICK_SCHEMA)
     if "tick" not in ticks.columns:
         return spark.createDataFrame([], TICK_SCHEMA)
-    first_match = ticks.filter(F.col("verdict") == MATCH).agg(F.min("tick").alias("_m"))
-    # Keep ticks up to the first match (one-row frame, hinted broadcast).
-    return (ticks.join(F.broadcast(first_match),
-                       F.col("_m").isNull() | (F.col("tick") <= F.col("_m")), "inner")
-            .filter(F.col("tick") <= max_ticks)
+    # Keep ticks up to the first match (at most ``max_ticks`` rows exist).
+    first_match = ticks.filter(F.col("verdict") == MATCH).agg(F.min("tick")).first()[0]
+    last = min(first_match or max_ticks, max_ticks)
+    return (ticks.filter(F.col("tick") <= F.lit(last))
             .select(F.col("tick").cast("bigint").alias("tick"), "n_a", "n_b", "verdict"))
