@@ -25,18 +25,22 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def row_count(spark: SparkSession, reg: Registry, side: str, table: str) -> DataFrame:
-    """``(side, table_name, n_rows)`` of one table at the side's default."""
+def row_count(spark: SparkSession, reg: Registry, side: str, table: str,
+              as_of=None) -> DataFrame:
+    """``(side, table_name, n_rows)`` of one table at the side's default.
+
+    Give both sides the same ``as_of`` to compare them at one point in time.
+    """
     side = canon_side(side)
-    df = read_side(spark, reg, side, None, table)
+    df = read_side(spark, reg, side, None, table, as_of)
     return count_rows(df).select(F.lit(side).alias("side"), F.lit(table).alias("table_name"),
                                  "n_rows")
 
 
 def row_counts(spark: SparkSession, reg: Registry, side: str,
-               tables: Sequence[str]) -> DataFrame:
+               tables: Sequence[str], as_of=None) -> DataFrame:
     """One row per table, all counted in one job."""
-    frames = [row_count(spark, reg, side, t) for t in tables]
+    frames = [row_count(spark, reg, side, t, as_of) for t in tables]
     if not frames:
         return spark.createDataFrame([], COUNT_SCHEMA)
     out = frames[0]

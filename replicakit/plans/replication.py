@@ -279,7 +279,8 @@ class Replication:
         return readonly_view(self.base(info), self.applied(info), self.spec, as_of)
 
     def _mount_view(self) -> None:
-        self.reg.mount(self.target, self.readonly_ns, self.table, lambda: self.view())
+        self.reg.mount(self.target, self.readonly_ns, self.table,
+                       lambda as_of=None: self.view(as_of))
 
     # ---------------------------------------------------------- streaming
     def _ensure_changes(self) -> str:

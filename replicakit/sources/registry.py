@@ -76,6 +76,12 @@ def pending_key(side: str, ns: str, table: str) -> str:
     return f"pending/{side}/{ns}/{table}"
 
 
+def _as_datetime(t):
+    import datetime as dt
+
+    return t if isinstance(t, dt.datetime) else dt.datetime.fromisoformat(str(t))
+
+
 def is_path_not_found(err: BaseException) -> bool:
     return isinstance(err, AnalysisException) and err.getCondition() == "PATH_NOT_FOUND"
 
@@ -207,28 +213,40 @@ class Registry:
             return self.spark.createDataFrame([], cs)
         return rows.select(*cs.fieldNames()).filter(F.col("_ts") > ts_lit(wm))
 
-    def read(self, side: str, ns: str, table: str) -> DataFrame:
-        """Current data of a table; ``PATH_NOT_FOUND`` if it does not exist.
+    def read(self, side: str, ns: str, table: str, as_of=None) -> DataFrame:
+        """Data of a table now, or as of a time; ``PATH_NOT_FOUND`` if it does
+        not exist.
 
         A table is its current version plus the changes appended after it
         (merge on read). With no pending change it is the version itself;
-        otherwise the changes are folded and merged by a size-checked
-        broadcast, so the version is scanned, not shuffled.
+        otherwise the changes (up to ``as_of``) are folded and merged by a
+        size-checked broadcast, so the version is scanned, not shuffled.
+        ``as_of`` earlier than the version's watermark cannot be served.
+        Read-only replicas honour ``as_of`` too; mounted tables are static.
         """
+        from replicakit.sources.changes import parse_ts, ts_lit
+
         side, ns = canon_side(side), map_namespace(ns)
         v = self.current_version(side, ns, table)
         if v is not None:  # a written version never changes
             base = read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
+            if as_of is not None:
+                wm = parse_ts(self.state()[watermark_key(side, ns, table)])
+                if _as_datetime(as_of) < wm:
+                    raise ValueError(f"{side}/{ns}/{table} is kept from {wm} on, not {as_of}")
             if self.pending(side, ns, table) == 0:
                 return base
-            return self._merged(side, ns, table, base)
+            changes = self.pending_changes(side, ns, table, base.schema)
+            if as_of is not None:
+                changes = changes.filter(F.col("_ts") <= ts_lit(_as_datetime(as_of)))
+            return self._merged(side, ns, table, base, changes)
         src = self._mounts.get((side, ns, table))
         if src is None and self._replica_of(side, ns, table) is not None:
             src = self._replica_view(side, ns, table)
         if isinstance(src, DataFrame):
             return src
         if callable(src):
-            return src()
+            return src() if as_of is None else src(as_of)
         if src:
             return read_table(self.spark, src)
         return self.spark.read.parquet(self.table_dir(side, ns, table))
@@ -249,7 +267,7 @@ class Registry:
         keys = (fields[7].split(",") if len(fields) > 7 and fields[7]
                 else self.table_keys(src_side, src_ns, table))
         rep = Replication(self, src_side, side, table, keys)
-        return lambda: rep.view()
+        return lambda as_of=None: rep.view(as_of)
 
     def exists(self, side: str, ns: str, table: str) -> bool:
         side, ns = canon_side(side), map_namespace(ns)
@@ -355,15 +373,15 @@ class Registry:
 
 # ------------------------------------------------------------------- O1 - O6
 def read_side(spark: SparkSession, reg: Registry, side: str, ns: str | None,
-              table: str) -> DataFrame:
-    """Read a table from (side, namespace) (O1).
+              table: str, as_of=None) -> DataFrame:
+    """Read a table from (side, namespace) (O1), now or as of a time.
 
     The side spelling is canonicalised (unknown sides raise); namespace aliases
     map to current names; ``ns=None`` follows the side's default pointer.
     """
     side = canon_side(side)
     ns = resolve_default(reg, side) if ns is None else map_namespace(ns)
-    return reg.read(side, ns, table)
+    return reg.read(side, ns, table, as_of)
 
 
 def resolve_default(reg: Registry, side: str) -> str:

@@ -1,5 +1,6 @@
 """Invariants that must hold whatever the data."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -217,3 +218,31 @@ def test_loads_merge_on_read_and_compact(spark):
     # The change log holds every change, for replicas.
     assert spark.read.parquet(reg.changes_path("CA", "va", "orders")).count() == (
         f.count() + o.count() + o.count() + f.count() + p.count())
+
+
+def test_counts_at_one_point_in_time(spark):
+    import datetime
+
+    from replicakit.operators.counts import compare_counts, row_counts
+    from replicakit.plans.replication import Replication, load
+    from replicakit.plans.scenario import create_sides
+    from replicakit.sources.registry import Registry
+
+    reg = Registry(spark, scratch_path(spark, "asof"))
+    create_sides(reg)
+    orders = fx.orders_a(spark, SF_SMALL)
+    f = orders.filter("o_orderstatus = 'F'")
+    load(reg, "A", "orders", f, KEYS)
+    load(reg, "A", "orders", orders.filter("o_orderstatus = 'O'"), KEYS)
+    rep = Replication(reg, "A", "B", "orders", KEYS)
+    rep.start()
+    t = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    load(reg, "A", "orders", orders.filter("o_orderstatus = 'P'"), KEYS)  # after t, on A only
+    now = compare_counts(row_counts(spark, reg, "A", ["orders"]),
+                         row_counts(spark, reg, "B", ["orders"])).first()
+    at_t = compare_counts(row_counts(spark, reg, "A", ["orders"], as_of=t),
+                          row_counts(spark, reg, "B", ["orders"], as_of=t)).first()
+    assert now["verdict"] == "mismatch" and at_t["verdict"] == "match"
+    assert at_t["n_a"] == orders.filter("o_orderstatus <> 'P'").count()
+    with pytest.raises(ValueError):
+        reg.read("A", "va", "orders", as_of=datetime.datetime(2000, 1, 1))
