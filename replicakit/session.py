@@ -64,7 +64,12 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(base)
             base = sc.getCheckpointDir()
     if not base:
-        # No shared folder configured: this is a local run (tests, bench).
+        # No shared folder configured: allowed only for a local run (tests,
+        # bench); on a cluster a machine-local folder would lose data.
+        master = (spark.conf.get("spark.master", None) or
+                  (sc.master if sc is not None else "")) or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="replicakit-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(base)
