@@ -60,9 +60,11 @@ def test_reference_inventory_predicates(spark):
         "id bigint, name string, data_state string, service_mode string")
     assert sorted(r[0] for r in namespaces_in_mode(inv, "shared").collect()) == [
         "system", "va", "vb-readonly"]
-    names = spark.createDataFrame([("va",), ("vb",), ("v",), ("va ",)], "name string")
+    names = spark.createDataFrame([("va",), ("vb",), ("v",), ("va ",), ("CRLA",), ("crlb",)],
+                                  "name string")
     got = {r["name"]: r["in_mode"] for r in is_in_mode(names, inv, "shared").collect()}
-    assert got == {"va": True, "vb": False, "v": False, "va ": False}
+    assert got == {"va": True, "vb": False, "v": False, "va ": False, "CRLA": True,
+                   "crlb": False}
     assert state_of(inv, "vb-readonly").first()["data_state"] == "ready"
 
 
