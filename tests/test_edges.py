@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from replicakit.constants import SIDE_A, SIDE_B
@@ -421,3 +422,31 @@ def test_another_driver_reads_a_restarted_replica(spark):
     other = Registry(spark, reg.root)
     other.mount("A", "va", "orders", fx.orders_a(spark, SF_SMALL))
     assert other.read("B", "vb-readonly", "orders").count() == fx.orders_a(spark, SF_SMALL).count()
+
+
+def test_reference_seed_flow_on_its_own_schema(spark):
+    # accounts: id UUID primary key default random, name not null, created_at
+    # not null default now; seeded by an upsert of (id, name), twice.
+    from replicakit.operators.integrity import check_not_null, check_unique
+    from replicakit.operators.upsert import now_default, upsert
+
+    schema = "id string, name string, created_at timestamp"
+    reg = Registry(spark, scratch_path(spark, "seed"))
+    assert create_if_absent(spark, reg, "A", "va", "va_db.accounts", spark.createDataFrame(
+        [], schema).schema)
+    seed = spark.createDataFrame([("00000000-0000-0000-0000-000000000001", "seed-va-1")],
+                                 "id string, name string")
+    for _ in range(2):  # idempotent
+        table = upsert(reg.read("A", "va", "va_db.accounts"), seed, ["id"],
+                       {"created_at": now_default()})
+        reg.write_version("A", "va", "va_db.accounts", table)
+    rows = reg.read("A", "va", "va_db.accounts").collect()
+    assert len(rows) == 1 and rows[0]["name"] == "seed-va-1" and rows[0]["created_at"]
+    first = rows[0]["created_at"]
+    again = upsert(reg.read("A", "va", "va_db.accounts"),
+                   seed.withColumn("name", F.lit("renamed")), ["id"],
+                   {"created_at": now_default()}).first()
+    assert again["created_at"] == first  # kept on update
+    table = reg.read("A", "va", "va_db.accounts")
+    assert {r["n_nulls"] for r in check_not_null(table, ["id", "name", "created_at"]).collect()} == {0}
+    assert check_unique(table, ["id"]).count() == 0
