@@ -124,9 +124,19 @@ def q_namespaces_in_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return namespaces_in_mode(fx.inventory_rows(spark, sf_dir), "shared")
 
 
-@register("is_in_mode", fx.with_fixtures("""
+NAMESPACE_ALIAS_SQL = """CASE WHEN lower({c}) = 'crla' THEN 'va'
+              WHEN lower({c}) = 'crlb' THEN 'vb'
+              WHEN lower({c}) = 'crla-readonly' THEN 'va-readonly'
+              WHEN lower({c}) = 'crlb-readonly' THEN 'vb-readonly'
+              WHEN lower({c}) IN ('va', 'vb', 'va-readonly', 'vb-readonly', 'system')
+                THEN lower({c})
+              ELSE {c} END"""
+
+
+@register("is_in_mode", fx.with_fixtures(f"""
 SELECT r.name, r.l_linenumber,
-       r.name IN (SELECT name FROM inv WHERE service_mode = 'shared') AS in_mode
+       ({NAMESPACE_ALIAS_SQL.format(c="r.name")})
+         IN (SELECT name FROM inv WHERE service_mode = 'shared') AS in_mode
 FROM req r
 """, inv=fx.INVENTORY_SQL, req=fx.REQUESTED_NAMES_SQL))
 def q_is_in_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
