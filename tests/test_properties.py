@@ -84,3 +84,44 @@ def test_apply_of_diff_reaches_source(spark, src_raw, rep_raw):
     pruned = resync_diff(src, rep, ["k"], exact=False, buckets=3)
     assert sorted(map(tuple, pruned.collect()), key=str) == sorted(map(tuple, diff.collect()),
                                                                    key=str)
+
+
+polls = st.lists(
+    st.tuples(st.integers(0, 3), st.integers(0, 30),
+              st.sampled_from(["replicating", "x Replicating", "initializing", "paused", ""]),
+              st.sampled_from(["ready", "READY now", "add", "initializing ready", ""])),
+    max_size=40)
+
+
+@SETTINGS
+@given(raw=polls, max_tries=st.integers(1, 8))
+def test_gate_by_order_equals_brute_force(spark, raw, max_tries):
+    from replicakit.plans.status import ready_gate
+
+    rows = [(rep, t, i, s, d) for i, (rep, t, s, d) in enumerate(raw)]
+    df = spark.createDataFrame(
+        rows, "replica int, at int, seq int, status_text string, data_state_text string")
+    got = {r["replica"]: (r["verdict"], r["tries"])
+           for r in ready_gate(df, max_tries, order=["at", "seq"]).collect()}
+
+    def first_word(text, vocab):
+        low, best = text.lower(), None
+        for w in vocab:
+            i = low.find(w)
+            if i >= 0 and (best is None or i < best[0] or (i == best[0] and len(w) > len(best[1]))):
+                best = (i, w)
+        return best[1] if best else None
+
+    status_vocab = ("replicating", "initializing", "paused", "error", "offline", "stopped")
+    state_vocab = ("add", "ready", "initializing", "replicating", "offline", "error")
+    want = {}
+    for rep in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == rep), key=lambda r: (r[1], r[2]))
+        verdict, tries = "timeout", min(len(mine), max_tries)
+        for n, r in enumerate(mine[:max_tries], start=1):
+            if (first_word(r[3], status_vocab) == "replicating"
+                    and first_word(r[4], state_vocab) == "ready"):
+                verdict, tries = "ready", n
+                break
+        want[rep] = (verdict, tries)
+    assert got == want
