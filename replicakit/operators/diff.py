@@ -86,9 +86,13 @@ def resync_diff(
     keys: Sequence[str],
     exact: bool = True,
     buckets: int = 4096,
+    max_changed_fraction: float = 0.5,
 ) -> DataFrame:
     """Per key the action that makes ``replica`` equal to ``source``.
 
+    With ``exact=False`` the key aggregation only sees buckets whose digests
+    differ, unless more than ``max_changed_fraction`` of them do.
+
     Output: the key columns, ``action`` (``insert``/``update``/``delete``) and
     the source's value columns (null for deletes). Values compare null-safely;
     null keys form one key. A key duplicated in the replica is an ``update``,
@@ -108,8 +112,10 @@ def resync_diff(
         # folder, so both sides prune against one small, lineage-free table.
         shared_dir(source.sparkSession)
         changed = changed_buckets(source, replica, keys, buckets).checkpoint(eager=True)
-        source = _prune(source, keys, buckets, changed)
-        replica = _prune(replica, keys, buckets, changed)
+        # When most buckets differ, pruning would filter almost nothing.
+        if changed.count() <= max_changed_fraction * buckets:
+            source = _prune(source, keys, buckets, changed)
+            replica = _prune(replica, keys, buckets, changed)
 
     # One shuffle of both sides, grouped by key: at most one output row per
     # key whatever the duplicates, no pairs, and a hot key combines map-side.
