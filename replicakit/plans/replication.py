@@ -1,15 +1,17 @@
 """Replicate a table from one side to the other, cut over, and restart
 (O27 wiring, O29, O30).
 
-Layout below the registry root, per target ``(side, namespace, table)``:
+Layout below the registry root, per ``(side, namespace, table)``:
 
-``changes/{side}/{ns}/{table}/``                    change files written by loads
-``replica/{side}/{ns}/{table}/base/v={n}/``         base snapshot (with tombstones)
+``changes/{side}/{ns}/{table}/epoch={v}/``          change rows written by loads
+``replica/{side}/{ns}/{table}/base/v={n}/``         replica base (with tombstones)
 ``replica/{side}/{ns}/{table}/applied/run={r}/``    applied batches (``batch=<id>``)
 ``replica/{side}/{ns}/{table}/ckpt/run={r}/``       stream checkpoint
+``replica/{side}/{ns}/{table}/diff/v={n}/``         restart diff, written once
 
-Replica bookkeeping (base version, run, start time, source) is kept in the
-control log, so a new driver can pick a replication up where it was.
+Replica bookkeeping (source, base version, run, start time, compaction
+watermark, keys) is kept in the control log, so a new driver can pick a
+replication up where it was and any driver can read the read-only replica.
 """
 
 from __future__ import annotations
