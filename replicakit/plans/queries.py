@@ -567,12 +567,14 @@ def q_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("health_report", fx.with_fixtures("""
-SELECT 'orders' AS table_name, 'A->B' AS direction, 'va' AS served_by_a,
-       (SELECT count(*) FROM orders) AS n_a, 'vb' AS served_by_b,
-       (SELECT count(*) FROM orders_b) AS n_b, 'mismatch' AS verdict
-UNION ALL
-SELECT 'lineitem', 'A->B', 'va', (SELECT count(*) FROM lineitem), 'vb',
-       (SELECT count(*) FROM lineitem), 'match'
+SELECT table_name, 'A->B' AS direction, 'va' AS served_by_a, n_a, 'vb' AS served_by_b, n_b,
+       CASE WHEN n_a IS NULL OR n_b IS NULL THEN 'waiting'
+            WHEN n_a = n_b THEN 'match' ELSE 'mismatch' END AS verdict
+FROM (
+  SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS n_a,
+         (SELECT count(*) FROM orders_b) AS n_b
+  UNION ALL
+  SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem))
 """, orders_b=fx.ORDERS_B_SQL))
 def q_health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A->B recorded: A counted at ``va``; B at ``vb-readonly`` (absent) then ``vb``."""
@@ -607,7 +609,8 @@ SELECT step_no, step, true AS ok, n_a, n_b, detail FROM (
   UNION ALL SELECT 5, 'start B->A', s12, s12, 'ok' FROM c
   UNION ALL SELECT 6, 'cutover to A', s12, s12, 'ok' FROM c
   UNION ALL SELECT 7, 'load A again', s123, s12, 'ok' FROM c
-  UNION ALL SELECT 8, 'status', s123, s12, 'mismatch (none)' FROM c
+  UNION ALL SELECT 8, 'status', s123, s12,
+    CASE WHEN s123 = s12 THEN 'match' ELSE 'mismatch' END || ' (none)' FROM c
   UNION ALL SELECT 9, 'restart A->B', s123, s123, 'ok' FROM c
   UNION ALL SELECT 10, 'status', s123, s123, 'match (A->B)' FROM c)
 """
