@@ -93,11 +93,16 @@ def merge_changes(
     and ``max_broadcast_bytes`` (both checked), it is broadcast: ``base`` left
     join the newest changes takes the newer row per key, and changed keys
     absent from ``base`` are added; ``base`` is scanned, never shuffled.
-    Otherwise both are folded together (one shuffle). ``base`` must be unique
-    by key (a snapshot or a fold).
+    Otherwise both are folded together (one shuffle). An empty log (one
+    ``limit(1)`` probe) leaves the base as it is. ``base`` must be unique by
+    key (a snapshot or a fold).
     """
     keys, cols = list(spec.keys), base.columns
     log = log.select(*cols)
+    if log.limit(1).count() == 0:  # nothing to merge: the base as it is
+        if keep_deletes:
+            return base
+        return base.filter(~F.col(spec.op_col).eqNullSafe(F.lit(spec.delete_value)))
     newest = apply_changes(log, keys, spec.order, spec.op_col, spec.delete_value,
                            keep_deletes=True)
     shared_dir(base.sparkSession)

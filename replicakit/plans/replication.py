@@ -406,18 +406,21 @@ class Replication:
             if frontier is not None and wanted < frontier:
                 raise ValueError(f"cannot cut over to {wanted}: the replica base is at {frontier}")
         view = self.view(as_of)
+        pointers = [(f"default/{self.target}", CONTROL_SET, self.target_ns)]
+        if self.target == SIDE_A:
+            pointers.append((f"default/{SIDE_B}", CONTROL_SET, MAIN_NAMESPACE[SIDE_B]))
+        # One control append: new version, service open, replica retired,
+        # flags and default pointers (O3) switch together.
         v = self.reg.write_version(self.target, self.target_ns, self.table, view, extra=[
             (f"mode/{self.target}/{self.target_ns}", "set", "shared"),
             (f"data_state/{self.target}/{self.target_ns}", "set", "ready"),
+            (f"data_state/{self.target}/{self.readonly_ns}", "set", "offline"),
             (_info_key(self.target, self.target_ns, self.table), "del", None),
             (keys_key(self.target, self.target_ns, self.table), CONTROL_SET, ",".join(self.keys)),
             *_flags(self.source, self.target, "failover"),
+            *pointers,
         ])
         self.reg.unmount(self.target, self.readonly_ns, self.table)
-        self.reg.set_data_state(self.target, self.readonly_ns, "offline")
-        swap_default(self.reg, self.target, self.target_ns)
-        if self.target == SIDE_A:
-            swap_default(self.reg, SIDE_B, MAIN_NAMESPACE[SIDE_B])
         return v
 
     def restart(self, dry_run: bool = False,
