@@ -67,6 +67,7 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _side(frame: pd.DataFrame):
+    frame = frame.rename(columns=lambda c: c.removeprefix("c_"))
     stack = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind).reshape(len(frame), -1)
     return (frame["vec_id"].to_numpy(), stack("vector", np.float64), stack("int8", np.int8),
             frame["scale"].to_numpy(), frame["error"].to_numpy())
@@ -139,6 +140,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     grid = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     q = quant.filter("is_query").drop("is_query").withColumn("qb", block(n_q, 1)).withColumn("cb", grid(n_c))
     c = quant.drop("is_query").withColumn("cb", block(n_c, 2)).withColumn("qb", grid(n_q))
-    found = (q.groupBy("dim", "qb", "cb").cogroup(c.groupBy("dim", "qb", "cb"))
+    c = c.select(*[F.col(x).alias(f"c_{x}") for x in c.columns])  # both sides come from one table
+    found = (q.groupBy("dim", "qb", "cb").cogroup(c.groupBy("c_dim", "c_qb", "c_cb"))
              .applyInPandas(_cell(k), "query_id bigint, vec_id bigint, score double"))
     return found.groupBy("query_id").applyInPandas(_best(k), "query_id bigint, rank int, vec_id bigint, score double")
