@@ -74,7 +74,7 @@ def _side(frame: pd.DataFrame):
 
 
 def _cell(k: int):
-    def run(_key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
         if len(queries) and len(candidates):
             qid, qv, q8, qs, qe = _side(queries)
@@ -108,7 +108,7 @@ def _cell(k: int):
 
 
 def _best(k: int):
-    def run(key, found: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         best = heapq.nsmallest(k, zip((-found["score"]).tolist(), found["vec_id"].tolist(), strict=True))
         return pd.DataFrame([(key[0], i + 1, v, -s) for i, (s, v) in enumerate(best)],
                             columns=["query_id", "rank", "vec_id", "score"])

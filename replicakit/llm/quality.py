@@ -6,9 +6,10 @@ adjacent tokens, hashed to ``2 ** bits`` dimensions; their values are root-scale
 of unit length, so long and short texts weigh alike.
 
 Training takes a bounded sample of the labelled rows (``sample`` rows with the smallest
-digests of their identifiers), dealt over ``shards``; each shard runs FTRL over its rows
-and the weight vectors are averaged. What reaches the driver and is broadcast is the
-averaged vector: at most ``2 ** bits`` weights, whatever the corpus.
+digests of their identifiers). FTRL is sequential, so the sample is one task's work by
+default; with more ``shards`` each runs over its rows and the weight vectors are averaged,
+which takes a larger sample for the same accuracy. What reaches the driver and is broadcast
+is the averaged vector: at most ``2 ** bits`` weights, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from replicakit.llm.common import slices, stored, text_of
 from replicakit.llm.tokens import Tokens, ngram, tokens
 
 BITS = 18
-SAMPLE = 12_000
-SHARDS = 4
+SAMPLE = 10_000
+SHARDS = 1
 
 #: Bytes of text that are tokenised at a time.
 CHUNK = 1 << 20
@@ -55,7 +56,8 @@ def features(texts: list[bytes], bits: int = BITS) -> list[tuple[np.ndarray, np.
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         v = values[a:b]
-        out.append((keys[a:b] & (1 << bits) - 1, v / np.sqrt((v * v).sum()) if b > a else v))
+        unit = v / np.sqrt((v * v).sum()) if b > a else v
+        out.append(((keys[a:b] & (1 << bits) - 1).astype(np.int32), unit.astype(np.float32)))
     return out
 
 

@@ -9,8 +9,8 @@ function (exclusive or) of its bits, so a bucket's variants of a fingerprint fol
 the fingerprint and the bucket. Only fingerprints travel, once per bucket, and the task
 writes out that bucket's variants itself. Every fingerprint that holds a shared variant is
 linked to the group's smallest one after its bit distance has been verified; no pairs
-within a group are formed, and members of a group are linked either way, for two points
-of a ball around one variant are within the radius.
+within a group are formed, and no link is lost, for two points of a ball around one
+variant are within the radius of each other.
 """
 
 from __future__ import annotations
@@ -135,14 +135,19 @@ def shared_variants(fps: np.ndarray, masks: np.ndarray, classes: np.ndarray, buc
 
 def _meet(width: int, half: int, radius: int):
     """One bucket's packed fingerprints to links (a, b), a spanning forest of the bucket's."""
-    def run(_key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         masks = ball(half)
-        fps = np.unique(np.frombuffer(b"".join(group["packed"]), np.uint64))
-        values, owners = shared_variants(fps, masks, bucket_of(masks, width), int(_key[0]), width)
-        new = np.append(True, values[1:] != values[:-1])
-        centre = owners[new][np.cumsum(new) - 1] if len(values) else owners
-        far = np.bitwise_count(centre ^ owners) <= radius
-        pairs = np.unique(np.stack([centre[far], owners[far]], 1), axis=0)
+        fps = np.unique(np.frombuffer(b"".join(frame["packed"]), np.uint64))
+        values, owners = shared_variants(fps, masks, bucket_of(masks, width), int(key[0]), width)
+        pairs = np.zeros((0, 2), np.uint64)
+        if len(values):
+            new = np.append(True, values[1:] != values[:-1])
+            at, group = np.flatnonzero(new), np.cumsum(new) - 1
+            # An odd radius is met by a shorter and a longer half: two longer ones make no link.
+            near = np.bitwise_count(values ^ owners) <= radius // 2
+            centre = np.minimum.reduceat(np.where(near, owners, np.uint64((1 << 64) - 1)), at)[group]
+            linked = np.logical_or.reduceat(near, at)[group] & (np.bitwise_count(centre ^ owners) <= radius)
+            pairs = np.unique(np.stack([centre[linked], owners[linked]], 1), axis=0)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:

@@ -1,0 +1,9 @@
+import pytest
+
+from replicakit.session import build_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = build_session("local[*]", app="replicakit-llm-tests", shuffle_partitions=8)
+    yield s
