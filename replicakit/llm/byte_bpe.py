@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import sha256
 from heapq import heappop, heappush
 from struct import pack
 
@@ -140,6 +141,22 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, self.find(text)))
 
 
+#: The encoder of this worker process, by vocabulary and pattern: its cache outlives a task.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(ranks: dict[bytes, int], digest: str, pattern: str) -> Encoder:
+    key = (digest, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(ranks, pattern)
+    return _ENCODERS[key]
+
+
+def _digest(ranks: dict[bytes, int]) -> str:
+    return sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+
+
 def _map(df: DataFrame, ranks: dict[bytes, int], make, fields: str) -> DataFrame:
     """``make(ranks)`` gives a function from a record batch to lists of the new columns; the
     input columns that ``fields`` names stay in front."""
@@ -178,8 +195,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     Null and empty texts have no tokens; an empty table gives no rows; repeated rows are
     encoded alike; extra columns are ignored. There is no shuffle.
     """
+    digest = _digest(ranks)
+
     def make(ranks):
-        encoder = Encoder(ranks, pattern)
+        encoder = _encoder(ranks, digest, pattern)
 
         def work(batch):
             ids = [encoder(t) for t in batch.column("body").to_pylist()]
@@ -205,8 +224,10 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: s
                text_col: str = "text") -> DataFrame:
     """``encode`` and ``decode`` in one pass over the texts: ``doc_id``, ``n_tokens``, ``ids``
     and ``decoded`` (the bytes that the ids stand for). Edge cases as in ``encode``."""
+    digest = _digest(ranks)
+
     def make(ranks):
-        encoder, decoder = Encoder(ranks, pattern), _decoder(ranks)
+        encoder, decoder = _encoder(ranks, digest, pattern), _decoder(ranks)
 
         def work(batch):
             ids = [encoder(t) for t in batch.column("body").to_pylist()]
