@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -150,7 +152,7 @@ def _census(window: int):
 
 
 def _digests(window: int):
-    def run(_key, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         from xxhash import xxh3_128_digest
 
         marked = np.unique(marks["hash"].to_numpy(np.int64).view(np.uint64))
@@ -193,31 +195,53 @@ def _phrases(texts: list[bytes], recurring: set[bytes], window: int) -> Iterator
                     yield joined[s[w]:e[w]].split()
 
 
-def _locate(window: int, fields: list[str]):
-    def run(_key, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+class PhraseAutomaton:
+    """Finds phrases of words. A word is two symbols (its number in a square), so that no node
+    of the automaton has more than about the root of the vocabulary's size of branches."""
+
+    def __init__(self, phrases: list[list[bytes]]) -> None:
         import ahocorasick
 
+        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for p in phrases for w in p))}
+        self.side = isqrt(len(self.numbers)) + 1
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for p in phrases:
+            self.automaton.add_word(self.symbols(p), 1)
+        if phrases:
+            self.automaton.make_automaton()
+
+    def symbols(self, words: list[bytes]) -> tuple[int, ...]:
+        get = self.numbers.get
+        number = np.array([get(w, -1) for w in words], np.int64)
+        pairs = np.empty(2 * len(words), np.int64)
+        pairs[0::2] = np.where(number < 0, 0, number // self.side + 1)
+        pairs[1::2] = self.side + 2 + number % self.side
+        return tuple(pairs.tolist())
+
+    def ends(self, words: list[bytes]) -> np.ndarray:
+        """Number of the last word of every occurrence."""
+        return np.array([at for at, _ in self.automaton.iter(self.symbols(words))], np.int64) >> 1
+
+
+def _locate(window: int, fields: list[str]):
+    def run(_key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         texts = [bytes(b) for b in docs["body"]]
-        lanes = np.ascontiguousarray(found[["d0", "d1"]].to_numpy(np.int64))
-        recurring = {lanes[i].tobytes() for i in range(len(lanes))}
-        numbers: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for words in _phrases(texts, recurring, window) if recurring else ():
-            automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), window)
-        if len(automaton):
-            automaton.make_automaton()
+        lanes = np.ascontiguousarray(found[["d0", "d1"]].to_numpy(np.int64)).tobytes() if len(found) else b""
+        recurring = {lanes[i:i + 16] for i in range(0, len(lanes), 16)}
+        phrases = list(_phrases(texts, recurring, window)) if recurring else []
+        automaton = PhraseAutomaton(phrases) if phrases else None
+        del phrases, recurring
         kept, total, removed = [], [], []
         for text in texts:
             words = text.split()
-            total.append(len(words))
-            drop = np.zeros(len(words) + 1, np.int64)
-            if len(automaton) and len(words) >= window:
-                ends = np.array([at for at, _ in automaton.iter(tuple(numbers.get(w, 0) for w in words))], np.int64)
-                np.add.at(drop, ends - window + 1, 1)
-                np.add.at(drop, ends + 1, -1)
-            keep = np.cumsum(drop[:-1]) == 0
-            removed.append(int(len(words) - keep.sum()))
-            kept.append(b" ".join(words) if not removed[-1] else b" ".join([words[i] for i in np.flatnonzero(keep).tolist()]))
+            n = len(words)
+            total.append(n)
+            ends = automaton.ends(words) if automaton and n >= window else ()
+            if len(ends):
+                change = np.bincount(ends - window + 1, minlength=n + 1) - np.bincount(ends + 1, minlength=n + 1)
+                words = list(compress(words, (np.cumsum(change[:n]) == 0).tolist()))
+            removed.append(n - len(words))
+            kept.append(b" ".join(words))
         return pd.DataFrame({**{c: docs[c] for c in fields}, "n_words": total, "n_removed": removed, "kept": kept})
     return run
 
