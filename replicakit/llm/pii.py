@@ -135,7 +135,8 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scanned alike; extra columns are ignored. Kinds are searched independently of each
     other, so spans of different kinds may overlap. There is no shuffle.
     """
-    rows = docs.select(docs[id_col].alias("doc_id"), text_of(docs, text_col).alias("body"))
+    # The identifier travels as text: pandas has no whole numbers with nulls.
+    rows = docs.select(docs[id_col].cast("string").alias("doc_id"), text_of(docs, text_col).alias("body"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = anchor_automaton()
@@ -144,5 +145,5 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      for t in batch["body"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": pd.Series(spans, dtype=object)})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(scan, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    out = rows.mapInPandas(scan, "doc_id string, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))

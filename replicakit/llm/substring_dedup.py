@@ -4,7 +4,7 @@
    phrases (a minimiser), so equal windows are stood for by the same hash. Hashes that stand
    for something more than once, or in one shard more than once, mark windows worth a look.
 2. Confirm: shards of documents send a 128-bit digest of each such window and how often it
-   starts there; digests that start at two places or more are recurring phrases.
+   starts there; windows whose digest starts at two places or more are recurring phrases.
 3. Locate: each shard compiles one Aho-Corasick automaton of the recurring phrases that lie in
    its documents (end to end along a passage, as sequences of the shard's word numbers) and
    streams all its documents through it. Words that an occurrence covers are removed.
@@ -24,6 +24,7 @@ from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -151,19 +152,52 @@ def _census(window: int):
     return run
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with compressed bodies: texts are shuffled twice."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        compress = ZstdCompressor(level=3).compress
+        at = rows_names.index("body")
+        for batch in batches:
+            bodies = pa.array([compress(b) for b in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays([bodies if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    rows_names = rows.columns
+    return rows.mapInArrow(run, fields)
+
+
+def _texts(docs: pd.DataFrame) -> list[bytes]:
+    from zstandard import ZstdDecompressor
+
+    unpack = ZstdDecompressor().decompress
+    return [unpack(bytes(b)) for b in docs["body"]]
+
+
+def marked_windows(texts: list[bytes], marks: np.ndarray, window: int) -> Iterator[tuple[Stretch, np.ndarray, list[bytes]]]:
+    """Windows whose minimiser is among the marks (sorted): (stretch, first words, digests)."""
+    from xxhash import xxh3_128_digest
+
+    if not len(marks):
+        return
+    for s in stretches(texts, window):
+        first, low = s.windows(window), minimisers(s, window)[1]
+        at = np.minimum(np.searchsorted(marks, low[first]), len(marks) - 1)
+        first = first[marks[at] == low[first]]
+        if len(first):
+            joined = s.joined
+            yield s, first, [xxh3_128_digest(joined[a:b]) for a, b in
+                             zip(s.start[first].tolist(), s.end[first + window - 1].tolist(), strict=True)]
+
+
 def _digests(window: int):
     def run(_key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        from xxhash import xxh3_128_digest
-
-        marked = np.unique(marks["hash"].to_numpy(np.int64).view(np.uint64))
         counts: dict[bytes, int] = {}
-        if len(marked):
-            for s in stretches([bytes(b) for b in docs["body"]], window):
-                first, low = s.windows(window), minimisers(s, window)[1]
-                at = np.minimum(np.searchsorted(marked, low[first]), len(marked) - 1)
-                first = first[marked[at] == low[first]]
-                for a, b in zip(s.start[first].tolist(), s.end[first + window - 1].tolist(), strict=True):
-                    d = xxh3_128_digest(s.joined[a:b])
+        if len(docs) and len(marks):
+            for _, _, digests in marked_windows(_texts(docs), _sorted(marks["hash"]), window):
+                for d in digests:
                     counts[d] = counts.get(d, 0) + 1
         lanes = np.frombuffer(b"".join(counts), np.int64).reshape(-1, 2)
         shard = docs["shard"].iloc[0] if len(docs) else 0
@@ -172,27 +206,23 @@ def _digests(window: int):
     return run
 
 
-def _phrases(texts: list[bytes], recurring: set[bytes], window: int) -> Iterator[tuple[int, list[bytes]]]:
+def _sorted(hashes: pd.Series) -> np.ndarray:
+    return np.unique(hashes.to_numpy(np.int64).view(np.uint64))
+
+
+def _phrases(texts: list[bytes], marks: np.ndarray, single: set[bytes], window: int) -> Iterator[list[bytes]]:
     """Phrases to look for: along each passage of recurring windows, the windows end to end and
     the last one, which together cover it."""
-    from xxhash import xxh3_128_digest
-
     seen: set[bytes] = set()
-    for stretch in stretches(texts, window):
-        first, joined = stretch.windows(window), stretch.joined
-        s, e = stretch.start[first].tolist(), stretch.end[first + window - 1].tolist()
-        digests = [xxh3_128_digest(joined[a:b]) for a, b in zip(s, e, strict=True)]
-        hit = np.fromiter((d in recurring for d in digests), bool, len(digests))
-        where = np.flatnonzero(hit)
-        if not len(where):
+    for s, first, digests in marked_windows(texts, marks, window):
+        hit = np.flatnonzero(np.fromiter((d not in single for d in digests), bool, len(digests)))
+        if not len(hit):
             continue
-        at = first[where]
-        breaks = np.flatnonzero(np.diff(at) != 1) + 1
-        for run in np.split(where, breaks):
+        for run in np.split(hit, np.flatnonzero(np.diff(first[hit]) != 1) + 1):
             for w in [*run[::window].tolist(), int(run[-1])]:
                 if digests[w] not in seen:
                     seen.add(digests[w])
-                    yield joined[s[w]:e[w]].split()
+                    yield s.joined[s.start[first[w]]:s.end[first[w] + window - 1]].split()
 
 
 class PhraseAutomaton:
@@ -224,13 +254,17 @@ class PhraseAutomaton:
 
 
 def _locate(window: int, fields: list[str]):
-    def run(_key: tuple, docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = [bytes(b) for b in docs["body"]]
-        lanes = np.ascontiguousarray(found[["d0", "d1"]].to_numpy(np.int64)).tobytes() if len(found) else b""
-        recurring = {lanes[i:i + 16] for i in range(0, len(lanes), 16)}
-        phrases = list(_phrases(texts, recurring, window)) if recurring else []
+    def run(_key: tuple, docs: pd.DataFrame, hints: pd.DataFrame) -> pd.DataFrame:
+        texts = _texts(docs)
+        phrases = []
+        if len(hints):
+            once = hints["single"].to_numpy(bool)
+            lanes = np.ascontiguousarray(hints.loc[once, ["d0", "d1"]].to_numpy(np.int64)).tobytes()
+            single = {lanes[i:i + 16] for i in range(0, len(lanes), 16)}
+            phrases = list(_phrases(texts, _sorted(hints.loc[~once, "d0"]), single, window))
+            del single
         automaton = PhraseAutomaton(phrases) if phrases else None
-        del phrases, recurring
+        del phrases
         kept, total, removed = [], [], []
         for text in texts:
             words = text.split()
@@ -261,7 +295,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     if window < PHRASE:
         raise ValueError(f"a window has at least {PHRASE} words")
     body = F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(docs[id_col].alias("doc_id"), body.alias("body"))
+    # The identifier travels as text: pandas has no whole numbers with nulls.
+    rows = docs.select(docs[id_col].cast("string").alias("doc_id"), body.alias("body"))
     size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
     # Repeated identifiers are dealt out by their texts, too.
     shard = F.pmod(F.xxhash64("doc_id", "body"), F.lit(max(1, -(-size // shard_bytes)))).alias("shard")
@@ -271,11 +306,15 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     twice = F.sum("times").over(W.partitionBy("hash")) > 1
     marks = stored(census.withColumn("twice", twice).filter("twice").select("shard", "hash").distinct(), "census")
 
-    counted = (rows.select("shard", "body").groupBy("shard").cogroup(marks.groupBy("shard"))
+    texts = _packed(rows)
+    counted = (texts.select("shard", "body").groupBy("shard").cogroup(marks.groupBy("shard"))
                .applyInPandas(_digests(window), "shard bigint, d0 bigint, d1 bigint, times bigint"))
-    twice = F.sum("times").over(W.partitionBy("d0", "d1")) > 1
-    found = stored(counted.withColumn("twice", twice).filter("twice").select("shard", "d0", "d1"), "phrases")
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return (rows.groupBy("shard").cogroup(found.groupBy("shard"))
-            .applyInPandas(_locate(window, ["doc_id"]), f"doc_id {kind}, n_words bigint, n_removed bigint, kept binary"))
+    # Most marked windows recur: it is the few that do not that go back to their shards.
+    once = F.sum("times").over(W.partitionBy("d0", "d1")) == 1
+    single = stored(counted.withColumn("single", once).filter("single").select("shard", "d0", "d1", "single"), "single")
+    hints = single.unionByName(marks.select("shard", F.col("hash").alias("d0"), F.lit(0).cast("bigint").alias("d1"),
+                                            F.lit(False).alias("single")))
+
+    out = (texts.groupBy("shard").cogroup(hints.groupBy("shard"))
+           .applyInPandas(_locate(window, ["doc_id"]), "doc_id string, n_words bigint, n_removed bigint, kept binary"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
