@@ -115,7 +115,7 @@ def count_with_guard(spark: SparkSession, reg: Registry, side: str, tables: Sequ
         try:
             mode = reg.mode_of(side, pref)
             if mode is not None and mode != "shared":
-                raise GuardRefused(f"service unavailable for target namespace ({pref})")
+                raise GuardRefused(f"{side}/{pref} does not serve reads: its mode is {mode}")
             rows.append((t, pref, _count_at(spark, reg, side, pref, t)))
             continue
         except Exception as err:  # noqa: BLE001

@@ -4,7 +4,7 @@
 as batches (see :mod:`replicakit.streaming.replicate`); ``readonly_view`` is
 the consistent replica at a frontier ``T``: base ∪ changes with ``ts <= T``,
 merged by :func:`merge_changes` (the base is not shuffled when the folded
-changes are small). ``compact`` folds
+changes are small enough for Spark to broadcast). ``compact`` folds
 the batches into the next base so the read cost stays bounded.
 """
 
@@ -21,12 +21,7 @@ from pyspark.sql import functions as F
 
 from replicakit.constants import DELETE
 from replicakit.operators.fold import apply_changes
-from replicakit.operators.sizing import (
-    DEFAULT_BROADCAST_BYTES,
-    DEFAULT_BROADCAST_ROWS,
-    has_at_most,
-)
-from replicakit.session import shared_dir
+from replicakit.session import scratch_path
 from replicakit.sources.changes import TABLE_META as CHANGE_META
 
 
@@ -77,41 +72,25 @@ def initial_copy(source: DataFrame, ts_col: str | None, as_of, path: str) -> Dat
     return source.sparkSession.read.parquet(path)
 
 
-def merge_changes(
-    base: DataFrame,
-    log: DataFrame,
-    spec: ChangeSpec,
-    keep_deletes: bool = False,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-) -> DataFrame:
-    """Newest row per key of ``base`` ∪ ``log``, without shuffling ``base``
-    when the folded changes are small.
-
-    The log is folded first (one shuffle of the log only) and materialised in
-    the shared checkpoint folder. If it has at most ``max_broadcast_rows`` keys
-    and ``max_broadcast_bytes`` (both checked), it is broadcast: ``base`` left
-    join the newest changes takes the newer row per key, and changed keys
-    absent from ``base`` are added; ``base`` is scanned, never shuffled.
-    Otherwise both are folded together (one shuffle). An empty log (one
-    ``limit(1)`` probe) leaves the base as it is. ``base`` must be unique by
-    key (a snapshot or a fold).
+def merge_changes(base: DataFrame, log: DataFrame, spec: ChangeSpec,
+                  keep_deletes: bool = False) -> DataFrame:
+    """Newest row per key of ``base`` and ``log``; one plan at every size.
+
+    The log is folded first (one shuffle of the log only) and written to the
+    shared scratch folder, so its true size is known to the planner: a small one
+    is broadcast by Spark's own threshold and ``base`` is scanned, not shuffled;
+    a large one is joined by key. ``base`` left join the newest changes takes the
+    newer row per key (a late, older change loses), and changed keys absent from
+    ``base`` are added. Should ``base`` repeat a key, each of its rows is compared
+    by itself.
     """
     keys, cols = list(spec.keys), base.columns
-    log = log.select(*cols)
-    if log.limit(1).count() == 0:  # nothing to merge: the base as it is
-        if keep_deletes:
-            return base
-        return base.filter(~F.col(spec.op_col).eqNullSafe(F.lit(spec.delete_value)))
-    newest = apply_changes(log, keys, spec.order, spec.op_col, spec.delete_value,
+    folded = apply_changes(log.select(*cols), keys, spec.order, spec.op_col, spec.delete_value,
                            keep_deletes=True)
-    shared_dir(base.sparkSession)
-    newest = newest.checkpoint(eager=True)
-    if not has_at_most(newest, max_broadcast_rows, max_broadcast_bytes):
-        return apply_changes(base.unionByName(log), keys, spec.order, spec.op_col,
-                             spec.delete_value, keep_deletes=keep_deletes)
-    n = F.broadcast(newest.select(*[F.col(c).alias(f"_n_{c}") for c in cols],
-                                  F.lit(True).alias("_hit")))
+    path = scratch_path(base.sparkSession, "folded")
+    folded.write.parquet(path)
+    newest = base.sparkSession.read.schema(folded.schema).parquet(path)
+    n = newest.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_hit"))
     on = reduce(lambda a, b: a & b, [base[k].eqNullSafe(F.col(f"_n_{k}")) for k in keys])
     joined = base.join(n, on, "left")
     take_new = F.col("_hit").isNotNull() & (
@@ -122,15 +101,13 @@ def merge_changes(
     matched = base.select(*keys).join(n, on, "left_semi").select(
         *[F.col(k).alias(f"_m_{k}") for k in keys])
     on_m = reduce(lambda a, b: a & b, [newest[k].eqNullSafe(F.col(f"_m_{k}")) for k in keys])
-    added = newest.join(F.broadcast(matched), on_m, "left_anti")
-    out = updated.unionByName(added)
+    out = updated.unionByName(newest.join(matched, on_m, "left_anti"))
     if not keep_deletes:
         out = out.filter(~F.col(spec.op_col).eqNullSafe(F.lit(spec.delete_value)))
     return out
 
 
-def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None) -> DataFrame:
     """Consistent replica at frontier ``as_of`` (``None`` = everything).
 
     ``base`` must carry the order and op columns (tombstones kept). The
@@ -139,8 +116,7 @@ def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None,
     """
     if as_of is not None:
         log = log.filter(F.col(spec.ts_col) <= _ts_lit(as_of))
-    view = merge_changes(base, log, spec, keep_deletes=False,
-                         max_broadcast_rows=max_broadcast_rows)
+    view = merge_changes(base, log, spec, keep_deletes=False)
     return view.select(*spec.data_columns(view)) if spec.meta else view
 
 

@@ -17,10 +17,13 @@ replication up where it was and any driver can read the read-only replica.
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,7 +64,6 @@ from replicakit.plans.status import ready_gate, replication_status
 from replicakit.sources.changes import (
     TS_FORMAT,
     change_schema,
-    now,
     parse_ts,
     ts_lit,
     with_meta,
@@ -69,6 +71,7 @@ from replicakit.sources.changes import (
 from replicakit.sources.registry import (
     CONTROL_SET,
     Registry,
+    is_path_not_found,
     keys_key,
     pending_key,
     resolve_default,
@@ -101,9 +104,17 @@ def _checked_keys(reg: Registry, side: str, ns: str, table: str, keys: Sequence[
     return list(keys)
 
 
+def _touched(df: DataFrame, keys_df: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows of ``df`` whose key is (``left_semi``) or is not (``left_anti``) in ``keys_df``;
+    null keys are keys like any other."""
+    k = keys_df.select(*[F.col(c).alias(f"_k_{c}") for c in keys])
+    return df.join(k, reduce(lambda a, b: a & b, [df[c].eqNullSafe(F.col(f"_k_{c}")) for c in keys]), how)
+
+
 def _append_changes(reg: Registry, side: str, ns: str, table: str, rows: DataFrame,
                     op: str = UPSERT) -> None:
-    with_meta(rows, now(), reg.next_version(), op).write.mode("append").parquet(
+    stamp = reg.stamp()
+    with_meta(rows, stamp, reg.next_version(), op).write.mode("append").parquet(
         reg.epoch_path(side, ns, table))
 
 
@@ -111,7 +122,7 @@ def _record_pending(reg: Registry, side: str, ns: str, table: str, keys: Sequenc
                     compact_every: int) -> int | None:
     entries = [(pending_key(side, ns, table), CONTROL_SET, str(reg.pending(side, ns, table) + 1))]
     if reg.table_keys(side, ns, table) is None:
-        entries.append((keys_key(side, ns, table), CONTROL_SET, ",".join(keys)))
+        entries.append((keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys))))
     reg.append_control(entries)
     if reg.pending(side, ns, table) >= compact_every:
         return reg.compact_table(side, ns, table)
@@ -136,14 +147,16 @@ def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[s
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
     keys = _checked_keys(reg, side, ns, table, keys)
+    if not rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"rows for {side}/{ns}/{table} repeat a key")
     # Small loads (checked) are broadcast, so the table is scanned, not shuffled.
     touched_keys = broadcast_if_small(rows.select(*keys).distinct())
     if reg.current_version(side, ns, table) is None:
         new = upsert(reg.read(side, ns, table), rows, keys) if reg.exists(side, ns, table) else rows
-        _append_changes(reg, side, ns, table, new.join(touched_keys, keys, "left_semi"))
+        _append_changes(reg, side, ns, table, _touched(new, touched_keys, keys, "left_semi"))
         return reg.write_version(side, ns, table, new,
-                                 extra=[(keys_key(side, ns, table), CONTROL_SET, ",".join(keys))])
-    current = reg.read(side, ns, table).join(touched_keys, keys, "left_semi")
+                                 extra=[(keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys)))])
+    current = _touched(reg.read(side, ns, table), touched_keys, keys, "left_semi")
     _append_changes(reg, side, ns, table, upsert(current, rows, keys))
     return _record_pending(reg, side, ns, table, keys, compact_every)
 
@@ -158,10 +171,10 @@ def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequ
     keys = _checked_keys(reg, side, ns, table, keys)
     gone = broadcast_if_small(key_rows.select(*keys).distinct())
     current = reg.read(side, ns, table)
-    _append_changes(reg, side, ns, table, current.join(gone, keys, "left_semi"), DELETE)
+    _append_changes(reg, side, ns, table, _touched(current, gone, keys, "left_semi"), DELETE)
     if reg.current_version(side, ns, table) is None:
-        return reg.write_version(side, ns, table, current.join(gone, keys, "left_anti"),
-                                 extra=[(keys_key(side, ns, table), CONTROL_SET, ",".join(keys))])
+        return reg.write_version(side, ns, table, _touched(current, gone, keys, "left_anti"),
+                                 extra=[(keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys)))])
     return _record_pending(reg, side, ns, table, keys, compact_every)
 
 
@@ -174,18 +187,14 @@ class ReplicaInfo:
     as_of: str
     through_batch: int = -1  # applied batches up to this id are in the base
     base_frontier: str = ""  # newest change in the base ("" = as_of)
-    keys: str = ""  # the table's key columns, comma-separated
+    keys: str = ""  # the table's key columns, a JSON list
 
     def encode(self) -> str:
-        return "|".join([self.source_side, self.source_ns, str(self.base_version),
-                         str(self.run), self.as_of, str(self.through_batch),
-                         self.base_frontier, self.keys])
+        return json.dumps(asdict(self))
 
     @classmethod
     def decode(cls, s: str) -> ReplicaInfo:
-        a, b, c, d, e, *f = s.split("|")
-        return cls(a, b, int(c), int(d), e, int(f[0]) if f else -1,
-                   f[1] if len(f) > 1 else "", f[2] if len(f) > 2 else "")
+        return cls(**json.loads(s))
 
 
 def _info_key(side: str, ns: str, table: str) -> str:
@@ -276,8 +285,14 @@ class Replication:
             "batch")
 
     def view(self, as_of=None) -> DataFrame:
-        """The read-only replica (O26) as of now or ``as_of``."""
+        """The read-only replica (O26) as of now or ``as_of``; a time before the base's
+        newest change (the initial copy, and any compaction) cannot be served."""
         info = self.info()
+        if as_of is not None:
+            frontier = parse_ts(info.base_frontier or info.as_of)
+            wanted = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
+            if wanted < frontier:
+                raise ValueError(f"the replica base is at {frontier}, later than {wanted}")
         return readonly_view(self.base(info), self.applied(info), self.spec, as_of)
 
     def _mount_view(self) -> None:
@@ -286,20 +301,27 @@ class Replication:
 
     # ---------------------------------------------------------- streaming
     def _ensure_changes(self) -> str:
-        """The source's change log, made to exist (a file stream needs a folder)."""
-        empty = self.spark.createDataFrame([], change_schema(self._schema()))
-        empty.write.mode("append").parquet(self.reg.epoch_path(self.source, self.source_ns,
-                                                                self.table))
-        return changes_dir(self.reg, self.source, self.source_ns, self.table)
+        """The source's change log, made to exist once (a file stream needs a folder)."""
+        path = changes_dir(self.reg, self.source, self.source_ns, self.table)
+        schema = change_schema(self._schema())
+        try:
+            self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as err:
+            if not is_path_not_found(err):
+                raise
+            self.spark.createDataFrame([], schema).write.mode("append").parquet(
+                self.reg.epoch_path(self.source, self.source_ns, self.table))
+        return path
 
     def run_stream(self, info: ReplicaInfo, timeout_s: float | None = None) -> bool:
-        """Apply every change file present now (``availableNow``)."""
+        """Apply every change file present now (``availableNow``) (O27). Batches are stored
+        as they came: a later view at a point in time needs the rows before it."""
         src = self._ensure_changes()
         q = replicate_stream(
             self.spark, src, change_schema(self._schema()),
             out=f"{self.root}/applied/run={info.run}",
             ckpt=f"{self.root}/ckpt/run={info.run}",
-            after=info.as_of, ts_col="_ts", fold_spec=self.spec)
+            after=info.as_of, ts_col="_ts")
         return drain(q, timeout_s)
 
     # --------------------------------------------------------------- gate
@@ -334,10 +356,11 @@ class Replication:
         vocab = ({"status_vocab": RESTART_STATUS_VOCAB, "state_vocab": RESTART_STATE_VOCAB}
                  if restart else {"status_vocab": START_STATUS_VOCAB,
                                   "state_vocab": START_STATE_VOCAB})
-        polls = None
+        seen: list[tuple] = []
         for i in range(1, max_tries + 1):
             row = self.poll(info, i)
-            polls = row if polls is None else polls.unionByName(row)
+            seen.append(tuple(row.first()))  # one row a try; earlier ones are not asked again
+            polls = self.spark.createDataFrame(seen, row.schema)
             verdict = ready_gate(polls, max_tries=max_tries, **vocab).first()
             if verdict["verdict"] == "ready":
                 return
@@ -350,12 +373,12 @@ class Replication:
     def start(self, max_tries: int = MAX_ITERS, set_pointers: bool = False) -> ReplicaInfo:
         """Initial copy (O24) into the replica base, stream changes after it,
         mount the read-only view, wait for the gate, set the flags."""
-        as_of = now()
+        as_of = self.reg.stamp()
         src = self.reg.read(self.source, self.source_ns, self.table)
         # Base and run ids are never reused, so an old checkpoint never resumes.
         info = ReplicaInfo(self.source, self.source_ns, self.reg.next_version(),
                            self.reg.next_version(), as_of.strftime(TS_FORMAT),
-                           keys=",".join(self.keys))
+                           keys=json.dumps(self.keys))
         with_meta(src, as_of, 0).write.mode("overwrite").parquet(
             f"{self.root}/base/v={info.base_version}")
         return self._activate(info, max_tries, "start", set_pointers)
@@ -398,13 +421,6 @@ class Replication:
         if not done and on_timeout == "fail":
             raise ReplicationTimeout("replication did not complete in time")
         as_of = None if to == "latest" else to
-        if as_of is not None:
-            # The base already holds everything up to its newest change (the
-            # initial copy, and any compaction): an earlier point cannot be served.
-            frontier = parse_ts(info.base_frontier or info.as_of)
-            wanted = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(as_of)
-            if frontier is not None and wanted < frontier:
-                raise ValueError(f"cannot cut over to {wanted}: the replica base is at {frontier}")
         view = self.view(as_of)
         pointers = [(f"default/{self.target}", CONTROL_SET, self.target_ns)]
         if self.target == SIDE_A:
@@ -416,7 +432,7 @@ class Replication:
             (f"data_state/{self.target}/{self.target_ns}", "set", "ready"),
             (f"data_state/{self.target}/{self.readonly_ns}", "set", "offline"),
             (_info_key(self.target, self.target_ns, self.table), "del", None),
-            (keys_key(self.target, self.target_ns, self.table), CONTROL_SET, ",".join(self.keys)),
+            (keys_key(self.target, self.target_ns, self.table), CONTROL_SET, json.dumps(self.keys)),
             *_flags(self.source, self.target, "failover"),
             *pointers,
         ])
@@ -432,7 +448,7 @@ class Replication:
         point, reset the pointers. ``dry_run`` writes nothing and returns the
         planned ``(action, n_rows)``.
         """
-        as_of = now()
+        as_of = self.reg.stamp()
         source = self.reg.read(self.source, self.source_ns, self.table)
         current = self.reg.read(self.target, self.target_ns, self.table)
         diff = resync_diff(source, current, self.keys)
@@ -441,7 +457,7 @@ class Replication:
         self.reg.set_mode(self.target, self.target_ns, "none")
         nv = self.reg.next_version()
         info = ReplicaInfo(self.source, self.source_ns, nv, self.reg.next_version(),
-                           as_of.strftime(TS_FORMAT), keys=",".join(self.keys))
+                           as_of.strftime(TS_FORMAT), keys=json.dumps(self.keys))
         # The diff is written once and read back (used twice by apply_diff).
         diff_path = f"{self.root}/diff/v={nv}"
         diff.write.mode("overwrite").parquet(diff_path)

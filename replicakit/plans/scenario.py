@@ -31,7 +31,7 @@ STEPS = ("load A", "start A->B", "cutover to B", "load B", "start B->A", "cutove
 def smoke(spark: SparkSession, reg: Registry) -> DataFrame:
     """One row per side: can the default-routed namespace be read?
 
-    Every table of the namespace must resolve, and one ``limit(1)`` job runs
+    The namespace must exist and every table of it resolve, and one ``limit(1)`` job runs
     on the first; any failure makes that side's ``ok`` false.
     """
     rows = []
@@ -39,6 +39,8 @@ def smoke(spark: SparkSession, reg: Registry) -> DataFrame:
         try:
             ns = resolve_default(reg, side)
             frames = [reg.read(side, ns, t) for t in reg.tables(side, ns)]
+            if ns not in reg.namespaces(side):
+                raise LookupError(f"{side} has no namespace {ns}")
             if frames:
                 frames[0].limit(1).count()
             rows.append((side, True))
@@ -150,7 +152,7 @@ def run_scenario(
             result = action()
             ok, detail = True, result if isinstance(result, str) else "ok"
         except Exception as err:  # noqa: BLE001 - report the failing step, then stop
-            ok, detail = False, f"failed at step: {name}: {type(err).__name__}: {err}"[:500]
+            ok, detail = False, f"failed at step: {name}: {type(err).__name__}: {err}"
         n_a, n_b = _default_counts(spark, reg, table)
         rows.append((i, name, ok, n_a, n_b, detail))
         if not ok:

@@ -31,7 +31,7 @@ DEFAULT_CONF = {
 def build_session(
     master: str | None = None,
     app: str = "replicakit",
-    shuffle_partitions: int = 8,
+    shuffle_partitions: int | None = None,
     driver_memory: str | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
@@ -40,7 +40,8 @@ def build_session(
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if driver_memory:
         conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})

@@ -21,6 +21,9 @@ from one place); other drivers may read it and call :meth:`Registry.refresh`.
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import re
 import time
 from collections.abc import Callable, Iterable
 
@@ -77,8 +80,6 @@ def pending_key(side: str, ns: str, table: str) -> str:
 
 
 def _as_datetime(t):
-    import datetime as dt
-
     return t if isinstance(t, dt.datetime) else dt.datetime.fromisoformat(str(t))
 
 
@@ -95,6 +96,8 @@ class Registry:
         self._mounts: dict[tuple[str, str, str], DataFrame | str | Callable[[], DataFrame]] = {}
         self._state: dict[str, str] | None = None
         self._last_version = 0
+        self._last_stamp = 0
+        self.state()
 
     # ------------------------------------------------------------ control log
     @property
@@ -105,6 +108,14 @@ class Registry:
         self._last_version = max(time.time_ns(), self._last_version + 1)
         return self._last_version
 
+    def stamp(self) -> dt.datetime:
+        """A change time after every version, change and watermark that this registry's
+        control state knows of, also where the driver's clock lags behind theirs."""
+        micros = max(self.next_version() // 1000, self._last_stamp) + 1
+        self._last_stamp = micros
+        self._last_version = max(self._last_version, micros * 1000)
+        return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=micros)
+
     def append_control(self, entries: Iterable[tuple[str, str, str | None]]) -> None:
         """Append ``(key, op, value)`` rows, newest version last, in one file."""
         rows = [(self.next_version(), k, op, v) for k, op, v in entries]
@@ -190,7 +201,7 @@ class Registry:
 
     def table_keys(self, side: str, ns: str, table: str) -> list[str] | None:
         v = self.state().get(keys_key(canon_side(side), map_namespace(ns), table))
-        return v.split(",") if v else None
+        return json.loads(v) if v else None
 
     def pending(self, side: str, ns: str, table: str) -> int:
         """Loads appended since the table's current version."""
@@ -203,15 +214,20 @@ class Registry:
 
         wm = self.state()[watermark_key(side, ns, table)]
         cs = change_schema(schema)
-        try:
-            rows = (self.spark.read.schema(cs)
-                    .option("basePath", self.changes_path(side, ns, table))
-                    .parquet(self.epoch_path(side, ns, table)))
-        except AnalysisException as err:
-            if not is_path_not_found(err):
-                raise
-            return self.spark.createDataFrame([], cs)
-        return rows.select(*cs.fieldNames()).filter(F.col("_ts") > ts_lit(wm))
+        v = self.current_version(side, ns, table) or 0
+        rows = self.spark.createDataFrame([], cs)
+        # A change appended while this version was being written has the epoch before it.
+        for epoch in (v - 1, v):
+            try:
+                part = (self.spark.read.schema(cs)
+                        .option("basePath", self.changes_path(side, ns, table))
+                        .parquet(f"{self.changes_path(side, ns, table)}/epoch={epoch}"))
+            except AnalysisException as err:
+                if not is_path_not_found(err):
+                    raise
+                continue
+            rows = rows.unionByName(part.select(*cs.fieldNames()))
+        return rows.filter(F.col("_ts") > ts_lit(wm))
 
     def read(self, side: str, ns: str, table: str, as_of=None) -> DataFrame:
         """Data of a table now, or as of a time; ``PATH_NOT_FOUND`` if it does
@@ -260,13 +276,11 @@ class Registry:
     def _replica_view(self, side: str, ns: str, table: str):
         """A read-only replica, rebuilt from the control state (so any driver
         reading this registry sees it, not only the one that started it)."""
-        from replicakit.plans.replication import Replication
+        from replicakit.plans.replication import ReplicaInfo, Replication
 
-        fields = self._replica_of(side, ns, table).split("|")
-        src_side, src_ns = fields[:2]
-        keys = (fields[7].split(",") if len(fields) > 7 and fields[7]
-                else self.table_keys(src_side, src_ns, table))
-        rep = Replication(self, src_side, side, table, keys)
+        info = ReplicaInfo.decode(self._replica_of(side, ns, table))
+        keys = json.loads(info.keys) if info.keys else self.table_keys(info.source_side, info.source_ns, table)
+        rep = Replication(self, info.source_side, side, table, keys)
         return lambda as_of=None: rep.view(as_of)
 
     def exists(self, side: str, ns: str, table: str) -> bool:
@@ -290,23 +304,25 @@ class Registry:
 
     def write_version(self, side: str, ns: str, table: str, df: DataFrame,
                       extra: Iterable[tuple[str, str, str | None]] = (),
-                      watermark: str | None = None) -> int:
+                      watermark: str | None = None, held: int | None = None) -> int:
         """Write ``df`` as the next version, then swap the pointer to it.
 
         The new version goes to a folder nobody reads yet; a failed or retried
         write never touches the current one. The version holds every change up
         to ``watermark`` (default: now), so the pending count restarts at zero.
-        ``extra`` control rows are appended together with the pointer.
+        ``extra`` control rows are appended together with the pointer; changes
+        counted while the version was written stay pending.
         """
-        from replicakit.sources.changes import TS_FORMAT, now
+        from replicakit.sources.changes import TS_FORMAT
 
         side, ns = canon_side(side), map_namespace(ns)
         v = (self.current_version(side, ns, table) or 0) + 1
+        folded = self.pending(side, ns, table) if held is None else held
         df.write.mode("overwrite").parquet(f"{self.table_dir(side, ns, table)}/v={v}")
         self.append_control([
             (table_key(side, ns, table), CONTROL_SET, str(v)),
-            (watermark_key(side, ns, table), CONTROL_SET, watermark or now().strftime(TS_FORMAT)),
-            (pending_key(side, ns, table), CONTROL_SET, "0"),
+            (watermark_key(side, ns, table), CONTROL_SET, watermark or self.stamp().strftime(TS_FORMAT)),
+            (pending_key(side, ns, table), CONTROL_SET, str(self.pending(side, ns, table) - folded)),
             *extra,
         ])
         return v
@@ -323,6 +339,7 @@ class Registry:
         if v is None or self.pending(side, ns, table) == 0:
             return None
         base = read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
+        held = self.pending(side, ns, table)
         changes = self.pending_changes(side, ns, table, base.schema)
         newest = changes.agg(F.max("_ts").alias("m")).first()["m"]
         if newest is None:
@@ -330,7 +347,7 @@ class Registry:
         merged = self._merged(side, ns, table, base, changes.filter(
             F.col("_ts") <= F.lit(newest.strftime(TS_FORMAT)).cast("timestamp_ntz")))
         return self.write_version(side, ns, table, merged,
-                                  watermark=newest.strftime(TS_FORMAT))
+                                  watermark=newest.strftime(TS_FORMAT), held=held)
 
     def tables(self, side: str, ns: str) -> list[str]:
         side, ns = canon_side(side), map_namespace(ns)
@@ -428,14 +445,34 @@ def run_sql(spark: SparkSession, reg: Registry, sql: str, side: str = "A",
     """Ad-hoc SQL over one side's namespace (O4); by default side A and the
     side's main namespace (``va`` / ``vb``), aliases accepted.
 
-    The namespace's tables are registered as temp views under their names
-    (the last dotted part), then the SQL runs through Catalyst as usual.
+    Only tables whose names occur in the SQL are read. They are temp views
+    while the statement is analysed and dropped right after it, so no name of an
+    earlier call or of the other side resolves. A dotted table ``x.t`` goes by
+    its full name, and by ``t`` where no other table ends in that.
     """
     side = canon_side(side)
     ns = MAIN_NAMESPACE[side] if ns is None else map_namespace(ns)
-    for t in reg.tables(side, ns):
-        reg.read(side, ns, t).createOrReplaceTempView(t.split(".")[-1])
-    return spark.sql(sql)
+    tables = reg.tables(side, ns)
+    last = [t.split(".")[-1].lower() for t in tables]
+    views: list[str] = []
+    try:
+        for t in tables:
+            short = t.split(".")[-1]
+            if not re.search(rf"(?<!\w){re.escape(short)}(?!\w)", sql, re.IGNORECASE):
+                continue
+            df = reg.read(side, ns, t)
+            for name in {t, short} if last.count(short.lower()) == 1 else {t}:
+                df.createOrReplaceTempView(f"`{name}`")
+                views.append(name)
+        for t in tables:
+            if "." in t:  # outside string literals
+                parts = re.split(r"('(?:[^']|'')*')", sql)
+                parts[::2] = [re.sub(rf"(?<![\w`.]){re.escape(t)}(?![\w`])", f"`{t}`", p) for p in parts[::2]]
+                sql = "".join(parts)
+        return spark.sql(sql)
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(f"`{name}`" if "." in name else name)
 
 
 def table_inventory(spark: SparkSession, reg: Registry, side: str,

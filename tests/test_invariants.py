@@ -100,10 +100,13 @@ def test_merge_broadcast_path_equals_full_fold(spark):
     base, log = fx.base_0(spark, SF_SMALL), fx.change_log(spark, SF_SMALL)
     for keep in (False, True):
         fast = merge_changes(base, log, spec, keep_deletes=keep)
-        full = merge_changes(base, log, spec, keep_deletes=keep, max_broadcast_rows=0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        full = merge_changes(base, log, spec, keep_deletes=keep)
+        full_rows = rows(full)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         plain = apply_changes(base.unionByName(log), fx.CHANGE_KEYS, fx.CHANGE_ORDER,
                               keep_deletes=keep)
-        assert rows(fast) == rows(full) == rows(plain)
+        assert rows(fast) == full_rows == rows(plain)
 
 
 def test_compaction_keeps_the_view(spark):

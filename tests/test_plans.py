@@ -23,8 +23,7 @@ def plan(df) -> str:
 def test_view_pushes_frontier_to_scan(spark):
     spec = ChangeSpec(keys=("user_id",), order=("ts", "event_id"), op_col="op")
     log = fx.change_log(spark, SF_SMALL)
-    view = readonly_view(fx.base_0(spark, SF_SMALL), log, spec, "2024-01-22 00:00:00",
-                         max_broadcast_rows=0)
+    view = readonly_view(fx.base_0(spark, SF_SMALL), log, spec, "2024-01-22 00:00:00")
     assert "PushedFilters: [IsNotNull(ts), LessThanOrEqual(ts," in plan(view)
 
 
