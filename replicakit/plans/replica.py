@@ -107,6 +107,11 @@ def merge_changes(base: DataFrame, log: DataFrame, spec: ChangeSpec,
     return out
 
 
+def upto(log: DataFrame, spec: ChangeSpec, as_of=None) -> DataFrame:
+    """Changes no later than ``as_of`` (``None``: all); the filter reaches the scan."""
+    return log if as_of is None else log.filter(F.col(spec.ts_col) <= _ts_lit(as_of))
+
+
 def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None) -> DataFrame:
     """Consistent replica at frontier ``as_of`` (``None`` = everything).
 
@@ -114,17 +119,13 @@ def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None)
     frontier filter is applied to the log first, so it reaches the Parquet scan
     of the change batches; the merge is :func:`merge_changes`.
     """
-    if as_of is not None:
-        log = log.filter(F.col(spec.ts_col) <= _ts_lit(as_of))
-    view = merge_changes(base, log, spec, keep_deletes=False)
+    view = merge_changes(base, upto(log, spec, as_of), spec, keep_deletes=False)
     return view.select(*spec.data_columns(view)) if spec.meta else view
 
 
 def compact(base: DataFrame, log: DataFrame, spec: ChangeSpec, path: str, as_of=None) -> DataFrame:
     """Fold ``log`` into ``base`` keeping tombstones; write it as the next base."""
-    if as_of is not None:
-        log = log.filter(F.col(spec.ts_col) <= _ts_lit(as_of))
-    merge_changes(base, log, spec, keep_deletes=True).write.mode("overwrite").parquet(path)
+    merge_changes(base, upto(log, spec, as_of), spec, keep_deletes=True).write.mode("overwrite").parquet(path)
     return base.sparkSession.read.parquet(path)
 
 

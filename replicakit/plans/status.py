@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -227,9 +228,9 @@ def status_rows(spark: SparkSession, reg: Registry) -> DataFrame:
         main = MAIN_NAMESPACE[side]
         running = sorted(k for k in st if k.startswith(f"replica/{side}/{main}/"))
         for k in running:
-            src_side, src_ns = st[k].split("|")[:2]
+            info = json.loads(st[k])
             rows.append(("replication", side, k.split("/", 3)[3],
-                         f"from {src_side}/{src_ns} since {st[k].split('|')[4]}"))
+                         f"from {info['source_side']}/{info['source_ns']} since {info['as_of']}"))
         rows.append(("ingesting", side, main, str(bool(running))))
     rows.append(("flag", SIDE_A, REPL_BTOA_ACTIVE, str(is_true_value(st.get(REPL_BTOA_ACTIVE)))))
     rows.append(("flag", SIDE_B, REPL_ATOB_ACTIVE, str(is_true_value(st.get(REPL_ATOB_ACTIVE)))))

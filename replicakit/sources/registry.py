@@ -26,6 +26,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -215,7 +216,7 @@ class Registry:
         wm = self.state()[watermark_key(side, ns, table)]
         cs = change_schema(schema)
         v = self.current_version(side, ns, table) or 0
-        rows = self.spark.createDataFrame([], cs)
+        parts = []
         # A change appended while this version was being written has the epoch before it.
         for epoch in (v - 1, v):
             try:
@@ -226,8 +227,10 @@ class Registry:
                 if not is_path_not_found(err):
                     raise
                 continue
-            rows = rows.unionByName(part.select(*cs.fieldNames()))
-        return rows.filter(F.col("_ts") > ts_lit(wm))
+            parts.append(part.select(*cs.fieldNames()))
+        if not parts:
+            return self.spark.createDataFrame([], cs)
+        return reduce(DataFrame.unionByName, parts).filter(F.col("_ts") > ts_lit(wm))
 
     def read(self, side: str, ns: str, table: str, as_of=None) -> DataFrame:
         """Data of a table now, or as of a time; ``PATH_NOT_FOUND`` if it does

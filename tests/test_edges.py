@@ -369,7 +369,9 @@ def test_run_sql_defaults_and_smoke_verdict(spark):
     swap_default(reg, "A", "va-readonly")
     assert run_sql(spark, reg, "SELECT count(*) AS n FROM t").first()["n"] == 2  # main ns
     assert run_sql(spark, reg, "SELECT count(*) AS n FROM t", "p", "crla-readonly").first()["n"] == 1
-    assert smoke_passed(spark, reg) is True  # B has no tables: nothing fails
+    assert smoke_passed(spark, reg) is False  # B has no namespace
+    reg.set_mode("B", "vb", "shared")
+    assert smoke_passed(spark, reg) is True  # B has one without tables: nothing fails
     reg.mount("B", "vb", "broken", "/nonexistent/path")
     assert smoke_passed(spark, reg) is False
 
