@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replicakit import fixtures as fx
-from replicakit.constants import DEFAULT_TABLE
+from replicakit.constants import DEFAULT_TABLE, REPL_ATOB_ACTIVE, REPL_BTOA_ACTIVE, SIDE_A, SIDE_B
 from replicakit.functions.text import (
     canon_side_col,
     checked_table_name,
@@ -45,6 +45,7 @@ from replicakit.sources.registry import (
     pointer_table,
     pointers,
     read_side,
+    resolve_default,
     run_sql,
     swap_default,
     table_inventory,
@@ -57,6 +58,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 ORDER_KEYS = ["o_orderkey"]
+SIDES = (SIDE_A, SIDE_B)
 
 
 def register(name: str, sql: str | None = None):
@@ -79,6 +81,16 @@ def given_registry(spark: SparkSession, sf_dir: str) -> Registry:
     return reg
 
 
+def pointer_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pointer log of the events as control rows."""
+    return fx.pointer_log(spark, sf_dir).select(
+        F.col("version"),
+        F.concat(F.lit("default/"), canon_side_col("side")).alias("key"),
+        F.lit("set").alias("op"),
+        map_namespace_col("target_namespace").alias("value"),
+    ).filter(F.col("key").isNotNull())
+
+
 # ------------------------------------------------------------------ counts
 @register("row_count", """
 SELECT 'CA' AS side, 'orders' AS table_name, count(*) AS n_rows FROM orders
@@ -224,7 +236,7 @@ def q_is_true(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------ pointers (O1, O2)
-@register("resolve_default", fx.with_fixtures("""
+@register("pointer_table", fx.with_fixtures("""
 SELECT side, max_by(target_namespace, version) AS target_namespace, max(version) AS version
 FROM (
   SELECT CASE WHEN lower(side) IN ('ca', 'a', '1', 'primary', 'p') THEN 'CA'
@@ -240,10 +252,36 @@ FROM (
   FROM pl) WHERE side IS NOT NULL
 GROUP BY side
 """, pl=fx.POINTER_LOG_SQL))
-def q_resolve_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_pointer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointer_table(fx.pointer_log(spark, sf_dir))
 
 
+RESOLVE_DEFAULT_SQL = fx.with_fixtures("""
+SELECT s.side, coalesce(max_by(ns, version), s.main) AS target_namespace
+FROM (VALUES ('CA', 'va'), ('CB', 'vb')) AS s(side, main) LEFT JOIN (
+  SELECT CASE WHEN lower(side) IN ('ca', 'a', '1', 'primary', 'p') THEN 'CA'
+              WHEN lower(side) IN ('cb', 'b', '2', 'standby', 's') THEN 'CB' END AS side,
+         CASE WHEN lower(target_namespace) = 'crla' THEN 'va'
+              WHEN lower(target_namespace) = 'crlb' THEN 'vb'
+              WHEN lower(target_namespace) = 'crla-readonly' THEN 'va-readonly'
+              WHEN lower(target_namespace) = 'crlb-readonly' THEN 'vb-readonly'
+              WHEN lower(target_namespace) IN ('va', 'vb', 'va-readonly', 'vb-readonly', 'system')
+                THEN lower(target_namespace)
+              ELSE target_namespace END AS ns, version
+  FROM pl) p ON p.side = s.side
+GROUP BY s.side, s.main
+""", pl=fx.POINTER_LOG_SQL)
+
+
+@register("resolve_default", RESOLVE_DEFAULT_SQL)
+def q_resolve_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The namespace each side's unqualified reads reach, after an imported history."""
+    reg = given_registry(spark, sf_dir)
+    reg.import_control(pointer_history(spark, sf_dir))
+    return spark.createDataFrame([(s, resolve_default(reg, s)) for s in SIDES],
+                                 "side string, target_namespace string")
+
+
 # --------------------------------------------------------------- diff (O22-23)
 RESYNC_DIFF_SQL = fx.with_fixtures("""
 SELECT coalesce(s.o_orderkey, r.o_orderkey) AS o_orderkey,
@@ -344,13 +382,7 @@ SELECT 1000000000000 + n AS version, 'default/' || s AS key, ns AS value FROM (V
 def q_swap_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pointer history imported from the events, then the tool's swaps."""
     reg = given_registry(spark, sf_dir)
-    hist = fx.pointer_log(spark, sf_dir).select(
-        F.col("version"),
-        F.concat(F.lit("default/"), canon_side_col("side")).alias("key"),
-        F.lit("set").alias("op"),
-        map_namespace_col("target_namespace").alias("value"),
-    ).filter(F.col("key").isNotNull())
-    reg.import_control(hist)
+    reg.import_control(pointer_history(spark, sf_dir))
     for side, ns in SWAP_SEQUENCE:
         swap_default(reg, side, ns)
     return pointers(reg)
@@ -473,16 +505,16 @@ SELECT CAST(tick AS BIGINT) AS tick, a.n_a, n_b,
 FROM cum JOIN a ON true
 """)
 def q_watch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side A: the whole change log; side B: its four parts arriving, one tick
-    per arrival."""
+    """Side A: the whole change log, counted anew at each tick; side B: its four
+    parts arriving, one tick per arrival."""
     stage, out, ckpt = (scratch_path(spark, "stage"), scratch_path(spark, "ticks"),
                         scratch_path(spark, "ckpt"))
     schema = fx.change_log(spark, sf_dir).schema
-    n_a = count_rows(fx.change_log(spark, sf_dir)).first()["n_rows"]
-    ticks = None
+    log_a, ticks = fx.change_log(spark, sf_dir), None
     for part in fx.change_parts(spark, sf_dir):
         fx.stage(part, stage)
-        ticks = watch_counts(spark, stage, schema, n_a, out=out, ckpt=ckpt, available_now=True)
+        ticks = watch_counts(spark, stage, schema, lambda: count_rows(log_a).first()["n_rows"],
+                             out=out, ckpt=ckpt, available_now=True)
     return ticks
 
 
@@ -535,6 +567,12 @@ def q_restart_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_side(spark, reg, "B", None, "orders")
 
 
+@register("restart_dry_run", f"SELECT action, count(*) AS n_rows FROM ({RESYNC_DIFF_SQL}) GROUP BY action")
+def q_restart_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What restarting A->B over the stale ``orders_b`` would write, by action."""
+    return restart_replication(given_registry(spark, sf_dir), "A", "B", "orders", ORDER_KEYS, dry_run=True)
+
+
 CUTOVER_SQL = """
 SELECT o_orderkey, o_custkey,
        CASE WHEN o_orderkey % 200 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
@@ -566,8 +604,9 @@ def q_cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_side(spark, reg, "B", None, "orders")
 
 
-@register("health_report", fx.with_fixtures("""
-SELECT table_name, 'A->B' AS direction, 'va' AS served_by_a, n_a, 'vb' AS served_by_b, n_b,
+def _health_sql(direction: str) -> str:
+    return fx.with_fixtures(f"""
+SELECT table_name, '{direction}' AS direction, 'va' AS served_by_a, n_a, 'vb' AS served_by_b, n_b,
        CASE WHEN n_a IS NULL OR n_b IS NULL THEN 'waiting'
             WHEN n_a = n_b THEN 'match' ELSE 'mismatch' END AS verdict
 FROM (
@@ -575,14 +614,48 @@ FROM (
          (SELECT count(*) FROM orders_b) AS n_b
   UNION ALL
   SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem))
-""", orders_b=fx.ORDERS_B_SQL))
+""", orders_b=fx.ORDERS_B_SQL)
+
+
+@register("health_report", _health_sql("A->B"))
 def q_health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A->B recorded: A counted at ``va``; B at ``vb-readonly`` (absent) then ``vb``."""
     reg = given_registry(spark, sf_dir)
-    reg.set_state("REPL_ATOB_ACTIVE", "1")
+    reg.set_state(REPL_ATOB_ACTIVE, "1")
     return health_report(spark, reg, ["orders", "lineitem"])
 
 
+@register("health_report_btoa", _health_sql("B->A"))
+def q_health_report_btoa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B->A recorded: A counted at ``va-readonly`` (absent) then ``va``; B at ``vb``."""
+    reg = given_registry(spark, sf_dir)
+    reg.set_state(REPL_BTOA_ACTIVE, "1")
+    return health_report(spark, reg, ["orders", "lineitem"])
+
+
+@register("health_report_none", _health_sql("none"))
+def q_health_report_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No direction recorded: each side's main namespace, then its read-only one."""
+    return health_report(spark, given_registry(spark, sf_dir), ["orders", "lineitem"])
+
+
+@register("health_report_full", fx.with_fixtures(f"""
+SELECT * FROM (VALUES ('pointer', 'CA', 'default', 'va'), ('pointer', 'CB', 'default', 'vb'),
+  ('namespace', 'CA', 'va', 'data_state=None service_mode=None'),
+  ('namespace', 'CB', 'vb', 'data_state=None service_mode=None'),
+  ('table', 'CB', 'orders', 'vb'), ('table', 'CB', 'lineitem', 'vb'),
+  ('ingesting', 'CA', 'va', 'False'), ('ingesting', 'CB', 'vb', 'False'),
+  ('flag', 'CA', '{REPL_BTOA_ACTIVE}', 'False'), ('flag', 'CB', '{REPL_ATOB_ACTIVE}', 'False'),
+  {", ".join(f"('table', 'CA', '{t}', 'va')" for t in fx.TABLES)}) AS t(section, side, name, value)
+UNION ALL SELECT 'count', 'CA', table_name, n_a || ' va' FROM h
+UNION ALL SELECT 'count', 'CB', table_name, n_b || ' vb' FROM h
+UNION ALL SELECT 'verdict', direction, table_name, verdict FROM h
+""", h=_health_sql("none")))
+def q_health_report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status report in one frame, no direction recorded."""
+    return health_report(spark, given_registry(spark, sf_dir), ["orders", "lineitem"], detail="full")
+
+
 SCENARIO_SLICES = ("1997-01-01 00:00:00", "1999-01-01 00:00:00")
 
 

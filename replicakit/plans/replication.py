@@ -7,7 +7,9 @@ Layout below the registry root, per ``(side, namespace, table)``:
 ``replica/{side}/{ns}/{table}/base/v={n}/``         replica base (with tombstones)
 ``replica/{side}/{ns}/{table}/applied/run={r}/``    applied batches (``batch=<id>``)
 ``replica/{side}/{ns}/{table}/ckpt/run={r}/``       stream checkpoint
-``replica/{side}/{ns}/{table}/diff/v={n}/``         restart diff, written once
+
+A restart's base is the version the side already stores; its difference to the
+source is written as batch -1 (the version's own pending changes as batch -2).
 
 Replica bookkeeping (source, base version, run, start time, compaction
 watermark, keys) is kept in the control log, so a new driver can pick a
@@ -26,6 +28,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from replicakit.constants import (
@@ -49,7 +52,7 @@ from replicakit.constants import (
     UPSERT,
 )
 from replicakit.functions.text import canon_side
-from replicakit.operators.diff import apply_diff, diff_summary, resync_diff
+from replicakit.operators.diff import diff_summary, resync_diff
 from replicakit.operators.sizing import broadcast_if_small
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replica import (
@@ -60,7 +63,7 @@ from replicakit.plans.replica import (
     readonly_view,
     registry_spec,
 )
-from replicakit.plans.status import ready_gate, replication_status
+from replicakit.plans.status import ready_gate, replication_status, stream_word
 from replicakit.sources.changes import (
     TS_FORMAT,
     change_schema,
@@ -76,13 +79,20 @@ from replicakit.sources.registry import (
     pending_key,
     resolve_default,
     swap_default,
+    watermark_key,
 )
 from replicakit.sources.tables import read_table
-from replicakit.streaming.replicate import drain, replicate_stream
+from replicakit.streaming.replicate import batch_path, drain, replicate_stream
 
 #: Loads between two compactions of a table (merge on read in between).
 COMPACT_EVERY = 16
 
+#: Change files in a micro-batch at most: a backlog is many batches, each kept once done.
+FILES_PER_BATCH = 1000
+
+#: Ids of the batches that a restart writes, and the watermark below them.
+PENDING_BATCH, DIFF_BATCH, BEFORE_RESTART = -2, -1, -3
+
 
 class ReplicationTimeout(RuntimeError):
     """A gate or a drain did not finish in its budget."""
@@ -188,6 +198,8 @@ class ReplicaInfo:
     through_batch: int = -1  # applied batches up to this id are in the base
     base_frontier: str = ""  # newest change in the base ("" = as_of)
     keys: str = ""  # the table's key columns, a JSON list
+    base_path: str = ""  # a stored table version as the base (restart)
+    base_ts: str = ""  # the change time that version holds
 
     def encode(self) -> str:
         return json.dumps(asdict(self))
@@ -235,6 +247,9 @@ class Replication:
         self.target_ns = MAIN_NAMESPACE[self.target]
         self.readonly_ns = self.target_ns + READONLY_SUFFIX
         self.spec: ChangeSpec = registry_spec(self.keys)
+        #: The stream last started here, and whether a drain was cut short.
+        self.query: StreamingQuery | None = None
+        self._cut_short = False
 
     # -------------------------------------------------------------- paths
     @property
@@ -248,6 +263,8 @@ class Replication:
         return self.reg.read(self.source, self.source_ns, self.table).schema
 
     def base(self, info: ReplicaInfo) -> DataFrame:
+        if info.base_path:
+            return with_meta(read_table(self.spark, info.base_path), info.base_ts, -1)
         return read_table(self.spark, f"{self.root}/base/v={info.base_version}")
 
     def applied_dir(self, info: ReplicaInfo) -> str:
@@ -313,37 +330,72 @@ class Replication:
                 self.reg.epoch_path(self.source, self.source_ns, self.table))
         return path
 
-    def run_stream(self, info: ReplicaInfo, timeout_s: float | None = None) -> bool:
-        """Apply every change file present now (``availableNow``) (O27). Batches are stored
-        as they came: a later view at a point in time needs the rows before it."""
+    def _stream(self, info: ReplicaInfo, trigger: dict, files: int = FILES_PER_BATCH) -> StreamingQuery:
+        # One stream a checkpoint: a running one ends before the next starts.
+        self.stop()
         src = self._ensure_changes()
-        q = replicate_stream(
+        self._cut_short = False
+        self.query = replicate_stream(
             self.spark, src, change_schema(self._schema()),
             out=f"{self.root}/applied/run={info.run}",
             ckpt=f"{self.root}/ckpt/run={info.run}",
-            after=info.as_of, ts_col="_ts")
-        return drain(q, timeout_s)
+            trigger=trigger, max_files_per_trigger=files, after=info.as_of, ts_col="_ts")
+        return self.query
+
+    def run_stream(self, info: ReplicaInfo, timeout_s: float | None = None,
+                   files: int = FILES_PER_BATCH) -> bool:
+        """Apply every change file present now (``availableNow``) (O27), ``files`` of them a
+        batch; a running stream of this replication ends first. Batches are stored as they
+        came: a later view at a point in time needs the rows before it. ``False`` if time
+        ran out; finished batches stay, and the next call goes on after them."""
+        done = drain(self._stream(info, {"availableNow": True}, files), timeout_s)
+        self._cut_short = not done
+        return done
+
+    def run_continuously(self, info: ReplicaInfo, every: str,
+                         files: int = FILES_PER_BATCH) -> StreamingQuery:
+        """Keep applying change files as they arrive, until :meth:`stop`, a drain or the
+        cutover (O27)."""
+        return self._stream(info, {"processingTime": every}, files)
+
+    def stop(self) -> None:
+        """End the running stream, if any; what it had not finished is applied by the next."""
+        if self.query is not None and self.query.isActive:
+            self.query.stop()
+
+    def _stream_state(self) -> str:
+        """The word for this object's stream. A drain that ended well has applied all it
+        saw, so the replica is still being fed; without a stream here, another driver feeds it."""
+        if self.query is None:
+            return "replicating"
+        word = stream_word(self.query)
+        return word if word != "stopped" else "paused" if self._cut_short else "replicating"
 
     # --------------------------------------------------------------- gate
-    def status(self, info: ReplicaInfo, cut_over: bool = False) -> DataFrame:
+    def status(self, info: ReplicaInfo, cut_over: bool = False, upto=None) -> DataFrame:
         """Live replication status (O28). The base's frontier is known from the
         bookkeeping (start time or last compaction), so the base is not read;
         ``applied_rows`` counts change rows applied since the base. Lag is
         measured against the source's changes after the start (pushed-down
-        filter)."""
+        filter), up to ``upto`` where given. The status word follows the stream's
+        progress; ``data_state`` is ``ready`` once no such change is newer than
+        the frontier, else ``add``."""
         after = ts_lit(info.as_of)
         applied = self.applied(info).select("_ts")
         source = (self.spark.read.schema(change_schema(self._schema()))
                   .parquet(changes_dir(self.reg, self.source, self.source_ns, self.table))
                   .filter(F.col("_ts") > after).select("_ts"))
-        state = self.reg.state().get(f"data_state/{self.target}/{self.readonly_ns}")
-        return replication_status(applied, source, "_ts", self.target_ns,
-                                  f"{self.source}->{self.target}", cut_over=cut_over,
-                                  data_state=state, base_frontier=info.base_frontier or info.as_of)
-
-    def poll(self, info: ReplicaInfo, try_no: int) -> DataFrame:
+        if upto is not None:
+            source = source.filter(F.col("_ts") <= ts_lit(upto))
+        row = replication_status(applied, source, "_ts", self.target_ns,
+                                 f"{self.source}->{self.target}", cut_over=cut_over,
+                                 base_frontier=info.base_frontier or info.as_of,
+                                 stream_state=self._stream_state())
+        return row.withColumn("data_state", F.when(F.col("lag_s") > 0, "add").otherwise("ready"))
+
+    def poll(self, info: ReplicaInfo, try_no: int, upto=None) -> DataFrame:
         """One poll row from the live status in the gate's shape."""
-        return self.status(info).select(
+        return self.status(info, upto=upto).select(
             F.col("replica"),
             F.lit(try_no).cast("bigint").alias("try_no"),
             F.concat(F.lit("status "), F.col("status")).alias("status_text"),
@@ -352,13 +404,15 @@ class Replication:
     def _gate(self, info: ReplicaInfo, max_tries: int, restart: bool = False,
               interval_s: float = POLL_INTERVAL_S) -> None:
         """Poll until ``replicating`` AND ``ready`` (O33), at most ``max_tries``
-        times, ``interval_s`` apart; a timeout is an error."""
+        times, ``interval_s`` apart; a timeout is an error. Changes that come
+        after the gate's start do not hold it up."""
+        upto = self.reg.stamp()
         vocab = ({"status_vocab": RESTART_STATUS_VOCAB, "state_vocab": RESTART_STATE_VOCAB}
                  if restart else {"status_vocab": START_STATUS_VOCAB,
                                   "state_vocab": START_STATE_VOCAB})
         seen: list[tuple] = []
         for i in range(1, max_tries + 1):
-            row = self.poll(info, i)
+            row = self.poll(info, i, upto)
             seen.append(tuple(row.first()))  # one row a try; earlier ones are not asked again
             polls = self.spark.createDataFrame(seen, row.schema)
             verdict = ready_gate(polls, max_tries=max_tries, **vocab).first()
@@ -370,9 +424,13 @@ class Replication:
             f"{self.target_ns} did not reach 'replicating' and 'ready' in {max_tries} tries")
 
     # ------------------------------------------------------------- flows
-    def start(self, max_tries: int = MAX_ITERS, set_pointers: bool = False) -> ReplicaInfo:
+    def start(self, max_tries: int = MAX_ITERS, set_pointers: bool = False,
+              every: str | None = None, interval_s: float = POLL_INTERVAL_S) -> ReplicaInfo:
         """Initial copy (O24) into the replica base, stream changes after it,
-        mount the read-only view, wait for the gate, set the flags."""
+        mount the read-only view, wait for the gate, set the flags.
+
+        With ``every`` (as ``'5 seconds'``) a stream goes on applying changes until
+        the cutover or :meth:`stop`; else the changes present are drained."""
         as_of = self.reg.stamp()
         src = self.reg.read(self.source, self.source_ns, self.table)
         # Base and run ids are never reused, so an old checkpoint never resumes.
@@ -381,10 +439,10 @@ class Replication:
                            keys=json.dumps(self.keys))
         with_meta(src, as_of, 0).write.mode("overwrite").parquet(
             f"{self.root}/base/v={info.base_version}")
-        return self._activate(info, max_tries, "start", set_pointers)
+        return self._activate(info, max_tries, "start", set_pointers, every, interval_s)
 
     def _activate(self, info: ReplicaInfo, max_tries: int, event: str,
-                  set_pointers: bool) -> ReplicaInfo:
+                  set_pointers: bool, every: str | None, interval_s: float) -> ReplicaInfo:
         self.reg.append_control([
             (_info_key(self.target, self.target_ns, self.table), "set", info.encode()),
             (f"mode/{self.target}/{self.readonly_ns}", "set", "shared"),
@@ -393,10 +451,17 @@ class Replication:
             (f"mode/{self.target}/{self.target_ns}", "set", "none"),
         ])
         self._mount_view()
-        self.run_stream(info)
-        self.reg.set_data_state(self.target, self.readonly_ns, "ready")
-        self._gate(info, max_tries, restart=event == "restart")
-        entries = _flags(self.source, self.target, event)
+        if every is None:
+            self.run_stream(info)
+        else:
+            self.run_continuously(info, every)
+        try:
+            self._gate(info, max_tries, restart=event == "restart", interval_s=interval_s)
+        except ReplicationTimeout:
+            self.stop()
+            raise
+        entries = [(f"data_state/{self.target}/{self.readonly_ns}", "set", "ready"),
+                   *_flags(self.source, self.target, event)]
         if set_pointers:
             entries += [(f"default/{self.source}", "set", self.source_ns),
                         (f"default/{self.target}", "set", self.readonly_ns)]
@@ -439,14 +504,16 @@ class Replication:
         self.reg.unmount(self.target, self.readonly_ns, self.table)
         return v
 
-    def restart(self, dry_run: bool = False,
-                max_tries: int = MAX_ITERS) -> DataFrame | ReplicaInfo:
+    def restart(self, dry_run: bool = False, max_tries: int = MAX_ITERS, every: str | None = None,
+                interval_s: float = POLL_INTERVAL_S) -> DataFrame | ReplicaInfo:
         """The failed-back side becomes a replica again, keeping its data.
 
-        Stop its service, diff it against the new source (O22), apply the
-        difference (O23) as the new replica base, resume the stream after that
-        point, reset the pointers. ``dry_run`` writes nothing and returns the
-        planned ``(action, n_rows)``.
+        Stop its service, diff it against the new source (O22), write the
+        difference as change rows over the version it stores (nothing else is
+        written; a mounted table has no version and is copied once), resume the
+        stream after that point (``every`` as in :meth:`start`), reset the
+        pointers. ``dry_run`` writes nothing and returns the planned
+        ``(action, n_rows)``.
         """
         as_of = self.reg.stamp()
         source = self.reg.read(self.source, self.source_ns, self.table)
@@ -457,14 +524,22 @@ class Replication:
         self.reg.set_mode(self.target, self.target_ns, "none")
         nv = self.reg.next_version()
         info = ReplicaInfo(self.source, self.source_ns, nv, self.reg.next_version(),
-                           as_of.strftime(TS_FORMAT), keys=json.dumps(self.keys))
-        # The diff is written once and read back (used twice by apply_diff).
-        diff_path = f"{self.root}/diff/v={nv}"
-        diff.write.mode("overwrite").parquet(diff_path)
-        diff = self.spark.read.parquet(diff_path)
-        repaired = apply_diff(current, diff, self.keys, materialize=False)
-        with_meta(repaired, as_of, 0).write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
-        return self._activate(info, max_tries, "restart", set_pointers=True)
+                           as_of.strftime(TS_FORMAT), through_batch=BEFORE_RESTART,
+                           keys=json.dumps(self.keys))
+        at = (self.target, self.target_ns, self.table)
+        version = self.reg.current_version(*at)
+        if version is None:
+            with_meta(current, as_of, 0).write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
+        else:
+            info.base_path = f"{self.reg.table_dir(*at)}/v={version}"
+            info.base_ts = self.reg.state()[watermark_key(*at)]
+            if self.reg.pending(*at):
+                self.reg.pending_changes(*at, current.schema).write.mode("overwrite").parquet(
+                    batch_path(self.applied_dir(info), PENDING_BATCH))
+        op = F.when(F.col("action") == DELETE, DELETE).otherwise(UPSERT)
+        with_meta(diff.select(*current.columns, "action"), as_of, 1).withColumn("_op", op).drop(
+            "action").write.mode("overwrite").parquet(batch_path(self.applied_dir(info), DIFF_BATCH))
+        return self._activate(info, max_tries, "restart", True, every, interval_s)
 
 
 def start_replication(reg: Registry, source_side: str, target_side: str, table: str,

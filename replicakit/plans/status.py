@@ -37,6 +37,7 @@ def replication_status(
     cut_over: bool = False,
     data_state: str | None = None,
     base_frontier=None,
+    stream_state: str | None = None,
 ) -> DataFrame:
     """One row ``(replica, direction, status, data_state, frontier_ts,
     applied_rows, lag_s)`` (O28).
@@ -47,7 +48,8 @@ def replication_status(
     ``status`` is ``initializing`` before the first applied change,
     ``replicating`` while running, ``ready`` after cutover. ``base_frontier``
     (a timestamp) is the frontier already held by a replica's base (its initial
-    copy or last compaction), known without reading the base.
+    copy or last compaction), known without reading the base. ``stream_state``
+    is the word of a live stream (:func:`stream_word`), where there is one.
     """
     tagged = (applied.select(F.col(ts_col).alias("_ts"), F.lit(True).alias("_applied"))
               .unionByName(source.select(F.col(ts_col).alias("_ts"),
@@ -64,6 +66,8 @@ def replication_status(
     micros = F.timestamp_diff("MICROSECOND", F.col("frontier_ts"), F.col("_src_max"))
     if cut_over:
         status = F.lit(STATUS_READY)
+    elif stream_state is not None:
+        status = F.lit(stream_state)
     else:
         status = F.when(F.col("frontier_ts").isNull(), F.lit(STATUS_INITIALIZING)).otherwise(
             F.lit(STATUS_REPLICATING if running else "paused"))
@@ -84,16 +88,20 @@ STREAM_STATUS_SCHEMA = ("replica string, direction string, status string, batch_
                         "input_rows bigint, progress_ts string")
 
 
+def stream_word(query) -> str:
+    """A stream's state in the gate's words: ``initializing`` before its first finished
+    batch, ``replicating`` while it runs, ``error`` if it failed, else ``stopped``."""
+    if query.isActive:
+        return STATUS_REPLICATING if query.lastProgress else STATUS_INITIALIZING
+    return "error" if query.exception() is not None else "stopped"
+
+
 def stream_status(spark: SparkSession, query, replica: str, direction: str) -> DataFrame:
     """O28's live form, from a running query's last progress (driver metrics,
     one row): ``initializing`` before its first batch, ``replicating`` while it
-    runs, ``stopped`` after it ends."""
+    runs, ``stopped`` after it ends, ``error`` if it failed."""
     p = query.lastProgress or {}
-    if query.isActive:
-        status = STATUS_REPLICATING if p else STATUS_INITIALIZING
-    else:
-        status = "stopped"
-    row = (replica, direction, status, p.get("batchId"), p.get("numInputRows"), p.get("timestamp"))
+    row = (replica, direction, stream_word(query), p.get("batchId"), p.get("numInputRows"), p.get("timestamp"))
     return spark.createDataFrame([row], STREAM_STATUS_SCHEMA)
 
 
@@ -178,14 +186,21 @@ def health_sources(state: dict[str, str]) -> tuple[str, dict[str, tuple[str, str
     return "none", {SIDE_A: (va, va + READONLY_SUFFIX), SIDE_B: (vb, vb + READONLY_SUFFIX)}
 
 
-def health_report(spark: SparkSession, reg: Registry, tables: Sequence[str]) -> DataFrame:
+def health_report(spark: SparkSession, reg: Registry, tables: Sequence[str],
+                  detail: str = "counts") -> DataFrame:
     """Direction-aware counts of both sides, compared per table.
 
     ``(table_name, direction, served_by_a, n_a, served_by_b, n_b, verdict)``.
     A->B active: A from ``va`` alone, B from ``vb-readonly`` then ``vb``.
     B->A active: A from ``va-readonly`` then ``va``, B from ``vb`` alone.
     Neither: ``va`` then ``va-readonly``, ``vb`` then ``vb-readonly``.
+
+    ``detail='full'`` gives the status report as one frame of ``(section, side,
+    name, value)``: :func:`status_rows`, the live status of each replica (O28),
+    the counts and the verdicts. A side of a verdict is the direction.
     """
+    if detail not in ("counts", "full"):
+        raise ValueError(f"detail is 'counts' or 'full', not {detail!r}")
     direction, src = health_sources(reg.state())
     ca = count_with_fallback(spark, reg, SIDE_A, tables, *src[SIDE_A])
     cb = count_with_fallback(spark, reg, SIDE_B, tables, *src[SIDE_B])
@@ -198,7 +213,37 @@ def health_report(spark: SparkSession, reg: Registry, tables: Sequence[str]) ->
                     F.col("table_name") == F.col("_t2"), "left")
               .select("table_name", F.lit(direction).alias("direction"), "served_by_a", "n_a",
                       "served_by_b", "n_b", "verdict"))
-    return report
+    if detail == "counts":
+        return report
+    out = status_rows(spark, reg)
+    for status in _replica_statuses(reg):
+        out = out.unionByName(status)
+    n = [F.concat_ws(" ", F.coalesce(F.col(c).cast("string"), F.lit("N/A")), F.col(by))
+         for c, by in (("n_a", "served_by_a"), ("n_b", "served_by_b"))]
+    parts = [("count", F.lit(SIDE_A), n[0]), ("count", F.lit(SIDE_B), n[1]),
+             ("verdict", F.col("direction"), F.col("verdict"))]
+    rows = F.explode(F.array(*[F.struct(F.lit(section).alias("section"), side.alias("side"),
+                                        F.col("table_name").alias("name"), value.alias("value"))
+                               for section, side, value in parts]))
+    return out.unionByName(report.select(rows.alias("r")).select("r.*"))
+
+
+def _replica_statuses(reg: Registry) -> list[DataFrame]:
+    """One ``status`` row per replica being fed, from its live status."""
+    from replicakit.plans.replication import Replication, ReplicaInfo
+
+    out = []
+    for key, value in sorted(reg.state().items()):
+        if not key.startswith("replica/"):
+            continue
+        _, side, _, table = key.split("/", 3)
+        info = ReplicaInfo.decode(value)
+        rep = Replication(reg, info.source_side, side, table, json.loads(info.keys or "[]"))
+        text = F.concat_ws(" ", "status", "data_state", F.concat(F.lit("applied_rows="), "applied_rows"),
+                           F.concat(F.lit("lag_s="), F.coalesce("lag_s", F.lit(0.0))))
+        out.append(rep.status(info).select(F.lit("status").alias("section"), F.lit(side).alias("side"),
+                                           F.lit(table).alias("name"), text.alias("value")))
+    return out
 
 
 def status_report(spark: SparkSession, reg: Registry,

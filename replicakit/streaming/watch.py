@@ -2,7 +2,7 @@
 
 Side B's count is a stateful streaming aggregate (``groupBy().count()`` in
 complete mode, state kept in the checkpoint). Each trigger is a tick: the
-new count is compared with side A's and the tick row written under
+new count is compared with side A's (O21) and the tick row written under
 ``tick=<n>`` (overwrite, so a replayed batch replaces itself). The watch stops
 at the first match or after ``max_ticks``.
 """
@@ -10,14 +10,17 @@ at the first match or after ``max_ticks``.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from replicakit.constants import MATCH, MISMATCH, WATCH_EVERY, WATCH_TICKS
+from replicakit.constants import MATCH, WATCH_EVERY, WATCH_TICKS
+from replicakit.operators.counts import compare_counts
 from replicakit.plans.replica import read_batches
 
+SIDE_COUNT = "table_name string, n_rows bigint"
 TICK_SCHEMA = "tick bigint, n_a bigint, n_b bigint, verdict string"
 
 
@@ -32,7 +35,7 @@ def watch_counts(
     spark: SparkSession,
     src_dir: str,
     schema: StructType,
-    n_a: int,
+    n_a: int | Callable[[], int | None],
     out: str,
     ckpt: str,
     max_ticks: int = WATCH_TICKS,
@@ -44,7 +47,8 @@ def watch_counts(
     match or ``max_ticks`` (live: also at most ``max_ticks`` intervals of
     wall time, since a tick is a micro-batch and none runs without new files).
 
-    ``n_a`` is side A's count at one ``as_of`` (see O15/O26). Live use
+    ``n_a`` is side A's count at one ``as_of`` (see O15/O26), or a function
+    that counts it anew at every tick; ``None`` from it is ``waiting`` (O21). Live use
     triggers every ``every``; ``available_now=True`` drains the files present
     as one tick (``max_files_per_trigger`` splits them into several) and can be
     called again as files arrive: state and ticks live in ``ckpt`` and ``out``.
@@ -65,12 +69,9 @@ def watch_counts(
         if tick > max_ticks or matched or matched_before():
             return
         # The tick number is the folder's partition value, not a data column.
-        row = batch.select(
-            F.lit(n_a).cast("bigint").alias("n_a"),
-            F.col("n_b"),
-            F.when(F.col("n_b") == F.lit(n_a), F.lit(MATCH)).otherwise(F.lit(MISMATCH))
-            .alias("verdict"),
-        )
+        count_a = batch.sparkSession.createDataFrame([("", n_a() if callable(n_a) else n_a)], SIDE_COUNT)
+        count_b = batch.select(F.lit("").alias("table_name"), F.col("n_b").alias("n_rows"))
+        row = compare_counts(count_a, count_b).select("n_a", "n_b", "verdict")
         row.write.mode("overwrite").parquet(f"{out.rstrip('/')}/tick={tick}")
         verdict = spark.read.parquet(f"{out.rstrip('/')}/tick={tick}").first()["verdict"]
         if verdict == MATCH:

@@ -1,14 +1,18 @@
 """Faults found in round 1, each with the case that showed it."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
 
-from replicakit.plans.replication import Replication, load, remove
+from replicakit.plans.replica import last_batch
+from replicakit.plans.replication import Replication, ReplicationTimeout, load, remove
 from replicakit.plans.scenario import create_sides, smoke
+from replicakit.plans.status import health_report
 from replicakit.session import scratch_path
 from replicakit.sources.registry import Registry, run_sql
+from replicakit.streaming.watch import watch_counts
 
 
 @pytest.fixture
@@ -102,3 +106,91 @@ def test_drains_leave_no_empty_files(spark, reg):
     for _ in range(2):
         rep.run_stream(info)
     assert count() == before
+
+
+def test_continuous_stream_feeds_the_view(spark, reg):
+    load(reg, "A", "t", frame(spark, (1, "a", "")), ["k"], ns="va")
+    rep = Replication(reg, "A", "B", "t", ["k"])
+    rep.start(every="200 milliseconds", interval_s=0.5)
+    load(reg, "A", "t", frame(spark, (2, "b", "")), ["k"], ns="va")
+    deadline = time.monotonic() + 60
+    while time.monotonic() < deadline and rep.view().count() < 2:
+        time.sleep(0.5)
+    assert rows(reg.read("B", "vb-readonly", "t")) == [(1, "a", ""), (2, "b", "")]
+    load(reg, "A", "t", frame(spark, (3, "c", "")), ["k"], ns="va")
+    rep.cutover()
+    assert not rep.query.isActive and reg.read("B", "vb", "t").count() == 3
+
+
+def test_stalled_stream_times_the_gate_out(spark, reg, monkeypatch):
+    load(reg, "A", "t", frame(spark, (1, "a", "")), ["k"], ns="va")
+    rep = Replication(reg, "A", "B", "t", ["k"])
+    monkeypatch.setattr(Replication, "run_stream", lambda self, info: None)  # applies nothing
+    stamp = Registry.stamp
+
+    def busy(self):  # a change comes in between the copy and the gate
+        monkeypatch.setattr(Registry, "stamp", stamp)
+        at = stamp(self)
+        load(self, "A", "t", frame(spark, (2, "b", "")), ["k"], ns="va")
+        return at
+
+    monkeypatch.setattr(Registry, "stamp", busy)
+    with pytest.raises(ReplicationTimeout):
+        rep.start(max_tries=2, interval_s=0.1)
+    assert reg.state()["data_state/CB/vb-readonly"] == "add"
+
+
+def test_backlog_is_many_batches(spark, reg):
+    load(reg, "A", "t", frame(spark, (0, "a", "")), ["k"], ns="va")
+    rep = Replication(reg, "A", "B", "t", ["k"])
+    info = rep.start()
+    for i in range(1, 4):
+        load(reg, "A", "t", frame(spark, (i, "a", "")), ["k"], ns="va")
+    before = last_batch(spark, rep.applied_dir(info)) or 0
+    assert rep.run_stream(info, files=1)
+    assert last_batch(spark, rep.applied_dir(info)) - before >= 3
+    assert rep.view().count() == 4
+
+
+def test_restart_writes_the_difference_only(spark, reg):
+    data = frame(spark, *[(i, "v", "") for i in range(20)])
+    load(reg, "A", "t", data, ["k"], ns="va")
+    load(reg, "B", "t", data, ["k"], ns="vb")
+    load(reg, "B", "t", frame(spark, (50, "extra", "")), ["k"], ns="vb")  # pending on B
+    load(reg, "A", "t", frame(spark, (50, "extra", ""), (3, "new", "")), ["k"], ns="va")
+    remove(reg, "A", "t", frame(spark, (4, "", "")).select("k"), ["k"], ns="va")
+    rep = Replication(reg, "A", "B", "t", ["k"])
+    planned = {r["action"]: r["n_rows"] for r in rep.restart(dry_run=True).collect()}
+    info = rep.restart()
+    assert planned == {"update": 1, "delete": 1}
+    written = spark.read.parquet(rep.applied_dir(info))
+    assert written.filter("batch = -1").count() == 2
+    with pytest.raises(AnalysisException):  # no base of its own
+        spark.read.parquet(f"{rep.root}/base")
+    assert rows(reg.read("B", "vb-readonly", "t")) == rows(reg.read("A", "va", "t"))
+    load(reg, "A", "t", frame(spark, (7, "later", "")), ["k"], ns="va")
+    rep.run_stream(info)
+    rep.compact()
+    assert rows(rep.view()) == rows(reg.read("A", "va", "t"))
+    rep.cutover()
+    assert rows(reg.read("B", "vb", "t")) == rows(reg.read("A", "va", "t"))
+
+
+def test_watch_recounts_and_waits(spark):
+    stage, out, ckpt = (scratch_path(spark, x) for x in ("stage", "ticks", "ckpt"))
+    data, counts = frame(spark, (1, "a", ""), (2, "b", "")), iter([None, 5, 6])
+    for _ in range(3):
+        data.write.mode("append").parquet(stage)
+        ticks = watch_counts(spark, stage, data.schema, lambda: next(counts), out, ckpt, available_now=True)
+    assert [tuple(r) for r in ticks.orderBy("tick").collect()] == [
+        (1, None, 2, "waiting"), (2, 5, 4, "mismatch"), (3, 6, 6, "match")]
+
+
+def test_full_report_shows_the_replica(spark, reg):
+    load(reg, "A", "t", frame(spark, (1, "a", "")), ["k"], ns="va")
+    Replication(reg, "A", "B", "t", ["k"]).start()
+    got = {tuple(r)[:3]: r["value"] for r in health_report(spark, reg, ["t"], detail="full").collect()}
+    assert got["status", "CB", "t"].startswith("replicating ready applied_rows=0")
+    assert got["count", "CB", "t"] == "1 vb-readonly" and got["verdict", "A->B", "t"] == "match"
+    with pytest.raises(ValueError):
+        health_report(spark, reg, ["t"], detail="all")
