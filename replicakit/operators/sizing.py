@@ -47,11 +47,12 @@ def row_bytes(df: DataFrame) -> Column:
 
 def has_at_most(df: DataFrame, max_rows: int, max_bytes: int | None = None) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (and, if given, at most
-    ``max_bytes`` of data). One job over at most ``max_rows + 1`` rows."""
-    probe = df.limit(max_rows + 1)
+    ``max_bytes`` of data). One job over at most ``max_rows + 1`` rows, of which only
+    the sizes meet in one task."""
+    probe = df.select(row_bytes(df).alias("b")).limit(max_rows + 1)
     if max_bytes is None:
         return probe.count() <= max_rows
-    r = probe.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    r = probe.agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).first()
     return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
 
 

@@ -53,6 +53,7 @@ from replicakit.constants import (
 )
 from replicakit.functions.text import canon_side
 from replicakit.operators.diff import diff_summary, resync_diff
+from replicakit.operators.integrity import check_unique
 from replicakit.operators.sizing import broadcast_if_small
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replica import (
@@ -510,8 +511,8 @@ class Replication:
 
         Stop its service, diff it against the new source (O22), write the
         difference as change rows over the version it stores (nothing else is
-        written; a mounted table has no version and is copied once), resume the
-        stream after that point (``every`` as in :meth:`start`), reset the
+        written; a mounted table, or one that repeats a key, is copied once), resume
+        the stream after that point (``every`` as in :meth:`start`), reset the
         pointers. ``dry_run`` writes nothing and returns the planned
         ``(action, n_rows)``.
         """
@@ -527,18 +528,21 @@ class Replication:
                            as_of.strftime(TS_FORMAT), through_batch=BEFORE_RESTART,
                            keys=json.dumps(self.keys))
         at = (self.target, self.target_ns, self.table)
+        op = F.when(F.col("action") == DELETE, DELETE).otherwise(UPSERT)
+        batch = batch_path(self.applied_dir(info), DIFF_BATCH)
+        with_meta(diff.select(*current.columns, "action"), as_of, 1).withColumn("_op", op).drop(
+            "action").write.mode("overwrite").parquet(batch)
         version = self.reg.current_version(*at)
-        if version is None:
-            with_meta(current, as_of, 0).write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
+        if version is None or not check_unique(current, self.keys).isEmpty():
+            # No version to stand on: one copy, without the keys that the difference rewrites.
+            kept = _touched(current, self.spark.read.parquet(batch), self.keys, "left_anti")
+            with_meta(kept, as_of, 0).write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
         else:
             info.base_path = f"{self.reg.table_dir(*at)}/v={version}"
             info.base_ts = self.reg.state()[watermark_key(*at)]
             if self.reg.pending(*at):
                 self.reg.pending_changes(*at, current.schema).write.mode("overwrite").parquet(
                     batch_path(self.applied_dir(info), PENDING_BATCH))
-        op = F.when(F.col("action") == DELETE, DELETE).otherwise(UPSERT)
-        with_meta(diff.select(*current.columns, "action"), as_of, 1).withColumn("_op", op).drop(
-            "action").write.mode("overwrite").parquet(batch_path(self.applied_dir(info), DIFF_BATCH))
         return self._activate(info, max_tries, "restart", True, every, interval_s)
 
 

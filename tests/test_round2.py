@@ -194,3 +194,11 @@ def test_full_report_shows_the_replica(spark, reg):
     assert got["count", "CB", "t"] == "1 vb-readonly" and got["verdict", "A->B", "t"] == "match"
     with pytest.raises(ValueError):
         health_report(spark, reg, ["t"], detail="all")
+
+
+def test_restart_mends_repeated_keys(spark, reg):
+    load(reg, "A", "t", frame(spark, (1, "a", ""), (2, "b", "")), ["k"], ns="va")
+    reg.write_version("B", "vb", "t", frame(spark, (1, "a", ""), (1, "a", ""), (2, "b", ""), (3, "c", "")))
+    rep = Replication(reg, "A", "B", "t", ["k"])
+    rep.restart()
+    assert rows(rep.view()) == [(1, "a", ""), (2, "b", "")]
