@@ -91,16 +91,18 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dims: in
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", bits: int = BITS, sample: int = SAMPLE, shards: int = SHARDS) -> np.ndarray:
     """The averaged weights. ``labels`` holds the rows to learn from; rows with a null label
-    or identifier are passed over, and of repeated labels of an identifier the largest counts.
-    Without any labelled text the weights are zero."""
+    or identifier are passed over, of repeated labels of an identifier the largest counts, and
+    of different texts the smallest. Without any labelled text the weights are zero."""
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
               .orderBy(F.xxhash64("id"), "id").limit(sample))  # at most `sample` small rows
     texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).cast("binary").alias("body"))
-    rows = texts.join(F.broadcast(chosen), "id").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    # One row per identifier, combined map-side: repeats of one cannot swell the fitting task.
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("body").alias("body"), F.max("y").alias("y")) \
+        .withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id").drop_duplicates("id")
+        group = group.sort_values("id")
         w = ftrl(list(in_chunks([bytes(b) for b in group["body"]], bits)), group["y"].to_numpy(), 1 << bits)
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": at, "w": w[at], "rows": len(group)})

@@ -305,6 +305,40 @@ def test_scores_of_odd_rows(spark, docs, empty):
         assert toxicity.score(docs, toxicity.train(frame, none)).count() == len(rows())
 
 
+def test_continuation_counts(spark):
+    """Every symbol before an n-gram counts once, bytes beyond ASCII and alike in their low bits, too."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab0pP é€ß,\n") for _ in range(300)) for _ in range(40)] + ["", " "]
+    frame = spark.createDataFrame([(t.encode(),) for t in texts], "body binary").repartition(3)
+    seen = {}
+    for text in texts:
+        for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode()):
+            symbols = b"\2" * toxicity.ORDER + word.lower() + b"\1"
+            for i in range(toxicity.ORDER, len(symbols)):
+                for n in range(1, toxicity.ORDER):
+                    seen.setdefault((n, int.from_bytes(symbols[i - n + 1:i + 1])), set()).add(symbols[i - n])
+    contexts = {n: np.unique(np.array([g >> 8 for m, g in seen if m == n], np.uint64)) for n in range(1, toxicity.ORDER)}
+    got = {(r.n, r.gram): r["count"] for r in toxicity.continuation_counts(frame, contexts).collect()}
+    assert got == {k: len(v) for k, v in seen.items()}
+    half = {n: c[::2] for n, c in contexts.items()}
+    part = {(r.n, r.gram) for r in toxicity.continuation_counts(frame, half).collect()}
+    assert part == {(n, g) for n, g in seen if n == 1 or g >> 8 in half[n]}
+
+
+def test_training_passes_over_repeats(spark):
+    """Repeats of a labelled identifier change nothing, in whatever order they come."""
+    rnd = random.Random(8)
+    data = [(i, " ".join(rnd.choice(["good", "fine"] if i % 2 else ["vile", "foul"]) + str(rnd.randint(0, 9)) for _ in range(30)), i % 2)
+            for i in range(80)]
+    labels = spark.createDataFrame([(i, y, 1 - y) for i, _, y in data], "doc_id bigint, quality int, toxic int")
+    once = spark.createDataFrame([d[:2] for d in data], "doc_id bigint, text string")
+    more = spark.createDataFrame([d[:2] for d in data] + [(7, data[7][1])] * 500 + [(7, data[7][1] + " zz")], "doc_id bigint, text string")
+    weights = [quality.train(d, labels) for d in (once, more.repartition(5), more.repartition(2))]
+    assert all(np.array_equal(weights[0], w) for w in weights)
+    sample = [toxicity.train(d, labels) for d in (more.repartition(5), more.repartition(2))]
+    assert sample[0].middle == sample[1].middle and np.array_equal(sample[0].model.ratios, sample[1].model.ratios)
+
+
 def test_ftrl_separates():
     rng = np.random.default_rng(1)
     data = [(np.unique(rng.integers(2 * y, 2 * y + 3, 4)), y) for y in rng.integers(0, 2, 400)]
