@@ -7,6 +7,7 @@ aggregated partially per task and shuffles one row per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,28 +74,34 @@ def _count_at(spark: SparkSession, reg: Registry, side: str, ns: str, table: str
     return count_rows(reg.read(side, ns, table)).first()["n_rows"]
 
 
+def _counts_at(reg: Registry, side: str, ns: str, tables: Sequence[str]) -> dict[str, int]:
+    """Counts of the tables that can be counted at ``ns``: all in one job, and table by table
+    only if that fails."""
+    try:
+        frames = [count_rows(reg.read(side, ns, t)).withColumn("t", F.lit(t)) for t in tables]
+        return {r["t"]: r["n_rows"] for r in reduce(DataFrame.unionByName, frames).collect()} if frames else {}
+    except Exception:  # noqa: BLE001 - any failure falls back, as specified
+        if len(tables) == 1:
+            return {}
+    return {t: n for x in tables for t, n in _counts_at(reg, side, ns, [x]).items()}
+
+
 def count_with_fallback(spark: SparkSession, reg: Registry, side: str, tables: Sequence[str],
                         pref: str | None, alt: str | None = None) -> DataFrame:
     """Count at the preferred namespace; on any failure at ``alt``.
 
     ``(table_name, served_by, n_rows)``; when both fail, ``served_by`` and
-    ``n_rows`` are null. ``pref=None`` follows the default pointer.
+    ``n_rows`` are null. ``pref=None`` follows the default pointer. Tables that can all be
+    counted take one job.
     """
     side = canon_side(side)
     pref = resolve_default(reg, side) if pref is None else map_namespace(pref)
     alt = map_namespace(alt) if alt else None
-    rows = []
-    for t in tables:
-        served, n = None, None
-        for ns in [pref] + ([alt] if alt else []):
-            try:
-                n = _count_at(spark, reg, side, ns, t)
-                served = ns
-                break
-            except Exception:  # noqa: BLE001 - any failure falls back, as specified
-                continue
-        rows.append((t, served, n))
-    return spark.createDataFrame(rows, SERVED_SCHEMA)
+    found: dict[str, tuple[str, int]] = {}
+    for ns in [pref] + ([alt] if alt else []):
+        left = [t for t in dict.fromkeys(tables) if t not in found]
+        found |= {t: (ns, n) for t, n in _counts_at(reg, side, ns, left).items()}
+    return spark.createDataFrame([(t, *found.get(t, (None, None))) for t in tables], SERVED_SCHEMA)
 
 
 class GuardRefused(RuntimeError):

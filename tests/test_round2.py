@@ -202,3 +202,25 @@ def test_restart_mends_repeated_keys(spark, reg):
     rep = Replication(reg, "A", "B", "t", ["k"])
     rep.restart()
     assert rows(rep.view()) == [(1, "a", ""), (2, "b", "")]
+
+
+def test_fallback_counts_all_tables_in_one_job(spark, reg, monkeypatch):
+    import replicakit.operators.counts as module
+
+    for n, t in enumerate(("p", "q", "r"), 1):
+        load(reg, "A", t, frame(spark, *[(i, "", "") for i in range(n)]), ["k"], ns="va")
+    asked, real = [], module._counts_at
+
+    def seen(reg, side, ns, tables):
+        asked.append((ns, list(tables)))
+        return real(reg, side, ns, tables)
+
+    monkeypatch.setattr(module, "_counts_at", seen)
+    got = module.count_with_fallback(spark, reg, "A", ["p", "q", "r", "p"], "va", "vb")
+    assert [tuple(r) for r in got.collect()] == [("p", "va", 1), ("q", "va", 2), ("r", "va", 3), ("p", "va", 1)]
+    assert [a for a in asked if a[1]] == [("va", ["p", "q", "r"])]
+    # One table that fails sends the others table by table, and only itself to the alternative.
+    asked.clear()
+    got = module.count_with_fallback(spark, reg, "A", ["p", "none", "r"], "va", "system")
+    assert [tuple(r) for r in got.collect()] == [("p", "va", 1), ("none", None, None), ("r", "va", 3)]
+    assert asked == [("va", ["p", "none", "r"]), ("va", ["p"]), ("va", ["none"]), ("va", ["r"]), ("system", ["none"])]
