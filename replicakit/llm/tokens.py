@@ -2,7 +2,7 @@
 
 A token is a maximal run of word bytes (ASCII letters and digits, and all bytes of
 characters beyond ASCII) or of punctuation; spaces and control characters separate. A
-token's hash is a polynomial of its lower-cased bytes; its shape says what it looks like.
+token's hash covers all its lower-cased bytes; its shape says what it looks like.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ IS_UPPER = np.zeros(256, np.int64)
 IS_UPPER[65:91] = 1
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Tokens longer than this are hashed by their first bytes and their length.
+#: Bytes of a token that are hashed at a time; longer tokens are hashed block by block.
 TOKEN_BYTES = 64
 POWERS = np.cumprod(np.full(TOKEN_BYTES, BASE, np.uint64))
 
@@ -46,6 +46,17 @@ class Tokens:
     start: np.ndarray  # int64: first byte in the texts joined by single spaces
 
 
+def _later_blocks(low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``low`` that start at ``start``: each block's polynomial is mixed
+    with the block's number, and a run's blocks are summed. Linear in the runs' bytes."""
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+    first = np.flatnonzero(place % TOKEN_BYTES == 0)
+    parts = np.add.reduceat(low[np.repeat(start, size) + place] * POWERS[place % TOKEN_BYTES], first)
+    parts = mix(parts + mix((place[first] // TOKEN_BYTES + 1).astype(np.uint64)))
+    return np.add.reduceat(parts, np.searchsorted(first, bounds[:-1]))
+
+
 def tokens(texts: list[bytes]) -> Tokens:
     raw = b" ".join(texts) + b" "
     buf = np.frombuffer(raw, np.uint8)
@@ -62,6 +73,9 @@ def tokens(texts: list[bytes]) -> Tokens:
     for i in range(min(TOKEN_BYTES, int(size.max(initial=0)))):
         has = np.flatnonzero(size > i)
         value[has] += low[start[has] + i] * POWERS[i]
+    long = np.flatnonzero(size > TOKEN_BYTES)
+    if len(long):
+        value[long] += _later_blocks(low, start[long] + TOKEN_BYTES, size[long] - TOKEN_BYTES)
     uppers = np.concatenate([np.zeros(1, np.int64), np.cumsum(IS_UPPER[buf])])
     return Tokens(mix(value), np.searchsorted(ends_at, start, side="right"), kind[start] == WORD,
                   uppers[end] - uppers[start], size, start)

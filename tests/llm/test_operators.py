@@ -305,6 +305,22 @@ def test_scores_of_odd_rows(spark, docs, empty):
         assert toxicity.score(docs, toxicity.train(frame, none)).count() == len(rows())
 
 
+@pytest.mark.parametrize("at", [0, 63, 64, 65, 127, 128, 500, 1999])
+def test_long_tokens_count_in_full(at):
+    """Scripts without spaces make long tokens: those of one length that differ in one place differ."""
+    plain = ("\u6587" * 666 + "ab").encode()
+    other = plain[:at] + bytes([plain[at] ^ 1]) + plain[at + 1:]
+    swapped = plain[:64] + plain[128:192] + plain[64:128] + plain[192:]
+    assert len({*toxicity.tokens([plain, other, swapped]).hash.tolist()}) == 3
+    assert len({*toxicity.tokens([b"X" * 700, b"x" * 700]).hash.tolist()}) == 1
+    apart, together = ([toxicity.words_of([t]).grams for t in (plain, other)], toxicity.words_of([plain, other]))
+    for i, grams in enumerate(apart):  # toxicity reads each text's own letters, whatever its neighbours
+        w = together.which[together.doc == i]
+        assert np.array_equal(np.concatenate([together.grams[together.bounds[k]:together.bounds[k + 1]] for k in w]), grams)
+    (one, _), (two, _) = quality.features([plain, other])
+    assert set(one.tolist()) != set(two.tolist())
+
+
 def test_continuation_counts(spark):
     """Every symbol before an n-gram counts once, bytes beyond ASCII and alike in their low bits, too."""
     rnd = random.Random(4)
