@@ -341,6 +341,26 @@ def test_continuation_counts(spark):
     assert part == {(n, g) for n, g in seen if n == 1 or g >> 8 in half[n]}
 
 
+def test_class_counts_take_every_labelled_row(spark):
+    """The sample sets the threshold only: an expression outside of it is learned, and what
+    ``evidence`` leaves out changes no figure."""
+    rnd = random.Random(5)
+    data = [(i, " ".join(rnd.choice("alpha beta gamma delta omega".split()) + str(rnd.randint(0, 9999)) for _ in range(20))
+             + (" zorgvile" if i % 25 == 0 else ""), int(i % 25 == 0)) for i in range(600)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string, toxic int").repartition(3)
+    scorer = toxicity.train(frame, frame.select("doc_id", "toxic"), sample=40)
+    assert toxicity._at(scorer.model.grams, scorer.model.ratios, np.array([int.from_bytes(b"zorgvi", "big")], np.uint64))[0] > 0.1
+    counts = toxicity.class_counts(frame.select(F.col("text").cast("binary").alias("body"), "toxic"))
+    figures = []
+    for above in (toxicity.DISCOUNT, -1.0):
+        seen = toxicity.evidence(counts, above).toPandas()
+        grams = seen["gram"].to_numpy(np.int64).view(np.uint64)
+        shared = toxicity.continuation_counts(frame.select(F.col("text").cast("binary").alias("body")), toxicity.contexts(grams))
+        figures.append((len(grams), toxicity.figures([t.encode() for _, t, _ in data] + [b"zorg vile unseen"], toxicity.build(seen, shared.toPandas()))))
+    assert figures[0][0] < figures[1][0]
+    assert np.allclose(figures[0][1], figures[1][1], rtol=0, atol=1e-9)
+
+
 def test_training_passes_over_repeats(spark):
     """Repeats of a labelled identifier change nothing, in whatever order they come."""
     rnd = random.Random(8)
