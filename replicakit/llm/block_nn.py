@@ -81,6 +81,7 @@ def _cell(k: int):
             cid, cv, c8, cs, ce = _side(candidates)
             # |a.b - (a8.b8)| <= ea |b8| + eb |a8| + ea eb with |a8| <= 1 + ea; a little for rounding
             c32 = c8.astype(np.float32)
+            heaps: dict[int, list[tuple[float, int]]] = {}
             for a in range(0, len(qid), TILE):
                 q = slice(a, a + TILE)
                 product = q8[q].astype(np.float32) @ c32.T  # exact: sums of int8 products below 2^24 up to 1040 dims
@@ -95,14 +96,13 @@ def _cell(k: int):
                 alive = (near + bound >= least[:, None]) & ~own
                 r, c = np.nonzero(alive)
                 score = cosine(qv[q][r], cv[c])
-                heaps: dict[int, list[tuple[float, int]]] = {}
-                for i, s, v in zip(r.tolist(), score.tolist(), cid[c].tolist(), strict=True):
+                for i, s, v in zip(qid[q][r].tolist(), score.tolist(), cid[c].tolist(), strict=True):
                     h = heaps.setdefault(i, [])
                     if len(h) < k:
                         heapq.heappush(h, (s, -v))
                     elif (s, -v) > h[0]:
                         heapq.heapreplace(h, (s, -v))
-                out += [(int(qid[a + i]), -v, s) for i, h in heaps.items() for s, v in h]
+            out = [(i, -v, s) for i, h in heaps.items() for s, v in h]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
     return run
 
@@ -122,9 +122,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     and fewer rows come where there are fewer candidates.
 
     Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor
-    do null identifiers. Only vectors of one length are compared. Of repeated identifiers the
-    row with the largest vector (component by component) counts. An empty table gives no rows;
-    extra columns are ignored.
+    do null identifiers. Only vectors of one length are compared. Every row of a repeated
+    identifier counts: each is a candidate of other identifiers, and the nearest of any of a
+    query identifier's rows are ranked together; rows of its own identifier are not its
+    candidates. An empty table gives no rows; extra columns are ignored.
     """
     v = vectors[vector_col].cast("array<double>")
     valid = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) \
@@ -132,14 +133,14 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     rows = vectors.filter(vectors[id_col].isNotNull()).select(
         vectors[id_col].cast("bigint").alias("vec_id"), F.when(v.isNotNull() & valid, v).alias("vector"),
         F.coalesce(queries, F.lit(False)).alias("is_query")).filter("vector is not null")
-    single = rows.groupBy("vec_id").agg(F.max("vector").alias("vector"), F.max("is_query").alias("is_query"))
-    quant = stored(single.mapInPandas(_quantise, QUANT), "vectors")
+    # A key for each row, so that rows of one identifier are dealt out, too.
+    quant = stored(rows.mapInPandas(_quantise, QUANT).withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = quant.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("bigint")).alias("q")).first()
     n_q, n_c = max(1, -(-(sizes["q"] or 0) // query_rows)), max(1, -(-sizes["n"] // candidate_rows))
-    block = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n))
+    block = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n))
     grid = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    q = quant.filter("is_query").drop("is_query").withColumn("qb", block(n_q, 1)).withColumn("cb", grid(n_c))
-    c = quant.drop("is_query").withColumn("cb", block(n_c, 2)).withColumn("qb", grid(n_q))
+    q = quant.filter("is_query").drop("is_query").withColumn("qb", block(n_q, 1)).withColumn("cb", grid(n_c)).drop("row")
+    c = quant.drop("is_query").withColumn("cb", block(n_c, 2)).withColumn("qb", grid(n_q)).drop("row")
     c = c.select(*[F.col(x).alias(f"c_{x}") for x in c.columns])  # both sides come from one table
     found = (q.groupBy("dim", "qb", "cb").cogroup(c.groupBy("c_dim", "c_qb", "c_cb"))
              .applyInPandas(_cell(k), "query_id bigint, vec_id bigint, score double"))

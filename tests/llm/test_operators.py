@@ -201,6 +201,26 @@ def test_block_nn(spark):
     assert nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_block_nn_keeps_rows_of_repeated_identifiers(spark):
+    """Against the query's own SQL: every row of an identifier counts, as query and as candidate."""
+    import duckdb
+
+    from replicakit.llm.queries import ORACLE_SQL
+
+    rnd = np.random.default_rng(6)
+    data = [(int(i), [float(x) for x in rnd.normal(size=6)]) for i in [*range(60), *[0] * 9, *[50] * 4, *[7] * 40]]
+    data += [(3, data[3][1]), (50, data[50][1])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", data)
+    want = sorted(con.execute(ORACLE_SQL["op6_block_nn"]).fetchall())
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(3)
+    for options in ({}, {"query_rows": 3, "candidate_rows": 20}):
+        got = sorted(tuple(r) for r in nearest(frame, F.col("vec_id") % 50 == 0, **options).collect())
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
 def test_byte_bpe(docs, empty):
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
