@@ -10,6 +10,7 @@ from replicakit.llm import byte_bpe, pii, quality, secret_scan, toxicity
 from replicakit.llm.block_nn import nearest
 from replicakit.llm.common import crc_mod, table
 from replicakit.llm.exact_dedup import exact_dedup
+from replicakit.llm.filter_audit import audit_filters
 from replicakit.llm.mixing import JUNK, mix
 from replicakit.llm.simhash import simhash_near_dedup
 from replicakit.llm.substring_dedup import substring_dedup
@@ -85,9 +86,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_pii, op4_mixing, op5_exact_dedup, op6_block_nn, op7_byte_bpe,
-    op8_simhash, op9_toxicity, op10_quality)}
+    op8_simhash, op9_toxicity, op10_quality, op13_filter_audit)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -154,6 +159,35 @@ p AS (SELECT q.doc_id, q.size, x.source_size, x.target, x.epochs, x.budget - x.e
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM p"""
 
 
+def _op13_sql() -> str:
+    """Every order and step, counted over the masks of each part."""
+    return f"""
+WITH b AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN b.doc_id > min(b.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+      FROM b LEFT JOIN l ON b.doc_id = l.doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+i AS (SELECT unnest(range(0, 5)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT list_aggregate(list_transform(o, lambda x: 'ABCDE'[x + 1]), 'string_agg', '') AS filter_order, k AS step,
+        CAST(2 ** o[k] AS INT) AS own, CAST(coalesce(list_sum(list_transform(o[:k - 1], lambda x: 2 ** x)), 0) AS INT) AS before
+      FROM o, (SELECT unnest(range(1, 6)) AS k)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (mask & (own | before) = 0) AS kept,
+        sum(n) FILTER (mask & before = 0 AND mask & own <> 0) AS removed,
+        sum(n) FILTER (mask & before <> 0 AND mask & own <> 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+        sum(good) FILTER (mask & before = 0 AND mask & own <> 0) AS good_lost,
+        sum(toxic) FILTER (mask & before = 0 AND mask & own <> 0) AS toxic_lost
+      FROM m, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in
+    ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM r"""
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": _op1_sql(),
     "op2_secret_scan": _op2_sql(),
@@ -170,4 +204,5 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS
       FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op13_filter_audit": _op13_sql(),
 }
