@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from replicakit.llm import byte_bpe, pii, quality, secret_scan, toxicity
 from replicakit.llm.block_nn import nearest
+from replicakit.llm.block_topk import top_products
 from replicakit.llm.common import crc_mod, table
 from replicakit.llm.exact_dedup import exact_dedup
 from replicakit.llm.filter_audit import audit_filters
@@ -86,13 +87,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_pii, op4_mixing, op5_exact_dedup, op6_block_nn, op7_byte_bpe,
-    op8_simhash, op9_toxicity, op10_quality, op13_filter_audit)}
+    op8_simhash, op9_toxicity, op10_quality, op12_block_topk, op13_filter_audit)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -204,5 +209,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS
       FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op12_block_topk": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
+      FROM embeddings WHERE len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_inner_product(q.e, c.e), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM n WHERE n <= 5""",
     "op13_filter_audit": _op13_sql(),
 }
