@@ -13,6 +13,7 @@ from replicakit.llm.common import crc_mod, table
 from replicakit.llm.exact_dedup import exact_dedup
 from replicakit.llm.filter_audit import audit_filters
 from replicakit.llm.mixing import JUNK, mix
+from replicakit.llm.prefix_trie import prefix_trie
 from replicakit.llm.simhash import simhash_near_dedup
 from replicakit.llm.substring_dedup import substring_dedup
 
@@ -87,6 +88,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -97,7 +102,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_secret_scan, op3_pii, op4_mixing, op5_exact_dedup, op6_block_nn, op7_byte_bpe,
-    op8_simhash, op9_toxicity, op10_quality, op12_block_topk, op13_filter_audit)}
+    op8_simhash, op9_toxicity, op10_quality, op11_prefix_trie, op12_block_topk,
+    op13_filter_audit)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -164,6 +170,32 @@ p AS (SELECT q.doc_id, q.size, x.source_size, x.target, x.epochs, x.budget - x.e
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM p"""
 
 
+def _op11_sql() -> str:
+    """Every prefix of every rebuilt conversation, grouped; crc32 bit by bit."""
+    return f"""
+WITH t AS (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS sym,
+        len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(sym ORDER BY turn NULLS FIRST, sym) AS sym, list(words ORDER BY turn NULLS FIRST, sym) AS words,
+        list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+          lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+          lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS crc
+      FROM t GROUP BY conv_id),
+r AS (SELECT o.conv_id, coalesce(b.sym, [])[:xor(o.crc, 4294967295) % 4] || o.sym[xor(o.crc, 4294967295) % 4 + 1:] AS sym,
+        coalesce(b.words, [])[:xor(o.crc, 4294967295) % 4] || o.words[xor(o.crc, 4294967295) % 4 + 1:] AS words
+      FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 20),
+p AS (SELECT conv_id, d, array_to_string(sym[:d], '') AS node, coalesce(words[d], 0) AS w, len(sym) = d AS ends
+      FROM (SELECT *, unnest(range(0, len(sym) + 1)) AS d FROM r)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w,
+        string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ends FROM p GROUP BY node, d),
+c AS (SELECT left(node, 32 * (d - 1)) AS node, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+k AS (SELECT n.*, coalesce(c.n, 0) AS children FROM n LEFT JOIN c USING (node)),
+s AS (SELECT left(node, 32 * e) AS node, sum((n - 1) * w) AS saved, sum(CAST(children = 0 AS INT)) AS leaves
+      FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM k) GROUP BY 1)
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, k.n AS n_convs, CAST(k.children AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM k JOIN s USING (node) LEFT JOIN n u ON k.d > 0 AND u.node = left(k.node, 32 * (k.d - 1))"""
+
+
 def _op13_sql() -> str:
     """Every order and step, counted over the masks of each part."""
     return f"""
@@ -209,6 +241,7 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS
       FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op11_prefix_trie": _op11_sql(),
     "op12_block_topk": """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e
       FROM embeddings WHERE len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
