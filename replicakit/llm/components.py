@@ -17,14 +17,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large star: every neighbour above a node is linked to the node's smallest neighbour.
     Small star: every neighbour below it is, and the node itself. Each round aggregates a
-    minimum per node map-side and joins it back, so a node with many neighbours is dealt
-    over tasks; rounds grow with the logarithm of the longest path. Each round's edges are
-    written to the scratch folder; the driver sees only a changed/unchanged flag.
+    minimum per node map-side, writes it and joins it back, so both sides of the join are plain
+    shuffles and adaptive execution splits a node with many neighbours; rounds grow with the
+    logarithm of the longest path. Each round's edges are written to the scratch folder; the
+    driver sees only a changed/unchanged flag.
     """
     def star(links: DataFrame, large: bool) -> DataFrame:
         near = _both(links) if large else links.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        low = stored(near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")), "least")
         out = near.join(low, "a")
         if large:
             moved = out.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))

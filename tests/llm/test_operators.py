@@ -288,6 +288,43 @@ def test_ball_links(spark, radius):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expect.values()))
 
 
+def test_a_ball_meets_few_buckets():
+    rnd = np.random.default_rng(5)
+    fps = rnd.integers(0, 1 << 63, 50, dtype=np.uint64)
+    for w in (4, 13, 22):
+        (depth, bucket, who, left), = simhash.reach(fps, 2, w, {})
+        assert depth == w and len(bucket) <= len(fps) * (1 + w + w * (w - 1) // 2)
+        assert len(set(zip(bucket.tolist(), who.tolist(), strict=True))) == len(bucket)
+        # Every variant of the ball lies in just one of them.
+        sizes = [simhash.ball_size(64 - w, n) for n in left.tolist()]
+        assert sum(sizes) == len(fps) * simhash.ball_size(64, 2)
+    order = rnd.permutation(64).tolist()
+    assert (simhash.reorder(simhash.reorder(fps, order), order, back=True) == fps).all()
+
+
+@pytest.mark.parametrize("radius", [2, 4])
+def test_crowded_buckets_split(spark, radius):
+    """Near copies of one text share nearly all bits: their bucket is split, links stay."""
+    rnd = random.Random(radius)
+    centre = rnd.getrandbits(64)
+    fps = {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))) for _ in range(400)}
+    fps = sorted(fps | {rnd.getrandbits(64) for _ in range(100)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    frame, limit = spark.createDataFrame([(f,) for f in signed], "fp bigint"), 3000
+    half = (radius + 1) // 2
+    crowded = simhash.crowded_buckets(frame, simhash.balanced_bits(frame), half, 4, 4 * limit)
+    assert len(crowded) > 1 or radius == 2
+    label = components(fps, lambda a, b: (a ^ b).bit_count() <= radius)
+    found = {r.node: r.component for r in connected_components(simhash.near_links(frame, radius, limit)).collect()}
+    got, expect = {}, {}
+    for f, c in zip(signed, label, strict=True):
+        got.setdefault(found.get(f, f), set()).add(f)
+        expect.setdefault(c, set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expect.values()))
+    sizes = frame.mapInPandas(simhash._weigh(simhash.balanced_bits(frame), half, 4, crowded), "depth int, bucket bigint, variants bigint")
+    assert sizes.groupBy("depth", "bucket").sum("variants").agg(F.max("sum(variants)")).first()[0] <= 4 * limit
+
+
 def held_out_accuracy(frame, truth):
     pairs = [(r.predicted, truth[r.doc_id]) for r in frame.collect() if r.held_out and r.doc_id in truth]
     return np.mean([p == t for p, t in pairs]), np.mean([p for p, t in pairs if t]), len(pairs)
