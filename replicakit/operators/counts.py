@@ -6,7 +6,7 @@ aggregated partially per task and shuffles one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +86,24 @@ def _counts_at(reg: Registry, side: str, ns: str, tables: Sequence[str]) -> dict
     return {t: n for x in tables for t, n in _counts_at(reg, side, ns, [x]).items()}
 
 
+def counts_at_once(reg: Registry, wanted: Mapping[str, tuple[str | None, str]], as_of=None) -> dict[str, int]:
+    """Counts per side of ``{side: (namespace or None, table)}``, all as of one moment and in one
+    job; side by side only if that fails. A side that cannot be counted is left out."""
+    frames = {}
+    for side, (ns, table) in wanted.items():
+        try:
+            frames[side] = count_rows(read_side(reg.spark, reg, side, ns, table, as_of)).select(
+                F.lit(side).alias("side"), "n_rows")
+        except Exception:  # noqa: BLE001 - missing on that side
+            continue
+    try:
+        return {r["side"]: r["n_rows"] for r in reduce(DataFrame.unionByName, frames.values()).collect()} if frames else {}
+    except Exception:  # noqa: BLE001 - a file went missing: which side's?
+        if len(wanted) == 1:
+            return {}
+    return {s: n for side in frames for s, n in counts_at_once(reg, {side: wanted[side]}, as_of).items()}
+
+
 def count_with_fallback(spark: SparkSession, reg: Registry, side: str, tables: Sequence[str],
                         pref: str | None, alt: str | None = None) -> DataFrame:
     """Count at the preferred namespace; on any failure at ``alt``.

@@ -23,7 +23,6 @@ from replicakit.functions.text import (
 )
 from replicakit.operators.counts import (
     compare_counts,
-    count_rows,
     count_with_fallback,
     count_with_guard,
     row_count,
@@ -35,7 +34,7 @@ from replicakit.operators.integrity import check_not_null, check_unique
 from replicakit.operators.inventory import is_in_mode, namespaces_in_mode, state_of
 from replicakit.operators.upsert import fill_defaults, upsert
 from replicakit.plans.replica import ChangeSpec, initial_copy, read_batches, readonly_view
-from replicakit.plans.replication import Replication, load, restart_replication
+from replicakit.plans.replication import Replication, load, remove, restart_replication
 from replicakit.plans.scenario import create_sides, run_scenario, smoke
 from replicakit.plans.status import health_report, ready_gate, replication_status
 from replicakit.session import scratch_path
@@ -497,24 +496,27 @@ def q_replicate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("watch_counts", f"""
-WITH per AS (SELECT {fx.CHANGE_PART_SQL} AS tick, count(*) AS n FROM events GROUP BY 1),
-cum AS (SELECT tick, CAST(sum(n) OVER (ORDER BY tick) AS BIGINT) AS n_b FROM per),
-a AS (SELECT count(*) AS n_a FROM events)
-SELECT CAST(tick AS BIGINT) AS tick, a.n_a, n_b,
-       CASE WHEN n_b = a.n_a THEN 'match' ELSE 'mismatch' END AS verdict
-FROM cum JOIN a ON true
+WITH e AS (SELECT *, {fx.CHANGE_PART_SQL} AS part FROM events),
+f AS (SELECT p.part AS tick, event_type, row_number() OVER (PARTITION BY p.part, user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM e JOIN (SELECT DISTINCT part FROM e) p ON e.part <= p.part),
+n AS (SELECT tick, count(*) FILTER (rn = 1 AND event_type <> 'error') AS n_b FROM f GROUP BY tick),
+t AS (SELECT n.tick, a.n_b AS n_a, n.n_b, CASE WHEN n.n_b = a.n_b THEN 'match' ELSE 'mismatch' END AS verdict
+      FROM n, (SELECT max_by(n_b, tick) AS n_b FROM n) a)
+SELECT CAST(tick AS BIGINT) AS tick, n_a, n_b, verdict FROM t
+WHERE tick <= (SELECT min(tick) FROM t WHERE verdict = 'match')
 """)
 def q_watch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Side A: the whole change log, counted anew at each tick; side B: its four
-    parts arriving, one tick per arrival."""
-    stage, out, ckpt = (scratch_path(spark, "stage"), scratch_path(spark, "ticks"),
-                        scratch_path(spark, "ckpt"))
-    schema = fx.change_log(spark, sf_dir).schema
-    log_a, ticks = fx.change_log(spark, sf_dir), None
+    """Side A holds the users as all changes leave them. Side B gets the changes in four
+    parts, as inserts, updates and deletes of its table; one tick after each."""
+    reg = Registry(spark, scratch_path(spark, "registry"))
+    out, ckpt, ticks = scratch_path(spark, "ticks"), scratch_path(spark, "ckpt"), None
+    fold = lambda log, **kept: apply_changes(log, fx.CHANGE_KEYS, fx.CHANGE_ORDER, **kept)
+    reg.mount("A", "va", "users", fold(fx.change_log(spark, sf_dir)))
     for part in fx.change_parts(spark, sf_dir):
-        fx.stage(part, stage)
-        ticks = watch_counts(spark, stage, schema, lambda: count_rows(log_a).first()["n_rows"],
-                             out=out, ckpt=ckpt, available_now=True)
+        newest = fold(part, keep_deletes=True)
+        load(reg, "B", "users", newest.filter("op <> 'delete'").drop("op"), fx.CHANGE_KEYS)
+        remove(reg, "B", "users", newest.filter("op = 'delete'").select(*fx.CHANGE_KEYS), fx.CHANGE_KEYS)
+        ticks = watch_counts(reg, "users", out, ckpt, available_now=True)
     return ticks
 
 

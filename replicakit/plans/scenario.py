@@ -14,7 +14,7 @@ from replicakit.constants import (
     SIDE_A,
     SIDE_B,
 )
-from replicakit.operators.counts import count_with_fallback, row_count
+from replicakit.operators.counts import counts_at_once
 from replicakit.operators.diff import diff_summary, resync_diff
 from replicakit.plans.replication import Replication, load, start_replication
 from replicakit.plans.status import health_report
@@ -65,29 +65,6 @@ def create_sides(reg: Registry) -> None:
     ])
 
 
-def _default_counts(spark: SparkSession, reg: Registry, table: str) -> tuple[int | None, ...]:
-    """Counts at each side's default namespace, both in one job; a side whose
-    table cannot be read counts as missing."""
-    frames = {}
-    for side in (SIDE_A, SIDE_B):
-        try:
-            frames[side] = row_count(spark, reg, side, table)
-        except Exception:  # noqa: BLE001 - missing on that side
-            continue
-    got: dict[str, int] = {}
-    if frames:
-        both = None
-        for f in frames.values():
-            both = f if both is None else both.unionByName(f)
-        try:
-            got = {r["side"]: r["n_rows"] for r in both.collect()}
-        except Exception:  # noqa: BLE001 - fall back to one side at a time
-            for side in frames:
-                r = count_with_fallback(spark, reg, side, [table], None).first()
-                got[side] = r["n_rows"]
-    return got.get(SIDE_A), got.get(SIDE_B)
-
-
 def run_scenario(
     spark: SparkSession,
     reg: Registry,
@@ -153,7 +130,8 @@ def run_scenario(
             ok, detail = True, result if isinstance(result, str) else "ok"
         except Exception as err:  # noqa: BLE001 - report the failing step, then stop
             ok, detail = False, f"failed at step: {name}: {type(err).__name__}: {err}"
-        n_a, n_b = _default_counts(spark, reg, table)
+        found = counts_at_once(reg, {side: (None, table) for side in (SIDE_A, SIDE_B)})
+        n_a, n_b = found.get(SIDE_A), found.get(SIDE_B)
         rows.append((i, name, ok, n_a, n_b, detail))
         if not ok:
             break

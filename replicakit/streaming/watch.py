@@ -1,102 +1,83 @@
-"""Watch two sides' counts while changes arrive.
+"""Watch two sides' counts of a table.
 
-Side B's count is a stateful streaming aggregate (``groupBy().count()`` in
-complete mode, state kept in the checkpoint). Each trigger is a tick: the
-new count is compared with side A's (O21) and the tick row written under
-``tick=<n>`` (overwrite, so a replayed batch replaces itself). The watch stops
-at the first match or after ``max_ticks``.
+A timer stream (one row a trigger, no input files) makes the ticks. Every tick counts
+the table on both sides anew, at one point in time, and compares the counts (O21); so
+updates and deletes count as what they leave, and a tick comes whether or not anything
+arrived. The tick's row is written under ``tick=<n>`` in overwrite mode, so a tick replayed
+after a failure replaces itself. The watch ends at the first match or after ``max_ticks``.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from replicakit.constants import MATCH, WATCH_EVERY, WATCH_TICKS
-from replicakit.operators.counts import compare_counts
+from replicakit.constants import MATCH, SIDE_A, SIDE_B, WATCH_EVERY, WATCH_TICKS
+from replicakit.functions.text import canon_side
+from replicakit.operators.counts import COUNT_SCHEMA, compare_counts, counts_at_once
 from replicakit.plans.replica import read_batches
+from replicakit.sources.registry import Registry
 
-SIDE_COUNT = "table_name string, n_rows bigint"
 TICK_SCHEMA = "tick bigint, n_a bigint, n_b bigint, verdict string"
 
 
-def _seconds(interval: str) -> float:
-    """``'5 seconds'`` / ``'1 second'`` / ``'500 milliseconds'`` in seconds."""
-    n, unit = interval.split()
-    return float(n) / 1000.0 if unit.startswith("milli") else float(n) * (
-        60.0 if unit.startswith("minute") else 1.0)
+def tick_row(reg: Registry, table: str, side_a: str = SIDE_A, side_b: str = SIDE_B) -> DataFrame:
+    """``(n_a, n_b, verdict)``: both sides' default namespaces counted as of one moment; a
+    side that cannot be counted now is ``waiting``."""
+    side_a, side_b = canon_side(side_a), canon_side(side_b)
+    counts = counts_at_once(reg, {s: (None, table) for s in (side_a, side_b)}, reg.stamp())
+    frames = [reg.spark.createDataFrame([(s, table, counts.get(s))], COUNT_SCHEMA) for s in (side_a, side_b)]
+    return compare_counts(*frames).select("n_a", "n_b", "verdict")
 
 
 def watch_counts(
-    spark: SparkSession,
-    src_dir: str,
-    schema: StructType,
-    n_a: int | Callable[[], int | None],
+    reg: Registry,
+    table: str,
     out: str,
     ckpt: str,
+    side_a: str = SIDE_A,
+    side_b: str = SIDE_B,
     max_ticks: int = WATCH_TICKS,
     every: str = WATCH_EVERY,
     available_now: bool = False,
-    max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """Run the watch and return ``(tick, n_a, n_b, verdict)`` up to the first
-    match or ``max_ticks`` (live: also at most ``max_ticks`` intervals of
-    wall time, since a tick is a micro-batch and none runs without new files).
+    """Run the watch; ``(tick, n_a, n_b, verdict)`` up to the first match or ``max_ticks``.
 
-    ``n_a`` is side A's count at one ``as_of`` (see O15/O26), or a function
-    that counts it anew at every tick; ``None`` from it is ``waiting`` (O21). Live use
-    triggers every ``every``; ``available_now=True`` drains the files present
-    as one tick (``max_files_per_trigger`` splits them into several) and can be
-    called again as files arrive: state and ticks live in ``ckpt`` and ``out``.
+    A tick comes ``every`` interval of the clock. ``available_now=True`` makes one tick and
+    returns; the timer's offsets live in ``ckpt`` and the ticks in ``out``, so a further call
+    goes on with the next tick, also from another driver.
     """
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    counts = reader.parquet(src_dir).groupBy().agg(F.count(F.lit(1)).alias("n_b"))
-    matched: list[int] = []
+    spark = reg.spark
+    ended: list[int] = []
 
     def matched_before() -> bool:
-        earlier = read_batches(spark, out, TICK_SCHEMA)
-        return "verdict" in earlier.columns and earlier.filter(
-            F.col("verdict") == MATCH).limit(1).count() > 0
+        return not read_batches(spark, out, TICK_SCHEMA).filter(F.col("verdict") == MATCH).isEmpty()
 
-    def on_tick(batch: DataFrame, batch_id: int) -> None:
+    def on_tick(_timer: DataFrame, batch_id: int) -> None:
         tick = batch_id + 1
-        if tick > max_ticks or matched or matched_before():
+        if ended or tick > max_ticks or matched_before():
+            ended.append(tick)
             return
-        # The tick number is the folder's partition value, not a data column.
-        count_a = batch.sparkSession.createDataFrame([("", n_a() if callable(n_a) else n_a)], SIDE_COUNT)
-        count_b = batch.select(F.lit("").alias("table_name"), F.col("n_b").alias("n_rows"))
-        row = compare_counts(count_a, count_b).select("n_a", "n_b", "verdict")
-        row.write.mode("overwrite").parquet(f"{out.rstrip('/')}/tick={tick}")
-        verdict = spark.read.parquet(f"{out.rstrip('/')}/tick={tick}").first()["verdict"]
-        if verdict == MATCH:
-            matched.append(tick)
+        reg.refresh()  # what other drivers have written since
+        path = f"{out.rstrip('/')}/tick={tick}"
+        tick_row(reg, table, side_a, side_b).coalesce(1).write.mode("overwrite").parquet(path)
+        if tick == max_ticks or spark.read.parquet(path).first()["verdict"] == MATCH:
+            ended.append(tick)
 
+    timer = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
-    q = (counts.writeStream.outputMode("complete").foreachBatch(on_tick)
-         .option("checkpointLocation", ckpt).trigger(**trigger).start())
+    query = (timer.writeStream.foreachBatch(on_tick).option("checkpointLocation", ckpt)
+             .trigger(**trigger).start())
     try:
-        if available_now:
-            q.awaitTermination()
-        else:
-            # A tick is a micro-batch; with no new files none runs, so the
-            # watch is also bounded by max_ticks intervals of wall time.
-            deadline = time.monotonic() + max_ticks * _seconds(every)
-            while (q.isActive and not matched and time.monotonic() < deadline
-                   and (q.lastProgress or {}).get("batchId", -1) + 1 < max_ticks):
-                q.awaitTermination(0.5)
+        while not query.awaitTermination(0.2) and not ended:  # a failed tick raises here
+            pass
     finally:
-        if q.isActive:
-            q.stop()
+        if query.isActive:
+            query.stop()
     ticks = read_batches(spark, out, TICK_SCHEMA)
     if "tick" not in ticks.columns:
         return spark.createDataFrame([], TICK_SCHEMA)
-    # Keep ticks up to the first match (at most ``max_ticks`` rows exist).
+    # At most ``max_ticks`` rows exist.
     first_match = ticks.filter(F.col("verdict") == MATCH).agg(F.min("tick")).first()[0]
     last = min(first_match or max_ticks, max_ticks)
     return (ticks.filter(F.col("tick") <= F.lit(last))

@@ -176,12 +176,16 @@ def test_restart_writes_the_difference_only(spark, reg):
     assert rows(reg.read("B", "vb", "t")) == rows(reg.read("A", "va", "t"))
 
 
-def test_watch_recounts_and_waits(spark):
-    stage, out, ckpt = (scratch_path(spark, x) for x in ("stage", "ticks", "ckpt"))
-    data, counts = frame(spark, (1, "a", ""), (2, "b", "")), iter([None, 5, 6])
-    for _ in range(3):
-        data.write.mode("append").parquet(stage)
-        ticks = watch_counts(spark, stage, data.schema, lambda: next(counts), out, ckpt, available_now=True)
+def test_watch_recounts_and_waits(spark, reg):
+    out, ckpt = scratch_path(spark, "ticks"), scratch_path(spark, "ckpt")
+    reg.set_state("default/CB", "vb")
+    data, sizes = frame(spark, (1, "a", ""), (2, "b", "")), [None, 5, 6]
+    many = lambda n: spark.createDataFrame([(100 + i, "", "") for i in range(n)], data.schema)
+    for i, n in enumerate(sizes):
+        load(reg, "B", "t", frame(spark, (2 * i, "a", ""), (2 * i + 1, "b", "")), ["k"], ns="vb")
+        if n is not None:
+            reg.mount("A", "va", "t", many(n))
+        ticks = watch_counts(reg, "t", out, ckpt, available_now=True)
     assert [tuple(r) for r in ticks.orderBy("tick").collect()] == [
         (1, None, 2, "waiting"), (2, 5, 4, "mismatch"), (3, 6, 6, "match")]
 
