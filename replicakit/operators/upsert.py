@@ -10,11 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from replicakit.operators.sizing import (
-    DEFAULT_BROADCAST_BYTES,
-    DEFAULT_BROADCAST_ROWS,
-    has_at_most,
-)
+from replicakit.session import staged
 
 
 def _as_col(v: Any) -> Column:
@@ -69,8 +65,7 @@ def upsert(
     rows: DataFrame,
     keys: Sequence[str],
     defaults: Mapping[str, Any] | None = None,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-    max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    stage: bool = True,
 ) -> DataFrame:
     """Insert or replace ``rows`` into ``base`` by ``keys`` (keys unique in rows).
 
@@ -78,47 +73,28 @@ def upsert(
     given keep their value on update and take the default on insert. Applying
     the same rows twice gives the same table.
 
-    Small ``rows`` (rows and bytes checked): ``base`` left join ``broadcast(rows)`` with a
-    match flag, so ``base`` is never shuffled; inserts are ``rows`` minus the
-    matched keys, which are at most ``len(rows)`` and broadcast as well.
-    Large ``rows``: one full outer join.
+    ``rows`` are evaluated once: they are staged first (``stage=False`` if they already are),
+    so the planner knows their size. One plan at every size: ``base`` left join ``rows`` with
+    a match flag, plus ``rows`` without the keys that ``base`` has. Spark broadcasts ``rows``
+    below its own threshold and then only scans ``base``; above it both are left-side joins,
+    whose skew adaptive execution splits.
     """
     keys = list(keys)
     given = [c for c in rows.columns if c not in keys]
     unknown = [c for c in rows.columns if c not in base.columns]
     if unknown:
         raise ValueError(f"columns not in base: {unknown}")
+    if stage:
+        rows = staged(rows, "upsert")
     new = rows.select(*[F.col(c).alias(f"_n_{c}") for c in rows.columns],
                       F.lit(True).alias("_m"))
     on = _key_match(base, "_n_", keys)
-    schema = base.schema
-
-    if has_at_most(rows, max_broadcast_rows, max_broadcast_bytes):
-        joined = base.join(F.broadcast(new), on, "left")
-        updated = joined.select(*[
-            (F.when(F.col("_m").isNotNull(), F.col(f"_n_{c}")).otherwise(base[c]) if c in given
-             else base[c]).alias(c)
-            for c in base.columns
-        ])
-        matched = base.select(*keys).join(F.broadcast(new.select(*[f"_n_{k}" for k in keys])),
-                                          _key_match(base, "_n_", keys), "left_semi")
-        matched = matched.select(*[F.col(k).alias(f"_x_{k}") for k in keys])
-        on_x = reduce(lambda a, b: a & b,
-                      [rows[k].eqNullSafe(F.col(f"_x_{k}")) for k in keys])
-        inserts = rows.join(F.broadcast(matched), on_x, "left_anti")
-        return updated.unionByName(fill_defaults(inserts, defaults, schema))
-
-    old = base.withColumn("_o", F.lit(True))
-    joined = old.join(new, _key_match(old, "_n_", keys), "full_outer")
-    defaults = dict(defaults or {})
-    cols = []
-    for c in base.columns:
-        if c in keys:
-            col = F.when(F.col("_o").isNotNull(), old[c]).otherwise(F.col(f"_n_{c}"))
-        elif c in given:
-            col = F.when(F.col("_m").isNotNull(), F.col(f"_n_{c}")).otherwise(old[c])
-        else:
-            dflt = _as_col(defaults[c]) if c in defaults else F.lit(None)
-            col = F.when(F.col("_o").isNotNull(), old[c]).otherwise(dflt.cast(schema[c].dataType))
-        cols.append(col.alias(c))
-    return joined.select(*cols)
+    updated = base.join(new, on, "left").select(*[
+        (F.when(F.col("_m").isNotNull(), F.col(f"_n_{c}")).otherwise(base[c]) if c in given
+         else base[c]).alias(c)
+        for c in base.columns
+    ])
+    matched = base.select(*keys).join(new.select(*[f"_n_{k}" for k in keys]), on, "left_semi").select(
+        *[F.col(k).alias(f"_x_{k}") for k in keys])
+    inserts = rows.join(matched, _key_match(rows, "_x_", keys), "left_anti")
+    return updated.unionByName(fill_defaults(inserts, defaults, base.schema))

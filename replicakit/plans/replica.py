@@ -4,8 +4,7 @@
 as batches (see :mod:`replicakit.streaming.replicate`); ``readonly_view`` is
 the consistent replica at a frontier ``T``: base ∪ changes with ``ts <= T``,
 merged by :func:`merge_changes` (the base is not shuffled when the folded
-changes are small enough for Spark to broadcast). ``compact`` folds
-the batches into the next base so the read cost stays bounded.
+changes are small enough for Spark to broadcast).
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from replicakit.constants import DELETE
 from replicakit.operators.fold import apply_changes
-from replicakit.session import scratch_path
+from replicakit.session import staged
 from replicakit.sources.changes import TABLE_META as CHANGE_META
 
 
@@ -87,9 +86,7 @@ def merge_changes(base: DataFrame, log: DataFrame, spec: ChangeSpec,
     keys, cols = list(spec.keys), base.columns
     folded = apply_changes(log.select(*cols), keys, spec.order, spec.op_col, spec.delete_value,
                            keep_deletes=True)
-    path = scratch_path(base.sparkSession, "folded")
-    folded.write.parquet(path)
-    newest = base.sparkSession.read.schema(folded.schema).parquet(path)
+    newest = staged(folded, "folded")
     n = newest.select(*[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_hit"))
     on = reduce(lambda a, b: a & b, [base[k].eqNullSafe(F.col(f"_n_{k}")) for k in keys])
     joined = base.join(n, on, "left")
@@ -123,12 +120,6 @@ def readonly_view(base: DataFrame, log: DataFrame, spec: ChangeSpec, as_of=None)
     return view.select(*spec.data_columns(view)) if spec.meta else view
 
 
-def compact(base: DataFrame, log: DataFrame, spec: ChangeSpec, path: str, as_of=None) -> DataFrame:
-    """Fold ``log`` into ``base`` keeping tombstones; write it as the next base."""
-    merge_changes(base, upto(log, spec, as_of), spec, keep_deletes=True).write.mode("overwrite").parquet(path)
-    return base.sparkSession.read.parquet(path)
-
-
 def read_batches(spark: SparkSession, path: str, schema,
                  after_batch: int | None = None) -> DataFrame:
     """All applied change batches under ``path`` (``batch=<id>`` folders).
@@ -153,8 +144,10 @@ def last_batch(spark: SparkSession, path: str) -> int | None:
     """Highest ``batch=<id>`` under ``path`` (a partition-column aggregate)."""
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as err:
+        if err.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     if "batch" not in df.columns:
         return None
     return df.agg(F.max("batch").alias("b")).first()["b"]

@@ -54,7 +54,6 @@ from replicakit.constants import (
 from replicakit.functions.text import canon_side
 from replicakit.operators.diff import diff_summary, resync_diff
 from replicakit.operators.integrity import check_unique
-from replicakit.operators.sizing import broadcast_if_small
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replica import (
     ChangeSpec,
@@ -65,6 +64,7 @@ from replicakit.plans.replica import (
     registry_spec,
 )
 from replicakit.plans.status import ready_gate, replication_status, stream_word
+from replicakit.session import scratch_scope, staged
 from replicakit.sources.changes import (
     TS_FORMAT,
     change_schema,
@@ -146,8 +146,8 @@ def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[s
 
     Merge on read: the touched rows as they now are (whole columns; a load may
     give only some) are appended to the table's change log, and nothing is
-    rewritten. Finding them reads only the touched keys' current rows (a
-    semi join against the rows' keys). Every ``compact_every`` loads the
+    rewritten. ``rows`` are evaluated once, into a staged file that every later step
+    reads; one semi join against its keys finds the touched rows. Every ``compact_every`` loads the
     pending changes are folded into a new version. A table without a version
     yet (new, or mounted) gets its first version written instead.
 
@@ -158,18 +158,21 @@ def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[s
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
     keys = _checked_keys(reg, side, ns, table, keys)
-    if not rows.groupBy(*keys).count().filter("count > 1").isEmpty():
-        raise ValueError(f"rows for {side}/{ns}/{table} repeat a key")
-    # Small loads (checked) are broadcast, so the table is scanned, not shuffled.
-    touched_keys = broadcast_if_small(rows.select(*keys).distinct())
-    if reg.current_version(side, ns, table) is None:
-        new = upsert(reg.read(side, ns, table), rows, keys) if reg.exists(side, ns, table) else rows
-        _append_changes(reg, side, ns, table, _touched(new, touched_keys, keys, "left_semi"))
-        return reg.write_version(side, ns, table, new,
-                                 extra=[(keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys)))])
-    current = _touched(reg.read(side, ns, table), touched_keys, keys, "left_semi")
-    _append_changes(reg, side, ns, table, upsert(current, rows, keys))
-    return _record_pending(reg, side, ns, table, keys, compact_every)
+    with scratch_scope(reg.spark):
+        rows = staged(rows, "load")
+        if not rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+            raise ValueError(f"rows for {side}/{ns}/{table} repeat a key")
+        if reg.current_version(side, ns, table) is None:
+            new = rows
+            if reg.exists(side, ns, table):
+                new = upsert(reg.read(side, ns, table), rows, keys, stage=False)
+            # The touched rows, then the version that they come from, are read from one plan.
+            _append_changes(reg, side, ns, table, _touched(new, rows, keys, "left_semi") if new is not rows else rows)
+            return reg.write_version(side, ns, table, new,
+                                     extra=[(keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys)))])
+        current = staged(_touched(reg.read(side, ns, table), rows, keys, "left_semi"), "touched")
+        _append_changes(reg, side, ns, table, upsert(current, rows, keys, stage=False))
+        return _record_pending(reg, side, ns, table, keys, compact_every)
 
 
 def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequence[str],
@@ -180,13 +183,14 @@ def remove(reg: Registry, side: str, table: str, key_rows: DataFrame, keys: Sequ
     side = canon_side(side)
     ns = ns or resolve_default(reg, side)
     keys = _checked_keys(reg, side, ns, table, keys)
-    gone = broadcast_if_small(key_rows.select(*keys).distinct())
-    current = reg.read(side, ns, table)
-    _append_changes(reg, side, ns, table, _touched(current, gone, keys, "left_semi"), DELETE)
-    if reg.current_version(side, ns, table) is None:
-        return reg.write_version(side, ns, table, _touched(current, gone, keys, "left_anti"),
-                                 extra=[(keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys)))])
-    return _record_pending(reg, side, ns, table, keys, compact_every)
+    with scratch_scope(reg.spark):
+        gone = staged(key_rows.select(*keys).distinct(), "remove")
+        current = reg.read(side, ns, table)
+        _append_changes(reg, side, ns, table, _touched(current, gone, keys, "left_semi"), DELETE)
+        if reg.current_version(side, ns, table) is None:
+            return reg.write_version(side, ns, table, _touched(current, gone, keys, "left_anti"),
+                                     extra=[(keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys)))])
+        return _record_pending(reg, side, ns, table, keys, compact_every)
 
 
 @dataclass

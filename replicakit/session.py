@@ -9,9 +9,12 @@ one is created only when the session has none (local tests).
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session defaults. AQE re-plans joins at runtime (broadcast when the real
 # shuffle output is small, split skewed partitions, coalesce tiny ones).
@@ -83,3 +86,38 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh, never reused folder below the shared checkpoint folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+_scope = threading.local()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems keep it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end: for flows that write their result, so
+    that nothing reads it any more. An inner scope leaves it to the outer one."""
+    if getattr(_scope, "paths", None) is not None:
+        yield
+        return
+    _scope.paths = []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, None
+        for path in paths:
+            delete_path(spark, path)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back: evaluated once, its
+    true size known to the planner, nothing recomputed after a lost executor."""
+    path = scratch_path(df.sparkSession, label)
+    if getattr(_scope, "paths", None) is not None:
+        _scope.paths.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from replicakit.constants import MATCH, SIDE_A, SIDE_B, WATCH_EVERY, WATCH_TICKS
 from replicakit.functions.text import canon_side
 from replicakit.operators.counts import COUNT_SCHEMA, compare_counts, counts_at_once
 from replicakit.plans.replica import read_batches
+from replicakit.session import scratch_scope
 from replicakit.sources.registry import Registry
 
 TICK_SCHEMA = "tick bigint, n_a bigint, n_b bigint, verdict string"
@@ -60,7 +61,8 @@ def watch_counts(
             return
         reg.refresh()  # what other drivers have written since
         path = f"{out.rstrip('/')}/tick={tick}"
-        tick_row(reg, table, side_a, side_b).coalesce(1).write.mode("overwrite").parquet(path)
+        with scratch_scope(spark):
+            tick_row(reg, table, side_a, side_b).coalesce(1).write.mode("overwrite").parquet(path)
         if tick == max_ticks or spark.read.parquet(path).first()["verdict"] == MATCH:
             ended.append(tick)
 

@@ -56,8 +56,12 @@ def test_upsert_twice_is_once(spark):
 def test_upsert_large_path_equals_broadcast_path(spark):
     base, seed = fx.orders_a(spark, SF_SMALL), fx.seed_rows(spark, SF_SMALL)
     small = upsert(base, seed, KEYS, {"o_orderpriority": "3-MEDIUM"})
-    large = upsert(base, seed, KEYS, {"o_orderpriority": "3-MEDIUM"}, max_broadcast_rows=0)
-    assert rows(small) == rows(large.select(*small.columns))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = upsert(base, seed, KEYS, {"o_orderpriority": "3-MEDIUM"})
+        assert rows(small) == rows(large.select(*small.columns))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def staged_stream(spark, out, ckpt, **kw):
