@@ -1,9 +1,10 @@
 """Key-level difference between a source and a replica, and applying it
 (O22, O23).
 
-``resync_diff`` groups both sides by key in one aggregation (one shuffle of
-each side; a key duplicated many times is combined map-side and never paired
-with itself). With ``exact=False`` it first compares
+``resync_diff`` joins both sides by key (one shuffle and one sort of each side);
+keys that repeat on a side are found first and grouped instead, so a key
+duplicated many times is combined map-side and never paired with itself. With
+``exact=False`` it first compares
 a digest per key bucket on both sides — one scan each, aggregated partially so
 only ``buckets`` rows per side are shuffled — and runs the key join only on
 the rows of buckets whose digests differ. A digest collision could hide a
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replicakit.constants import DELETE, INSERT, UPDATE
-from replicakit.session import shared_dir
+from replicakit.session import shared_dir, staged
 
 # The changed-bucket list is broadcast; this bound keeps it under ~1 MB.
 MAX_BUCKETS = 1 << 16
@@ -87,10 +88,15 @@ def resync_diff(
     exact: bool = True,
     buckets: int = 4096,
     max_changed_fraction: float = 0.5,
+    unique: bool = False,
 ) -> DataFrame:
     """Per key the action that makes ``replica`` equal to ``source``.
 
-    With ``exact=False`` the key aggregation only sees buckets whose digests
+    Keys are counted first (a pass over the key columns only). Unique keys go through one
+    full outer join, which sorts each side once; keys repeated on a side are grouped
+    instead, so they form no pairs. ``unique=True`` says that no key repeats (as in a
+    registry table written by loads) and spares the count.
+    With ``exact=False`` the join only sees buckets whose digests
     differ, unless more than ``max_changed_fraction`` of them do.
 
     Output: the key columns, ``action`` (``insert``/``update``/``delete``) and
@@ -117,8 +123,47 @@ def resync_diff(
             source = _prune(source, keys, buckets, changed)
             replica = _prune(replica, keys, buckets, changed)
 
-    # One shuffle of both sides, grouped by key: at most one output row per
-    # key whatever the duplicates, no pairs, and a hot key combines map-side.
+    repeated = _repeated_keys(source, replica, keys)
+    if unique or repeated.isEmpty():
+        return _diff_unique(source, replica, keys, vals)
+    repeated = staged(repeated, "repeated-keys")
+    alone = _diff_unique(_by_keys(source, repeated, keys, "left_anti"),
+                         _by_keys(replica, repeated, keys, "left_anti"), keys, vals)
+    return alone.unionByName(_diff_grouped(_by_keys(source, repeated, keys, "left_semi"),
+                                           _by_keys(replica, repeated, keys, "left_semi"), keys, vals))
+
+
+def _repeated_keys(source: DataFrame, replica: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once on a side; only key columns are read and shuffled."""
+    k = [F.col(c) for c in keys]
+    both = source.select(*k, F.lit(True).alias("_side")).unionByName(
+        replica.select(*k, F.lit(False).alias("_side")))
+    return both.groupBy(*keys, "_side").count().filter("count > 1").select(*keys).distinct()
+
+
+def _by_keys(df: DataFrame, wanted: DataFrame, keys: list[str], how: str) -> DataFrame:
+    w = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+    return df.join(w, reduce(lambda a, b: a & b, [df[k].eqNullSafe(F.col(f"_w_{k}")) for k in keys]), how)
+
+
+def _diff_unique(source: DataFrame, replica: DataFrame, keys: list[str], vals: list[str]) -> DataFrame:
+    """Keys that are unique on both sides: one full outer join, so each side is shuffled and
+    sorted once, and no key makes pairs or fills a task."""
+    s = source.select(*[F.col(k).alias(f"_a_{k}") for k in keys], F.struct(*vals).alias("_s"))
+    r = replica.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.struct(*vals).alias("_r"))
+    on = reduce(lambda a, b: a & b, [F.col(f"_a_{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys])
+    same = _all_equal([(F.col("_s")[c], F.col("_r")[c]) for c in vals])
+    action = (F.when(F.col("_r").isNull(), F.lit(INSERT)).when(F.col("_s").isNull(), F.lit(DELETE))
+              .when(~same, F.lit(UPDATE)))
+    key = [F.when(F.col("_s").isNull(), F.col(f"_b_{k}")).otherwise(F.col(f"_a_{k}")).alias(k) for k in keys]
+    return (s.join(r, on, "full_outer")
+            .select(*key, action.alias("action"), *[F.col("_s")[c].alias(c) for c in vals])
+            .filter(F.col("action").isNotNull()))
+
+
+def _diff_grouped(source: DataFrame, replica: DataFrame, keys: list[str], vals: list[str]) -> DataFrame:
+    """Repeated keys: both sides grouped by key, so that a key makes one row whatever its
+    repeats, no pairs are formed, and a hot key combines map-side."""
     side = F.col("_side")
     tagged = (source.select(*keys, F.struct(*vals).alias("_v"), F.lit(1).alias("_side"))
               .unionByName(replica.select(*keys, F.struct(*vals).alias("_v"),

@@ -54,6 +54,7 @@ from replicakit.constants import (
 from replicakit.functions.text import canon_side
 from replicakit.operators.diff import diff_summary, resync_diff
 from replicakit.operators.integrity import check_unique
+from replicakit.operators.keyed import buckets_of, changed_nodes, rows_of
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replica import (
     ChangeSpec,
@@ -168,7 +169,7 @@ def load(reg: Registry, side: str, table: str, rows: DataFrame, keys: Sequence[s
                 new = upsert(reg.read(side, ns, table), rows, keys, stage=False)
             # The touched rows, then the version that they come from, are read from one plan.
             _append_changes(reg, side, ns, table, _touched(new, rows, keys, "left_semi") if new is not rows else rows)
-            return reg.write_version(side, ns, table, new,
+            return reg.write_version(side, ns, table, new, n_rows=rows.count(), keys=keys if new is rows else None,
                                      extra=[(keys_key(side, ns, table), CONTROL_SET, json.dumps(list(keys)))])
         current = staged(_touched(reg.read(side, ns, table), rows, keys, "left_semi"), "touched")
         _append_changes(reg, side, ns, table, upsert(current, rows, keys, stage=False))
@@ -269,7 +270,7 @@ class Replication:
 
     def base(self, info: ReplicaInfo) -> DataFrame:
         if info.base_path:
-            return with_meta(read_table(self.spark, info.base_path), info.base_ts, -1)
+            return with_meta(rows_of(self.spark, info.base_path), info.base_ts, -1)
         return read_table(self.spark, f"{self.root}/base/v={info.base_version}")
 
     def applied_dir(self, info: ReplicaInfo) -> str:
@@ -497,7 +498,8 @@ class Replication:
             pointers.append((f"default/{SIDE_B}", CONTROL_SET, MAIN_NAMESPACE[SIDE_B]))
         # One control append: new version, service open, replica retired,
         # flags and default pointers (O3) switch together.
-        v = self.reg.write_version(self.target, self.target_ns, self.table, view, extra=[
+        v = self.reg.write_version(self.target, self.target_ns, self.table, view,
+                                   n_rows=self.base(info).count(), keys=self.keys, extra=[
             (f"mode/{self.target}/{self.target_ns}", "set", "shared"),
             (f"data_state/{self.target}/{self.target_ns}", "set", "ready"),
             (f"data_state/{self.target}/{self.readonly_ns}", "set", "offline"),
@@ -521,11 +523,31 @@ class Replication:
         ``(action, n_rows)``.
         """
         as_of = self.reg.stamp()
-        source = self.reg.read(self.source, self.source_ns, self.table)
-        current = self.reg.read(self.target, self.target_ns, self.table)
-        diff = resync_diff(source, current, self.keys)
+        with scratch_scope(self.spark):
+            return self._restart(self._difference(), as_of, dry_run, max_tries, every, interval_s)
+
+    def _difference(self) -> DataFrame:
+        """What the target side lacks (O22). Where both sides store their versions by key bucket,
+        only buckets whose digests differ, or that a pending change touches, are read."""
+        a, b = (self.source, self.source_ns, self.table), (self.target, self.target_ns, self.table)
+        loaded = all(self.reg.table_keys(*x) == self.keys for x in (a, b))  # loads refuse repeated keys
+        stored = [self.reg.keyed(*x) for x in (a, b)]
+        if not loaded or None in stored:
+            return resync_diff(self.reg.read(*a), self.reg.read(*b), self.keys, unique=loaded)
+        depth = min(t.depth for t in stored)
+        nodes = set(changed_nodes(self.spark, *stored))
+        for x in (a, b):
+            if self.reg.pending(*x):
+                schema = rows_of(self.spark, self.reg.keyed(*x).path).schema
+                nodes |= buckets_of(self.reg.pending_changes(*x, schema), self.keys, depth)
+        return resync_diff(*[self.reg.read_nodes(*x, depth, sorted(nodes)) for x in (a, b)], self.keys, unique=True)
+
+    def _restart(self, diff: DataFrame, as_of: dt.datetime, dry_run: bool, max_tries: int, every: str | None,
+                 interval_s: float) -> DataFrame | ReplicaInfo:
         if dry_run:
-            return diff_summary(diff)
+            counts = diff_summary(diff).collect()
+            return self.spark.createDataFrame([tuple(r) for r in counts], "action string, n_rows bigint")
+        current = self.reg.read(self.target, self.target_ns, self.table)
         self.reg.set_mode(self.target, self.target_ns, "none")
         nv = self.reg.next_version()
         info = ReplicaInfo(self.source, self.source_ns, nv, self.reg.next_version(),
@@ -537,7 +559,8 @@ class Replication:
         with_meta(diff.select(*current.columns, "action"), as_of, 1).withColumn("_op", op).drop(
             "action").write.mode("overwrite").parquet(batch)
         version = self.reg.current_version(*at)
-        if version is None or not check_unique(current, self.keys).isEmpty():
+        if version is None or not (self.reg.table_keys(*at) == self.keys
+                                   or check_unique(current, self.keys).isEmpty()):
             # No version to stand on: one copy, without the keys that the difference rewrites.
             kept = _touched(current, self.spark.read.parquet(batch), self.keys, "left_anti")
             with_meta(kept, as_of, 0).write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")

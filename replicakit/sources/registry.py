@@ -3,7 +3,8 @@
 A :class:`Registry` is a small driver-side map from ``(side, namespace,
 table)`` to data plus one append-only control log on the shared file system:
 
-``{root}/data/{side}/{namespace}/{table}/v={n}/``  table versions (Parquet)
+``{root}/data/{side}/{namespace}/{table}/v={n}/``  table versions (Parquet; large ones by key bucket)
+``{root}/digests/{side}/{namespace}/{table}/v={n}/`` digests of a version's key buckets
 ``{root}/changes/{side}/{namespace}/{table}/``      change rows (merge on read)
 ``{root}/control/``                                 control log (Parquet)
 
@@ -25,7 +26,7 @@ import datetime as dt
 import json
 import re
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -35,7 +36,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from replicakit.constants import MAIN_NAMESPACE, READONLY_SUFFIX
 from replicakit.functions.text import canon_side, map_namespace
+from replicakit.operators.diff import key_bucket
 from replicakit.operators.fold import CONTROL_DEL, CONTROL_SET, control_state
+from replicakit.operators.keyed import BUCKET_ROWS, KeyedTable, depth_for, rows_in, rows_of, store_keyed
 from replicakit.sources.tables import read_table
 
 CONTROL_SCHEMA = StructType([
@@ -80,6 +83,10 @@ def pending_key(side: str, ns: str, table: str) -> str:
     return f"pending/{side}/{ns}/{table}"
 
 
+def depth_key(side: str, ns: str, table: str) -> str:
+    return f"depth/{side}/{ns}/{table}"
+
+
 def _as_datetime(t):
     return t if isinstance(t, dt.datetime) else dt.datetime.fromisoformat(str(t))
 
@@ -98,6 +105,8 @@ class Registry:
         self._state: dict[str, str] | None = None
         self._last_version = 0
         self._last_stamp = 0
+        #: Rows of a key bucket, about: a version with more is stored by key bucket.
+        self.bucket_rows = BUCKET_ROWS
         self.state()
 
     # ------------------------------------------------------------ control log
@@ -248,7 +257,7 @@ class Registry:
         side, ns = canon_side(side), map_namespace(ns)
         v = self.current_version(side, ns, table)
         if v is not None:  # a written version never changes
-            base = read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
+            base = rows_of(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
             if as_of is not None:
                 wm = parse_ts(self.state()[watermark_key(side, ns, table)])
                 if _as_datetime(as_of) < wm:
@@ -286,6 +295,27 @@ class Registry:
         rep = Replication(self, info.source_side, side, table, keys)
         return lambda as_of=None: rep.view(as_of)
 
+    def version_table(self, side: str, ns: str, table: str, v: int, depth: int) -> KeyedTable:
+        return KeyedTable(f"{self.table_dir(side, ns, table)}/v={v}",
+                          f"{self.root}/digests/{side}/{ns}/{table}/v={v}", depth)
+
+    def keyed(self, side: str, ns: str, table: str) -> KeyedTable | None:
+        """The current version, if it is stored by key bucket."""
+        side, ns = canon_side(side), map_namespace(ns)
+        v, depth = self.current_version(side, ns, table), self.state().get(depth_key(side, ns, table))
+        return None if v is None or not depth else self.version_table(side, ns, table, v, int(depth))
+
+    def read_nodes(self, side: str, ns: str, table: str, depth: int, nodes: list[int]) -> DataFrame:
+        """:meth:`read`, of the rows below some digest nodes of a version stored by key bucket:
+        of the version only those files are read, of the pending changes only those rows."""
+        side, ns = canon_side(side), map_namespace(ns)
+        base = rows_in(self.spark, self.keyed(side, ns, table), depth, nodes)
+        if self.pending(side, ns, table) == 0:
+            return base
+        bucket = key_bucket(self.table_keys(side, ns, table), 1 << depth)
+        changes = self.pending_changes(side, ns, table, base.schema).filter(bucket.isin(nodes))
+        return self._merged(side, ns, table, base, changes)
+
     def exists(self, side: str, ns: str, table: str) -> bool:
         side, ns = canon_side(side), map_namespace(ns)
         return (self.current_version(side, ns, table) is not None
@@ -307,9 +337,13 @@ class Registry:
 
     def write_version(self, side: str, ns: str, table: str, df: DataFrame,
                       extra: Iterable[tuple[str, str, str | None]] = (),
-                      watermark: str | None = None, held: int | None = None) -> int:
+                      watermark: str | None = None, held: int | None = None,
+                      n_rows: int = 0, keys: Sequence[str] | None = None) -> int:
         """Write ``df`` as the next version, then swap the pointer to it.
 
+        With ``n_rows`` (about how many rows come) and ``keys`` that are unique in ``df``, a version
+        of more than ``bucket_rows`` is stored by key bucket with its digests.
+
         The new version goes to a folder nobody reads yet; a failed or retried
         write never touches the current one. The version holds every change up
         to ``watermark`` (default: now), so the pending count restarts at zero.
@@ -321,9 +355,16 @@ class Registry:
         side, ns = canon_side(side), map_namespace(ns)
         v = (self.current_version(side, ns, table) or 0) + 1
         folded = self.pending(side, ns, table) if held is None else held
-        df.write.mode("overwrite").parquet(f"{self.table_dir(side, ns, table)}/v={v}")
+        depth = depth_for(n_rows, self.bucket_rows) if keys else 0
+        target = self.version_table(side, ns, table, v, depth)
+        if depth:
+            store_keyed(df, keys, target)
+        else:
+            df.write.mode("overwrite").parquet(target.path)
+        was = self.state().get(depth_key(side, ns, table))
         self.append_control([
             (table_key(side, ns, table), CONTROL_SET, str(v)),
+            *([(depth_key(side, ns, table), CONTROL_SET, str(depth))] if depth or was else []),
             (watermark_key(side, ns, table), CONTROL_SET, watermark or self.stamp().strftime(TS_FORMAT)),
             (pending_key(side, ns, table), CONTROL_SET, str(self.pending(side, ns, table) - folded)),
             *extra,
@@ -341,7 +382,7 @@ class Registry:
         v = self.current_version(side, ns, table)
         if v is None or self.pending(side, ns, table) == 0:
             return None
-        base = read_table(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
+        base = rows_of(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
         held = self.pending(side, ns, table)
         changes = self.pending_changes(side, ns, table, base.schema)
         newest = changes.agg(F.max("_ts").alias("m")).first()["m"]
@@ -349,8 +390,8 @@ class Registry:
             return None
         merged = self._merged(side, ns, table, base, changes.filter(
             F.col("_ts") <= F.lit(newest.strftime(TS_FORMAT)).cast("timestamp_ntz")))
-        return self.write_version(side, ns, table, merged,
-                                  watermark=newest.strftime(TS_FORMAT), held=held)
+        return self.write_version(side, ns, table, merged, watermark=newest.strftime(TS_FORMAT), held=held,
+                                  n_rows=base.count(), keys=self.table_keys(side, ns, table))
 
     def tables(self, side: str, ns: str) -> list[str]:
         side, ns = canon_side(side), map_namespace(ns)

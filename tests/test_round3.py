@@ -6,6 +6,8 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from replicakit.operators.diff import resync_diff
+from replicakit.operators.keyed import KeyedTable, changed_nodes, keyed_diff, rows_in, rows_of, store_keyed
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replication import load, remove
 from replicakit.plans.scenario import create_sides
@@ -93,3 +95,90 @@ def test_scratch_scope_keeps_what_an_outer_one_reads(spark):
         assert kept.count() == 3
         assert any(f.startswith("inner-") for f in scratch_folders(spark))
     assert not any(f.startswith("inner-") for f in scratch_folders(spark))
+
+
+# ------------------------------------------------------------ differences
+def files_read(df):
+    """Files that the scan of a plan without exchanges opened."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()))
+
+
+def test_exact_diff_sorts_each_side_once(spark):
+    a, b = (frame(spark, *[(i, v, "") for i in range(50)]) for v in "ab")
+    with conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        p = plan(resync_diff(a, b, ["k"]))
+    tree = p[:p.index("\n\n\n")] if "\n\n\n" in p else p
+    assert tree.count("- Sort (") == 2 and "Aggregate" not in tree and "SortMergeJoin" in tree
+
+
+def test_exact_diff_with_repeats_on_both_sides(spark):
+    a = frame(spark, (1, "a", ""), (2, "b", ""), (2, "b", ""), (3, "c", ""), (None, "n", ""), (6, "s", ""))
+    b = frame(spark, (1, "x", ""), (2, "b", ""), (3, "c", ""), (3, "c", ""), (4, "d", ""), (4, "e", ""), (None, "m", ""), (6, "s", ""))
+    got = sorted(((r.k, r.action, r.v) for r in resync_diff(a, b, ["k"]).collect()), key=str)
+    assert got == sorted([(1, "update", "a"), (3, "update", "c"), (4, "delete", None), (None, "update", "n")], key=str)
+
+
+def test_a_hot_repeated_key_makes_no_pairs(spark):
+    n = 3000
+    a = spark.range(n).select(F.lit(7).cast("bigint").alias("k"), F.lit("v").alias("v"))
+    d = resync_diff(a, a, ["k"])
+    assert [(r.k, r.action) for r in d.collect()] == [(7, "update")]
+
+
+@pytest.mark.parametrize("depths", [(0, 0), (3, 3), (5, 2), (9, 10), (10, 3)])
+def test_keyed_diff_equals_exact(spark, depths):
+    base = spark.range(2000).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"),
+                                    F.when(F.col("id") % 5 > 0, F.lit("w")).alias("w"))
+    other = base.filter("k % 97 <> 3").withColumn("v", F.when(F.col("k") == 11, None).otherwise(F.col("v"))).unionByName(
+        frame(spark, (-4, "extra", None), (None, "null key", "")))
+    path = scratch_path(spark, "keyed")
+    a, b = (KeyedTable(f"{path}/{n}", f"{path}/{n}-digests", d) for n, d in zip("ab", depths, strict=True))
+    store_keyed(base, ["k"], a)
+    store_keyed(other, ["k"], b)
+    assert rows(keyed_diff(spark, a, b, ["k"])) == rows(resync_diff(base, other, ["k"]))
+    assert rows(rows_of(spark, b.path)) == rows(other)
+    assert changed_nodes(spark, a, a) == [] and keyed_diff(spark, a, a, ["k"]).isEmpty()
+
+
+def test_only_changed_buckets_are_read(spark):
+    base = spark.range(4000).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    path = scratch_path(spark, "keyed")
+    a, b = (KeyedTable(f"{path}/{n}", f"{path}/{n}-digests", 6) for n in "ab")
+    store_keyed(base, ["k"], a)
+    store_keyed(base.withColumn("v", F.when(F.col("k") == 5, "x").otherwise(F.col("v"))), ["k"], b)
+    nodes = changed_nodes(spark, a, b)
+    assert len(nodes) == 1
+    with conf(spark, spark__sql__adaptive__enabled="false"):
+        assert files_read(rows_of(spark, a.path)) == 64
+        assert files_read(rows_in(spark, a, 6, nodes)) == 1
+    assert "PartitionFilters" in plan(rows_in(spark, a, 6, nodes))
+    assert [tuple(r) for r in keyed_diff(spark, a, b, ["k"]).collect()] == [(5, "update", "v")]
+
+
+def test_restart_reads_changed_buckets_only(spark, reg, monkeypatch):
+    import replicakit.plans.replication as module
+
+    reg.bucket_rows = 20
+    data = frame(spark, *[(i, "v", "") for i in range(300)])
+    load(reg, "A", "t", data, ["k"], ns="va")
+    load(reg, "B", "t", data.filter("k <> 40"), ["k"], ns="vb")
+    load(reg, "B", "t", frame(spark, (50, "extra", ""), (900, "own", "")), ["k"], ns="vb")  # pending on B
+    remove(reg, "A", "t", frame(spark, (4, "", "")).select("k"), ["k"], ns="va")  # pending on A
+    assert reg.keyed("A", "va", "t").depth == reg.keyed("B", "vb", "t").depth == 4
+    asked = []
+    real = Registry.read_nodes
+    monkeypatch.setattr(Registry, "read_nodes", lambda self, s, n, t, d, nodes: asked.append(nodes) or real(self, s, n, t, d, nodes))
+    rep = module.Replication(reg, "A", "B", "t", ["k"])
+    planned = {r["action"]: r["n_rows"] for r in rep.restart(dry_run=True).collect()}
+    assert planned == {"insert": 1, "update": 1, "delete": 2}
+    assert len(asked) == 2 and 1 <= len(asked[0]) <= 4
+    rep.restart()
+    assert rows(reg.read("B", "vb-readonly", "t")) == rows(reg.read("A", "va", "t"))
+    load(reg, "A", "t", frame(spark, (7, "later", "")), ["k"], ns="va")
+    rep.cutover()
+    assert rows(reg.read("B", "vb", "t")) == rows(reg.read("A", "va", "t"))
+    assert reg.keyed("B", "vb", "t").depth == 4  # the cutover stores by key bucket again
+    reg.compact_table("A", "va", "t")
+    assert changed_nodes(spark, reg.keyed("A", "va", "t"), reg.keyed("B", "vb", "t")) == []
