@@ -7,6 +7,7 @@ same rows on the same Parquet files. Column names agree on both sides.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -51,6 +52,7 @@ from replicakit.sources.registry import (
     swap_default,
     table_inventory,
 )
+from replicakit.streaming.heartbeat import Heartbeat, recorded_word, stream_key
 from replicakit.streaming.replicate import replicate_stream
 from replicakit.streaming.watch import watch_counts
 
@@ -539,18 +541,39 @@ def q_watch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------ status
 @register("replication_status", fx.with_fixtures(f"""
-SELECT 'vb' AS replica, 'A->B' AS direction, 'replicating' AS status, 'ready' AS data_state,
-       max(ts) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}') AS frontier_ts,
-       count(*) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}') AS applied_rows,
-       (epoch_us(max(ts)) - epoch_us(max(ts) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}')))
-         / 1000000.0 AS lag_s
-FROM cl
+SELECT 'vb' AS replica, 'A->B' AS direction, w.status, CASE WHEN a.src > a.frontier_ts THEN 'add' ELSE 'ready' END AS data_state,
+       a.frontier_ts, a.applied_rows, (epoch_us(a.src) - epoch_us(a.frontier_ts)) / 1000000.0 AS lag_s
+FROM (SELECT max(ts) AS src, max(ts) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}') AS frontier_ts,
+             count(*) FILTER (WHERE ts < TIMESTAMP '{VIEW_AS_OF}') AS applied_rows FROM cl) a,
+     (VALUES ('replicating'), ('stopped')) AS w(status)
 """, cl=fx.CHANGE_LOG_SQL))
 def q_replication_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three of four parts applied; the source has all four."""
-    log = fx.change_log(spark, sf_dir)
-    applied = log.filter(F.col("ts") < fx.ts_ntz(VIEW_AS_OF))
-    return replication_status(applied, log, "ts", "vb", "A->B", data_state="ready")
+    """A stream applies three of the four parts of the source's changes. What another driver's
+    registry object reads of it while it runs, and after it ended."""
+    reg, key = Registry(spark, scratch_path(spark, "registry")), stream_key("CB", "vb", "users")
+    log, parts = fx.change_log(spark, sf_dir), fx.change_parts(spark, sf_dir)
+    stage, out = scratch_path(spark, "stage"), scratch_path(spark, "applied")
+    fx.stage(parts[0], stage)
+    beat = Heartbeat(reg, key, name=f"status-{key}-{out[-12:]}")
+    query = replicate_stream(spark, stage, log.schema, out, scratch_path(spark, "ckpt"),
+                             trigger={"processingTime": "100 milliseconds"}, query_name=beat.name)
+    words = []
+    try:
+        for part in parts[1:3]:
+            fx.stage(part, stage)
+        query.processAllAvailable()
+        for _ in range(100):  # events reach the listener a little later
+            words = [recorded_word(Registry(spark, reg.root), key)]
+            if words[0] == "replicating":
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+        beat.close(query, "stopped")
+    words.append(recorded_word(Registry(spark, reg.root), key))
+    applied = read_batches(spark, out, log.schema)
+    frames = [replication_status(applied, log, "ts", "vb", "A->B", stream_state=word, by_lag=True) for word in words]
+    return frames[0].unionByName(frames[1])
 
 
 READY_GATE_MAX_TRIES = 20

@@ -21,6 +21,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
@@ -84,6 +85,7 @@ from replicakit.sources.registry import (
     watermark_key,
 )
 from replicakit.sources.tables import read_table
+from replicakit.streaming.heartbeat import Heartbeat, recorded_word, stream_key, write_record
 from replicakit.streaming.replicate import batch_path, drain, replicate_stream
 
 #: Loads between two compactions of a table (merge on read in between).
@@ -255,6 +257,7 @@ class Replication:
         self.spec: ChangeSpec = registry_spec(self.keys)
         #: The stream last started here, and whether a drain was cut short.
         self.query: StreamingQuery | None = None
+        self.heartbeat: Heartbeat | None = None
         self._cut_short = False
 
     # -------------------------------------------------------------- paths
@@ -341,21 +344,37 @@ class Replication:
         self.stop()
         src = self._ensure_changes()
         self._cut_short = False
+        name = f"replicate-{uuid.uuid4().hex[:12]}"
+        self.heartbeat = Heartbeat(self.reg, self.stream_key, name, ends="availableNow" not in trigger)
         self.query = replicate_stream(
             self.spark, src, change_schema(self._schema()),
             out=f"{self.root}/applied/run={info.run}",
             ckpt=f"{self.root}/ckpt/run={info.run}",
-            trigger=trigger, max_files_per_trigger=files, after=info.as_of, ts_col="_ts")
+            trigger=trigger, max_files_per_trigger=files, after=info.as_of, ts_col="_ts", query_name=name)
         return self.query
 
+    @property
+    def stream_key(self) -> str:
+        return stream_key(self.target, self.target_ns, self.table)
+
+    def _record_end(self, word: str) -> None:
+        if self.heartbeat is not None:
+            self.heartbeat.close(self.query, word)
+            self.heartbeat = None
+
     def run_stream(self, info: ReplicaInfo, timeout_s: float | None = None,
                    files: int = FILES_PER_BATCH) -> bool:
         """Apply every change file present now (``availableNow``) (O27), ``files`` of them a
         batch; a running stream of this replication ends first. Batches are stored as they
         came: a later view at a point in time needs the rows before it. ``False`` if time
         ran out; finished batches stay, and the next call goes on after them."""
-        done = drain(self._stream(info, {"availableNow": True}, files), timeout_s)
+        try:
+            done = drain(self._stream(info, {"availableNow": True}, files), timeout_s)
+        except Exception:
+            self._record_end("error")
+            raise
         self._cut_short = not done
+        self._record_end(self._stream_state())
         return done
 
     def run_continuously(self, info: ReplicaInfo, every: str,
@@ -368,12 +387,14 @@ class Replication:
         """End the running stream, if any; what it had not finished is applied by the next."""
         if self.query is not None and self.query.isActive:
             self.query.stop()
+        self._record_end("stopped")
 
     def _stream_state(self) -> str:
-        """The word for this object's stream. A drain that ended well has applied all it
-        saw, so the replica is still being fed; without a stream here, another driver feeds it."""
+        """The word for this object's stream. A drain that ended well has applied all it saw, so the
+        replica counts as being fed, for others while the drain's record is fresh; without a
+        stream here, what its feeder last recorded."""
         if self.query is None:
-            return "replicating"
+            return recorded_word(self.reg, self.stream_key)
         word = stream_word(self.query)
         return word if word != "stopped" else "paused" if self._cut_short else "replicating"
 
@@ -393,11 +414,10 @@ class Replication:
                   .filter(F.col("_ts") > after).select("_ts"))
         if upto is not None:
             source = source.filter(F.col("_ts") <= ts_lit(upto))
-        row = replication_status(applied, source, "_ts", self.target_ns,
+        return replication_status(applied, source, "_ts", self.target_ns,
                                  f"{self.source}->{self.target}", cut_over=cut_over,
                                  base_frontier=info.base_frontier or info.as_of,
-                                 stream_state=self._stream_state())
-        return row.withColumn("data_state", F.when(F.col("lag_s") > 0, "add").otherwise("ready"))
+                                 stream_state=self._stream_state(), by_lag=True)
 
     def poll(self, info: ReplicaInfo, try_no: int, upto=None) -> DataFrame:
         """One poll row from the live status in the gate's shape."""
@@ -509,6 +529,7 @@ class Replication:
             *pointers,
         ])
         self.reg.unmount(self.target, self.readonly_ns, self.table)
+        write_record(self.reg, self.stream_key, "stopped", time.time())
         return v
 
     def restart(self, dry_run: bool = False, max_tries: int = MAX_ITERS, every: str | None = None,

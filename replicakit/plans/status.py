@@ -38,6 +38,7 @@ def replication_status(
     data_state: str | None = None,
     base_frontier=None,
     stream_state: str | None = None,
+    by_lag: bool = False,
 ) -> DataFrame:
     """One row ``(replica, direction, status, data_state, frontier_ts,
     applied_rows, lag_s)`` (O28).
@@ -49,7 +50,8 @@ def replication_status(
     ``replicating`` while running, ``ready`` after cutover. ``base_frontier``
     (a timestamp) is the frontier already held by a replica's base (its initial
     copy or last compaction), known without reading the base. ``stream_state``
-    is the word of a live stream (:func:`stream_word`), where there is one.
+    is the word of a live stream (:func:`stream_word`), where there is one. With ``by_lag``
+    the data state is ``ready`` once no source change is newer than the frontier.
     """
     tagged = (applied.select(F.col(ts_col).alias("_ts"), F.lit(True).alias("_applied"))
               .unionByName(source.select(F.col(ts_col).alias("_ts"),
@@ -71,8 +73,10 @@ def replication_status(
     else:
         status = F.when(F.col("frontier_ts").isNull(), F.lit(STATUS_INITIALIZING)).otherwise(
             F.lit(STATUS_REPLICATING if running else "paused"))
-    state = F.lit(data_state) if data_state is not None else F.when(
-        F.col("frontier_ts").isNull(), F.lit("add")).otherwise(F.lit("ready"))
+    behind = F.col("frontier_ts").isNull()
+    if by_lag:
+        behind = F.coalesce(F.col("_src_max") > F.col("frontier_ts"), behind & F.col("_src_max").isNotNull())
+    state = F.lit(data_state) if data_state is not None else F.when(behind, F.lit("add")).otherwise(F.lit("ready"))
     return agg.select(
         F.lit(replica).alias("replica"),
         F.lit(direction).alias("direction"),
