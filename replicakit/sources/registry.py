@@ -26,6 +26,7 @@ import datetime as dt
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
@@ -484,39 +485,66 @@ def pointers(reg: Registry) -> DataFrame:
     )
 
 
+#: A relation, and the names that WITH clauses define, in a printed plan.
+_RELATION = re.compile(r"^[\s:+|-]*'?(?:InsertIntoStatement '?)?UnresolvedRelation \[(.*?)\], \[", re.MULTILINE)
+_WITH_NAMES = re.compile(r"^[\s:+|-]*CTE \[(.*?)\]$", re.MULTILINE)
+
+
+def relation_names(spark: SparkSession, sql: str) -> tuple[list[str], set[str]]:
+    """The relations that a statement names (parts joined by dots), and the names that its WITH
+    clauses define, as Spark's parser reads it; nothing is resolved."""
+    text = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0].split("== Analyzed Logical Plan ==")[0]
+    if "PlanWithUnresolvedIdentifier" in text:
+        raise AnalysisException("relations are named directly, not by IDENTIFIER()")
+    return ([".".join(x.split(", ")) for x in _RELATION.findall(text)],
+            {n.strip().lower() for x in _WITH_NAMES.findall(text) for n in x.split(",")})
+
+
 def run_sql(spark: SparkSession, reg: Registry, sql: str, side: str = "A",
             ns: str | None = None) -> DataFrame:
-    """Ad-hoc SQL over one side's namespace (O4); by default side A and the
+    """Ad-hoc SQL query over one side's namespace (O4); by default side A and the
     side's main namespace (``va`` / ``vb``), aliases accepted.
 
-    Only tables whose names occur in the SQL are read. They are temp views
-    while the statement is analysed and dropped right after it, so no name of an
-    earlier call or of the other side resolves. A dotted table ``x.t`` goes by
-    its full name, and by ``t`` where no other table ends in that.
+    Spark's parser says which relations the statement names. Each has to be a table of the
+    namespace (or defined by the statement's own WITH); any other name fails, also where the caller
+    has a view of that name. Only the tables named are read. They are bound by a WITH clause around
+    the statement, so the caller's own views are neither seen nor touched. A dotted table ``x.t``
+    goes by its full name, and by ``t`` where no other table ends in that. Statements other
+    than queries fail.
     """
     side = canon_side(side)
     ns = MAIN_NAMESPACE[side] if ns is None else map_namespace(ns)
+    known: dict[str, str] = {}
     tables = reg.tables(side, ns)
     last = [t.split(".")[-1].lower() for t in tables]
+    for t in tables:
+        known |= {t.lower(): t} | ({t.split(".")[-1].lower(): t} if last.count(t.split(".")[-1].lower()) == 1 else {})
+    sql = sql.strip().rstrip(";")
+    for t in tables:
+        if "." in t:  # outside string literals
+            parts = re.split(r"('(?:[^']|'')*')", sql)
+            parts[::2] = [re.sub(rf"(?<![\w`.]){re.escape(t)}(?![\w`])", f"`{t}`", p) for p in parts[::2]]
+            sql = "".join(parts)
+    named, defined = relation_names(spark, sql)
+    wanted = {n.lower() for n in named}
+    unknown = sorted(wanted - known.keys() - defined)
+    if unknown:
+        raise AnalysisException(f"{side}/{ns} has no table {', '.join(unknown)}")
     views: list[str] = []
+    binding = []
     try:
-        for t in tables:
-            short = t.split(".")[-1]
-            if not re.search(rf"(?<!\w){re.escape(short)}(?!\w)", sql, re.IGNORECASE):
-                continue
-            df = reg.read(side, ns, t)
-            for name in {t, short} if last.count(short.lower()) == 1 else {t}:
-                df.createOrReplaceTempView(f"`{name}`")
-                views.append(name)
-        for t in tables:
-            if "." in t:  # outside string literals
-                parts = re.split(r"('(?:[^']|'')*')", sql)
-                parts[::2] = [re.sub(rf"(?<![\w`.]){re.escape(t)}(?![\w`])", f"`{t}`", p) for p in parts[::2]]
-                sql = "".join(parts)
-        return spark.sql(sql)
+        for name in sorted(wanted & known.keys()):
+            view = f"_side_{uuid.uuid4().hex}"
+            reg.read(side, ns, known[name]).createOrReplaceTempView(view)
+            views.append(view)
+            binding.append(f"`{name}` AS (SELECT * FROM {view})")
+        # A name that the statement defines in one place means nothing in another.
+        binding += [f"`{name}` AS (SELECT raise_error('{name} is not a table of {side}/{ns}'))"
+                    for name in sorted((wanted & defined) - known.keys())]
+        return spark.sql(f"{'WITH ' + ', '.join(binding) if binding else ''} SELECT * FROM (\n{sql}\n)")
     finally:
-        for name in views:
-            spark.catalog.dropTempView(f"`{name}`" if "." in name else name)
+        for view in views:
+            spark.catalog.dropTempView(view)
 
 
 def table_inventory(spark: SparkSession, reg: Registry, side: str,

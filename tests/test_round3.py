@@ -4,6 +4,7 @@ import contextlib
 import io
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from replicakit.operators.diff import resync_diff
@@ -12,7 +13,7 @@ from replicakit.operators.upsert import upsert
 from replicakit.plans.replication import load, remove
 from replicakit.plans.scenario import create_sides
 from replicakit.session import scratch_path, scratch_scope, shared_dir, staged
-from replicakit.sources.registry import Registry
+from replicakit.sources.registry import Registry, run_sql
 
 
 @pytest.fixture
@@ -182,3 +183,41 @@ def test_restart_reads_changed_buckets_only(spark, reg, monkeypatch):
     assert reg.keyed("B", "vb", "t").depth == 4  # the cutover stores by key bucket again
     reg.compact_table("A", "va", "t")
     assert changed_nodes(spark, reg.keyed("A", "va", "t"), reg.keyed("B", "vb", "t")) == []
+
+
+# ------------------------------------------------------------ run_sql
+def test_run_sql_leaves_the_callers_views_alone(spark, reg):
+    load(reg, "A", "orders", frame(spark, (1, "side", "")), ["k"], ns="va")
+    frame(spark, (9, "caller", "")).createOrReplaceTempView("orders")
+    frame(spark, (9, "caller", "")).createOrReplaceTempView("elsewhere")
+    before = {t.name for t in spark.catalog.listTables()}
+    try:
+        assert run_sql(spark, reg, "SELECT v FROM ORDERS o WHERE o.k IN (SELECT orders.k FROM orders);").first()[0] == "side"
+        assert spark.table("orders").first()["v"] == "caller"
+        assert {t.name for t in spark.catalog.listTables()} == before
+        for sql in ("SELECT * FROM elsewhere", "SELECT (SELECT max(k) FROM elsewhere)", "SELECT * FROM orders, global_temp.x",
+                    "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM identifier('elsewhere')", "TABLE elsewhere",
+                    "WITH c AS (SELECT * FROM elsewhere) SELECT * FROM c", "SELECT 1) x, (SELECT * FROM elsewhere",
+                    "DROP VIEW elsewhere", "INSERT INTO orders SELECT * FROM orders", "SHOW TABLES",
+                    "CREATE TEMP VIEW y AS SELECT * FROM orders"):
+            with pytest.raises(AnalysisException):
+                run_sql(spark, reg, sql)
+        # Defined in one place, used in another.
+        with pytest.raises(Exception):  # noqa: B017
+            run_sql(spark, reg, "SELECT a.* FROM (WITH elsewhere AS (SELECT 1 AS x) SELECT * FROM elsewhere) b, elsewhere a").collect()
+        assert spark.table("elsewhere").count() == 1
+    finally:
+        for v in ("orders", "elsewhere"):
+            spark.catalog.dropTempView(v)
+
+
+def test_run_sql_forms(spark, reg):
+    load(reg, "A", "t", frame(spark, (1, "a", ""), (2, "b", ""), (3, None, "")), ["k"], ns="va")
+    load(reg, "A", "d.u", frame(spark, (2, "x", "")), ["k"], ns="va")
+    ask = lambda sql: [tuple(r) for r in run_sql(spark, reg, sql).collect()]
+    assert ask("WITH t2 AS (SELECT k FROM t), t AS (SELECT k + 1 AS k FROM t2) SELECT max(k) FROM t -- the inner one") == [(4,)]
+    assert ask("SELECT k FROM t ORDER BY k DESC LIMIT 2") == [(3,), (2,)]
+    assert [r[0] for r in ask("SELECT k FROM t ORDER BY k DESC")] == [3, 2, 1]
+    assert ask("SELECT t.k, x.v FROM t JOIN d.u x ON t.k = x.k") == [(2, "x")]
+    assert ask("SELECT `d.u`.v, 'd.u' FROM `d.u`") == [("x", "d.u")] and ask("SELECT v FROM u") == [("x",)]
+    assert ask("SELECT 1 AS one, id FROM range(1)") == [(1, 0)] and ask("VALUES (1)") == [(1,)]
