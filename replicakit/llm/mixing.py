@@ -6,8 +6,10 @@ epochs of the source first; what remains selects documents in the order of their
 exponential keys ``-ln(u) / quality`` until the prefix sum of sizes reaches the budget,
 the last one in part. ``u`` comes from a digest of seed and identifier, so reruns agree.
 
-Nothing orders a whole source in one task: keys are cut into buckets that follow the
-source's number of rows, bucket sums give each bucket's offset, and only rows of one
+Nothing orders a whole source in one task. Given its quality a key is exponential, so the
+qualities of a source (counted in narrow classes) give the distribution of its keys, and cuts
+at equal shares of that give even buckets, whatever the mixture of qualities. Bucket sums give
+each bucket's offset, over runs of buckets first and then within a run; only rows of one
 bucket are sorted together.
 """
 
@@ -25,6 +27,10 @@ from replicakit.llm.common import SPACES, stored, text_of, word_count
 JUNK = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 
 
+#: Classes of quality per e-fold, and buckets of a run.
+QUALITY_CLASSES, RUN_CELLS = 16, 4096
+
+
 def text_quality(text: Column) -> Column:
     """Quality weight of a document: the share of its non-space characters that are neither
     ASCII digits nor ASCII punctuation, 0.05 at least (also for empty texts)."""
@@ -75,6 +81,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: i
     return ranked.withColumn("target", target).drop("n", "weight")
 
 
+def _placed(base: DataFrame, known: DataFrame, bucket_rows: int) -> DataFrame:
+    """Rows with their source's plan and their bucket (``cell``): equal shares of its keys."""
+    # The share of the source's keys below a row's: 1 - exp(-w key), over its classes of quality w.
+    below = F.aggregate("kinds", F.lit(0.0), lambda a, k: a + k["n"] * (1 - F.exp(-k["w"] * F.col("key")))) / F.col("rows")
+    cells = F.ceil(F.col("rows") / bucket_rows)
+    cell = F.least(F.floor(below * cells), cells - 1)
+    return base.join(known, base.source.eqNullSafe(known.s)).select(
+        "sid", cell.alias("cell"), *[c for c in base.columns if c not in ("source", "weight")],
+        "source_size", "target", "epochs", "rest")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: str = "mix",
         quality: Callable[[Column], Column] = text_quality, bucket_rows: int = 2000,
@@ -90,32 +107,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     text = text_of(docs, text_col)
     base = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"),
-                       word_count(text).alias("size"),
-                       (-F.log(uniform(docs[id_col], seed)) / quality(text)).alias("key"),
+                       word_count(text).alias("size"), quality(text).alias("weight"),
+                       (-F.log(uniform(docs[id_col], seed))).alias("key"),
                        *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []))
-    base = stored(base, "mix")
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"),
-                                       F.avg("key").alias("mean_key"))
+    base = stored(base.withColumn("key", F.col("key") / F.col("weight")), "mix")
+    kinds = base.groupBy("source", F.round(F.log("weight") * QUALITY_CLASSES).alias("kind")).agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.avg("weight").alias("w"))
+    sizes = kinds.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("rows"),
+                                        F.collect_list(F.struct("w", "n")).alias("kinds"))
     budget = F.floor(F.col("target") + 0.5).cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(0)
     plan = stored(source_targets(sizes, weights, most).withColumn("budget", budget).withColumn("epochs", epochs)
                   .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
                   .withColumn("sid", F.monotonically_increasing_id()), "mix-plan")
-    known = plan.withColumnRenamed("source", "s")
-    # Keys over their mean are cut evenly on the scale of an exponential distribution.
-    cells = F.ceil(F.col("rows") / bucket_rows)
-    cell = F.least(F.floor((1 - F.exp(-F.col("key") / F.col("mean_key"))) * cells), cells - 1)
-    placed = base.join(known, base.source.eqNullSafe(known.s)).select(
-        "sid", cell.alias("cell"), *[c for c in base.columns if c != "source"],
-        "source_size", "target", "epochs", "rest")
-    before = W.partitionBy("sid").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = placed.groupBy("sid", "cell").agg(F.sum("size").alias("cell_size")).select(
-        "sid", "cell", F.coalesce(F.sum("cell_size").over(before), F.lit(0)).alias("offset"))
+    placed = _placed(base, plan.withColumnRenamed("source", "s"), bucket_rows)
+    run = F.floor(F.col("cell") / RUN_CELLS).alias("run")
+    sums = stored(placed.groupBy("sid", run, "cell").agg(F.sum("size").alias("cell_size")), "mix-cells")
+    earlier = W.partitionBy("sid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = sums.groupBy("sid", "run").agg(F.sum("cell_size").alias("run_size")).select(
+        "sid", "run", F.coalesce(F.sum("run_size").over(earlier), F.lit(0)).alias("run_offset"))
+    before = W.partitionBy("sid", "run").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.join(runs, ["sid", "run"]).select(
+        "sid", "cell", (F.col("run_offset") + F.coalesce(F.sum("cell_size").over(before), F.lit(0))).alias("offset"))
     within = W.partitionBy("sid", "cell").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    run = placed.join(offsets, ["sid", "cell"]).withColumn(
+    placed = placed.join(offsets, ["sid", "cell"]).withColumn(
         "start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
-    return run.select("doc_id", "size", "source_size", "target",
+    return placed.select("doc_id", "size", "source_size", "target",
                       (F.col("epochs") * F.col("size") + last).cast("bigint").alias("taken"),
                       *(["row"] if carry else []))
 

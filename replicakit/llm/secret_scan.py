@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from replicakit.llm.common import text_of
+from replicakit.llm.common import stored, text_of
 from replicakit.session import scratch_path
 
 
@@ -118,15 +118,21 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = text_of(docs, text_col)
     paths = docs.select(docs[id_col].alias("doc_id"), body.alias("body")).withColumn(
         "blob", F.sha2("body", 256))
+    ids = stored(paths.drop("body"), "secret-paths")
     # Equal contents meet before the shuffle (map side) and after it.
     blobs = paths.groupBy("blob").agg(F.first("body").alias("body"))
     number = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    current = F.concat_ws("/", "kind", "version").isin([f"{r.kind}/{r.version}" for r in rules])
-    findings = (scan_unseen(blobs, ledger, rules).filter(current & (F.size("spans") > 0))
-                .select("blob", F.transform("spans", lambda s: F.struct(
-                    s["start"].alias("start"), number[F.col("kind")].alias("rule"),
-                    F.col("kind").alias("kind"), s["end"].alias("end"))).alias("spans"))
-                .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
+    wanted = F.concat_ws("/", "kind", "version").isin([f"{r.kind}/{r.version}" for r in rules])
+    # Of the history only blobs of this table, and one row per pair, however often it was appended.
+    found = (scan_unseen(blobs, ledger, rules).filter(wanted & (F.size("spans") > 0))
+             .join(ids.select("blob").distinct(), "blob", "left_semi")
+             .groupBy("blob", "kind", "version").agg(F.max("spans").alias("spans")))
+    findings = found.select("blob", F.transform("spans", lambda s: F.struct(
+        s["start"].alias("start"), number[F.col("kind")].alias("rule"),
+        F.col("kind").alias("kind"), s["end"].alias("end"))).alias("spans")).groupBy("blob").agg(
+            F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Both sides are written tables, so a blob of very many paths splits in the join.
+    findings = stored(findings, "secret-findings")
     empty = F.array().cast("array<struct<start:bigint,rule:int,kind:string,end:bigint>>")
-    return paths.drop("body").join(findings, "blob", "left").select(
+    return ids.join(findings, "blob", "left").select(
         "doc_id", "blob", F.coalesce("spans", empty).alias("spans"))

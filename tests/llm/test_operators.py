@@ -167,7 +167,7 @@ def test_exact_dedup(spark, docs, empty):
     groups = {}
     for r in rows():
         groups.setdefault(body(r), []).append(r[0])
-    for options in ({}, {"hot_groups": 1}, {"salts": 1}, {"prefix_bytes": 1}):
+    for options in ({}, {"hot_groups": 1}, {"hot_groups": 10**6}, {"task_bytes": 1}, {"prefix_bytes": 1}):
         got = exact_dedup(docs, **options).collect()
         assert len(got) == len(rows())
         by = {sha(t): ids for t, ids in groups.items()}
