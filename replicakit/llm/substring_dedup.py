@@ -10,9 +10,10 @@
    streams all its documents through it. Words that an occurrence covers are removed.
 
 A shard is a bounded slice of the documents (``shard_bytes`` on average, by a hash of the
-identifier), so automata stay small and every document passes through just one, however
-large the corpus. A passage that many documents share is counted within each shard before
-anything is shuffled.
+identifier and text), so automata stay small and every document passes through just one, however
+large the corpus. Rows that repeat both are one document with a number of copies. Hashes and
+digests are summed by each task before they are shuffled, so a passage that all documents share
+sends a row per task, not per document; the hashes' join back to the shards is of two written tables.
 """
 
 from __future__ import annotations
@@ -138,17 +139,19 @@ def chosen(s: Stretch, window: int) -> tuple[np.ndarray, np.ndarray]:
 def _census(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            shards = batch["shard"].to_numpy()
+            shards, copies = batch["shard"].to_numpy(), batch["copies"].to_numpy()
             texts = [bytes(b) for b in batch["body"]]
             for a, b in slices([len(t) for t in texts], 8 * CHUNK):
-                shard, found = [], []
+                text, found = [], []
                 for s in stretches(texts[a:b], window):
                     place, hashes = chosen(s, window)
-                    shard.append(shards[a:b][s.text[place]])
+                    text.append(s.text[place])
                     found.append(hashes)
                 if found:
-                    pairs = pd.DataFrame({"shard": np.concatenate(shard), "hash": np.concatenate(found).view(np.int64)})
-                    yield pairs.groupby(["shard", "hash"], sort=False).size().reset_index(name="times")
+                    text = np.concatenate(text)
+                    pairs = pd.DataFrame({"shard": shards[a:b][text], "hash": np.concatenate(found).view(np.int64),
+                                          "times": copies[a:b][text]})
+                    yield pairs.groupby(["shard", "hash"], sort=False)["times"].sum().reset_index()
     return run
 
 
@@ -196,9 +199,10 @@ def _digests(window: int):
     def run(_key: tuple, docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         counts: dict[bytes, int] = {}
         if len(docs) and len(marks):
-            for _, _, digests in marked_windows(_texts(docs), _sorted(marks["hash"]), window):
-                for d in digests:
-                    counts[d] = counts.get(d, 0) + 1
+            copies = docs["copies"].to_numpy()
+            for s, first, digests in marked_windows(_texts(docs), _sorted(marks["hash"]), window):
+                for d, n in zip(digests, copies[s.text[first]].tolist(), strict=True):
+                    counts[d] = counts.get(d, 0) + n
         lanes = np.frombuffer(b"".join(counts), np.int64).reshape(-1, 2)
         shard = docs["shard"].iloc[0] if len(docs) else 0
         return pd.DataFrame({"shard": np.full(len(lanes), shard, np.int64), "d0": lanes[:, 0], "d1": lanes[:, 1],
@@ -226,31 +230,34 @@ def _phrases(texts: list[bytes], marks: np.ndarray, single: set[bytes], window:
 
 
 class PhraseAutomaton:
-    """Finds phrases of words. A word is two symbols (its number in a square), so that no node
-    of the automaton has more than about the root of the vocabulary's size of branches."""
+    """Finds phrases of words. A word is two characters (its number in a square), so that no node
+    of the automaton has more than about the root of the vocabulary's size of branches. The
+    characters start at ``FIRST``, past those that no string may hold."""
+
+    FIRST = 0xE000
 
     def __init__(self, phrases: list[list[bytes]]) -> None:
         import ahocorasick
 
         self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for p in phrases for w in p))}
         self.side = isqrt(len(self.numbers)) + 1
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p in phrases:
             self.automaton.add_word(self.symbols(p), 1)
         if phrases:
             self.automaton.make_automaton()
 
-    def symbols(self, words: list[bytes]) -> tuple[int, ...]:
+    def symbols(self, words: list[bytes]) -> str:
         get = self.numbers.get
-        number = np.array([get(w, -1) for w in words], np.int64)
-        pairs = np.empty(2 * len(words), np.int64)
-        pairs[0::2] = np.where(number < 0, 0, number // self.side + 1)
-        pairs[1::2] = self.side + 2 + number % self.side
-        return tuple(pairs.tolist())
+        number = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        pairs = np.empty(2 * len(words), "<u4")
+        pairs[0::2] = np.where(number < 0, 0, number // self.side + 1) + self.FIRST
+        pairs[1::2] = self.side + 2 + number % self.side + self.FIRST
+        return pairs.tobytes().decode("utf-32-le")
 
     def ends(self, words: list[bytes]) -> np.ndarray:
         """Number of the last word of every occurrence."""
-        return np.array([at for at, _ in self.automaton.iter(self.symbols(words))], np.int64) >> 1
+        return np.fromiter((at for at, _ in self.automaton.iter(self.symbols(words))), np.int64) >> 1
 
 
 def _locate(window: int, fields: list[str]):
@@ -280,6 +287,20 @@ def _locate(window: int, fields: list[str]):
     return run
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copies``: rows of one identifier and text become one. Only digests are
+    shuffled to find them, and only texts that are repeated so are moved."""
+    key = [F.coalesce("doc_id", F.lit("")).alias("k_id"), F.isnull("doc_id").alias("k_null"), F.unhex(F.sha2("body", 256)).alias("k")]
+    repeated = stored(rows.select(*key).groupBy("k_id", "k_null", "k").count().filter("count > 1"), "repeated-rows")
+    if repeated.isEmpty():
+        return rows.withColumn("copies", F.lit(1).cast("bigint"))
+    keyed = rows.select("*", *key).join(repeated, ["k_id", "k_null", "k"], "left")
+    alone = keyed.filter("count is null").select("doc_id", "body", F.lit(1).cast("bigint").alias("copies"))
+    return alone.union(keyed.filter("count is not null").groupBy("k_id", "k_null", "k").agg(
+        F.first("doc_id").alias("doc_id"), F.first("body").alias("body"), F.max("count").alias("copies"))
+        .select("doc_id", "body", "copies"))
+
+
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text",
                     shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (binary:
@@ -300,21 +321,27 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
     # Repeated identifiers are dealt out by their texts, too.
     shard = F.pmod(F.xxhash64("doc_id", "body"), F.lit(max(1, -(-size // shard_bytes)))).alias("shard")
-    rows = rows.select("doc_id", "body", shard)
+    rows = _distinct(rows).select("doc_id", "body", "copies", shard)
 
-    census = rows.select("shard", "body").mapInPandas(_census(window), "shard bigint, hash bigint, times bigint")
-    twice = F.sum("times").over(W.partitionBy("hash")) > 1
-    marks = stored(census.withColumn("twice", twice).filter("twice").select("shard", "hash").distinct(), "census")
+    census = stored(rows.select("shard", "body", "copies").mapInPandas(
+        _census(window), "shard bigint, hash bigint, times bigint"), "census")
+    # Summed map-side and written, so the join back is one of two plain tables, and a hash that
+    # all shards hold splits in it.
+    often = stored(census.groupBy("hash").agg(F.sum("times").alias("times")).filter("times > 1").select("hash"), "often")
+    marks = stored(census.select("shard", "hash").join(often, "hash", "left_semi").distinct(), "marks")
 
     texts = _packed(rows)
-    counted = (texts.select("shard", "body").groupBy("shard").cogroup(marks.groupBy("shard"))
+    counted = (texts.select("shard", "body", "copies").groupBy("shard").cogroup(marks.groupBy("shard"))
                .applyInPandas(_digests(window), "shard bigint, d0 bigint, d1 bigint, times bigint"))
-    # Most marked windows recur: it is the few that do not that go back to their shards.
-    once = F.sum("times").over(W.partitionBy("d0", "d1")) == 1
-    single = stored(counted.withColumn("single", once).filter("single").select("shard", "d0", "d1", "single"), "single")
+    # Most marked windows recur: it is the few that do not that go back to their shards. What
+    # occurs once has one row, so the sums, combined map-side, know its shard.
+    single = stored(counted.groupBy("d0", "d1").agg(F.sum("times").alias("times"), F.min("shard").alias("shard"))
+                    .filter("times = 1").select("shard", "d0", "d1", F.lit(True).alias("single")), "single")
     hints = single.unionByName(marks.select("shard", F.col("hash").alias("d0"), F.lit(0).cast("bigint").alias("d1"),
                                             F.lit(False).alias("single")))
 
     out = (texts.groupBy("shard").cogroup(hints.groupBy("shard"))
-           .applyInPandas(_locate(window, ["doc_id"]), "doc_id string, n_words bigint, n_removed bigint, kept binary"))
+           .applyInPandas(_locate(window, ["doc_id", "copies"]),
+                          "doc_id string, copies bigint, n_words bigint, n_removed bigint, kept binary"))
+    out = out.select("doc_id", "n_words", "n_removed", "kept", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
