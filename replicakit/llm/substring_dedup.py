@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import compress, repeat
 from math import isqrt
 
 import numpy as np
@@ -248,8 +248,7 @@ class PhraseAutomaton:
             self.automaton.make_automaton()
 
     def symbols(self, words: list[bytes]) -> str:
-        get = self.numbers.get
-        number = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        number = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
         pairs = np.empty(2 * len(words), "<u4")
         pairs[0::2] = np.where(number < 0, 0, number // self.side + 1) + self.FIRST
         pairs[1::2] = self.side + 2 + number % self.side + self.FIRST
