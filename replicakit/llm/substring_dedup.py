@@ -34,7 +34,7 @@ from replicakit.llm.common import slices, stored
 
 #: Words of the short phrases that windows are stood for by.
 PHRASE = 16
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 
 #: Bytes of text that are hashed at a time; longer texts are cut into overlapping stretches.
 CHUNK = 1 << 20
