@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replicakit.session import scratch_path
+from replicakit.session import staged
 
 #: What separates words: space and the five ASCII control characters from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -19,11 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a fresh folder of the cluster's shared scratch space and
-    read it back: the lineage is cut and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to a fresh folder of the cluster's shared scratch space and read it back: the
+    lineage is cut and a lost executor costs no recomputation. Inside a ``scratch_scope`` the
+    folder goes at its end."""
+    return staged(df, label)
 
 
 def text_of(df: DataFrame, text_col: str = "text") -> Column:
