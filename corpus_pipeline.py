@@ -13,11 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replicakit.llm import byte_bpe, quality
-from replicakit.llm.common import crc_mod, stored, table, text_of
+from replicakit.llm.common import crc_mod, table, text_of
 from replicakit.llm.exact_dedup import exact_dedup
 from replicakit.llm.mixing import copies, mix
 from replicakit.llm.queries import TOKENIZER
 from replicakit.llm.simhash import simhash_near_dedup
+from replicakit.session import delete_path, scratch_path, scratch_scope
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Every stage over what the one before wrote. What a stage left in the scratch folder goes once
+    its result is written, and that result once the next stage's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch_scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            path = scratch_path(spark, f"stage-{name}")
+            kept.write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
