@@ -66,7 +66,7 @@ from replicakit.plans.replica import (
     registry_spec,
 )
 from replicakit.plans.status import ready_gate, replication_status, stream_word
-from replicakit.session import scratch_scope, staged
+from replicakit.session import move_path, scratch_scope, staged
 from replicakit.sources.changes import (
     TS_FORMAT,
     change_schema,
@@ -91,8 +91,8 @@ from replicakit.streaming.replicate import batch_path, drain, replicate_stream
 #: Loads between two compactions of a table (merge on read in between).
 COMPACT_EVERY = 16
 
-#: Change files in a micro-batch at most: a backlog is many batches, each kept once done.
-FILES_PER_BATCH = 1000
+#: Bytes of change files in a micro-batch, about: a backlog is many batches, each kept once done.
+BYTES_PER_BATCH = 1 << 30
 
 #: Ids of the batches that a restart writes, and the watermark below them.
 PENDING_BATCH, DIFF_BATCH, BEFORE_RESTART = -2, -1, -3
@@ -339,7 +339,7 @@ class Replication:
                 self.reg.epoch_path(self.source, self.source_ns, self.table))
         return path
 
-    def _stream(self, info: ReplicaInfo, trigger: dict, files: int = FILES_PER_BATCH) -> StreamingQuery:
+    def _stream(self, info: ReplicaInfo, trigger: dict, files: int | None = None) -> StreamingQuery:
         # One stream a checkpoint: a running one ends before the next starts.
         self.stop()
         src = self._ensure_changes()
@@ -350,7 +350,7 @@ class Replication:
             self.spark, src, change_schema(self._schema()),
             out=f"{self.root}/applied/run={info.run}",
             ckpt=f"{self.root}/ckpt/run={info.run}",
-            trigger=trigger, max_files_per_trigger=files, after=info.as_of, ts_col="_ts", query_name=name)
+            trigger=trigger, max_files_per_trigger=files, max_bytes_per_trigger=BYTES_PER_BATCH, after=info.as_of, ts_col="_ts", query_name=name)
         return self.query
 
     @property
@@ -363,9 +363,9 @@ class Replication:
             self.heartbeat = None
 
     def run_stream(self, info: ReplicaInfo, timeout_s: float | None = None,
-                   files: int = FILES_PER_BATCH) -> bool:
-        """Apply every change file present now (``availableNow``) (O27), ``files`` of them a
-        batch; a running stream of this replication ends first. Batches are stored as they
+                   files: int | None = None) -> bool:
+        """Apply every change file present now (``availableNow``) (O27), ``BYTES_PER_BATCH`` (or
+        ``files`` files) a batch; a running stream of this replication ends first. Batches are stored as they
         came: a later view at a point in time needs the rows before it. ``False`` if time
         ran out; finished batches stay, and the next call goes on after them."""
         try:
@@ -378,7 +378,7 @@ class Replication:
         return done
 
     def run_continuously(self, info: ReplicaInfo, every: str,
-                         files: int = FILES_PER_BATCH) -> StreamingQuery:
+                         files: int | None = None) -> StreamingQuery:
         """Keep applying change files as they arrive, until :meth:`stop`, a drain or the
         cutover (O27)."""
         return self._stream(info, {"processingTime": every}, files)
@@ -594,6 +594,32 @@ class Replication:
         return self._activate(info, max_tries, "restart", True, every, interval_s)
 
 
+def archive_changes(reg: Registry, side: str, table: str, ns: str | None = None) -> list[int]:
+    """Move a table's old change folders out of what its replicas' streams list (O27); the epochs
+    moved. An epoch goes once the table's version holds it and every replica fed from the table has
+    a frontier past its newest change; without replicas the version alone decides."""
+    side = canon_side(side)
+    ns = ns or resolve_default(reg, side)
+    version, path = reg.current_version(side, ns, table), reg.changes_path(side, ns, table)
+    frontier = None
+    for key, value in reg.state().items():
+        info = ReplicaInfo.decode(value) if key.startswith("replica/") and key.endswith(f"/{table}") else None
+        if info and (info.source_side, info.source_ns) == (side, ns):
+            rep = Replication(reg, side, key.split("/")[1], table, json.loads(info.keys or "[]"))
+            newest = rep.applied(info).agg(F.max("_ts").alias("m")).first()["m"]
+            reached = max(filter(None, [newest, parse_ts(info.base_frontier or info.as_of)]))
+            frontier = reached if frontier is None else min(frontier, reached)
+    epochs = reg.spark.read.parquet(path)
+    if version is None or "epoch" not in epochs.columns:
+        return []
+    # Reads of the table still list the epoch before the current one.
+    old = epochs.filter(F.col("epoch") < version - 1).groupBy("epoch").agg(F.max("_ts").alias("m")).collect()
+    done = sorted(r["epoch"] for r in old if frontier is None or r["m"] is None or r["m"] <= frontier)
+    for epoch in done:
+        move_path(reg.spark, f"{path}/epoch={epoch}", f"{reg.root}/archive/{side}/{ns}/{table}/epoch={epoch}")
+    return done
+
+
 def start_replication(reg: Registry, source_side: str, target_side: str, table: str,
                       keys: Sequence[str]) -> Replication:
     """Start replicating and set the pointers the reference tool sets."""

@@ -97,6 +97,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def move_path(spark: SparkSession, path: str, target: str) -> None:
+    """Rename a folder, making the target's parent."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    source, goal = jvm.Path(path), jvm.Path(target)
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(goal.getParent())
+    if not fs.rename(source, goal):
+        raise OSError(f"cannot move {path} to {target}")
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """What is staged inside is deleted at the end: for flows that write their result, so

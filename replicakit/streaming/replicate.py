@@ -28,6 +28,7 @@ def replicate_stream(
     ckpt: str,
     trigger: dict | None = None,
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | None = None,
     after=None,
     ts_col: str | None = None,
     query_name: str | None = None,
@@ -36,7 +37,8 @@ def replicate_stream(
     """Start replicating change files from ``src_dir`` into ``out``.
 
     ``trigger`` is passed to ``DataStreamWriter.trigger`` (default
-    ``availableNow``: drain what is there, then stop). ``after`` skips changes
+    ``availableNow``: drain what is there, then stop). A batch is bounded by files or, without
+    that, by bytes (one file at least). ``after`` skips changes
     at or before a time already covered by the initial copy. With
     ``fold_spec`` (a :class:`replicakit.plans.replica.ChangeSpec`) each batch
     is folded to its newest row per key, tombstones kept, before it is written:
@@ -46,6 +48,8 @@ def replicate_stream(
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    elif max_bytes_per_trigger:  # the source takes one bound or the other
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
     # Only the declared columns: folders like ``epoch=<v>`` add partition columns.
     changes: DataFrame = reader.parquet(src_dir).select(*schema.fieldNames())
     if after is not None:

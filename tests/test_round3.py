@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from replicakit.operators.diff import resync_diff
 from replicakit.operators.keyed import KeyedTable, changed_nodes, keyed_diff, rows_in, rows_of, store_keyed
 from replicakit.operators.upsert import upsert
-from replicakit.plans.replication import load, remove
+from replicakit.plans.replica import last_batch
+from replicakit.plans.replication import Replication, archive_changes, load, remove
 from replicakit.plans.scenario import create_sides
 from replicakit.session import scratch_path, scratch_scope, shared_dir, staged
 from replicakit.sources.registry import Registry, run_sql
@@ -221,3 +222,56 @@ def test_run_sql_forms(spark, reg):
     assert ask("SELECT t.k, x.v FROM t JOIN d.u x ON t.k = x.k") == [(2, "x")]
     assert ask("SELECT `d.u`.v, 'd.u' FROM `d.u`") == [("x", "d.u")] and ask("SELECT v FROM u") == [("x",)]
     assert ask("SELECT 1 AS one, id FROM range(1)") == [(1, 0)] and ask("VALUES (1)") == [(1,)]
+
+
+# ------------------------------------------------------------ streams, counts
+def test_a_batch_is_bounded_by_bytes(spark, reg, monkeypatch):
+    import replicakit.plans.replication as module
+
+    load(reg, "A", "t", frame(spark, (0, "a", "")), ["k"], ns="va")
+    rep = Replication(reg, "A", "B", "t", ["k"])
+    info = rep.start()
+    for i in range(1, 4):
+        load(reg, "A", "t", frame(spark, (i, "a", "")), ["k"], ns="va")
+    monkeypatch.setattr(module, "BYTES_PER_BATCH", 1)
+    before = last_batch(spark, rep.applied_dir(info)) or 0
+    assert rep.run_stream(info)
+    assert last_batch(spark, rep.applied_dir(info)) - before >= 3
+    assert rep.view().count() == 4
+
+
+def test_changes_consumed_by_every_replica_are_archived(spark, reg):
+    load(reg, "A", "t", frame(spark, (0, "a", "")), ["k"], ns="va")
+    rep = Replication(reg, "A", "B", "t", ["k"])
+    info = rep.start()
+    for i in range(1, 5):
+        load(reg, "A", "t", frame(spark, (i, "a", "")), ["k"], ns="va")
+        reg.compact_table("A", "va", "t")  # a new epoch each
+    epochs = lambda: {r[0] for r in spark.read.parquet(reg.changes_path("CA", "va", "t")).select("epoch").distinct().collect()}
+    before = epochs()
+    assert all(e < 1 for e in archive_changes(reg, "A", "t", "va"))  # the replica has not read them yet
+    rep.run_stream(info)
+    moved = archive_changes(reg, "A", "t", "va")
+    version = reg.current_version("A", "va", "t")
+    assert moved and max(moved) == version - 2 and epochs() == {e for e in before if e >= version - 1}
+    assert archive_changes(reg, "A", "t", "va") == []
+    load(reg, "A", "t", frame(spark, (9, "later", "")), ["k"], ns="va")
+    rep.run_stream(info)  # the stream goes on without the moved files
+    assert rows(rep.view()) == rows(reg.read("A", "va", "t")) and rep.status(info).first()["data_state"] == "ready"
+
+
+def test_guard_counts_all_tables_in_one_job(spark, reg, monkeypatch):
+    import replicakit.operators.counts as module
+
+    for n, t in enumerate(("p", "q"), 1):
+        load(reg, "B", t, frame(spark, *[(i, "", "") for i in range(n)]), ["k"], ns="vb")
+    load(reg, "B", "q", frame(spark, (1, "", ""), (2, "", ""), (3, "", "")), ["k"], ns="vb-readonly")
+    reg.set_mode("B", "vb", "shared")
+    asked, real = [], module._served
+    monkeypatch.setattr(module, "_served", lambda reg, side, ns, tables: asked.append((ns, list(tables))) or real(reg, side, ns, tables))
+    got = module.count_with_guard(spark, reg, "B", ["p", "q"], "vb-readonly", "vb")
+    assert [tuple(r) for r in got.collect()] == [("p", "vb", 1), ("q", "vb-readonly", 3)]
+    assert asked == [("vb-readonly", ["p", "q"]), ("vb", ["p"])]
+    reg.set_mode("B", "vb", "none")
+    with pytest.raises(module.GuardRefused):
+        module.count_with_guard(spark, reg, "B", ["p"], "vb-readonly", "vb")
