@@ -8,6 +8,7 @@ one is created only when the session has none (local tests).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -72,7 +73,7 @@ def shared_dir(spark: SparkSession) -> str:
         # bench); on a cluster a machine-local folder would lose data.
         master = (spark.conf.get("spark.master", None) or
                   (sc.master if sc is not None else "")) or ""
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="replicakit-ckpt-")
         if sc is not None:

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -15,6 +16,7 @@ from replicakit.plans.replication import Replication, archive_changes, load, rem
 from replicakit.plans.scenario import create_sides
 from replicakit.session import scratch_path, scratch_scope, shared_dir, staged
 from replicakit.sources.registry import Registry, run_sql
+from replicakit.sources.tables import read_table
 
 
 @pytest.fixture
@@ -275,3 +277,15 @@ def test_guard_counts_all_tables_in_one_job(spark, reg, monkeypatch):
     reg.set_mode("B", "vb", "none")
     with pytest.raises(module.GuardRefused):
         module.count_with_guard(spark, reg, "B", ["p"], "vb-readonly", "vb")
+
+
+# ------------------------------------------------------------ sources
+def test_a_rewritten_table_is_read_anew(spark):
+    path = scratch_path(spark, "mounted")
+    frame(spark, (1, "a", "")).select("k", "v").write.parquet(path)
+    assert read_table(spark, path).columns == ["k", "v"] == read_table(spark, path).columns
+    time.sleep(1.1)  # file systems that count whole seconds
+    frame(spark, (1, "a", "b")).write.mode("overwrite").parquet(path)
+    assert read_table(spark, path).columns == ["k", "v", "w"]
+    with pytest.raises(AnalysisException):
+        read_table(spark, path + "-none")
