@@ -77,6 +77,32 @@ def test_prefix_trie(spark, slice_bytes):
     assert prefix_trie.prefix_trie(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("segment_turns, slice_bytes", [(1, 1 << 22), (2, 1500), (3, 600), (7, 1 << 22), (64, 3000)])
+def test_long_conversations_in_segments(spark, segment_turns, slice_bytes):
+    """Conversations cut into segments, some ending where a segment does, shared beyond it or parting there."""
+    rows = conversations()
+    rows += [(500 + i, t, "user", f"deep {t} " + "z " * (i * (t >= 200 + i % 3))) + ("k", "s", "w", "n", 1)
+             for i in range(6) for t in range(204)]
+    df = spark.createDataFrame(rows, CONVERSATION).repartition(5)
+    got = prefix_trie.prefix_trie(df, slice_bytes=slice_bytes, segment_turns=segment_turns)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_trie(rows)
+
+
+def test_one_conversation_spreads(spark):
+    """One conversation with most turns, and one turn repeated: no row holds more than a segment of it."""
+    rows = [(7, t % 90, "user", f"t {t % 50}") for t in range(400)] + [(9, 1, "user", "same")] * 150 + [(9, 0, "bot", "a b")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    segments = prefix_trie.rebuilt(df, segment_turns=16)
+    shape = segments.selectExpr("conv_id", "segment", "last", "size(words) as n").collect()
+    assert all(r.n == 16 if not r["last"] else r.n < 16 for r in shape) and sum(r.n for r in shape) == 551 - sum(
+        zlib.crc32(str(c).encode()) % 4 for c in (7, 9))
+    placed, _ = prefix_trie._numbered(df.selectExpr("conv_id", "turn", "md5(concat(role, text)) as symbol", "1L as words"))
+    assert sorted(r.place for r in placed.filter("conv_id = 7").collect()) == list(range(400))
+    assert placed.groupBy("conv_id").agg(F.countDistinct("place").alias("d")).filter("conv_id = 9").first().d == 151
+    got = prefix_trie.prefix_trie(df, segment_turns=16, slice_bytes=1000)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_trie(rows)
+
+
 def test_slices_join():
     """Every way to cut sorted conversations into slices gives the same sums."""
     rnd = random.Random(4)
