@@ -276,10 +276,11 @@ def _numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``turns`` (conv_id, turn, symbol, words) with each one's ``place`` in its conversation, and
     the conversations with their number of turns ``n``. Range partitions are sorted and counted by
     themselves, so a conversation of any length, or one turn repeated, spreads over them."""
-    parts = stored(turns.withColumn("row", F.monotonically_increasing_id())
-                   .repartitionByRange("conv_id", "turn", "symbol", "row").sortWithinPartitions("conv_id", "turn", "symbol")
-                   .select("conv_id", "symbol", "words", F.spark_partition_id().alias("part"))
-                   .mapInPandas(_places, "conv_id bigint, symbol string, words bigint, part int, place bigint"), "turns")
+    # Written first: the sampling of ranges would read and digest every text once more.
+    slim = stored(turns.withColumn("row", F.monotonically_increasing_id()), "digests")
+    ranged = slim.repartitionByRange("conv_id", "turn", "symbol", "row").sortWithinPartitions("conv_id", "turn", "symbol")
+    parts = stored(ranged.select("conv_id", "symbol", "words", F.spark_partition_id().alias("part")).mapInPandas(
+        _places, "conv_id bigint, symbol string, words bigint, part int, place bigint"), "turns")
     before = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     runs = stored(parts.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
                   .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))), "runs")
@@ -352,7 +353,8 @@ def prefix_trie(conversations: DataFrame, group: int = 20, heads: int = 4, slice
 
     Turns go by ``turn`` (null first), ties by the MD5 of role and text; repeated rows are turns
     of their own. A null role or text counts as empty. Rows without a conversation identifier take
-    no part. Equality of turns is that of their MD5. An empty table gives no rows; extra columns
+    no part. Equality of turns is that of their MD5, and that of turns before a segment (of
+    ``segment_turns`` turns) that of two 64-bit hashes. An empty table gives no rows; extra columns
     are ignored.
     """
     spark = conversations.sparkSession
