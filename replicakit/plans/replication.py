@@ -54,6 +54,7 @@ from replicakit.constants import (
 )
 from replicakit.functions.text import canon_side
 from replicakit.operators.diff import diff_summary, resync_diff
+from replicakit.operators.fold import apply_changes
 from replicakit.operators.integrity import check_unique
 from replicakit.operators.keyed import buckets_of, changed_nodes, rows_of
 from replicakit.operators.upsert import upsert
@@ -504,22 +505,58 @@ class Replication:
         reference tool does. ``to`` is ``'latest'`` or a point in time no
         earlier than the replica base (its start, or its last compaction). The
         view at that point is written as the target namespace's new version.
+
+        The whole table is written while the source may still be written to. With
+        ``'latest'`` a second drain (again ``timeout_s`` at most) then applies what has come since, and
+        only that is written before the pointers move: as pending changes of the new version, so
+        the time without writes does not grow with the table.
         """
         info = self.info()
         if info is None:
             raise RuntimeError(f"no replication into {self.target}/{self.target_ns}")
-        done = self.run_stream(info, timeout_s)
-        if not done and on_timeout == "fail":
+        at = (self.target, self.target_ns, self.table)
+        with scratch_scope(self.spark):
+            self._drain(info, timeout_s, on_timeout)
+            folded, n_rows = self.reg.pending(*at), self.base(info).count()
+            if to != "latest":
+                version = self.reg.stage_version(*at, self.view(to), n_rows, self.keys)
+                return self._open_target(version, folded, [], None)
+            last = last_batch(self.spark, self.applied_dir(info))
+            if last is not None and self._cut_short:  # that batch may be unfinished; the next drain writes it again
+                last = max(last - 1, info.through_batch)
+            seen = self.spark.createDataFrame([], change_schema(self._schema())) if last is None \
+                else self._batches_upto(info, last)
+            version = self.reg.stage_version(*at, readonly_view(self.base(info), seen, self.spec), n_rows, self.keys)
+            self._drain(info, timeout_s, on_timeout)
+            through = info.through_batch if last is None else last
+            tail = read_batches(self.spark, self.applied_dir(info), change_schema(self._schema()), through)
+            if tail.isEmpty():
+                return self._open_target(version, folded, [], None)
+            newest = seen.agg(F.max("_ts").alias("m")).first()["m"]
+            frontier = max(filter(None, [newest, parse_ts(info.base_frontier or info.as_of)]))
+            if not tail.filter(F.col("_ts") <= ts_lit(frontier)).isEmpty():
+                # A change older than what the version holds came late: only a merge by time is right.
+                version = self.reg.stage_version(*at, self.view(), n_rows, self.keys)
+                return self._open_target(version, folded, [], None)
+            tail = apply_changes(tail, self.keys, self.spec.order, self.spec.op_col, keep_deletes=True)
+            watermark, stamp = self.reg.stamp(), self.reg.stamp()
+            tail.withColumn("_ts", ts_lit(stamp)).write.mode("append").parquet(self.reg.epoch_path(*at))
+            return self._open_target(version, folded, [(pending_key(*at), CONTROL_SET, "1")],
+                                     watermark.strftime(TS_FORMAT))
+
+    def _drain(self, info: ReplicaInfo, timeout_s: float | None, on_timeout: str) -> None:
+        if not self.run_stream(info, timeout_s) and on_timeout == "fail":
             raise ReplicationTimeout("replication did not complete in time")
-        as_of = None if to == "latest" else to
-        view = self.view(as_of)
+
+    def _open_target(self, version: tuple[int, int], folded: int, extra: list[tuple[str, str, str | None]],
+                     watermark: str | None) -> int:
+        """One control append: new version, service open, replica retired, flags and default
+        pointers (O3) switch together."""
         pointers = [(f"default/{self.target}", CONTROL_SET, self.target_ns)]
         if self.target == SIDE_A:
             pointers.append((f"default/{SIDE_B}", CONTROL_SET, MAIN_NAMESPACE[SIDE_B]))
-        # One control append: new version, service open, replica retired,
-        # flags and default pointers (O3) switch together.
-        v = self.reg.write_version(self.target, self.target_ns, self.table, view,
-                                   n_rows=self.base(info).count(), keys=self.keys, extra=[
+        v = self.reg.publish_version(self.target, self.target_ns, self.table, version, folded, watermark, [
+            *extra,
             (f"mode/{self.target}/{self.target_ns}", "set", "shared"),
             (f"data_state/{self.target}/{self.target_ns}", "set", "ready"),
             (f"data_state/{self.target}/{self.readonly_ns}", "set", "offline"),

@@ -351,17 +351,32 @@ class Registry:
         ``extra`` control rows are appended together with the pointer; changes
         counted while the version was written stay pending.
         """
-        from replicakit.sources.changes import TS_FORMAT
+        folded = self.pending(side, ns, table) if held is None else held
+        staged_version = self.stage_version(side, ns, table, df, n_rows, keys)
+        return self.publish_version(side, ns, table, staged_version, folded, watermark, extra)
 
+    def stage_version(self, side: str, ns: str, table: str, df: DataFrame, n_rows: int = 0,
+                      keys: Sequence[str] | None = None) -> tuple[int, int]:
+        """Write ``df`` as the next version, as :meth:`write_version` does, without the pointer; its
+        number and depth of key buckets. Until it is published nobody reads it."""
         side, ns = canon_side(side), map_namespace(ns)
         v = (self.current_version(side, ns, table) or 0) + 1
-        folded = self.pending(side, ns, table) if held is None else held
         depth = depth_for(n_rows, self.bucket_rows) if keys else 0
         target = self.version_table(side, ns, table, v, depth)
         if depth:
             store_keyed(df, keys, target)
         else:
             df.write.mode("overwrite").parquet(target.path)
+        return v, depth
+
+    def publish_version(self, side: str, ns: str, table: str, version: tuple[int, int], folded: int,
+                        watermark: str | None = None,
+                        extra: Iterable[tuple[str, str, str | None]] = ()) -> int:
+        """Swap the pointer to a staged version; ``folded`` pending loads are in it."""
+        from replicakit.sources.changes import TS_FORMAT
+
+        side, ns = canon_side(side), map_namespace(ns)
+        v, depth = version
         was = self.state().get(depth_key(side, ns, table))
         self.append_control([
             (table_key(side, ns, table), CONTROL_SET, str(v)),
