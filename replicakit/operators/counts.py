@@ -1,7 +1,8 @@
 """Row counts per side and their comparison.
 
 A count reads no columns (Parquet row-group metadata and empty batches), is
-aggregated partially per task and shuffles one row per task.
+aggregated partially per task and shuffles one row per task. Of a table with pending
+changes, and of a replica, it reads and merges the key columns only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from replicakit.constants import MATCH, MISMATCH, WAITING
 from replicakit.functions.text import canon_side, map_namespace
 from replicakit.operators.inventory import is_in_mode
-from replicakit.sources.registry import Registry, is_path_not_found, read_side, resolve_default
+from replicakit.sources.registry import Registry, is_path_not_found, resolve_default
 
 COUNT_SCHEMA = "side string, table_name string, n_rows bigint"
 SERVED_SCHEMA = "table_name string, served_by string, n_rows bigint"
@@ -26,6 +27,12 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _side_count(reg: Registry, side: str, ns: str | None, table: str, as_of=None) -> DataFrame:
+    """``(n_rows)`` of a table as :func:`replicakit.sources.registry.read_side` reads it."""
+    side = canon_side(side)
+    return reg.count(side, resolve_default(reg, side) if ns is None else map_namespace(ns), table, as_of)
+
+
 def row_count(spark: SparkSession, reg: Registry, side: str, table: str,
               as_of=None) -> DataFrame:
     """``(side, table_name, n_rows)`` of one table at the side's default.
@@ -33,8 +40,7 @@ def row_count(spark: SparkSession, reg: Registry, side: str, table: str,
     Give both sides the same ``as_of`` to compare them at one point in time.
     """
     side = canon_side(side)
-    df = read_side(spark, reg, side, None, table, as_of)
-    return count_rows(df).select(F.lit(side).alias("side"), F.lit(table).alias("table_name"),
+    return _side_count(reg, side, None, table, as_of).select(F.lit(side).alias("side"), F.lit(table).alias("table_name"),
                                  "n_rows")
 
 
@@ -71,14 +77,14 @@ def compare_counts(counts_a: DataFrame, counts_b: DataFrame) -> DataFrame:
 def _count_at(spark: SparkSession, reg: Registry, side: str, ns: str, table: str) -> int:
     """Count one table now. Raises on a missing path (at resolution) or an
     unreadable file (at the action)."""
-    return count_rows(reg.read(side, ns, table)).first()["n_rows"]
+    return reg.count(side, ns, table).first()["n_rows"]
 
 
 def _counts_at(reg: Registry, side: str, ns: str, tables: Sequence[str]) -> dict[str, int]:
     """Counts of the tables that can be counted at ``ns``: all in one job, and table by table
     only if that fails."""
     try:
-        frames = [count_rows(reg.read(side, ns, t)).withColumn("t", F.lit(t)) for t in tables]
+        frames = [reg.count(side, ns, t).withColumn("t", F.lit(t)) for t in tables]
         return {r["t"]: r["n_rows"] for r in reduce(DataFrame.unionByName, frames).collect()} if frames else {}
     except Exception:  # noqa: BLE001 - any failure falls back, as specified
         if len(tables) == 1:
@@ -92,7 +98,7 @@ def counts_at_once(reg: Registry, wanted: Mapping[str, tuple[str | None, str]],
     frames = {}
     for side, (ns, table) in wanted.items():
         try:
-            frames[side] = count_rows(read_side(reg.spark, reg, side, ns, table, as_of)).select(
+            frames[side] = _side_count(reg, side, ns, table, as_of).select(
                 F.lit(side).alias("side"), "n_rows")
         except Exception:  # noqa: BLE001 - missing on that side
             continue
@@ -132,7 +138,7 @@ def _served(reg: Registry, side: str, ns: str, tables: Sequence[str]) -> dict[st
     frames = {}
     for t in dict.fromkeys(tables):
         try:
-            frames[t] = count_rows(reg.read(side, ns, t)).withColumn("t", F.lit(t))
+            frames[t] = reg.count(side, ns, t).withColumn("t", F.lit(t))
         except Exception as err:  # noqa: BLE001
             if not is_path_not_found(err):
                 raise

@@ -104,6 +104,32 @@ def merge_changes(base: DataFrame, log: DataFrame, spec: ChangeSpec,
     return out
 
 
+def count_merged(base: DataFrame, log: DataFrame, spec: ChangeSpec) -> DataFrame:
+    """``(n_rows)``: how many rows :func:`merge_changes` leaves, without merging them.
+
+    Only keys, order and op are read, folded and joined, once: the live rows of ``base``, and
+    the folded log's live rows, less what each key that both have adds twice or takes away. A
+    small folded log is broadcast, so the keys of ``base`` are scanned, not shuffled.
+    """
+    keys, cols = list(spec.keys), [*spec.keys, *spec.order, spec.op_col]
+    newest = staged(apply_changes(log.select(*cols), keys, spec.order, spec.op_col, spec.delete_value,
+                                  keep_deletes=True), "folded-keys")
+    base, n = base.select(*cols), newest.select(*[F.col(c).alias(f"_n_{c}") for c in cols])
+
+    def live(c: str) -> Column:
+        return (~F.col(c).eqNullSafe(F.lit(spec.delete_value))).cast("bigint")
+
+    on = reduce(lambda a, b: a & b, [base[k].eqNullSafe(F.col(f"_n_{k}")) for k in keys])
+    take_new = (F.struct(*[F.col(f"_n_{c}") for c in spec.order]) > F.struct(*[base[c] for c in spec.order]))
+    change = F.when(take_new, live(f"_n_{spec.op_col}") - live(spec.op_col)).otherwise(0)
+    # A key that base repeats is one of the folded log.
+    met = base.join(n, on).groupBy(*[f"_n_{k}" for k in keys]).agg(
+        (F.sum(change) - F.max(live(f"_n_{spec.op_col}"))).alias("n"))
+    parts = [base.agg(F.sum(live(spec.op_col)).alias("n")), newest.agg(F.sum(live(spec.op_col)).alias("n")),
+             met.agg(F.sum("n").alias("n"))]
+    return reduce(DataFrame.unionByName, parts).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+
+
 def upto(log: DataFrame, spec: ChangeSpec, as_of=None) -> DataFrame:
     """Changes no later than ``as_of`` (``None``: all); the filter reaches the scan."""
     return log if as_of is None else log.filter(F.col(spec.ts_col) <= _ts_lit(as_of))

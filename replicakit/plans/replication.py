@@ -60,11 +60,13 @@ from replicakit.operators.keyed import buckets_of, changed_nodes, rows_of
 from replicakit.operators.upsert import upsert
 from replicakit.plans.replica import (
     ChangeSpec,
+    count_merged,
     last_batch,
     merge_changes,
     read_batches,
     readonly_view,
     registry_spec,
+    upto,
 )
 from replicakit.plans.status import ready_gate, replication_status, stream_word
 from replicakit.session import move_path, scratch_scope, staged
@@ -270,7 +272,7 @@ class Replication:
         return replica_info(self.reg, self.target, self.target_ns, self.table)
 
     def _schema(self) -> StructType:
-        return self.reg.read(self.source, self.source_ns, self.table).schema
+        return self.reg.schema(self.source, self.source_ns, self.table)
 
     def base(self, info: ReplicaInfo) -> DataFrame:
         if info.base_path:
@@ -314,17 +316,26 @@ class Replication:
     def view(self, as_of=None) -> DataFrame:
         """The read-only replica (O26) as of now or ``as_of``; a time before the base's
         newest change (the initial copy, and any compaction) cannot be served."""
+        base, applied = self._parts(as_of)
+        return readonly_view(base, applied, self.spec)
+
+    def count(self, as_of=None) -> DataFrame:
+        """``(n_rows)`` of :meth:`view`."""
+        base, applied = self._parts(as_of)
+        return count_merged(base, applied, self.spec)
+
+    def _parts(self, as_of) -> tuple[DataFrame, DataFrame]:
+        """The replica's base and the changes applied to it up to ``as_of``."""
         info = self.info()
         if as_of is not None:
             frontier = parse_ts(info.base_frontier or info.as_of)
             wanted = as_of if isinstance(as_of, dt.datetime) else dt.datetime.fromisoformat(str(as_of))
             if wanted < frontier:
                 raise ValueError(f"the replica base is at {frontier}, later than {wanted}")
-        return readonly_view(self.base(info), self.applied(info), self.spec, as_of)
+        return self.base(info), upto(self.applied(info), self.spec, as_of)
 
     def _mount_view(self) -> None:
-        self.reg.mount(self.target, self.readonly_ns, self.table,
-                       lambda as_of=None: self.view(as_of))
+        self.reg.mount(self.target, self.readonly_ns, self.table, ReplicaView(self))
 
     # ---------------------------------------------------------- streaming
     def _ensure_changes(self) -> str:
@@ -605,32 +616,45 @@ class Replication:
         if dry_run:
             counts = diff_summary(diff).collect()
             return self.spark.createDataFrame([tuple(r) for r in counts], "action string, n_rows bigint")
-        current = self.reg.read(self.target, self.target_ns, self.table)
+        at = (self.target, self.target_ns, self.table)
+        schema = self.reg.schema(*at)
         self.reg.set_mode(self.target, self.target_ns, "none")
         nv = self.reg.next_version()
         info = ReplicaInfo(self.source, self.source_ns, nv, self.reg.next_version(),
                            as_of.strftime(TS_FORMAT), through_batch=BEFORE_RESTART,
                            keys=json.dumps(self.keys))
-        at = (self.target, self.target_ns, self.table)
         op = F.when(F.col("action") == DELETE, DELETE).otherwise(UPSERT)
         batch = batch_path(self.applied_dir(info), DIFF_BATCH)
-        with_meta(diff.select(*current.columns, "action"), as_of, 1).withColumn("_op", op).drop(
+        with_meta(diff.select(*schema.fieldNames(), "action"), as_of, 1).withColumn("_op", op).drop(
             "action").write.mode("overwrite").parquet(batch)
         version = self.reg.current_version(*at)
         if version is None or not (self.reg.table_keys(*at) == self.keys
-                                   or check_unique(current, self.keys).isEmpty()):
+                                   or check_unique(self.reg.read(*at), self.keys).isEmpty()):
             # No version to stand on: one copy, without the keys that the difference rewrites.
-            kept = _touched(current, self.spark.read.parquet(batch), self.keys, "left_anti")
+            kept = _touched(self.reg.read(*at), self.spark.read.parquet(batch), self.keys, "left_anti")
             with_meta(kept, as_of, 0).write.mode("overwrite").parquet(f"{self.root}/base/v={nv}")
         else:
             info.base_path = f"{self.reg.table_dir(*at)}/v={version}"
             info.base_ts = self.reg.state()[watermark_key(*at)]
             if self.reg.pending(*at):
-                self.reg.pending_changes(*at, current.schema).write.mode("overwrite").parquet(
+                self.reg.pending_changes(*at, schema).write.mode("overwrite").parquet(
                     batch_path(self.applied_dir(info), PENDING_BATCH))
         return self._activate(info, max_tries, "restart", True, every, interval_s)
 
 
+@dataclass(frozen=True)
+class ReplicaView:
+    """A replica's view, built on every read, and its count."""
+
+    replication: Replication
+
+    def __call__(self, as_of=None) -> DataFrame:
+        return self.replication.view(as_of)
+
+    def count(self, as_of=None) -> DataFrame:
+        return self.replication.count(as_of)
+
+
 def archive_changes(reg: Registry, side: str, table: str, ns: str | None = None) -> list[int]:
     """Move a table's old change folders out of what its replicas' streams list (O27); the epochs
     moved. An epoch goes once the table's version holds it and every replica fed from the table has

@@ -242,6 +242,14 @@ class Registry:
             return self.spark.createDataFrame([], cs)
         return reduce(DataFrame.unionByName, parts).filter(F.col("_ts") > ts_lit(wm))
 
+    def schema(self, side: str, ns: str, table: str) -> StructType:
+        """Columns of a table; those of a written version, whatever changes are pending."""
+        side, ns = canon_side(side), map_namespace(ns)
+        v = self.current_version(side, ns, table)
+        if v is not None:
+            return rows_of(self.spark, f"{self.table_dir(side, ns, table)}/v={v}").schema
+        return self.read(side, ns, table).schema
+
     def read(self, side: str, ns: str, table: str, as_of=None) -> DataFrame:
         """Data of a table now, or as of a time; ``PATH_NOT_FOUND`` if it does
         not exist.
@@ -253,25 +261,11 @@ class Registry:
         ``as_of`` earlier than the version's watermark cannot be served.
         Read-only replicas honour ``as_of`` too; mounted tables are static.
         """
-        from replicakit.sources.changes import parse_ts, ts_lit
-
         side, ns = canon_side(side), map_namespace(ns)
-        v = self.current_version(side, ns, table)
-        if v is not None:  # a written version never changes
-            base = rows_of(self.spark, f"{self.table_dir(side, ns, table)}/v={v}")
-            if as_of is not None:
-                wm = parse_ts(self.state()[watermark_key(side, ns, table)])
-                if _as_datetime(as_of) < wm:
-                    raise ValueError(f"{side}/{ns}/{table} is kept from {wm} on, not {as_of}")
-            if self.pending(side, ns, table) == 0:
-                return base
-            changes = self.pending_changes(side, ns, table, base.schema)
-            if as_of is not None:
-                changes = changes.filter(F.col("_ts") <= ts_lit(_as_datetime(as_of)))
-            return self._merged(side, ns, table, base, changes)
-        src = self._mounts.get((side, ns, table))
-        if src is None and self._replica_of(side, ns, table) is not None:
-            src = self._replica_view(side, ns, table)
+        if self.current_version(side, ns, table) is not None:
+            base, changes = self._version_and_changes(side, ns, table, as_of)
+            return base if changes is None else self._merged(side, ns, table, base, changes)
+        src = self._bound(side, ns, table)
         if isinstance(src, DataFrame):
             return src
         if callable(src):
@@ -280,6 +274,48 @@ class Registry:
             return read_table(self.spark, src)
         return self.spark.read.parquet(self.table_dir(side, ns, table))
 
+    def count(self, side: str, ns: str, table: str, as_of=None) -> DataFrame:
+        """``(n_rows)``: how many rows :meth:`read` gives. Where changes are merged, only keys
+        and times of change are read, folded and joined."""
+        from replicakit.plans.replica import count_merged, registry_spec
+        from replicakit.plans.replication import ReplicaView
+        from replicakit.sources.changes import with_meta
+
+        side, ns = canon_side(side), map_namespace(ns)
+        if self.current_version(side, ns, table) is not None:
+            base, changes = self._version_and_changes(side, ns, table, as_of)
+            if changes is not None:
+                wm = self.state()[watermark_key(side, ns, table)]
+                return count_merged(with_meta(base, wm, -1), changes, registry_spec(self.table_keys(side, ns, table)))
+        else:
+            view = self._bound(side, ns, table)
+            if isinstance(view, ReplicaView):
+                return view.count(as_of)
+        return self.read(side, ns, table, as_of).agg(F.count(F.lit(1)).alias("n_rows"))
+
+    def _version_and_changes(self, side: str, ns: str, table: str, as_of) -> tuple[DataFrame, DataFrame | None]:
+        """The current version, which never changes, and the changes pending at ``as_of``."""
+        from replicakit.sources.changes import parse_ts, ts_lit
+
+        base = rows_of(self.spark, f"{self.table_dir(side, ns, table)}/v={self.current_version(side, ns, table)}")
+        if as_of is not None:
+            wm = parse_ts(self.state()[watermark_key(side, ns, table)])
+            if _as_datetime(as_of) < wm:
+                raise ValueError(f"{side}/{ns}/{table} is kept from {wm} on, not {as_of}")
+        if self.pending(side, ns, table) == 0:
+            return base, None
+        changes = self.pending_changes(side, ns, table, base.schema)
+        if as_of is not None:
+            changes = changes.filter(F.col("_ts") <= ts_lit(_as_datetime(as_of)))
+        return base, changes
+
+    def _bound(self, side: str, ns: str, table: str):
+        """What is mounted, or the read-only replica."""
+        src = self._mounts.get((side, ns, table))
+        if src is None and self._replica_of(side, ns, table) is not None:
+            src = self._replica_view(side, ns, table)
+        return src
+
     def _replica_of(self, side: str, ns: str, table: str) -> str | None:
         """Bookkeeping of a replication into ``ns`` (a ``-readonly`` namespace)."""
         if not ns.endswith(READONLY_SUFFIX):
@@ -289,12 +325,12 @@ class Registry:
     def _replica_view(self, side: str, ns: str, table: str):
         """A read-only replica, rebuilt from the control state (so any driver
         reading this registry sees it, not only the one that started it)."""
-        from replicakit.plans.replication import ReplicaInfo, Replication
+        from replicakit.plans.replication import ReplicaInfo, ReplicaView, Replication
 
         info = ReplicaInfo.decode(self._replica_of(side, ns, table))
         keys = json.loads(info.keys) if info.keys else self.table_keys(info.source_side, info.source_ns, table)
         rep = Replication(self, info.source_side, side, table, keys)
-        return lambda as_of=None: rep.view(as_of)
+        return ReplicaView(rep)
 
     def version_table(self, side: str, ns: str, table: str, v: int, depth: int) -> KeyedTable:
         return KeyedTable(f"{self.table_dir(side, ns, table)}/v={v}",
@@ -571,7 +607,7 @@ def table_inventory(spark: SparkSession, reg: Registry, side: str,
     side = canon_side(side)
     ns = resolve_default(reg, side) if ns is None else map_namespace(ns)
     frames = [
-        reg.read(side, ns, t).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        reg.count(side, ns, t).select(
             F.lit(ns).alias("namespace"), F.lit(t).alias("table_name"), "n_rows")
         for t in reg.tables(side, ns)
     ]
