@@ -69,7 +69,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: i
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     words, parts, capped = total, None, -1
     while True:
-        share = None if parts is None else (F.lit(words) * F.col("weight")).cast("double") / F.lit(parts).cast("double")
+        # As bigint: below 2^31 the literal would be an int, and its product with a weight overflow.
+        share = None if parts is None else (
+            F.lit(words).cast("bigint") * F.col("weight")).cast("double") / F.lit(parts).cast("double")
         over = F.lit(False) if share is None else share > cap
         row = ranked.agg(F.sum(F.when(over, F.col("source_size") * most).otherwise(0)).alias("held"),
                          F.sum(F.when(over, 0).otherwise(F.col("weight"))).alias("parts"),
