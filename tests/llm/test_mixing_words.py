@@ -9,7 +9,7 @@ from fractions import Fraction
 import pytest
 
 import corpus_pipeline
-from replicakit.llm import mixing
+from replicakit.llm import mixing, queries
 
 SCALE = 10_000_000
 
@@ -63,3 +63,14 @@ def test_the_pipelines_mix_of_many_words(spark, many_words):
     got = corpus_pipeline.mix_sources(spark, given, "").collect()
     assert Counter(r.doc_id for r in got) == Counter({i: -(-n // size[i]) for i, n in expect.items()})
     assert {(r.doc_id, r.text, r.source) for r in got} == {d for d in docs if expect[d[0]]}
+
+
+@pytest.mark.parametrize("words", [70, 72, 160, 214, 216])
+def test_op4_around_the_bounds_of_an_int(spark, tmp_path, many_words, words):
+    """Totals below and above 2^31 / 3 and 2^31: targets and words taken are exact."""
+    docs = documents(words)
+    expect, size = taken(docs)
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_mixing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r["size"], r.taken) for r in got} == {i: (size[i], n) for i, n in expect.items()}
+    assert len(got) == len(docs) and sum(r.taken for r in got) == pytest.approx(words * SCALE, abs=3)
